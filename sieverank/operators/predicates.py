@@ -135,11 +135,23 @@ class ConditionPlan:
     atoms: tuple[str, ...]
     sets: tuple[ConditionSet, ...]
     spark: SparkSession = field(repr=False, compare=False)
+    blank_lists: frozenset[tuple[str, ...]] = frozenset()
+    spoken_lists: frozenset[tuple[str, ...]] = frozenset()
 
     @property
     def valid(self) -> list[ConditionSet]:
         return [s for s in self.sets if s.error is None]
 
+    @property
+    def blank_ids(self) -> list[int]:
+        """Sets some query without search text uses."""
+        return [s.set_id for s in self.valid if s.conditions in self.blank_lists]
+
+    @property
+    def spoken_ids(self) -> list[int]:
+        """Sets some query with search text uses."""
+        return [s.set_id for s in self.valid if s.conditions in self.spoken_lists]
+
     def signature(self) -> Column:
         """Bit i of the words is set when condition i holds; null counts as not holding."""
         words = []
@@ -203,9 +215,16 @@ def _any_bit(bits: list[Column]) -> Column:
 
 
 def plan_conditions(
-    catalog: DataFrame, condition_lists: Sequence[Sequence[str]], allowed: Sequence[str]
+    catalog: DataFrame,
+    condition_lists: Sequence[Sequence[str]],
+    allowed: Sequence[str],
+    blank: Sequence[bool] | None = None,
 ) -> ConditionPlan:
-    """Masks for normalised condition lists. A bad condition spoils the lists that use it only."""
+    """Masks for normalised condition lists. A bad condition spoils the lists that use it only.
+
+    ``blank`` tells which lists come from queries without search text.
+    """
+    flags = list(blank or [False] * len(condition_lists))
     lists = sorted({tuple(c) for c in condition_lists})
     distinct = sorted({c for conditions in lists for c in conditions})
     errors = condition_errors(catalog, distinct, allowed)
@@ -222,7 +241,8 @@ def plan_conditions(
         for c in conditions:
             mask[place[c] // WORD_BITS] |= 1 << (place[c] % WORD_BITS)
         sets.append(ConditionSet(set_id, conditions, tuple(mask)))
-    return ConditionPlan(atoms, tuple(sets), catalog.sparkSession)
+    used = [frozenset(tuple(c) for c, b in zip(condition_lists, flags) if b is f) for f in (True, False)]
+    return ConditionPlan(atoms, tuple(sets), catalog.sparkSession, *used)
 
 
 def planned_parts(
@@ -234,13 +254,17 @@ def planned_parts(
 ) -> Iterator[tuple[DataFrame, ConditionPlan]]:
     """Queries with their plan; usually one part.
 
-    ``queries`` needs normalised ``conditions``. Only the distinct lists come to the driver,
+    ``queries`` needs normalised ``conditions`` and may have a ``blank`` flag. Only the distinct lists come to the driver,
     never more than ``max_sets`` at a time: beyond that the lists are divided by hash and
     every division gets its own pass over the catalog.
     """
-    lists = queries.select("conditions").distinct().limit(max_sets + 1).collect()
+    blank = F.col("blank") if "blank" in queries.columns else F.lit(False)
+    used = queries.select("conditions", blank.alias("blank")).distinct()
+    lists = used.limit(max_sets + 1).collect()
     if len(lists) <= max_sets:
-        plan = plan_conditions(catalog, [r["conditions"] for r in lists], allowed)
+        plan = plan_conditions(
+            catalog, [r["conditions"] for r in lists], allowed, [r["blank"] for r in lists]
+        )
         yield queries.join(F.broadcast(plan.table()), "conditions"), plan
         return
     divisions = 8
