@@ -67,23 +67,18 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return F.when(length == 0, F.lit(1.0)).otherwise(1.0 - dot / F.nullif(length, F.lit(0.0)))
 
 
-def cosine_distance_to(vector: Column, query: Sequence[float]) -> Column:
-    """Distance to one known vector, written out per dimension so that it is compiled.
+def cosine_distance_to(vector: str, query: Sequence[float]) -> Column:
+    """Distance of a vector column to one known vector.
 
-    Meant for the single-query case; wide vectors go through ``cosine_distance``.
+    Written out per dimension as one SQL text, so that it is compiled; wide vectors go through
+    ``cosine_distance``.
     """
     if len(query) > 256:
-        return cosine_distance(vector, F.array(*[F.lit(float(x)) for x in query]))
-    dot = _sum([F.get(vector, F.lit(i)).cast("double") * float(x) for i, x in enumerate(query)])
-    squares = _sum([F.pow(F.get(vector, F.lit(i)).cast("double"), 2) for i in range(len(query))])
-    length = F.sqrt(squares) * float(sum(float(x) ** 2 for x in query) ** 0.5)
-    distance = F.when(length == 0, F.lit(1.0)).otherwise(1.0 - dot / F.nullif(length, F.lit(0.0)))
-    return F.when(F.size(vector) == len(query), distance)
-
-
-def _sum(terms: list[Column]) -> Column:
-    """Balanced tree, so that long sums do not nest deeply."""
-    while len(terms) > 1:
-        pairs = [terms[i] + terms[i + 1] for i in range(0, len(terms) - 1, 2)]
-        terms = pairs + ([terms[-1]] if len(terms) % 2 else [])
-    return terms[0]
+        return cosine_distance(F.col(vector), F.array(*[F.lit(float(x)) for x in query]))
+    items = [f"cast(get({vector}, {i}) as double)" for i in range(len(query))]
+    dot = " + ".join(f"{item} * {float(x)!r}D" for item, x in zip(items, query))
+    squares = " + ".join(f"{item} * {item}" for item in items)
+    own = float(sum(float(x) ** 2 for x in query) ** 0.5)
+    distance = f"1.0D - ({dot}) / (sqrt({squares}) * {own!r}D)"
+    zero = f"sqrt({squares}) * {own!r}D = 0"
+    return F.expr(f"CASE WHEN size({vector}) <> {len(query)} THEN NULL WHEN {zero} THEN 1.0D ELSE {distance} END")

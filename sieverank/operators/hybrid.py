@@ -52,7 +52,7 @@ def hybrid_search(
     if query_vector is None:
         best = kept.select(key, F.lit(0.0).alias("distance")).orderBy(key).limit(k)
     else:
-        distance = cosine_distance_to(F.col("vector"), query_vector)
+        distance = cosine_distance_to("vector", query_vector)
         best = (
             prefilter_in(vectors.select(key, "vector"), kept, key)
             .select(key, distance.alias("distance"))

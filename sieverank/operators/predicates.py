@@ -63,21 +63,25 @@ def _quiet_sql_errors() -> Iterator[None]:
 
 def _probe_row(spark: SparkSession, schema: StructType) -> DataFrame:
     """One constant row with the allowed fields; filtering it runs no cluster job."""
-    values = []
+    values, names = [], []
     for f in schema.fields:
         kind = f.dataType
         text = "1" if isinstance(kind, NumericType) else "true" if isinstance(kind, BooleanType) else "null"
         text = "''" if isinstance(kind, StringType) else text
-        values.append(f"cast({text} as {kind.simpleString()}) as `{f.name}`")
-    return spark.sql("select " + ", ".join(values))
+        values.append(f"cast({text} as {kind.simpleString()})")
+        names.append(f"`{f.name}`")
+    return spark.sql(f"select * from values ({', '.join(values)}) as t({', '.join(names)})")
 
 
 def _problem(probe: DataFrame, conditions: Sequence[str]) -> str | None:
     """What the analyzer says against the conditions, or None."""
     try:
-        columns = F.array(*[F.expr(f"({c})") for c in conditions])
         with _quiet_sql_errors():
-            probe.filter(F.forall(columns, lambda x: x)).collect()
+            if len(conditions) == 1:
+                probe.filter(f"({conditions[0]})").collect()
+            else:  # all of them are evaluated, none is skipped over
+                listed = ", ".join(f"({c})" for c in conditions)
+                probe.filter(f"forall(array({listed}), x -> x)").collect()
     except PySparkException as error:
         return str(error).split("\n")[0]
     return None
@@ -92,10 +96,18 @@ def condition_errors(
     Spark's own analyzer.
     """
     probe = _probe_row(catalog.sparkSession, catalog.select(*allowed).schema)
-    if not conditions or _problem(probe, conditions) is None:
+    return _bad_ones(probe, list(conditions))
+
+
+def _bad_ones(probe: DataFrame, conditions: list[str]) -> dict[str, str]:
+    """Halves a list that fails until the conditions at fault are alone."""
+    problem = _problem(probe, conditions) if conditions else None
+    if problem is None:
         return {}
-    problems = {c: _problem(probe, [c]) for c in conditions}
-    return {c: p for c, p in problems.items() if p is not None}
+    if len(conditions) == 1:
+        return {conditions[0]: problem}
+    middle = len(conditions) // 2
+    return _bad_ones(probe, conditions[:middle]) | _bad_ones(probe, conditions[middle:])
 
 
 def apply_conditions(
@@ -154,14 +166,14 @@ class ConditionPlan:
 
     def signature(self) -> Column:
         """Bit i of the words is set when condition i holds; null counts as not holding."""
+        # one SQL text: hundreds of conditions as single Columns would be slow to build
         words = []
         for start in range(0, max(len(self.atoms), 1), WORD_BITS):
             bits = [
-                F.when(F.expr(f"({a})"), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long"))
-                for i, a in enumerate(self.atoms[start : start + WORD_BITS])
+                f"if(({a}), {1 << i}L, 0L)" for i, a in enumerate(self.atoms[start : start + WORD_BITS])
             ]
-            words.append(_any_bit(bits) if bits else F.lit(0).cast("long"))
-        return F.array(*words)
+            words.append(" | ".join(bits) or "0L")
+        return F.expr(f"array({', '.join(words)})")
 
     def any_set(self, ids: Sequence[int] | None = None) -> Column | None:
         """True for rows at least one set lets through; None when that is every row.
@@ -172,10 +184,8 @@ class ConditionPlan:
         chosen = [s for s in self.valid if ids is None or s.set_id in ids]
         if len(chosen) > 16 or any(not s.conditions for s in chosen):
             return None
-        together = F.lit(False)
-        for s in chosen:
-            together = together | F.expr(" AND ".join(f"({c})" for c in s.conditions))
-        return together
+        each = (" AND ".join(f"({c})" for c in s.conditions) for s in chosen)
+        return F.expr(" OR ".join(f"({e})" for e in each) or "false")
 
     def members(self, signature: Column, ids: Sequence[int] | None = None) -> Column:
         """Ids of the sets a row with this signature belongs to."""
@@ -207,13 +217,6 @@ class ConditionPlan:
         )
 
 
-def _any_bit(bits: list[Column]) -> Column:
-    while len(bits) > 1:
-        pairs = [bits[i].bitwiseOR(bits[i + 1]) for i in range(0, len(bits) - 1, 2)]
-        bits = pairs + ([bits[-1]] if len(bits) % 2 else [])
-    return bits[0]
-
-
 def plan_conditions(
     catalog: DataFrame,
     condition_lists: Sequence[Sequence[str]],

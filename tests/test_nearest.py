@@ -103,7 +103,7 @@ def test_distance_expressions(spark):
         "v array<float>",
     )
     expected = [0.0, 1.0, 1.0, 2.0, None, None]
-    single = df.select(cosine_distance_to(F.col("v"), [2.0, 0.0]).alias("d")).collect()
+    single = df.select(cosine_distance_to("v", [2.0, 0.0]).alias("d")).collect()
     pair = df.select(cosine_distance(F.col("v"), F.array(F.lit(2.0), F.lit(0.0))).alias("d")).collect()
     assert [r["d"] for r in single] == expected
     assert [r["d"] for r in pair] == expected
