@@ -69,7 +69,7 @@ STOPWORDS = (
 
 def tokens(text: Column) -> Column:
     """Lower-cased runs of ASCII letters, digits and hyphens, in text order."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"([a-zA-Z0-9\-]+)"), F.lit(1))
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[a-zA-Z0-9\-]+"), F.lit(0))
 
 
 def content_tokens(text: Column, stopwords: Iterable[str] = STOPWORDS) -> Column:

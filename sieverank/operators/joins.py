@@ -14,9 +14,9 @@ def join_hot(left: DataFrame, right: DataFrame, on: str, copies: str, spread_by:
 
     ``right`` is unique on ``on`` and knows in ``copies`` how many left rows each of its rows
     meets. A key that meets more than a thousandth of all rows is hot; there are fewer than a
-    thousand such keys, so their right rows are broadcast. Hot left rows then pass the shuffle
-    join under a salt that matches nothing, which spreads them over the tasks by
-    ``spread_by``. Each left row is read once.
+    thousand such keys, so their right rows are broadcast. Hot left rows, and those without a
+    key, then pass the shuffle join under a salt that matches nothing, which spreads them over
+    the tasks by ``spread_by``. Each left row is read once.
     """
     values = [c for c in right.columns if c != on]
     total = right.agg(F.sum(copies)).scalar()
@@ -25,7 +25,8 @@ def join_hot(left: DataFrame, right: DataFrame, on: str, copies: str, spread_by:
         on, F.col("_value").alias("_hot")
     )
     cold = packed.select(on, F.col("_value").alias("_cold"), F.lit(0).cast("long").alias("_salt"))
-    salt = F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(spread_by), F.lit(SALTS)) + 1)
+    alone = F.col("_hot").isNotNull() | F.col(on).isNull()  # null keys would gather in one task
+    salt = F.when(alone, F.pmod(F.xxhash64(spread_by), F.lit(SALTS)) + 1)
     salted = left.join(F.broadcast(hot), on, "left").withColumn(
         "_salt", F.coalesce(salt.cast("long"), F.lit(0).cast("long"))
     )

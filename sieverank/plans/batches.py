@@ -241,13 +241,13 @@ def ranking_report(spark, sf_dir):
 
 
 @registered(
-    f"""WITH {GROUPS_SQL} SELECT query_id, rank, round(greatest(0.0, 100 - distance * 50), 2) AS proximity,
-          least(greatest(round(distance * 9, 2) * 10, 0.0), 100.0) AS score_pct FROM hits"""
+    f"""WITH {GROUPS_SQL} SELECT query_id, rank, round(greatest(0.0, 100 - distance * 50), 4) AS proximity,
+          round(least(greatest(distance * 9 * 10, 0.0), 100.0), 4) AS score_pct FROM hits"""
 )
 def match_scores(spark, sf_dir):
-    found = group_results(spark, sf_dir).filter("rank IS NOT NULL").withColumn("score", F.round(F.col("distance") * 9, 2))
+    found = group_results(spark, sf_dir).filter("rank IS NOT NULL").withColumn("score", F.col("distance") * 9)
     scored = report.rating_bars(report.match_scores(found), ["score"])
-    return scored.select("query_id", "rank", F.round("proximity", 2).alias("proximity"), "score_pct")
+    return scored.select("query_id", "rank", F.round("proximity", 4).alias("proximity"), F.round("score_pct", 4).alias("score_pct"))
 
 
 @registered(

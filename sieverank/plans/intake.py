@@ -67,7 +67,7 @@ def rules_long(spark, sf_dir):
         '{"value": [">=", %s], "%s": ["==", "n/a"], "user": ["<", %d.5]}',
         F.get_json_object("props", "$.k"), "event_type", "user_id",
     )
-    cases = table(spark, sf_dir, "events").select(
+    cases = table(spark, sf_dir, "events", spread=True).select(
         F.col("event_id").alias("case_id"), rules_from_json(rules).alias("numeric_rules")
     )
     return to_rules_long(cases)
@@ -118,7 +118,7 @@ def conform_split(spark, sf_dir):
              ELSE '{"name": "' || event_type || '", "k": ' || get_json_object(props, '$.k') || '}' END"""
     )
     schema = StructType([StructField("name", StringType()), StructField("k", DoubleType())])
-    events = table(spark, sf_dir, "events").select("event_id", text.alias("text"))
+    events = table(spark, sf_dir, "events", spread=True).select("event_id", text.alias("text"))
     ok, rejected = quality.conform(events, "text", schema)
     good = ok.select("event_id", F.lit(True).alias("ok"), F.lit("").alias("bad_fields"), "k", "name")
     bad = rejected.select("event_id", F.lit(False).alias("ok"), F.array_join("bad_fields", ",").alias("bad_fields"))
@@ -160,7 +160,7 @@ def line_checks():
 def _lines(spark, sf_dir):
     # a discount of exactly 0.1 stands for a value that is not a number, a tax of 0 for a missing one
     margin = F.when(F.col("l_discount") == 0.1, float("nan")).otherwise(F.col("l_discount") - F.col("l_tax"))
-    return table(spark, sf_dir, "lineitem").withColumns(
+    return table(spark, sf_dir, "lineitem", spread=True).withColumns(
         {"margin": F.round(margin, 4), "l_tax": F.nullif(F.col("l_tax"), F.lit(0.0))}
     )
 
@@ -180,7 +180,7 @@ _LINE_REASONS = """
 
 @registered(_LINE_REASONS + " SELECT reason, count(*) AS n_rows FROM (SELECT unnest(reasons) AS reason FROM m) GROUP BY reason")
 def quality_reasons(spark, sf_dir):
-    return quality.reason_counts(quality.quality_reasons(_lines(spark, sf_dir), line_checks()))
+    return quality.reason_counts(_lines(spark, sf_dir), line_checks())
 
 
 @registered(
