@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sieverank.operators.nearest import grid_topk, rank_within
+from sieverank.operators.nearest import MAX_CELLS, grid_topk, rank_within
 
 
 def hyperplanes(dim: int, tables: int, bits: int) -> np.ndarray:
@@ -55,6 +55,8 @@ def ann_topk(
     **sizes: int,
 ) -> DataFrame:
     """``(query_id, key, distance, rank)`` among the candidates of each query."""
+    if tables << bits > MAX_CELLS:
+        raise ValueError(f"{tables} tables of 2^{bits} buckets are more than {MAX_CELLS} cells")
 
     def celled(df: DataFrame, name: str, probes: bool) -> DataFrame:
         usable = df.filter(F.size("vector") == dim)

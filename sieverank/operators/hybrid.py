@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sieverank.functions.measures import cosine_distance_to
 from sieverank.functions.text import is_blank
-from sieverank.operators.joins import join_hot
+from sieverank.operators.joins import join_hot, keep_listed
 from sieverank.operators.lexical import LexicalIndex, query_vectors
 from sieverank.operators.nearest import (
     block_topk,
@@ -148,13 +148,13 @@ def unembedded_counts(catalog: DataFrame, vectors: DataFrame, plan: ConditionPla
 
 
 def with_payload(results: DataFrame, catalog: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    """Adds the record as JSON text and as columns.
+    """Adds the record as JSON text and as columns; ``results`` should be a stored table.
 
     The catalog is reduced to the few keys in the results first, so wide records are neither
     shuffled nor carried through the ranking.
     """
-    wanted = results.filter(F.col(key).isNotNull()).select(key).distinct()
-    records = catalog.join(wanted, key, "left_semi").select(key, F.struct(*columns).alias("record"))
+    listed = keep_listed(catalog, results, key)
+    records = listed.select(key, F.struct(*columns).alias("record"))
     return (
         results.join(records, key, "left")
         .withColumn("payload", payload_or_empty(F.to_json("record")))
@@ -185,22 +185,26 @@ def requests_of(texts: DataFrame, rules: Sequence[Rule], text: str = "text") ->
     )
 
 
+def distinct_requests(requests: DataFrame) -> DataFrame:
+    """Each request once, with its number of copies; copies are counted before the shuffle."""
+    return requests.groupBy("query_id", "conditions", "semantic_query").agg(
+        F.count("*").alias("n_copies")
+    )
+
+
 def search_requests(
-    requests: DataFrame,
+    distinct: DataFrame,
     catalog: DataFrame,
     index: LexicalIndex,
     *,
     allowed: Sequence[str],
     k: int = 3,
 ) -> DataFrame:
-    """Results of routed requests; each distinct request is searched once."""
-    distinct = requests.groupBy("query_id").agg(
-        F.first("conditions").alias("conditions"),
-        F.first("semantic_query").alias("semantic_query"),
-    )
+    """Results of distinct requests (a stored table) by their search text."""
     spoken = distinct.filter(~is_blank(F.col("semantic_query")))
     vectors = query_vectors(spoken, index, "query_id", "semantic_query")
-    queries = cut(distinct.join(vectors, "query_id", "left"), "requests")
+    asked = distinct.select("query_id", "conditions").join(vectors, "query_id", "left")
+    queries = cut(asked, "queries")
     return hybrid_search_batch(catalog, index.vectors, queries, key=index.key, allowed=allowed, k=k)
 
 
@@ -218,26 +222,26 @@ def ask(
 ) -> DataFrame:
     """Request texts to answers: routed, searched and written up.
 
-    One row per text: ``text_id, query_id, success, error, message, conditions,
-    semantic_query, n_survivors, matches, final_answer``.
+    Texts are routed once and equal requests are searched once. One row per text:
+    ``text_id, query_id, success, error, message, conditions, semantic_query, n_survivors,
+    matches, final_answer``.
     """
-    requests = requests_of(texts.select(text_id, text), rules, text)
-    results = search_requests(requests, catalog, index, allowed=allowed, k=k)
-    detailed = with_payload(results, catalog, index.key, sorted({c for c in _template_fields(template)}))
+    requests = cut(requests_of(texts.select(text_id, text), rules, text).drop(text), "requests")
+    distinct = cut(distinct_requests(requests), "distinct-requests")
+    results = cut(search_requests(distinct, catalog, index, allowed=allowed, k=k), "results")
+    detailed = with_payload(results, catalog, index.key, _template_fields(template))
     nested = result_struct(detailed, index.key, carry=["record"])
-    wording = requests.groupBy("query_id").agg(
-        F.first("conditions").alias("conditions"),
-        F.first("semantic_query").alias("semantic_query"),
-        F.count("*").alias("n_copies"),
-    )
-    answered = wording.join(nested, "query_id").withColumn(
+    answered = distinct.join(nested, "query_id").withColumn(
         "final_answer", recommendation_or_rejection(F.col("matches"), F.col("conditions"), template)
     )
-    answers = cut(answered, "answers")
     return join_hot(
-        requests.select(text_id, "query_id"), answers, on="query_id", copies="n_copies", spread_by=text_id
+        requests.select(text_id, "query_id"),
+        cut(answered, "answers"),
+        on="query_id",
+        copies="n_copies",
+        spread_by=text_id,
     ).drop("n_copies")
 
 
 def _template_fields(template: Sequence) -> list[str]:
-    return [part[0] for line in template for part in line if not isinstance(part, str)]
+    return sorted({part[0] for line in template for part in line if not isinstance(part, str)})

@@ -34,3 +34,14 @@ def join_hot(left: DataFrame, right: DataFrame, on: str, copies: str, spread_by:
         "_found", F.coalesce("_hot", "_cold")
     )
     return joined.select(*left.columns, *[F.col(f"_found.{v}").alias(v) for v in values])
+
+
+def keep_listed(big: DataFrame, keys: DataFrame, key: str, max_rows: int = 1_000_000) -> DataFrame:
+    """Rows of ``big`` whose key is in ``keys``, a stored table that is counted first.
+
+    A short list is broadcast, so that ``big`` is filtered where it is read; a long one goes
+    through a shuffle join.
+    """
+    wanted = keys.filter(F.col(key).isNotNull()).select(key).distinct()
+    short = keys.count() <= max_rows
+    return big.join(F.broadcast(wanted) if short else wanted, key, "left_semi")

@@ -20,6 +20,7 @@ from sieverank.operators.blocks import SCORERS, QueryBlock
 MAX_BROADCAST_BYTES = 64 << 20
 FRAGMENT_ROWS = 20_000
 BLOCK_QUERIES = 2_000
+MAX_CELLS = 1 << 20
 
 
 def round_distance(distance: Column, decimals: int = 4) -> Column:
@@ -117,10 +118,13 @@ def grid_topk(
 
     A cell with many records or queries is divided: records into fragments, queries into
     blocks, each record meeting each block and the other way round. So no task holds more
-    than one fragment and one block, however full a cell is.
+    than one fragment and one block, however full a cell is. The number of distinct cells is
+    bounded by the caller (``MAX_CELLS``), so what is known per cell is broadcast.
     """
-    pieces = _divisions(left, "fragments", fragment_rows).join(
-        _divisions(right, "blocks", block_queries), "cell", "full"
+    pieces = F.broadcast(
+        _divisions(left, "fragments", fragment_rows).join(
+            _divisions(right, "blocks", block_queries), "cell", "full"
+        )
     )
     one = F.lit(1).cast("long")
     n_fragments, n_blocks = F.coalesce("fragments", one), F.coalesce("blocks", one)
@@ -133,7 +137,7 @@ def grid_topk(
     record_place = F.pmod(F.xxhash64("key"), n_fragments)
     query_place = F.pmod(F.xxhash64("query_id"), n_blocks)
     cells = ["cell", "fragment", "block"]
-    wanted = right.select("cell").distinct()
+    wanted = F.broadcast(right.select("cell").distinct())
     records = divided(left.join(wanted, "cell", "left_semi"), "fragment", record_place, "block", n_blocks)
     queries = divided(right, "block", query_place, "fragment", n_fragments)
 

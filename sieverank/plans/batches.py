@@ -76,20 +76,26 @@ _PART_KEPT = """
         ELSE p_type = t AND p_size >= lo + 5 AND p_size <= hi - 5 END)"""
 
 
-@registered(f"WITH {_PART_KEPT} SELECT query_id, p_partkey FROM kept")
+@registered(
+    f"""WITH {_PART_KEPT}, l AS (SELECT query_id, CASE t
+          WHEN 'LARGE' THEN 'p_size > ' || hi || ' AND p_size < ' || lo
+          WHEN 'SMALL' THEN 'p_brand IN (~' || b || '~, ~Brand#1~) & p_type = ~SMALL~ OR p_size = ' || hi
+          ELSE 'p_type = ~' || t || '~ & p_size >= ' || (lo + 5) || ' & p_size <= ' || (hi - 5) END AS conditions FROM q)
+        SELECT DISTINCT replace(conditions, '~', chr(39)) AS conditions, p_partkey FROM kept JOIN l USING (query_id)"""
+)
 def conditions_as_data(spark, sf_dir):
-    """The survivors of every query; queries with equal conditions share one evaluation."""
-    part = table(spark, sf_dir, "part")
+    """The survivors of every distinct condition list, which queries with that list share."""
+    part = table(spark, sf_dir, "part", spread=True)
     asked = cut(part_queries(spark, sf_dir), "part-queries")
     queries = asked.withColumn("conditions", predicates.normalise(F.col("conditions")))
     found = [
-        asked_part.select("query_id", "set_id").join(predicates.survivors(part, plan, "p_partkey"), "set_id")
-        for asked_part, plan in predicates.planned_parts(part, queries, PART_FIELDS)
+        predicates.survivors(part, plan, "p_partkey").join(F.broadcast(plan.table()), "set_id")
+        for _, plan in predicates.planned_parts(part, queries, PART_FIELDS)
     ]
     whole = found[0]
     for more in found[1:]:
         whole = whole.unionByName(more)
-    return whole.select("query_id", "p_partkey")
+    return whole.select(F.array_join("conditions", " & ").alias("conditions"), "p_partkey")
 
 
 @registered(
@@ -152,20 +158,25 @@ def blank_query(spark, sf_dir):
     )
 
 
-def group_results(spark, sf_dir):
+def _search_groups(spark, sf_dir):
     return hybrid.hybrid_search_batch(
         catalog_of(spark, sf_dir), vectors_of(spark, sf_dir), group_queries(spark, sf_dir),
         key="doc_id", allowed=ALLOWED,
     )
 
 
+def group_results(spark, sf_dir):
+    """The results of all group queries, stored: reports read them more than once."""
+    return cut(_search_groups(spark, sf_dir), "group-results")
+
+
 @registered(
     f"""WITH {GROUPS_SQL} SELECT q.query_id, success, NOT success AS has_error, {NO_MATCH_SQL} AS message,
           coalesce(n, 0) AS n_survivors, rank, doc_id, distance
         FROM q LEFT JOIN counts USING (query_id) LEFT JOIN hits ON hits.query_id = q.query_id"""
 )
 def hybrid_batch(spark, sf_dir):
-    results = group_results(spark, sf_dir)
+    results = _search_groups(spark, sf_dir)
     return results.withColumn("has_error", F.col("error").isNotNull()).drop("error")
 
 

@@ -74,8 +74,7 @@ def _rules(cases):
 
 
 def evaluated_groups(spark, sf_dir):
-    results = cut(group_results(spark, sf_dir), "group-results")
-    found = results.filter("rank IS NOT NULL")
+    found = group_results(spark, sf_dir).filter("rank IS NOT NULL")
     detailed = hybrid.with_payload(found, catalog_of(spark, sf_dir), "doc_id", ["n_chars"])
     matches = detailed.select(
         F.col("query_id").alias("case_id"), "rank", F.col("doc_id").alias("name"),

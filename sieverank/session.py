@@ -34,14 +34,17 @@ def get_session(app_name: str = "sieverank", **overrides: str) -> SparkSession:
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder below ``spark.checkpoint.dir``, which every executor can reach.
 
-    A machine-local folder is taken only on a local master without that setting.
+    All folders of an application lie in one folder named after it, to be removed when the
+    application is over. A machine-local folder is taken only on a local master without that
+    setting.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
         base = tempfile.gettempdir()
-    return os.path.join(base, f"sieverank-{purpose}-{uuid.uuid4().hex}")
+    application = f"sieverank-{spark.sparkContext.applicationId}"
+    return os.path.join(base, application, f"{purpose}-{uuid.uuid4().hex}")
 
 
 def cut(df: DataFrame, purpose: str) -> DataFrame:
