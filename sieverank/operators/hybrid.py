@@ -28,7 +28,7 @@ from sieverank.operators.predicates import (
     with_outcome,
 )
 from sieverank.operators.records import payload_or_empty
-from sieverank.operators.report import recommendation_or_rejection
+from sieverank.operators.report import REJECTION, recommendation_or_rejection
 from sieverank.operators.routing import Rule, route
 from sieverank.session import cut
 
@@ -115,9 +115,7 @@ def _search_part(
     )
 
     if plan.spoken_ids:
-        masks = catalog.sparkSession.createDataFrame(
-            [(s.set_id, list(s.mask)) for s in plan.valid], "set_id int, mask array<long>"
-        )
+        masks = plan.masks()
         spoken = queries.filter(~F.col("blank")).join(F.broadcast(masks), "set_id")
         records = signed.join(vectors.select(key, *features), key)
         found = block_topk(records, spoken.select("query_id", "mask", *features), k, key).select(
@@ -140,6 +138,30 @@ def _search_part(
     )
 
 
+def query_database(
+    catalog: DataFrame,
+    vectors: DataFrame,
+    conditions: Sequence[str] | None,
+    query_vector: Sequence[float] | None,
+    *,
+    key: str,
+    allowed: Sequence[str],
+    payload: Sequence[str],
+    k: int = 3,
+) -> DataFrame:
+    """One query as a row: ``success, error, message, n_survivors, matches``.
+
+    Unlike ``hybrid_search`` a bad condition does not raise; it is reported in ``error``.
+    """
+    asked = catalog.sparkSession.createDataFrame(
+        [(0, list(conditions or []), None if query_vector is None else [float(x) for x in query_vector])],
+        "query_id int, conditions array<string>, vector array<double>",
+    )
+    found = hybrid_search_batch(catalog, vectors, asked, key=key, allowed=allowed, k=k)
+    detailed = with_payload(cut(found, "results"), catalog, key, payload)
+    return result_struct(detailed, key, ["record"]).drop("query_id")
+
+
 def unembedded_counts(catalog: DataFrame, vectors: DataFrame, plan: ConditionPlan, key: str) -> DataFrame:
     """``(set_id, n_unembedded)``: survivors that cannot be ranked for want of a vector."""
     return survivor_counts(catalog.join(vectors.select(key), key, "left_anti"), plan).withColumnRenamed(
@@ -219,6 +241,7 @@ def ask(
     allowed: Sequence[str],
     text: str = "text",
     k: int = 3,
+    wording: tuple[str, str] = REJECTION,
 ) -> DataFrame:
     """Request texts to answers: routed, searched and written up.
 
@@ -232,7 +255,8 @@ def ask(
     detailed = with_payload(results, catalog, index.key, _template_fields(template))
     nested = result_struct(detailed, index.key, carry=["record"])
     answered = distinct.join(nested, "query_id").withColumn(
-        "final_answer", recommendation_or_rejection(F.col("matches"), F.col("conditions"), template)
+        "final_answer",
+        recommendation_or_rejection(F.col("matches"), F.col("conditions"), template, wording),
     )
     return join_hot(
         requests.select(text_id, "query_id"),

@@ -15,6 +15,7 @@ from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -123,12 +124,6 @@ def apply_conditions(
     return catalog.filter(" AND ".join(f"({c})" for c in cleaned))
 
 
-def sql_text(conditions: Sequence[str], columns: Sequence[str], table: str) -> str:
-    """The filter as a readable SELECT."""
-    base = f"SELECT {', '.join(columns)} FROM {table}"
-    return f"{base} WHERE {' AND '.join(conditions)}" if conditions else base
-
-
 # --- conditions as data -----------------------------------------------------------------
 
 
@@ -211,11 +206,26 @@ class ConditionPlan:
 
     def table(self) -> DataFrame:
         """``(conditions, set_id, error)``, at most as many rows as sets were allowed."""
-        rows = [(list(s.conditions), s.set_id, s.error) for s in self.sets]
-        return self.spark.createDataFrame(
-            rows, "conditions array<string>, set_id int, condition_error string"
+        return self._local(
+            {
+                "conditions": ([list(s.conditions) for s in self.sets], pa.list_(pa.string())),
+                "set_id": ([s.set_id for s in self.sets], pa.int32()),
+                "condition_error": ([s.error for s in self.sets], pa.string()),
+            }
         )
 
+    def masks(self) -> DataFrame:
+        """``(set_id, mask)`` of the valid sets."""
+        return self._local(
+            {
+                "set_id": ([s.set_id for s in self.valid], pa.int32()),
+                "mask": ([list(s.mask) for s in self.valid], pa.list_(pa.int64())),
+            }
+        )
+
+    def _local(self, columns: dict) -> DataFrame:
+        return self.spark.createDataFrame(pa.table({n: pa.array(v, t) for n, (v, t) in columns.items()}))
+
 
 def plan_conditions(
     catalog: DataFrame,

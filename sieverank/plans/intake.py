@@ -7,6 +7,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from sieverank.functions.text import absent_to_zero, parse_hardness, parse_rating, range_midpoint
 from sieverank.operators import quality, records
+from sieverank.operators.nearest import collection_count
 from sieverank.plans.tables import table
 from sieverank.sources.cases import rules_from_json
 from sieverank.sources.cases import rules_long as to_rules_long
@@ -49,7 +50,7 @@ def catalog_health(spark, sf_dir):
     size = to_health(table(spark, sf_dir, "part"))
     return size.select(
         "catalog_size",
-        embeddings.agg(F.count("*")).scalar().alias("n_embedded"),
+        collection_count(embeddings).scalar().alias("n_embedded"),
         missing.agg(F.count("*")).scalar().alias("n_unembedded"),
     )
 

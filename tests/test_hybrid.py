@@ -191,3 +191,31 @@ def test_ask_searches_equal_requests_once(spark, catalog):
     assert "`hard >= 60 AND hard > 100`" in got[90]["final_answer"]
     assert got[92]["conditions"] == [] and [m["distance"] for m in got[92]["matches"]] == [0.0] * 3
     assert [m["name"] for m in got[93]["matches"]][:2] == ["c", "d"]
+
+
+def test_query_database_reports_instead_of_raising(catalog):
+    def run(conditions, vector):
+        return hybrid.query_database(
+            catalog.drop("vector"), catalog.select("name", "vector"), conditions, vector,
+            key="name", allowed=ALLOWED, payload=["hard"],
+        ).first()
+
+    good = run(["hard = 60"], [1, 0])
+    assert good["success"] and [(m["name"], m["record"]["hard"]) for m in good["matches"]] == [("a", 60.0), ("f", 60.0)]
+    bad = run(["nosuch = 60"], None)
+    assert not bad["success"] and bad["error"].startswith("Invalid SQL condition") and bad["matches"] == []
+    assert run(["hard > 99"], [1, 0])["message"] == predicates.NO_MATCH
+
+
+def test_reports(spark):
+    df = spark.createDataFrame(
+        [("q", 1, "a", 0.12345, "tools", 66.5, 8.5, ["x = 1", "y > 2"]), ("q", 2, "b", 0.5, None, None, None, [])],
+        "query_id string, rank long, name string, distance double, family string, peak double, share double, c array<string>",
+    )
+    shown = report.ranking_table(df, "name", "family", "peak", "share", (" HRC", "%")).orderBy("rank").collect()
+    assert [tuple(r)[1:] for r in shown] == [
+        ("#1", "a", "0.1235", "tools", "66 HRC", "8.5%"),
+        ("#2", "b", "0.5000", "N/A", "0 HRC", "0%"),
+    ]
+    sql = df.orderBy("rank").select(report.sql_query(F.col("c"), ["name"], "t").alias("s")).collect()
+    assert [r["s"] for r in sql] == ["SELECT name FROM t WHERE x = 1 AND y > 2", "SELECT name FROM t"]
