@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 TILE_QUERIES = 256
-TILE_ROWS = 8_192
+TILE_ROWS = 4_096
 TILE_POSTINGS = 16_384
 
 
@@ -188,30 +188,32 @@ class QueryBlock:
 
 def _merge(state: Any, distance: np.ndarray, keys: np.ndarray, k: int) -> Any:
     """Best k of what was kept and a new block; keys of the block are in ascending order."""
-    distance = np.where(np.isnan(distance), np.inf, distance)
-    rounded = np.round(distance, 9)
-    bound = np.full(len(rounded), np.inf)
-    if state is not None and len(state[0]):
-        full = np.bincount(state[0], minlength=len(rounded)) >= k
-        worst = np.zeros(len(rounded))
-        np.maximum.at(worst, state[0], np.round(state[1], 9))
-        bound = np.where(full, worst, bound)
-    if rounded.shape[1] > k:
-        bound = np.minimum(bound, np.partition(rounded, k - 1, axis=1)[:, k - 1])
-    row, column = np.nonzero((rounded <= bound[:, None]) & np.isfinite(rounded))
-    if rounded.shape[1] > k and len(row) > 4 * k * len(rounded):
-        # many ties at the bound: per query and distance the lowest keys come first already
-        order = np.lexsort((column, rounded[row, column], row))
-        row, column = row[order], column[order]
-        first = np.searchsorted(row, row)
-        near = np.arange(len(row)) - first < k
-        row, column = row[near], column[near]
-    new = (row, distance[row, column], keys[column])
+    n = len(distance)
+    bound = np.full(n, np.inf)
     if state is not None:
+        full = np.bincount(state[0], minlength=n) >= k
+        np.maximum.at(worst := np.zeros(n), state[0], np.round(state[1], 9))
+        bound[full] = worst[full]
+    if distance.shape[1] > k and np.isinf(bound).any():
+        # nothing to compare with yet: the k-th of the block itself is the bound
+        filled = np.where(np.isnan(distance), np.inf, distance)
+        kth = np.partition(filled, k - 1, axis=1)[:, k - 1]
+        bound = np.minimum(bound, np.round(kth, 9))
+    # a rounded distance at the bound may lie just above it before rounding
+    row, column = np.nonzero((distance <= bound[:, None] + 1e-9) & (distance < np.inf))
+    found = distance[row, column]
+    rounded = np.round(found, 9)
+    near = rounded <= bound[row]
+    tied = np.flatnonzero(rounded == bound[row])
+    late = np.arange(len(tied)) - np.searchsorted(row[tied], row[tied]) >= k
+    near[tied[late]] = False  # of equal distances only the k lowest keys can count
+    new = (row[near], found[near], keys[column[near]])
+    if state is not None:
+        if not len(new[0]):
+            return state
         new = tuple(np.concatenate([a, b]) for a, b in zip(state, new))
     rows, distances, names = new
-    rank_of_key = pd.factorize(names, sort=True)[0]
-    order = np.lexsort((rank_of_key, np.round(distances, 9), rows))
+    order = np.lexsort((pd.factorize(names, sort=True)[0], np.round(distances, 9), rows))
     rows, distances, names = rows[order], distances[order], names[order]
     near = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
     return rows[near], distances[near], names[near]
