@@ -8,6 +8,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+TINY = 1e-300
+
+
 def is_number(value: Column) -> Column:
     """False for null and for NaN, which Spark otherwise sorts above every number."""
     return value.isNotNull() & ~F.isnan(value.cast("double"))
@@ -63,8 +66,8 @@ def cosine_distance(a: Column, b: Column) -> Column:
         F.lit(0.0),
         lambda s, x: s + x,
     )
-    length = norm(a) * norm(b)
-    return F.when(length == 0, F.lit(1.0)).otherwise(1.0 - dot / F.nullif(length, F.lit(0.0)))
+    # a zero length comes with a zero product, so the tiny divisor leaves a distance of 1
+    return 1.0 - dot / F.greatest(norm(a) * norm(b), F.lit(TINY))
 
 
 def cosine_distance_to(vector: str, query: Sequence[float]) -> Column:
@@ -79,6 +82,5 @@ def cosine_distance_to(vector: str, query: Sequence[float]) -> Column:
     dot = " + ".join(f"{item} * {float(x)!r}D" for item, x in zip(items, query))
     squares = " + ".join(f"{item} * {item}" for item in items)
     own = float(sum(float(x) ** 2 for x in query) ** 0.5)
-    distance = f"1.0D - ({dot}) / (sqrt({squares}) * {own!r}D)"
-    zero = f"sqrt({squares}) * {own!r}D = 0"
-    return F.expr(f"CASE WHEN size({vector}) <> {len(query)} THEN NULL WHEN {zero} THEN 1.0D ELSE {distance} END")
+    distance = f"1.0D - ({dot}) / greatest(sqrt({squares}) * {own!r}D, {TINY!r}D)"
+    return F.expr(f"CASE WHEN size({vector}) = {len(query)} THEN {distance} END")

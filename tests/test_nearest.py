@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sieverank.functions.measures import cosine_distance, cosine_distance_to
-from sieverank.operators import nearest
+from sieverank.operators import lexical, nearest
 from sieverank.operators.lexical import build_index, query_vectors, term_weights
 
 
@@ -143,12 +143,13 @@ def lexical_brute(texts, queries):
     return vectors, out
 
 
-@pytest.mark.parametrize("limit", [0, 1 << 20])
-def test_lexical_ranking(spark, limit):
+@pytest.mark.parametrize("limit, stored, small", [(0, False, 0), (1 << 20, True, 0), (1 << 20, True, 100)])
+def test_lexical_ranking(spark, monkeypatch, limit, stored, small):
+    monkeypatch.setattr(lexical, "SMALL_VOCABULARY", small)
     queries = {"a": "red nut", "b": "blue unseen", "c": "unseen", "d": "wrench bolt bolt"}
     docs = spark.createDataFrame(list(TEXTS.items()), "key long, text string")
     asked = spark.createDataFrame(list(queries.items()), "query_id string, text string")
-    index = build_index(docs, "key", "text")
+    index = build_index(docs, "key", "text", stored=stored)
     vectors, expected = lexical_brute(TEXTS, queries)
     got = {(r["key"], r["term"], round(r["weight"], 9)) for r in term_weights(index).collect()}
     assert got == {(k, t, round(w, 9)) for k, v in vectors.items() for t, w in v.items()}
