@@ -175,13 +175,11 @@ def with_payload(results: DataFrame, catalog: DataFrame, key: str, columns: Sequ
     The catalog is reduced to the few keys in the results first, so wide records are neither
     shuffled nor carried through the ranking.
     """
-    listed = keep_listed(catalog, results, key)
-    records = listed.select(key, F.struct(*columns).alias("record"))
-    return (
-        results.join(records, key, "left")
-        .withColumn("payload", payload_or_empty(F.to_json("record")))
-        .select(*results.columns, "record", "payload")
-    )
+    copies = results.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_copies"))
+    listed = keep_listed(catalog, results, key).select(key, F.struct(*columns).alias("record"))
+    records = listed.join(copies, key)
+    found = join_hot(results, records, on=key, copies="_copies", spread_by="query_id")
+    return found.withColumn("payload", payload_or_empty(F.to_json("record"))).drop("_copies")
 
 
 def result_struct(results: DataFrame, key: str, carry: Sequence[str] = ()) -> DataFrame:

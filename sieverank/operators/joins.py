@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HOT_SHARE = 1_000
 SALTS = 1_024
+MAX_BROADCAST_BYTES = 64 << 20
 
 
 def join_hot(left: DataFrame, right: DataFrame, on: str, copies: str, spread_by: str) -> DataFrame:
@@ -36,12 +39,20 @@ def join_hot(left: DataFrame, right: DataFrame, on: str, copies: str, spread_by:
     return joined.select(*left.columns, *[F.col(f"_found.{v}").alias(v) for v in values])
 
 
-def keep_listed(big: DataFrame, keys: DataFrame, key: str, max_rows: int = 1_000_000) -> DataFrame:
-    """Rows of ``big`` whose key is in ``keys``, a stored table that is counted first.
+def fits(stored: DataFrame, columns: Sequence[str], limit: int = MAX_BROADCAST_BYTES) -> bool:
+    """Whether some columns of a stored table are small enough to be broadcast; reads it once."""
+    size = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in columns), F.lit(64))
+    return (stored.agg(F.sum(size)).first()[0] or 0) <= limit
+
+
+def keep_listed(
+    big: DataFrame, keys: DataFrame, key: str, max_bytes: int = MAX_BROADCAST_BYTES
+) -> DataFrame:
+    """Rows of ``big`` whose key is in ``keys``, a stored table whose size is taken first.
 
     A short list is broadcast, so that ``big`` is filtered where it is read; a long one goes
     through a shuffle join.
     """
     wanted = keys.filter(F.col(key).isNotNull()).select(key).distinct()
-    short = keys.count() <= max_rows
+    short = fits(keys, [key], max_bytes)
     return big.join(F.broadcast(wanted) if short else wanted, key, "left_semi")

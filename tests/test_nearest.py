@@ -143,7 +143,7 @@ def lexical_brute(texts, queries):
     return vectors, out
 
 
-@pytest.mark.parametrize("limit, stored, small", [(0, False, 0), (1 << 20, True, 0), (1 << 20, True, 100)])
+@pytest.mark.parametrize("limit, stored, small", [(0, False, 0), (1 << 20, True, 0), (1 << 20, True, 10_000)])
 def test_lexical_ranking(spark, monkeypatch, limit, stored, small):
     monkeypatch.setattr(lexical, "SMALL_VOCABULARY", small)
     queries = {"a": "red nut", "b": "blue unseen", "c": "unseen", "d": "wrench bolt bolt"}

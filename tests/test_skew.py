@@ -35,11 +35,11 @@ def test_hot_rows_are_spread(spark):
     assert sum(sizes) == 4000 and len(sizes) == 4 and max(sizes) < 1600
 
 
-@pytest.mark.parametrize("max_rows", [0, 100])
-def test_keep_listed(spark, max_rows):
+@pytest.mark.parametrize("max_bytes", [0, 1000])
+def test_keep_listed(spark, max_bytes):
     big = spark.range(100).withColumnRenamed("id", "k")
     keys = spark.createDataFrame([(3,), (3,), (None,), (500,)], "k long")
-    assert [r["k"] for r in joins.keep_listed(big, keys, "k", max_rows).collect()] == [3]
+    assert [r["k"] for r in joins.keep_listed(big, keys, "k", max_bytes).collect()] == [3]
 
 
 @pytest.fixture(scope="module")
