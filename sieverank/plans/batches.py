@@ -149,7 +149,7 @@ def hybrid_single(spark, sf_dir):
 
 
 @registered(
-    """SELECT row_number() OVER (ORDER BY doc_id) AS rank, doc_id, 0.0 AS distance FROM documents
+    """SELECT row_number() OVER (ORDER BY doc_id) AS rank, doc_id, CAST(0.0 AS DOUBLE) AS distance FROM documents
        WHERE lang = 'es' ORDER BY doc_id LIMIT 3"""
 )
 def blank_query(spark, sf_dir):

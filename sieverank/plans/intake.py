@@ -91,8 +91,8 @@ def range_midpoint_of_parts(spark, sf_dir):
 
 
 @registered(
-    """SELECT p_partkey, CAST(p_size AS DOUBLE) AS hardness_min, p_size + 2.5 AS hardness_max,
-              CASE p_type WHEN 'PROMO' THEN NULL ELSE (p_size % 11) + 0.5 END AS rating FROM part"""
+    """SELECT p_partkey, CAST(p_size AS DOUBLE) AS hardness_min, CAST(p_size + 2.5 AS DOUBLE) AS hardness_max,
+              CASE p_type WHEN 'PROMO' THEN NULL ELSE CAST((p_size % 11) + 0.5 AS DOUBLE) END AS rating FROM part"""
 )
 def parse_text_fields(spark, sf_dir):
     hardness = F.expr("p_size || '.0 - ' || (p_size + 2) || '.5 HRC'")

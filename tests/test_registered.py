@@ -11,7 +11,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 import __spark_entry__ as entry_point  # noqa: E402
-from check import TABLES, rows_of  # noqa: E402
+from check import TABLES, differing_types, rows_of  # noqa: E402
 
 SF_DIR = "/root/testdata/sf0.001"
 QUERIES = entry_point.queries()
@@ -48,6 +48,7 @@ def test_query_equals_sql(spark, duck, name):
     result = duck.execute(ORACLES[name])
     columns = [c[0] for c in result.description]
     assert sorted(df.columns) == sorted(columns)
+    assert not differing_types(df, duck.cursor(), ORACLES[name])
     assert rows_of(df.columns, df.collect()) == rows_of(columns, result.fetchall())
 
 
