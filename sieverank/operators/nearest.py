@@ -20,6 +20,7 @@ from sieverank.operators.blocks import SCORERS, QueryBlock
 MAX_BROADCAST_BYTES = 64 << 20
 FRAGMENT_ROWS = 20_000
 BLOCK_QUERIES = 2_000
+FRAGMENT_BYTES = 64 << 20
 MAX_CELLS = 1 << 20
 
 
@@ -51,11 +52,13 @@ def _features(df: DataFrame) -> tuple[str, tuple[str, ...]]:
     raise ValueError("need a 'vector' column, or 'terms' and 'weights'")
 
 
-def _small(queries: DataFrame, columns: tuple[str, ...], limit: int) -> bool:
-    """Whether the query table is below the limit; one aggregate row comes back."""
+def _size(queries: DataFrame, columns: tuple[str, ...]) -> tuple[int, int]:
+    """Bytes of the query table, and bytes per query; one aggregate row comes back."""
     entry = 64 if "terms" in columns else 8
     size = F.sum(F.coalesce(F.size(columns[0]), F.lit(0)) * entry + 256)
-    return (queries.agg(size.alias("bytes")).first()["bytes"] or 0) <= limit
+    row = queries.agg(size.alias("bytes"), F.count("*").alias("n")).first()
+    total = row["bytes"] or 0
+    return total, max(1, total // max(1, row["n"]))
 
 
 def block_topk(
@@ -64,23 +67,33 @@ def block_topk(
     k: int,
     key: str,
     max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
+    fragment_rows: int | None = None,
+    block_queries: int | None = None,
 ) -> DataFrame:
     """``(query_id, key, distance, rank)``: the k nearest records of every query.
 
     Features are ``vector``, or ``terms`` and ``weights``, on both sides. With ``sig`` on the
     records and ``mask`` on the queries only records that hold all bits of a query's mask are
-    ranked for it. Records without usable features are left out.
+    ranked for it. Records without usable features are left out. Fragments and blocks follow
+    the width of the features unless they are given.
     """
     kind, columns = _features(queries)
     masked = "mask" in queries.columns and "sig" in records.columns
     right = queries.select("query_id", *columns, *(["mask"] if masked else []))
     left = records.select(F.col(key).alias("key"), *columns, *(["sig"] if masked else []))
     schema = _schema(left, right)
-    if _small(right, columns, max_broadcast_bytes):
+    total, each = _size(right, columns)
+    if total <= max_broadcast_bytes:
         scored = _near_the_records(left, right, k, kind, schema)
     else:
         scored = grid_topk(
-            left.withColumn("cell", F.lit(0)), right.withColumn("cell", F.lit(0)), k, kind, schema
+            left.withColumn("cell", F.lit(0)),
+            right.withColumn("cell", F.lit(0)),
+            k,
+            kind,
+            schema,
+            fragment_rows or max(500, min(FRAGMENT_ROWS, FRAGMENT_BYTES // each)),
+            block_queries or max(100, min(BLOCK_QUERIES, FRAGMENT_BYTES // each)),
         )
     return rank_within(scored, k).withColumnRenamed("key", key)
 

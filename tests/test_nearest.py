@@ -60,10 +60,11 @@ def test_queries_near_the_records(spark, data, k):
     assert rows(nearest.block_topk(left, right, k, "key")) == brute(*data, k)
 
 
-def test_grid_gives_the_same(spark, data, monkeypatch):
-    monkeypatch.setattr(nearest.grid_topk, "__defaults__", (40, 3))
+@pytest.mark.parametrize("sizes", [{}, {"fragment_rows": 40, "block_queries": 3}])
+def test_grid_gives_the_same(spark, data, sizes):
     left, right = frames(spark, *data)
-    assert rows(nearest.block_topk(left, right, 3, "key", max_broadcast_bytes=0)) == brute(*data, 3)
+    got = nearest.block_topk(left, right, 3, "key", max_broadcast_bytes=0, **sizes)
+    assert rows(got) == brute(*data, 3)
 
 
 @pytest.mark.parametrize("limit", [0, 1 << 20])

@@ -59,7 +59,7 @@ def test_entry(spark):
 @pytest.mark.parametrize(
     "name, wanted",
     [
-        ("conditions_filter", ["PushedFilters: [Or(EqualTo(lang,en),EqualTo(lang,fr))", "GreaterThanOrEqual(n_chars,1000)"]),
+        ("conditions_filter", ["PushedFilters: [", "Or(EqualTo(lang,en),EqualTo(lang,fr))", "GreaterThanOrEqual(n_chars,1000)"]),
         ("hybrid_single", ["TakeOrderedAndProject"]),
         ("blank_query", ["TakeOrderedAndProject"]),
         ("prefiltered_topk", ["LeftSemi", "WindowGroupLimit", "MapInArrow"]),
