@@ -22,7 +22,7 @@ from sieverank.llm import texts
 from sieverank.llm.components import smallest_reachable
 from sieverank.session import cut
 
-_STEP = 200_000
+_STEP = 100_000
 
 
 def fingerprints_of(column: pa.Array, words_per_shingle: int) -> np.ndarray:
@@ -60,7 +60,7 @@ def fingerprints(documents: DataFrame, words_per_shingle: int = 3) -> DataFrame:
     texts.prepare(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in texts.blocks(batches, "text"):
+        for block in texts.blocks(batches, "text", 1 << 19):
             prints = fingerprints_of(block.column("text"), words_per_shingle).view(np.int64)
             yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(prints)], ["doc_id", "print"])
 

@@ -23,8 +23,14 @@ _SPACES = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
 
 
 def prepare(spark: SparkSession) -> None:
-    """Makes the package importable in the tasks; to be called before a job with Python code."""
+    """Makes the package importable in the tasks and keeps Arrow batches of texts small.
+
+    To be called before a job with Python code. A batch ends after 1,000 rows or 4 MB, so a worker's
+    memory does not depend on the length of the texts around it.
+    """
     plans.ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BLOCK_BYTES))
 
 
 def remainder(key: str, modulus: int) -> Column:
