@@ -3,9 +3,12 @@
 Two models, one of toxic and one of ordinary text, each interpolate discounted bigrams with
 discounted continuation counts of their class, and those with the spelling of the word: discounted
 letter sequences of the class over letter pairs that both classes share. A word too rare to be known
-in a class so costs what its spelling costs, and about the same in both unless its letters tell. A text's score compares
-the two log-likelihoods, normalised by length (per word, and per root of the word count, which is how
-the noise of a sum grows), through a logistic curve fitted on texts that the models had not seen.
+in a class so costs what its spelling costs, and about the same in both unless its letters tell.
+
+A text's score compares the two log-likelihoods, normalised by length: the mean difference per word,
+and what words exceed the text's own median word by, over the root of the word count (which is how
+noise in a sum grows). The median is what the language and style of the text alone account for. A
+logistic curve over the two is fitted on texts that the models had not seen.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from sieverank.session import cut
 SAMPLE_DOCS = 8_000
 DISCOUNT = 2.0
 THRESHOLD = 0.7
+MARGIN, REACH = 2.0, 5.0
 
 
 def word_ids(words: pa.Array) -> np.ndarray:
@@ -38,16 +42,14 @@ def word_ids(words: pa.Array) -> np.ndarray:
 def training_rows(labels: DataFrame, learned, sample_docs: int) -> DataFrame:
     """(doc_id, label, fold, weight): up to ``sample_docs`` ids per class, by the hash of the id.
 
-    Both classes get equally many, so that the models know rare words equally well; ``weight`` gives
-    the classes the shares they have among all rows that may be learned from.
+    ``weight`` gives the classes the shares they have among all rows that may be learned from.
     """
     marked = labels.filter(learned).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
         F.max(F.col("toxic").cast("int")).alias("label")
     )
     marked = cut(marked.filter("doc_id is not null and label in (0, 1)"), "labels")
     all_rows = {r["label"]: r["count"] for r in marked.groupBy("label").count().collect()}
-    each = min([sample_docs, *all_rows.values()])
-    ordered = [marked.filter(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(each) for c in (0, 1)]
+    ordered = [marked.filter(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs) for c in (0, 1)]
     found = cut(ordered[0].union(ordered[1]), "sample")
     taken = {r["label"]: r["count"] for r in found.groupBy("label").count().collect()}
     weight = {c: all_rows[c] / taken[c] for c in taken}
@@ -190,10 +192,14 @@ class Models:
     pairs: np.ndarray  # sorted keys of kept bigrams
     pair_mass: np.ndarray  # (pairs, 2)
 
-    def differences(self, words: pa.Array, starts: np.ndarray) -> np.ndarray:
-        """Per text the sum over its words of log toxic minus log ordinary probability."""
+    def differences(self, words: pa.Array, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Per text the sum over its words of log toxic minus log ordinary probability, and the excess.
+
+        The excess sums by how much words lie more than ``MARGIN`` above the text's median
+        word, ``REACH`` at most for each.
+        """
         if not len(words):
-            return np.zeros(len(starts) - 1)
+            return np.zeros(len(starts) - 1), np.zeros(len(starts) - 1)
         coded = words.dictionary_encode()
         ids = word_ids(coded.dictionary)
         at = coded.indices.to_numpy(zero_copy_only=False)
@@ -220,8 +226,10 @@ class Models:
         back = np.where(start_here[:, None], at_start, weight[before[spots]]) * lower[at[spots]]
         full = self.pair_mass[pair] + back
         total[spots] = np.log(full[:, 1] / full[:, 0])
-        sums = np.concatenate([[0.0], np.cumsum(total)])
-        return sums[starts[1:]] - sums[starts[:-1]]
+        middle = [np.median(total[a:b]) if b > a else 0.0 for a, b in zip(starts[:-1], starts[1:], strict=True)]
+        above = np.clip(total - np.repeat(middle, np.diff(starts)) - MARGIN, 0.0, REACH)
+        sums, excess = (np.concatenate([[0.0], np.cumsum(values)]) for values in (total, above))
+        return sums[starts[1:]] - sums[starts[:-1]], excess[starts[1:]] - excess[starts[:-1]]
 
 
 def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -308,10 +316,10 @@ def _columns(rows: DataFrame, key: str) -> dict[str, np.ndarray]:
     return {name: values[order] for name, values in columns.items()}
 
 
-def features(total: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """1, the mean difference per word, and the sum over the root of the count; capped differences."""
+def features(total: np.ndarray, excess: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """1, the mean difference per word, and the excess over the root of the word count."""
     n = np.maximum(count, 1.0)
-    return np.stack([np.ones_like(total), total / n, total / np.sqrt(n)], axis=1)
+    return np.stack([np.ones_like(total), total / n, excess / np.sqrt(n)], axis=1)
 
 
 def fit_curve(rows: np.ndarray, label: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -335,19 +343,19 @@ def _scored(rows: DataFrame, models: Models, keep: list[str], schema: str) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in texts.blocks(batches, "text"):
             words, starts = texts.split_words(block.column("text"))
-            total = shared.value.differences(words, starts)
+            total, excess = shared.value.differences(words, starts)
             columns = [block.column(name) for name in keep]
-            columns += [pa.array(total), pa.array(np.diff(starts).astype(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, [*keep, "difference", "n_words"])
+            columns += [pa.array(total), pa.array(excess), pa.array(np.diff(starts).astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, [*keep, "difference", "excess", "n_words"])
 
-    return rows.mapInArrow(run, f"{schema}, difference double, n_words long")
+    return rows.mapInArrow(run, f"{schema}, difference double, excess double, n_words long")
 
 
 def score(
     documents: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1, sample_docs: int = SAMPLE_DOCS,
     discount: float = DISCOUNT, threshold: float = THRESHOLD,
 ) -> DataFrame:
-    """(doc_id, held_out, score, predicted, difference, n_words) for every row, over whole texts.
+    """(doc_id, held_out, score, predicted, difference, excess, n_words) for every row, over whole texts.
 
     Labels are learned from rows whose crc32(doc_id as text) modulo ``modulus`` is not ``held``; of
     these up to ``sample_docs`` of each class, those with the smallest hash of the id, which bounds
@@ -369,17 +377,17 @@ def score(
             build(pairs.filter(F.col("fold") != fold), types.filter(F.col("fold") != fold), discount),
             ["label", "weight"], "label int, weight double",
         ).toArrow()
-        trial.append(np.stack([part.column(c).to_numpy().astype(float) for c in ("label", "weight", "difference", "n_words")]))
-    label, weight, total, count = np.concatenate(trial, axis=1)
+        trial.append(np.stack([part.column(c).to_numpy().astype(float) for c in ("label", "weight", "difference", "excess", "n_words")]))
+    label, weight, total, excess, count = np.concatenate(trial, axis=1)
     if 0 < label.sum() < len(label):
-        curve = fit_curve(features(total, count), label, weight)
+        curve = fit_curve(features(total, excess, count), label, weight)
     else:
         curve = np.array([35.0 if label.sum() else -35.0, 0.0, 0.0])
     models = build(pairs, types, discount)
     found = _scored(bare, models, ["doc_id"], "doc_id long")
     n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
-    value = F.lit(float(curve[0])) + float(curve[1]) * F.col("difference") / n + float(curve[2]) * F.col("difference") / F.sqrt(n)
+    value = F.lit(float(curve[0])) + float(curve[1]) * F.col("difference") / n + float(curve[2]) * F.col("excess") / F.sqrt(n)
     return found.select(
         "doc_id", (texts.remainder("doc_id", modulus) == held).alias("held_out"), (1 / (1 + F.exp(-value))).alias("score"),
-        "difference", "n_words",
+        "difference", "excess", "n_words",
     ).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
