@@ -28,7 +28,7 @@ from sieverank.session import cut
 SAMPLE_DOCS = 8_000
 DISCOUNT = 2.0
 THRESHOLD = 0.7
-MARGIN, REACH = 2.0, 5.0
+MARGIN, REACH = 2.0, 8.0
 
 
 def word_ids(words: pa.Array) -> np.ndarray:
@@ -85,8 +85,8 @@ def pair_counts(sample: DataFrame) -> DataFrame:
     return rows.groupBy("label", "fold", "prev", "word").agg(F.sum("n").alias("n"))
 
 
-ORDERS = (5, 4, 3, 2, 1)
-CLASS_ORDERS = (5, 4, 3)
+ORDERS = (5, 3, 2)
+CLASS_ORDERS = (5, 3)
 LETTER_DISCOUNT = 1.0
 
 
@@ -134,8 +134,8 @@ def letter_counts(types: DataFrame) -> DataFrame:
 class Spelling:
     """Letter models of both classes: per order the kept sequences and contexts, sorted by key."""
 
-    sequences: dict[int, tuple[np.ndarray, np.ndarray]]
-    contexts: dict[int, tuple[np.ndarray, np.ndarray]]
+    sequences: dict[int, tuple[Index, np.ndarray]]
+    contexts: dict[int, tuple[Index, np.ndarray]]
 
     def probabilities(self, words: list[str]) -> np.ndarray:
         """(words, 2): the probability of each word's letters in the ordinary and the toxic class."""
@@ -145,12 +145,11 @@ class Spelling:
         lower = np.full((len(owner), 2), 1e-4)
         for order in reversed(ORDERS):
             context, whole = found[order]
-            at, has = _find(self.contexts[order][0], context)
-            if len(self.contexts[order][0]):
-                lower = np.where(has[:, None], self.contexts[order][1][at], 1.0) * lower
-            at, has = _find(self.sequences[order][0], whole)
-            if len(self.sequences[order][0]):
-                lower = lower + np.where(has[:, None], self.sequences[order][1][at], 0.0)
+            at, has = self.contexts[order][0].find(context)
+            lower[has] *= self.contexts[order][1][at[has]]
+            here = np.flatnonzero(has)  # a kept sequence has a kept context
+            at, has = self.sequences[order][0].find(whole[here])
+            lower[here[has]] += self.sequences[order][1][at[has]]
         heads = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
         return np.exp(np.maximum(np.add.reduceat(np.log(lower), heads, axis=0), -600.0))
 
@@ -172,10 +171,10 @@ def build_spelling(types: DataFrame, discount: float = LETTER_DISCOUNT) -> Spell
         mine, here = seen["part"] == order, kept["part"] == order
         total = np.stack([seen["o"][mine], seen["t"][mine]], axis=1).astype(float)
         left = np.stack([seen["ro"][mine], seen["rt"][mine]], axis=1).astype(float)
-        contexts[order] = seen["context"][mine], np.where(total > 0, left / np.maximum(total, 1.0), 1.0)
-        place, _ = _find(contexts[order][0], kept["context"][here])
+        contexts[order] = Index(seen["context"][mine]), np.where(total > 0, left / np.maximum(total, 1.0), 1.0)
+        place, _ = contexts[order][0].find(kept["context"][here])
         mass = np.maximum(np.stack([kept["o"][here], kept["t"][here]], axis=1) - discount, 0.0)
-        sequences[order] = kept["whole"][here], mass / np.maximum(total[place], 1.0) if len(total) else mass
+        sequences[order] = Index(kept["whole"][here]), mass / np.maximum(total[place], 1.0) if len(total) else mass
     return Spelling(sequences, contexts)
 
 
@@ -183,33 +182,36 @@ def build_spelling(types: DataFrame, discount: float = LETTER_DISCOUNT) -> Spell
 class Models:
     """Both models as sorted arrays; column 0 is ordinary, 1 is toxic."""
 
-    words: np.ndarray  # ids with a continuation count above the discount in either class
+    words: Index  # ids with a continuation count above the discount in either class
     word_mass: np.ndarray  # (words, 2) discounted continuation probability
     spelling: Spelling
     word_backoff: np.ndarray  # (2,)
-    contexts: np.ndarray  # ids seen as first word of a kept bigram or with a backoff of their own
+    contexts: Index  # ids seen as first word of a kept bigram or with a backoff of their own
     context_backoff: np.ndarray  # (contexts, 2)
-    pairs: np.ndarray  # sorted keys of kept bigrams
+    pairs: Index  # keys of kept bigrams
     pair_mass: np.ndarray  # (pairs, 2)
 
     def differences(self, words: pa.Array, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Per text the sum over its words of log toxic minus log ordinary probability, and the excess.
 
-        The excess sums by how much words lie more than ``MARGIN`` above the text's median
-        word, ``REACH`` at most for each.
+        A word counts ``REACH`` at most. The excess sums by how much words lie more than ``MARGIN``
+        above zero and above the text's median word.
         """
         if not len(words):
             return np.zeros(len(starts) - 1), np.zeros(len(starts) - 1)
         coded = words.dictionary_encode()
         ids = word_ids(coded.dictionary)
         at = coded.indices.to_numpy(zero_copy_only=False)
-        place, known = _find(self.words, ids)
-        lower = self.word_backoff * self.spelling.probabilities(coded.dictionary.to_pylist())
-        if len(self.words):
-            lower = lower + np.where(known[:, None], self.word_mass[place], 0.0)
-        context, has_context = _find(self.contexts, ids)
-        weight = np.where(has_context[:, None], self.context_backoff[context], 1.0) if len(self.contexts) else np.ones((len(ids), 2))
-        begin, has_begin = _find(self.contexts, np.zeros(1, np.int64))
+        place, known = self.words.find(ids)
+        # A word that both classes know well does without its spelling, which would change nothing.
+        rare = ~known if not len(self.words.keys) else ~(known & (self.word_mass[place].min(axis=1) > 0))
+        lower = np.zeros((len(ids), 2))
+        lower[rare] = self.word_backoff * self.spelling.probabilities(coded.dictionary.filter(pa.array(rare)).to_pylist())
+        lower[known] += self.word_mass[place[known]]
+        context, has_context = self.contexts.find(ids)
+        weight = np.ones((len(ids), 2))
+        weight[has_context] = self.context_backoff[context[has_context]]
+        begin, has_begin = self.contexts.find(np.zeros(1, np.int64))
         at_start = self.context_backoff[begin[0]] if has_begin[0] else np.ones(2)
         before = np.concatenate([[0], at[:-1]])
         first = np.zeros(len(at), bool)
@@ -221,22 +223,42 @@ class Models:
         may = known[at] & (has_context[before] | first)
         spots = np.flatnonzero(may)
         prev_ids = np.where(first[spots], 0, ids[before[spots]])
-        pair, hit = _find(self.pairs, pair_key(prev_ids, ids[at[spots]]))
+        pair, hit = self.pairs.find(pair_key(prev_ids, ids[at[spots]]))
         spots, pair, start_here = spots[hit], pair[hit], first[spots[hit]]
         back = np.where(start_here[:, None], at_start, weight[before[spots]]) * lower[at[spots]]
         full = self.pair_mass[pair] + back
         total[spots] = np.log(full[:, 1] / full[:, 0])
-        middle = [np.median(total[a:b]) if b > a else 0.0 for a, b in zip(starts[:-1], starts[1:], strict=True)]
-        above = np.clip(total - np.repeat(middle, np.diff(starts)) - MARGIN, 0.0, REACH)
+        total = np.clip(total, -REACH, REACH)
+        middle = [max(0.0, np.median(total[a:b])) if b > a else 0.0 for a, b in zip(starts[:-1], starts[1:], strict=True)]
+        above = np.maximum(total - np.repeat(middle, np.diff(starts)) - MARGIN, 0.0)
         sums, excess = (np.concatenate([[0.0], np.cumsum(values)]) for values in (total, above))
         return sums[starts[1:]] - sums[starts[:-1]], excess[starts[1:]] - excess[starts[:-1]]
 
 
-def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(table):
-        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-    place = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-    return place, table[place] == keys
+class Index:
+    """Places of 64-bit keys that are spread evenly: looked up by their leading bits."""
+
+    def __init__(self, keys: np.ndarray):
+        """``keys`` distinct, sorted as signed integers, as the arrays that go with them are."""
+        bits = max(4, int(len(keys)).bit_length() + 1)
+        self.keys, self.shift = keys, np.int64(64 - bits)
+        self.half = 1 << (bits - 1)
+        slots = (keys >> self.shift) + self.half
+        self.heads = np.searchsorted(slots, np.arange((1 << bits) + 1)).astype(np.int32)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each key and whether it is there; place 0 for those that are not."""
+        place, known = np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        slots = (keys >> self.shift) + self.half
+        at, end = self.heads[slots], self.heads[slots + 1]
+        left = np.flatnonzero(at < end)
+        at, end, keys = at[left], end[left], keys[left]
+        while len(left):
+            same = self.keys[at] == keys
+            place[left[same]], known[left[same]] = at[same], True
+            more = ~same & (at + 1 < end)
+            left, at, end, keys = left[more], at[more] + 1, end[more], keys[more]
+        return place, known
 
 
 def pair_key(prev: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -280,16 +302,17 @@ def build(pairs: DataFrame, types: DataFrame, discount: float = DISCOUNT) -> Mod
     kept = _columns(both.filter((F.col("o") > discount) | (F.col("t") > discount)), "prev")
     keys = pair_key(kept["prev"], kept["word"])
     order = np.argsort(keys)
-    place, _ = _find(contexts["prev"], kept["prev"][order])
+    known = Index(contexts["prev"])
+    place, _ = known.find(kept["prev"][order])
     mass = np.maximum(np.stack([kept["o"], kept["t"]], axis=1)[order] - discount, 0.0)
     return Models(
-        words=reached["word"],
+        words=Index(reached["word"]),
         word_mass=np.maximum(word_counts - discount, 0.0) / total,
         spelling=build_spelling(types.select("label", "word").distinct()),
         word_backoff=word_backoff,
-        contexts=contexts["prev"],
+        contexts=known,
         context_backoff=np.where(seen > 0, left / np.maximum(seen, 1.0), 1.0),
-        pairs=keys[order],
+        pairs=Index(keys[order]),
         pair_mass=mass / np.maximum(seen[place], 1.0) if len(seen) else mass,
     )
 
