@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from sieverank.llm import texts
 
 SIMILARITY = 0.8
-TABLES, SAMPLES, SPAN, STRIDE = 8, 5, 8, 2
+TABLES, SAMPLES, SPAN, STRIDE = 8, 6, 8, 2
 MAX_ITEMS_BYTES = 32 << 20
 _PLAIN = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 
