@@ -248,5 +248,5 @@ def _found(bare: DataFrame, items: Items) -> DataFrame:
 
 def keep_clean(documents: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The documents without a passage of any item, with all their columns. Rows without id stay."""
-    gone = find(documents, benchmark, similarity).select(F.col("doc_id").alias("_gone")).distinct()
-    return documents.join(gone, documents["doc_id"] == gone["_gone"], "left_anti")
+    gone = find(documents, benchmark, similarity).select(F.col("doc_id").alias("__sieverank_gone")).distinct()
+    return documents.join(gone, documents["doc_id"] == gone["__sieverank_gone"], "left_anti")

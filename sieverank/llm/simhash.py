@@ -124,7 +124,7 @@ def keep_one(documents: DataFrame, words_per_shingle: int = 3, max_distance: int
     Of rows that repeat an id, one stays. Rows without id cannot be named and stay.
     """
     found = near_duplicates(documents, words_per_shingle, max_distance)
-    gone = found.filter("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = found.filter("doc_id != component_id").select(F.col("doc_id").alias("__sieverank_gone")).distinct()
     named = documents.filter("doc_id is not null")
-    kept = named.join(gone, named["doc_id"] == gone["_gone"], "left_anti").dropDuplicates(["doc_id"])
+    kept = named.join(gone, named["doc_id"] == gone["__sieverank_gone"], "left_anti").dropDuplicates(["doc_id"])
     return kept.unionByName(documents.filter("doc_id is null"))
