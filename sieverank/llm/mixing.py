@@ -1,20 +1,27 @@
 """Language-model scores by logistic context mixing over the bits of spelled tokens.
 
-A text is its words, A-Z made small, each spelled in bytes with a closing space, and one end mark. Every
-bit is predicted by several hashed contexts of the bytes before it in the token (none, the last one to
-four, all of them), from counts of the training texts. A set of weights, chosen by how much the longest
-contexts have seen, combines the predictions in the logistic domain, and an adaptive map refines the
-result. Weights and map are learned online in small batches, from predictions that leave out the
-occurrence they predict. The same bits in the same contexts cost the same wherever they stand, so each
-distinct token is spelled once and the texts sum what their tokens cost.
+A text is its words, A-Z made small, each spelled in bytes with a closing space, and one end mark. A
+byte is written in the bits of a Huffman code over the bytes of the training texts. Every bit is
+predicted by several contexts: the last bytes of the token, none to four, hashed, and all its bytes so
+far, each from counts of the training texts. A set of weights, chosen by how much the longest contexts
+have seen, combines the predictions in the logistic domain, and an adaptive map refines the result.
+Weights and map are learned online in small batches, from predictions that leave out the occurrence
+they predict. The same bits in the same contexts cost the same wherever they stand, so each distinct
+token is spelled once and texts sum what their tokens cost.
+
+Texts of a group (a language, say) share words. Which group a text is of is not told to the model: its
+probability is the mixture over groups, where a group gives a token its probability times the share of
+the group among the token's occurrences, normalised.
 
 Texts are encoded in chunks of bounded size; a chunk later gets the counts and costs of exactly the
 tokens it holds. No vocabulary is broadcast: what goes to every task is the hashed tables, whose size
-is set by ``BITS``.
+is set by ``BITS``. The vocabulary is dealt by the first bytes of its tokens, so that all tokens that
+share longer beginnings meet in one task, where those are counted exactly.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,9 +36,12 @@ from sieverank.session import cut, shared_folder
 
 CHUNK_BYTES = 16 << 20
 END = "\n"
-#: Table sizes as powers of two: contexts of 0 to 4 bytes before, and of all bytes of the token so far.
-BITS = (8, 16, 18, 20, 20, 21)
-ORDERS = len(BITS)
+#: Table sizes as powers of two, for the contexts of 0 to 4 bytes before.
+BITS = (8, 16, 18, 20, 20)
+ORDERS = len(BITS) + 1
+#: Beginnings longer than this are counted where the vocabulary lies; the last hashed context knows shorter ones.
+HEAD_BYTES = len(BITS) - 1
+GROUPS = 8
 SLOTS = np.concatenate([[0], np.cumsum([1 << b for b in BITS])])
 BLOCK_SLOTS = 1 << 14
 LEVELS, COLUMNS = 8, 33
@@ -41,10 +51,36 @@ RATE = 0.3
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
+class Code:
+    """A Huffman code over bytes: per byte its bits and the tree's nodes on the way to it."""
+
+    def __init__(self, counts: np.ndarray):
+        heap = [(int(c) + 1, b, b) for b, c in enumerate(counts)]
+        heapq.heapify(heap)
+        parent: dict[int, tuple[int, int]] = {}
+        for node in range(256, 511):
+            low, high = heapq.heappop(heap), heapq.heappop(heap)
+            parent[low[2]], parent[high[2]] = (node, 0), (node, 1)
+            heapq.heappush(heap, (low[0] + high[0], node, node))
+        paths = []
+        for byte in range(256):
+            path, at = [], byte
+            while at != 510:
+                at, bit = parent[at]
+                path.append((at - 256, bit))
+            paths.append(path[::-1])
+        self.length = np.array([len(path) for path in paths])
+        self.node, self.bit = np.zeros((2, self.length.max(), 256), np.int64)
+        for byte, path in enumerate(paths):
+            for nth, (node, bit) in enumerate(path):
+                self.node[nth, byte], self.bit[nth, byte] = node, bit
+
+
 class Spelled:
-    """The bytes of a batch of tokens and the hashed contexts before each."""
+    """The bytes of a batch of tokens and the contexts before each."""
 
-    def __init__(self, words: list[bytes]):
+    def __init__(self, words: list[bytes], code: Code):
+        self.code = code
         data = b"".join(w if w == b"\n" else w + b" " for w in words)
         sizes = np.fromiter((len(w) + (w != b"\n") for w in words), np.int64, len(words))
         self.bytes = np.frombuffer(data, np.uint8).astype(np.int64)
@@ -54,7 +90,7 @@ class Spelled:
         symbols = self.bytes.astype(np.uint64) + np.uint64(1)
         self.contexts = [np.zeros(len(data), np.uint64)]
         hashed = np.zeros(len(data), np.uint64)
-        for back in range(1, ORDERS - 1):
+        for back in range(1, len(BITS)):
             before = np.zeros(len(data), np.uint64)
             before[back:] = symbols[:-back]
             before[place < back] = 0
@@ -66,31 +102,53 @@ class Spelled:
         mixed = (mixed ^ (mixed >> np.uint64(31))) * _A
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed, dtype=np.uint64)])[:-1]
         whole = (sums - sums[self.heads][self.owner] + place.astype(np.uint64)) * _B
-        self.contexts.append(whole ^ (whole >> np.uint64(32)))
-
-    def bit(self, nth: int) -> tuple[np.ndarray, list[np.ndarray]]:
-        """The nth bit of each byte, and its slots in the joint table, one array per order."""
-        node = (1 << nth) | (self.bytes >> (8 - nth))
-        slots = [node]
-        salt = node.astype(np.uint64) * _B
-        for order in range(1, ORDERS):
-            mixed = (self.contexts[order] ^ salt) * _A
-            slots.append((mixed >> np.uint64(64 - BITS[order])).astype(np.int64) + SLOTS[order])
-        return (self.bytes >> (7 - nth)) & 1, slots
-
-
-def _stretches(table: np.ndarray, slots: list[np.ndarray], left_out: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """(orders, bits) stretched predictions, and the weight set of each bit."""
-    inputs = np.empty((ORDERS, len(slots[0])), np.float32)
-    seen = []
-    for order in range(ORDERS):
-        pair = table[slots[order]]
-        if left_out is not None:
-            pair = np.maximum(pair - left_out, 0)
+        self.whole = whole ^ (whole >> np.uint64(32))
+        self.deep = place > HEAD_BYTES
+
+    def bits(self) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]]:
+        """Per place in the code: which bytes have it, their bits, their slots per order, and a key of all before."""
+        for nth in range(int(self.code.length[self.bytes].max(initial=0))):
+            at = np.flatnonzero(self.code.length[self.bytes] > nth)
+            byte = self.bytes[at]
+            node = self.code.node[nth][byte]
+            salt = (node.astype(np.uint64) + np.uint64(1)) * _B
+            slots = [node]
+            for order in range(1, len(BITS)):
+                mixed = (self.contexts[order][at] ^ salt) * _A
+                slots.append((mixed >> np.uint64(64 - BITS[order])).astype(np.int64) + SLOTS[order])
+            yield at, self.code.bit[nth][byte], slots, (self.whole[at] ^ salt) * _A
+
+
+def _stretches(
+    table: np.ndarray, slots: list[np.ndarray], key: np.ndarray, deep: np.ndarray, weight: np.ndarray, bit: np.ndarray, left_out: bool
+) -> tuple[np.ndarray, np.ndarray]:
+    """(orders, bits) stretched predictions, and the weight set of each bit.
+
+    ``weight`` is how often each bit occurs in training; one occurrence is left out if asked.
+    """
+    inputs = np.empty((ORDERS, len(bit)), np.float32)
+    own = np.stack([1 - bit, bit], axis=1).astype(np.float32) if left_out else None
+    pair = None
+    for order, slot in enumerate(slots):
+        pair = table[slot]
+        if left_out:
+            pair = np.maximum(pair - own, 0)
         inputs[order] = np.log((pair[:, 1] + np.float32(0.4)) / (pair[:, 0] + np.float32(0.4)))
-        if order >= ORDERS - 2:
-            seen.append(np.log2(1 + pair.sum(axis=1)))
-    gate = np.minimum(seen[1], LEVELS - 1).astype(np.int64) * 4 + np.minimum(seen[0] / 3, 3).astype(np.int64)
+    longest = pair.copy()
+    far = np.flatnonzero(deep)
+    if len(far):
+        _, same = np.unique(key[far], return_inverse=True)
+        total = np.bincount(same, weight[far])
+        ones = np.bincount(same, weight[far] * bit[far])
+        exact = np.stack([total - ones, ones], axis=1)[same]
+        if left_out:
+            exact = np.maximum(exact - own[far], 0)
+        longest[far] = exact
+    inputs[-1] = np.log((longest[:, 1] + np.float32(0.4)) / (longest[:, 0] + np.float32(0.4)))
+    most, some = np.log2(1 + longest.sum(axis=1)), np.log2(1 + pair.sum(axis=1))
+    # One side only seen so far is another matter than both.
+    sure = (longest.min(axis=1) == 0).astype(np.int64)
+    gate = np.minimum(most, LEVELS - 1).astype(np.int64) * 4 + np.minimum(some / 4, 1).astype(np.int64) * 2 + sure
     return inputs, gate
 
 
@@ -103,14 +161,13 @@ def _column(line: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(line * 2), -16, 16).astype(np.int64) + 16
 
 
-def counted(words: list[bytes], counts: np.ndarray, table: np.ndarray) -> None:
+def counted(words: list[bytes], counts: np.ndarray, table: np.ndarray, code: Code) -> None:
     """Adds each token's bits, as often as it occurs, to the joint table (slots, 2)."""
-    spelled = Spelled(words)
+    spelled = Spelled(words, code)
     weight = counts[spelled.owner].astype(np.float64)
-    for nth in range(8):
-        bit, slots = spelled.bit(nth)
+    for at, bit, slots, _ in spelled.bits():
         for slot in slots:
-            np.add.at(table.reshape(-1), slot * 2 + bit, weight)
+            np.add.at(table.reshape(-1), slot * 2 + bit, weight[at])
 
 
 class Mixer:
@@ -124,46 +181,46 @@ class Mixer:
         if refined is not None:
             self.map = self.map + refined
 
-    def learn(self, words: list[bytes], counts: np.ndarray, table: np.ndarray) -> None:
-        spelled = Spelled(words)
-        weight = counts[spelled.owner].astype(np.float64)
-        for nth in range(8):
-            bit, slots = spelled.bit(nth)
-            left_out = np.stack([1 - bit, bit], axis=1).astype(np.float32)
-            inputs, gate = _stretches(table, slots, left_out)
+    def learn(self, words: list[bytes], counts: np.ndarray, table: np.ndarray, code: Code) -> None:
+        spelled = Spelled(words, code)
+        weights = counts[spelled.owner].astype(np.float64)
+        for at, bit, slots, key in spelled.bits():
+            weight = weights[at]
+            inputs, gate = _stretches(table, slots, key, spelled.deep[at], weight, bit, True)
             line = np.einsum("kn,nk->n", inputs, self.weights[gate])
             error = weight * (bit - _squash(line))
             total = np.bincount(gate, weight, GATES)
             for order in range(ORDERS):
                 slope = np.bincount(gate, error * inputs[order], GATES) / np.maximum(total, 1)
                 power = np.bincount(gate, weight * inputs[order].astype(np.float64) ** 2, GATES) / np.maximum(total, 1)
-                self.weights[:, order] += (RATE * slope / (0.25 * power + 1) * (total > 0)).astype(np.float32)
+                self.weights[:, order] += (RATE * slope / (0.25 * power + 0.05) / ORDERS * (total > 0)).astype(np.float32)
             self.mass += total
-            at = (gate * COLUMNS + _column(line)) * 2 + bit
-            self.map += np.bincount(at, weight, GATES * COLUMNS * 2).reshape(self.map.shape)
+            cell = (gate * COLUMNS + _column(line)) * 2 + bit
+            self.map += np.bincount(cell, weight, GATES * COLUMNS * 2).reshape(self.map.shape)
 
-    def cost(self, words: list[bytes], table: np.ndarray, refine: np.ndarray) -> np.ndarray:
+    def cost(self, words: list[bytes], counts: np.ndarray, table: np.ndarray, refine: np.ndarray, code: Code) -> np.ndarray:
         """log10 of each token's probability; ``refine`` is the map's share of ones, (gates, columns)."""
-        spelled = Spelled(words)
+        spelled = Spelled(words, code)
+        weights = counts[spelled.owner].astype(np.float64)
         total = np.zeros(len(spelled.bytes))
-        for nth in range(8):
-            bit, slots = spelled.bit(nth)
-            inputs, gate = _stretches(table, slots, None)
+        for at, bit, slots, key in spelled.bits():
+            inputs, gate = _stretches(table, slots, key, spelled.deep[at], weights[at], bit, False)
             line = np.einsum("kn,nk->n", inputs, self.weights[gate])
-            mapped = refine[gate, _column(line)]
-            one = (_squash(line) + mapped) / 2
-            total += np.log10(np.where(bit == 1, one, 1 - one))
+            one = (_squash(line) + refine[gate, _column(line)]) / 2
+            total[at] += np.log10(np.where(bit == 1, one, 1 - one))
         return np.add.reduceat(total, spelled.heads) if len(words) else np.zeros(0)
 
 
-def encoded(documents: DataFrame, modulus: int, held: int) -> str:
+_GROUPED = ", ".join(f"n{g} long" for g in range(GROUPS))
+
+
+def encoded(bare: DataFrame) -> str:
     """Writes texts as numbers of their chunk's tokens, and the tokens of each chunk; gives the folder.
 
-    kind=0: chunk, doc_id, held_out, tokens (32-bit numbers). kind=1: chunk, number, word, n_train.
+    kind=0: chunk, doc_id, held_out, tokens (32-bit numbers). kind=1: chunk, number, word, and how often the
+    word occurs in training texts of each group.
     """
-    texts.prepare(documents.sparkSession)
-    bare = texts.with_text(documents).select("doc_id", (texts.remainder("doc_id", modulus) == held).alias("held_out"), "text")
-    schema = "kind int, chunk long, doc_id long, held_out boolean, tokens binary, number int, word string, n_train long"
+    schema = "kind int, chunk long, doc_id long, held_out boolean, tokens binary, number int, word string, " + _GROUPED
     names = [part.split()[0] for part in schema.split(", ")]
 
     def whole(chunk: int, batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,18 +230,20 @@ def encoded(documents: DataFrame, modulus: int, held: int) -> str:
         coded = words.dictionary_encode()
         numbers = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32)
         end = np.int32(len(coded.dictionary))
-        trained = ~table.column("held_out").to_numpy().astype(bool)
-        counts = np.bincount(numbers[np.repeat(trained, np.diff(starts))], minlength=end + 1)
-        counts[end] = trained.sum()
         rows, size = table.num_rows, int(end) + 1
+        trained = ~table.column("held_out").to_numpy().astype(bool)
+        group = table.column("group").to_numpy()
+        cell = (np.repeat(group, np.diff(starts)) * size + numbers)[np.repeat(trained, np.diff(starts))]
+        counts = np.bincount(cell, minlength=size * GROUPS).reshape(GROUPS, size)
+        counts[:, end] = np.bincount(group[trained], minlength=GROUPS)
         tokens = pa.array([np.append(numbers[a:b], end).tobytes() for a, b in zip(starts[:-1], starts[1:], strict=True)], pa.binary())
         no = lambda n, kind: pa.nulls(n, kind)
         columns = [pa.array(np.zeros(rows, np.int32)), pa.array(np.full(rows, chunk)), table.column("doc_id").combine_chunks(),
-                   table.column("held_out").combine_chunks(), tokens, no(rows, pa.int32()), no(rows, pa.string()), no(rows, pa.int64())]
+                   table.column("held_out").combine_chunks(), tokens, no(rows, pa.int32()), no(rows, pa.string()), *[no(rows, pa.int64())] * GROUPS]
         yield from pa.Table.from_arrays(columns, names).to_batches(4_096)
         word = pa.concat_arrays([coded.dictionary, pa.array([END])])
         columns = [pa.array(np.ones(size, np.int32)), pa.array(np.full(size, chunk)), no(size, pa.int64()), no(size, pa.bool_()),
-                   no(size, pa.binary()), pa.array(np.arange(size, dtype=np.int32)), word, pa.array(counts.astype(np.int64))]
+                   no(size, pa.binary()), pa.array(np.arange(size, dtype=np.int32)), word, *(pa.array(c.astype(np.int64)) for c in counts)]
         yield from pa.Table.from_arrays(columns, names).to_batches(65_536)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,20 +257,60 @@ def encoded(documents: DataFrame, modulus: int, held: int) -> str:
         if held_back:
             yield from whole(chunk, held_back)
 
-    path = shared_folder(documents.sparkSession, "encoded")
+    path = shared_folder(bare.sparkSession, "encoded")
     bare.mapInArrow(run, schema).write.partitionBy("kind").parquet(path)
     return path
 
 
-def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes], np.ndarray]]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, BATCH_WORDS):
-            part = batch.slice(at, BATCH_WORDS)
-            words = [w.encode() for w in part.column("word").to_pylist()]
-            yield part, words, part.column("c").to_numpy()
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[bytes], np.ndarray]]:
+    """Runs of whole beginnings, of ``BATCH_WORDS`` tokens or more, from a partition sorted by beginning."""
 
+    def ready(parts: list[pa.Table]) -> tuple[pa.Table, list[bytes], np.ndarray]:
+        rows = pa.concat_tables(parts).combine_chunks()
+        return rows, [w.encode() for w in rows.column("word").to_pylist()], rows.column("c").to_numpy()
+
+    waiting, size = [], 0
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        heads = batch.column("head").to_pylist()
+        cuts = [i for i in range(1, len(heads)) if heads[i] != heads[i - 1]]
+        if waiting and heads and waiting[-1].column("head")[-1].as_py() != heads[0]:
+            cuts.insert(0, 0)
+        start = 0
+        for at in cuts:
+            if size + at - start >= BATCH_WORDS:
+                waiting.append(rows.slice(start, at - start))
+                yield ready(waiting)
+                waiting, size, start = [], 0, at
+        if rows.num_rows > start:
+            waiting.append(rows.slice(start))
+            size += rows.num_rows - start
+    if waiting:
+        yield ready(waiting)
+
+
+def byte_counts(vocabulary: DataFrame) -> np.ndarray:
+    """How often each byte occurs in the spelled training tokens."""
 
-def hashed_counts(vocabulary: DataFrame) -> np.ndarray:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(256)
+        for batch in batches:
+            words = batch.column("word")
+            size = pc.binary_length(words).to_numpy(zero_copy_only=False)
+            data = np.frombuffer("".join(words.to_pylist()).encode(), np.uint8)
+            c = batch.column("c").to_numpy().astype(np.float64)
+            total += np.bincount(data, np.repeat(c, size), 256)
+            total[32] += c.sum()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(256)), pa.array(total)], ["byte", "n"])
+
+    rows = vocabulary.select("word", "c").mapInArrow(run, "byte long, n double").groupBy("byte").agg(F.sum("n").alias("n")).collect()
+    found = np.zeros(256)
+    for row in rows:
+        found[row["byte"]] = row["n"]
+    return found
+
+
+def hashed_counts(vocabulary: DataFrame, code: Code) -> np.ndarray:
     """The joint table (slots, 2), summed over all training tokens; its size is fixed by ``BITS``.
 
     Tasks hand on their tables in blocks, which are summed in two steps, so that a sum never meets
@@ -221,7 +320,7 @@ def hashed_counts(vocabulary: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros((SLOTS[-1], 2))
         for _, words, counts in _batches(batches):
-            counted(words, counts, table)
+            counted(words, counts, table, code)
         if table.any():
             group = TaskContext.get().partitionId() // 64
             for at in range(0, len(table), BLOCK_SLOTS):
@@ -255,14 +354,14 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.frombuffer(data, np.float64).reshape(-1, 2)
 
 
-def learned(vocabulary: DataFrame, table) -> tuple[np.ndarray, np.ndarray]:
+def learned(vocabulary: DataFrame, table, code: Code) -> tuple[np.ndarray, np.ndarray]:
     """Weights and map: learned online in each task, weights averaged by what they saw, maps summed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mixer = Mixer()
         before = mixer.map.copy()
         for _, words, counts in _batches(batches):
-            mixer.learn(words, counts, table.value)
+            mixer.learn(words, counts, table.value, code)
         mass = np.repeat(mixer.mass, ORDERS)
         values = np.concatenate([mixer.weights.astype(np.float64).ravel() * mass, mass, (mixer.map - before).ravel()])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values))), pa.array(values)], ["at", "value"])
@@ -278,49 +377,102 @@ def learned(vocabulary: DataFrame, table) -> tuple[np.ndarray, np.ndarray]:
     return weights, (mapped[:, :, 1] / mapped.sum(axis=2)).clip(1e-6, 1 - 1e-6)
 
 
-def score(documents: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
+def counted_words(words: DataFrame) -> DataFrame:
+    """The vocabulary: word, its counts per group and in all, and its first bytes."""
+    sums = words.groupBy("word").agg(*(F.sum(f"n{g}").alias(f"n{g}") for g in range(GROUPS)))
+    total = sum((F.col(f"n{g}") for g in range(1, GROUPS)), F.col("n0"))
+    return sums.withColumn("c", total).withColumn("head", F.expr(f"substring(cast(word as binary), 1, {HEAD_BYTES + 1})"))
+
+
+def with_groups(vocabulary: DataFrame, shares: np.ndarray) -> DataFrame:
+    """(word, c, head, groups): the groups' shares of a word as eight numbers of 1 to 255 in 64 bits."""
+    packed = F.lit(0).cast("long")
+    for g in range(GROUPS):
+        share = (F.col(f"n{g}") + float(shares[g])) / (F.col("c") + 1)
+        packed = packed.bitwiseOR(F.shiftleft(F.greatest(F.lit(1), F.round(share * 255)).cast("long"), 8 * g))
+    return vocabulary.select("word", "c", "head", packed.alias("groups"))
+
+
+def unpacked(groups: np.ndarray) -> np.ndarray:
+    """(words, groups) shares, summing to 1."""
+    parts = (groups.view(np.uint64)[:, None] >> (np.arange(GROUPS, dtype=np.uint64) * np.uint64(8))) & np.uint64(255)
+    return parts / parts.sum(axis=1, keepdims=True)
+
+
+def score(documents: DataFrame, modulus: int = 7, held: int = 2, group: str | None = "lang") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) for every row.
 
     Learned from the rows whose crc32(doc_id as text) modulo ``modulus`` is not ``held``. ``score`` is the
     log10 probability of the text's tokens and end, ``base_score`` that of single tokens with one added to
-    each count; ``bits_per_byte`` spreads ``score`` over the spelled bytes. A null text is empty and
-    has an end only; a null doc_id is learned from; repeated rows count repeatedly; with no training row
-    the counts are zero; an empty table gives no rows; other columns take no part.
+    each count; ``bits_per_byte`` spreads ``score`` over the spelled bytes. ``group`` names a column by whose
+    most frequent values, up to ``GROUPS`` less one and all others as one, training texts are grouped; a text's
+    own value takes no part in its score. A null text is empty and has an end only; a null doc_id is
+    learned from; repeated rows count repeatedly; with no training row the counts are zero; an empty
+    table gives no rows; other columns take no part.
     """
     spark = documents.sparkSession
-    path = encoded(documents, modulus, held)
-    schema = "chunk long, doc_id long, held_out boolean, tokens binary, number int, word string, n_train long"
+    texts.prepare(spark)
+    value = F.coalesce(F.col(group).cast("string"), F.lit("")) if group in documents.columns else F.lit("")
+    out = texts.remainder("doc_id", modulus) == held
+    top = documents.filter(~out).groupBy(value.alias("g")).count().orderBy(F.desc("count"), "g").limit(GROUPS - 1).collect()
+    number = F.lit(GROUPS - 1)
+    for g, row in enumerate(top):
+        number = F.when(value == row["g"], g).otherwise(number)
+    bare = documents.select(
+        F.col("doc_id").cast("long").alias("doc_id"), out.alias("held_out"), number.alias("group"), F.col("text").cast("string").alias("text")
+    )
+    path = encoded(bare)
+    schema = "chunk long, doc_id long, held_out boolean, tokens binary, number int, word string, " + _GROUPED
     rows = spark.read.schema(schema + ", kind int").parquet(path)
-    words = rows.filter("kind = 1").select("chunk", "number", "word", "n_train")
-    vocabulary = cut(words.groupBy("word").agg(F.sum("n_train").alias("c")), "vocabulary")
-    total, distinct = vocabulary.agg(F.sum("c"), F.count_if(F.col("c") > 0)).first()
-    total, distinct = int(total or 0), int(distinct or 0)
-    table = spark.sparkContext.broadcast(hashed_counts(vocabulary))
-    weights, refine = learned(vocabulary, table)
+    words = rows.filter("kind = 1")
+    counts = cut(counted_words(words), "counts")
+    sums = counts.agg(F.sum("c"), F.count_if(F.col("c") > 0), *(F.sum(f"n{g}") for g in range(GROUPS))).first()
+    total, distinct = int(sums[0] or 0), int(sums[1] or 0)
+    shares = np.array([(sums[2 + g] or 0) + 1.0 for g in range(GROUPS)])
+    shares /= shares.sum()
+    vocabulary = cut(with_groups(counts, shares), "vocabulary")
+    ordered = vocabulary.repartition("head").sortWithinPartitions("head", "word")
+    code = Code(byte_counts(vocabulary.filter("c > 0")))
+    table = spark.sparkContext.broadcast(hashed_counts(ordered, code))
+    weights, refine = learned(ordered, table, code)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mixer = Mixer(weights)
-        for part, spelled, _ in _batches(batches):
+        for part, spelled, c in _batches(batches):
             size = np.fromiter((len(w) + (w != b"\n") for w in spelled), np.int64, len(spelled))
-            columns = [part.column("word"), part.column("c"), pa.array(size), pa.array(mixer.cost(spelled, table.value, refine))]
-            yield pa.RecordBatch.from_arrays(columns, ["word", "c", "bytes", "cost"])
-
-    costs = cut(vocabulary.mapInArrow(run, "word string, c long, bytes long, cost double"), "costs")
-    pulled = words.select("chunk", "number", "word").join(costs, "word").select(F.col("chunk").alias("of_chunk"), "number", "c", "bytes", "cost")
+            cost = mixer.cost(spelled, c, table.value, refine, code)
+            found = pa.table([part.column("word"), part.column("c"), pa.array(size), pa.array(cost), part.column("groups")],
+                             names=["word", "c", "bytes", "cost", "groups"])
+            yield from found.combine_chunks().to_batches(65_536)
+
+    costs = cut(ordered.mapInArrow(run, "word string, c long, bytes long, cost double, groups long"), "costs")
+    # What a group's shares add up to, weighted by probability; tokens never seen have the shares of all.
+    part = [F.shiftrightunsigned("groups", 8 * g).bitwiseAND(255) for g in range(GROUPS)]
+    whole = sum(part[1:], part[0])
+    mass = costs.filter("c > 0").agg(*(F.sum(F.pow(F.lit(10.0), "cost") * (p / whole - float(shares[g]))) for g, p in enumerate(part))).first()
+    scale = np.log10(np.maximum(shares + np.array([m or 0.0 for m in mass]), 1e-9))
+    pulled = words.select("chunk", "number", "word").join(costs, "word").select(
+        F.col("chunk").alias("of_chunk"), "number", "c", "bytes", "cost", "groups"
+    )
 
     def summed(left: pa.Table, right: pa.Table) -> pa.Table:
         order = np.argsort(right.column("number").to_numpy())
-        c, size, cost = (right.column(name).to_numpy()[order] for name in ("c", "bytes", "cost"))
+        c, size, cost, groups = (right.column(name).to_numpy()[order] for name in ("c", "bytes", "cost", "groups"))
         base = np.log10((c + 1.0) / (total + distinct + 1.0))
+        known = np.where((c > 0)[:, None], unpacked(np.ascontiguousarray(groups)), shares)
+        apart = np.log10(known) - scale
         found = []
         for row in left.column("tokens"):
             at = np.frombuffer(row.as_py(), np.int32)
-            found.append((len(at), int((c[at] > 0).sum()), float(base[at].sum()), float(cost[at].sum()), int(size[at].sum())))
+            each = np.log10(shares) + apart[at].sum(axis=0)
+            most = each.max()
+            mixed = float(cost[at].sum() + most + np.log10((10.0 ** (each - most)).sum()))
+            found.append((len(at), int((c[at] > 0).sum()), float(base[at].sum()), mixed, int(size[at].sum())))
         counts = list(zip(*found, strict=True)) or [()] * 5
-        score = pa.array(counts[3], pa.float64())
-        bits = pa.array(np.array(counts[3]) / -np.log10(2.0) / np.maximum(np.array(counts[4]), 1))
+        bits = np.array(counts[3]) / -np.log10(2.0) / np.maximum(np.array(counts[4]), 1)
         columns = [left.column("doc_id"), left.column("held_out"), pa.array(counts[0], pa.int64()), pa.array(counts[1], pa.int64()),
-                   pa.array([total] * left.num_rows, pa.int64()), pa.array(counts[2], pa.float64()), score, bits]
+                   pa.array([total] * left.num_rows, pa.int64()), pa.array(counts[2], pa.float64()), pa.array(counts[3], pa.float64()),
+                   pa.array(bits)]
         return pa.table(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"])
 
     texts_of = rows.filter("kind = 0").select("chunk", "doc_id", "held_out", "tokens")
