@@ -1 +1,57 @@
-"""The corpus pipeline: stages from raw documents to packed batches."""
+"""The corpus pipeline: from raw documents to packed batches, stage by stage.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which ``run`` writes to the shared folder
+and reads again as the next one's docs. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from sieverank.llm import decontamination, lines, packing, quality, simhash
+from sieverank.session import cut
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the weak-label classifier does not reject."""
+    return quality.keep_good(docs)
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that an earlier line makes superfluous."""
+    return lines.drop_repeats(docs).select(docs.columns)
+
+
+def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: shingles of 3 words, 2 bits."""
+    return simhash.keep_one(docs).select(docs.columns)
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of a benchmark item."""
+    return decontamination.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Batches of pieces by optimal length buckets."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("line dedup", line_stage),
+    ("SimHash near-dedup", simhash_stage),
+    ("benchmark decontamination", benchmark_stage),
+    ("packing", packing_stage),
+]
+
+#: Classifier, edit-distance search and dynamic programming are no SQL; tests hold stages against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on the documents below ``sf_dir``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+    return STAGES[-1][1](spark, docs, sf_dir)
