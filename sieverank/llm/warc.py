@@ -4,12 +4,14 @@ A record whose payload equals that of another with a larger id becomes a revisit
 than a segment are written as a first record and continuation records. Reading groups continuations by
 the origin's identifier, orders them by segment number, verifies the total length and decodes the
 chunked transfer framing. Files are written by Spark's text writer, the records' closing CRLF CRLF being
-its line end, and read whole as binary files; segments and records per file bound a file's size.
+its line end, compressed with gzip, and read whole as binary files; segments and records per file bound
+a file's size.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -121,7 +123,7 @@ def write(
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["record"])
 
     records = marked.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
-    records.write.option("lineSep", END.decode()).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    records.write.option("lineSep", END.decode()).option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", "gzip").text(path)
 
 
 def parsed(content: bytes) -> Iterator[dict]:
@@ -185,7 +187,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for content in batch.column("content"):
                 rows = []
-                for fields in parsed(content.as_py()):
+                for fields in parsed(gzip.decompress(content.as_py())):
                     rows.append(_row(fields))
                     if len(rows) == 64:
                         yield pa.RecordBatch.from_pylist(rows, kind)
@@ -193,7 +195,6 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(rows, kind)
 
     records = spark.read.format("binaryFile").load(path).select("content").mapInArrow(split, RECORD)
-    records = cut(records, "records")
     parts = records.filter("number > 0").groupBy("origin").agg(
         F.max("page_id").alias("page_id"), F.max("digest").alias("digest"), F.max("total").alias("total"),
         F.sort_array(F.collect_list(F.struct("number", "data"))).alias("parts"),
