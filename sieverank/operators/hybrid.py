@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sieverank.functions.measures import cosine_distance_to
@@ -20,15 +20,18 @@ from sieverank.operators.nearest import (
 )
 from sieverank.operators.predicates import (
     MAX_SETS,
+    NO_MATCH,
     ConditionPlan,
     apply_conditions,
     normalise,
     planned_parts,
+    set_counts,
     survivor_counts,
+    survivors,
     with_outcome,
 )
 from sieverank.operators.records import payload_or_empty
-from sieverank.operators.report import REJECTION, recommendation_or_rejection
+from sieverank.operators.report import REJECTION, recommendation_or_rejection, sql_query
 from sieverank.operators.routing import Rule, route
 from sieverank.session import cut
 
@@ -75,6 +78,7 @@ def hybrid_search_batch(
     allowed: Sequence[str],
     k: int = 3,
     max_sets: int = MAX_SETS,
+    no_match: str = NO_MATCH,
 ) -> DataFrame:
     """A table of queries, each with its own conditions and search vector.
 
@@ -89,7 +93,7 @@ def hybrid_search_batch(
         {"conditions": normalise(F.col("conditions")), "blank": F.col(features[0]).isNull()}
     )
     parts = [
-        _search_part(catalog, vectors, part, plan, key, k)
+        _search_part(catalog, vectors, part, plan, key, k, no_match)
         for part, plan in planned_parts(catalog, cleaned, allowed, max_sets)
     ]
     whole = parts[0]
@@ -103,21 +107,22 @@ def _features_of(vectors: DataFrame) -> list[str]:
 
 
 def _search_part(
-    catalog: DataFrame, vectors: DataFrame, queries: DataFrame, plan: ConditionPlan, key: str, k: int
+    catalog: DataFrame, vectors: DataFrame, queries: DataFrame, plan: ConditionPlan, key: str, k: int, no_match: str
 ) -> DataFrame:
     features = _features_of(vectors)
-    early = plan.any_set()
-    rows = catalog if early is None else catalog.filter(early)
-    signed = rows.select(key, plan.signature().alias("sig"))
+    # One pass over the catalog: ranking, first keys and counts all read the rows some list lets through.
+    signed = cut(plan.signed(catalog, key), "signed")
     found = catalog.sparkSession.createDataFrame(
         [], f"query_id {queries.schema['query_id'].dataType.simpleString()}, rank long, "
         f"`{key}` {catalog.schema[key].dataType.simpleString()}, distance double",
     )
 
+    wide = wrong_width(queries, vectors, features)
     if plan.spoken_ids:
         masks = plan.masks()
-        spoken = queries.filter(~F.col("blank")).join(F.broadcast(masks), "set_id")
-        records = signed.join(vectors.select(key, *features), key)
+        spoken = queries.filter(~F.col("blank") & wide.isNull()).join(F.broadcast(masks), "set_id")
+        wanted = signed.filter(F.size(plan.members(F.col("sig"), plan.spoken_ids)) > 0)
+        records = wanted.join(vectors.select(key, *features), key)
         found = block_topk(records, spoken.select("query_id", "mask", *features), k, key).select(
             "query_id", "rank", key, round_distance(F.col("distance")).alias("distance")
         )
@@ -129,15 +134,29 @@ def _search_part(
             unranked.select("query_id", "rank", key, F.lit(0.0).alias("distance"))
         )
 
-    counts = survivor_counts(catalog, plan)
+    counts = set_counts(signed, plan)
     state = with_outcome(
-        queries.select("query_id", "set_id", "condition_error").join(F.broadcast(counts), "set_id", "left")
+        queries.select("query_id", "set_id", F.coalesce("condition_error", wide).alias("condition_error")).join(
+            F.broadcast(counts), "set_id", "left"
+        ),
+        no_match,
     )
     return state.join(found, "query_id", "left").select(
         "query_id", "success", "error", "message", "n_survivors", "rank", key, "distance"
     )
 
 
+def wrong_width(queries: DataFrame, vectors: DataFrame, features: list[str]) -> Column:
+    """The error of a query whose vector is not as wide as the records' are, else null."""
+    if features != ["vector"]:
+        return F.lit(None).cast("string")
+    width = vectors.filter("size(vector) > 0").select(F.size("vector").alias("n")).limit(1).collect()
+    if not width:
+        return F.lit(None).cast("string")
+    wrong = ~F.col("blank") & (F.size("vector") != width[0]["n"])
+    return F.when(wrong, F.format_string(f"The query vector has %d dimensions, the records have {width[0]['n']}.", F.size("vector")))
+
+
 def query_database(
     catalog: DataFrame,
     vectors: DataFrame,
@@ -182,19 +201,39 @@ def with_payload(results: DataFrame, catalog: DataFrame, key: str, columns: Sequ
     return found.withColumn("payload", payload_or_empty(F.to_json("record"))).drop("_copies")
 
 
-def result_struct(results: DataFrame, key: str, carry: Sequence[str] = ()) -> DataFrame:
+def result_struct(
+    results: DataFrame, key: str, carry: Sequence[str] = (), queries: DataFrame | None = None,
+    columns: Sequence[str] = (), table: str = "catalog",
+) -> DataFrame:
     """One row per query with its matches in rank order.
 
-    A list holds at most k matches; the survivors stay a table of their own.
+    A list holds at most k matches; the survivors are the table of ``query_survivors``. With
+    ``queries`` (``query_id``, raw ``conditions``, maybe ``semantic_query``) a row also has
+    ``sql_conditions``, ``sql_query`` over ``columns`` of ``table``, and ``semantic_query``.
     """
     match = F.struct("rank", F.col(key).alias("name"), "distance", *carry)
-    return results.groupBy("query_id").agg(
+    nested = results.groupBy("query_id").agg(
         F.bool_and("success").alias("success"),
         F.first("error").alias("error"),
         F.first("message").alias("message"),
         F.max("n_survivors").alias("n_survivors"),
         F.array_sort(F.collect_list(F.when(F.col("rank").isNotNull(), match))).alias("matches"),
     )
+    if queries is None:
+        return nested
+    spoken = F.col("semantic_query") if "semantic_query" in queries.columns else F.lit(None).cast("string")
+    asked = queries.select("query_id", normalise(F.col("conditions")).alias("sql_conditions"), spoken.alias("semantic_query"))
+    return nested.join(asked, "query_id").withColumn("sql_query", sql_query(F.col("sql_conditions"), columns, table))
+
+
+def query_survivors(catalog: DataFrame, queries: DataFrame, key: str, allowed: Sequence[str], max_sets: int = MAX_SETS) -> DataFrame:
+    """``(query_id, key)``: every record that meets a query's conditions; none for a query in error."""
+    cleaned = queries.select("query_id", normalise(F.col("conditions")).alias("conditions"))
+    found = None
+    for part, plan in planned_parts(catalog, cleaned, allowed, max_sets):
+        one = survivors(catalog, plan, key).join(part.select("query_id", "set_id"), "set_id").select("query_id", key)
+        found = one if found is None else found.unionByName(one)
+    return found
 
 
 def requests_of(texts: DataFrame, rules: Sequence[Rule], text: str = "text") -> DataFrame:

@@ -10,7 +10,7 @@ queries.
 from __future__ import annotations
 
 import json
-import logging
+import re
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass, field
@@ -26,7 +26,7 @@ from sieverank.functions.text import WHITESPACE, strip
 MAX_SETS = 1_000
 WORD_BITS = 62
 
-NO_MATCH = "No records satisfy all specified constraints."
+NO_MATCH = "No record meets all conditions."
 INVALID = "Invalid SQL condition: "
 
 
@@ -51,53 +51,90 @@ def overlaps(low: Column, high: Column, target: float | Column, tolerance: float
     return (low <= target + tolerance) & (high >= target - tolerance)
 
 
-@contextmanager
-def _quiet_sql_errors() -> Iterator[None]:
-    log = logging.getLogger("SQLQueryContextLogger")
-    before = log.disabled
-    log.disabled = True
-    try:
-        yield
-    finally:
-        log.disabled = before
+# What a condition may say besides fields and literals: words of boolean expressions, names of
+# types, and functions that depend on their arguments only.
+_WORDS = set(
+    "and or not in between like ilike rlike regexp is null true false case when then else end div escape as "
+    "int integer bigint smallint tinyint double float decimal string boolean date timestamp distinct from".split()
+)
+_FUNCTIONS = set(
+    "in and or not when then else like between if coalesce nullif ifnull nvl nvl2 isnull isnotnull isnan nanvl greatest least "
+    "abs sign round floor ceil ceiling sqrt pow power exp ln log log2 log10 mod pmod try_add try_subtract try_multiply try_divide "
+    "cast try_cast int bigint double float decimal string boolean date timestamp "
+    "lower upper trim ltrim rtrim length char_length octet_length substr substring left right concat concat_ws instr locate "
+    "replace translate reverse startswith endswith contains regexp_like regexp_extract split lpad rpad ascii "
+    "array size cardinality array_contains array_size get element_at try_element_at "
+    "year month day dayofmonth hour minute second quarter datediff date_add date_sub to_date to_timestamp".split()
+)
+_TOKEN = re.compile(
+    r"""'(?:[^'\\]|\\.|'')*' | "(?:[^"\\]|\\.)*" | (?P<name>`[^`]+`|[A-Za-z_][A-Za-z0-9_]*)(?P<call>\s*\()?
+    | \d+(?:\.\d*)?(?:[eE][+-]?\d+)?[A-Za-z]{0,2} | (?P<other>--|/\*|;|.)""",
+    re.VERBOSE | re.DOTALL,
+)
+_SIMPLE = re.compile(r"^\s*(`[^`]+`|\w+)\s*(=|<>|!=|>=|<=|>|<)\s*('[^']*'|-?\d+(?:\.\d+)?)\s*$")
+
+
+def refused_word(condition: str, allowed: Sequence[str]) -> str | None:
+    """The first word or sign of a condition that is neither a field, a literal nor a plain function.
+
+    So a condition cannot look into other tables, run code, or give another answer each time.
+    """
+    fields = {name.lower() for name in allowed}
+    after_dot = False
+    for token in _TOKEN.finditer(condition):
+        name, call, other = token["name"], token["call"], token["other"]
+        if other in ("--", "/*", ";"):
+            return other
+        if name:
+            bare = name.strip("`").lower()
+            known = bare in _FUNCTIONS if call else after_dot or bare in fields or (bare in _WORDS and name[0] != "`")
+            if not known:
+                return name
+        after_dot = other == "." if not (other or "").isspace() else after_dot
+    return None
 
 
-def _probe_row(spark: SparkSession, schema: StructType) -> DataFrame:
-    """One constant row with the allowed fields; filtering it runs no cluster job."""
+def _probe(spark: SparkSession, schema: StructType) -> DataFrame:
+    """One constant row with the allowed fields, for the analyzer only; it is never read."""
     values, names = [], []
     for f in schema.fields:
-        kind = f.dataType
-        text = "1" if isinstance(kind, NumericType) else "true" if isinstance(kind, BooleanType) else "null"
-        text = "''" if isinstance(kind, StringType) else text
-        values.append(f"cast({text} as {kind.simpleString()})")
+        values.append(f"cast(null as {f.dataType.simpleString()})")
         names.append(f"`{f.name}`")
     return spark.sql(f"select * from values ({', '.join(values)}) as t({', '.join(names)})")
 
 
 def _problem(probe: DataFrame, conditions: Sequence[str]) -> str | None:
-    """What the analyzer says against the conditions, or None."""
+    """What the analyzer says against the conditions, or None. Nothing is executed."""
     try:
-        with _quiet_sql_errors():
-            if len(conditions) == 1:
-                probe.filter(f"({conditions[0]})").collect()
-            else:  # all of them are evaluated, none is skipped over
-                listed = ", ".join(f"({c})" for c in conditions)
-                probe.filter(f"forall(array({listed}), x -> x)").collect()
+        probe.filter(F.expr(" AND ".join(f"({c})" for c in conditions))).schema
     except PySparkException as error:
         return str(error).split("\n")[0]
     return None
 
 
+@contextmanager
+def lenient(spark: SparkSession) -> Iterator[None]:
+    """Expressions made inside give null where they would end the job, a division by zero say."""
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+
+
 def condition_errors(
     catalog: DataFrame, conditions: Sequence[str], allowed: Sequence[str]
 ) -> dict[str, str]:
     """The invalid ones among the conditions, with the reason.
 
-    They are resolved against the allowed fields alone, so any other column is refused by
-    Spark's own analyzer.
+    A condition may use the allowed fields, literals and functions that depend on their arguments
+    only; what is left is resolved by Spark's analyzer against the allowed fields alone.
     """
-    probe = _probe_row(catalog.sparkSession, catalog.select(*allowed).schema)
-    return _bad_ones(probe, list(conditions))
+    refused = {c: refused_word(c, allowed) for c in conditions}
+    errors = {c: f"{word} is not allowed" for c, word in refused.items() if word}
+    probe = _probe(catalog.sparkSession, catalog.select(*allowed).schema)
+    return errors | _bad_ones(probe, [c for c in conditions if c not in errors])
 
 
 def _bad_ones(probe: DataFrame, conditions: list[str]) -> dict[str, str]:
@@ -114,9 +151,12 @@ def _bad_ones(probe: DataFrame, conditions: list[str]) -> dict[str, str]:
 def apply_conditions(
     catalog: DataFrame, conditions: Sequence[str] | None, allowed: Sequence[str]
 ) -> DataFrame:
-    """Rows for which all conditions hold; no condition keeps all rows."""
+    """Rows for which all conditions hold; no condition keeps all rows.
+
+    Raises ``InvalidCondition`` for one that is refused or fails on some row.
+    """
     cleaned = normalise_list(conditions)
-    errors = condition_errors(catalog, cleaned, allowed)
+    errors = condition_errors(catalog, cleaned, allowed) or runtime_errors(catalog, cleaned, allowed)
     if errors:
         raise InvalidCondition(INVALID + "; ".join(f"{c}: {e}" for c, e in errors.items()))
     if not cleaned:
@@ -170,17 +210,14 @@ class ConditionPlan:
             words.append(" | ".join(bits) or "0L")
         return F.expr(f"array({', '.join(words)})")
 
-    def any_set(self, ids: Sequence[int] | None = None) -> Column | None:
-        """True for rows at least one set lets through; None when that is every row.
+    def signed(self, catalog: DataFrame, *columns: str) -> DataFrame:
+        """The columns with ``sig``, the signature, for rows that some list lets through.
 
-        Left out when it would be long: the masks decide anyway, this only lets the scan
-        skip rows early.
+        A condition that fails on a row does not hold there, and does not end the job.
         """
-        chosen = [s for s in self.valid if ids is None or s.set_id in ids]
-        if len(chosen) > 16 or any(not s.conditions for s in chosen):
-            return None
-        each = (" AND ".join(f"({c})" for c in s.conditions) for s in chosen)
-        return F.expr(" OR ".join(f"({e})" for e in each) or "false")
+        with lenient(self.spark):
+            rows = catalog.select(*columns, self.signature().alias("sig"))
+        return rows.filter(F.size(self.members(F.col("sig"))) > 0)
 
     def members(self, signature: Column, ids: Sequence[int] | None = None) -> Column:
         """Ids of the sets a row with this signature belongs to."""
@@ -241,6 +278,7 @@ def plan_conditions(
     lists = sorted({tuple(c) for c in condition_lists})
     distinct = sorted({c for conditions in lists for c in conditions})
     errors = condition_errors(catalog, distinct, allowed)
+    errors |= runtime_errors(catalog, [c for c in distinct if c not in errors], allowed)
     atoms = tuple(c for c in distinct if c not in errors)
     place = {a: i for i, a in enumerate(atoms)}
     n_words = max(1, -(-len(atoms) // WORD_BITS))
@@ -272,12 +310,11 @@ def planned_parts(
     every division gets its own pass over the catalog.
     """
     blank = F.col("blank") if "blank" in queries.columns else F.lit(False)
-    used = queries.select("conditions", blank.alias("blank")).distinct()
+    used = queries.groupBy("conditions").agg(F.bool_or(blank).alias("blank"), F.bool_or(~blank).alias("spoken"))
     lists = used.limit(max_sets + 1).collect()
     if len(lists) <= max_sets:
-        plan = plan_conditions(
-            catalog, [r["conditions"] for r in lists], allowed, [r["blank"] for r in lists]
-        )
+        flags = [(r["conditions"], f) for r in lists for f, on in ((True, r["blank"]), (False, r["spoken"])) if on]
+        plan = plan_conditions(catalog, [c for c, _ in flags], allowed, [f for _, f in flags])
         yield queries.join(F.broadcast(plan.table()), "conditions"), plan
         return
     divisions = 8
@@ -292,20 +329,66 @@ def survivors(catalog: DataFrame, plan: ConditionPlan, key: str) -> DataFrame:
     Queries with the same conditions share their survivors; join on ``set_id`` for the
     survivors of a query.
     """
-    early = plan.any_set()
-    rows = catalog if early is None else catalog.filter(early)
-    marked = rows.select(key, plan.signature().alias("sig"))
-    return marked.select(F.explode(plan.members(F.col("sig"))).alias("set_id"), key)
+    return plan.signed(catalog, key).select(F.explode(plan.members(F.col("sig"))).alias("set_id"), key)
 
 
 def survivor_counts(catalog: DataFrame, plan: ConditionPlan) -> DataFrame:
-    """``(set_id, n_survivors)``; rows are counted per signature before sets are looked at."""
-    patterns = catalog.groupBy(plan.signature().alias("sig")).agg(F.count("*").alias("n"))
-    return (
-        patterns.select(F.explode(plan.members(F.col("sig"))).alias("set_id"), "n")
-        .groupBy("set_id")
-        .agg(F.sum("n").alias("n_survivors"))
-    )
+    """``(set_id, n_survivors)``; each task hands on one row per list at most."""
+    return set_counts(plan.signed(catalog), plan)
+
+
+def set_counts(signed: DataFrame, plan: ConditionPlan) -> DataFrame:
+    """The same from rows that have their signature already."""
+    members = signed.select(F.explode(plan.members(F.col("sig"))).alias("set_id"))
+    return members.groupBy("set_id").agg(F.count("*").alias("n_survivors"))
+
+
+def _referred(condition: str, allowed: Sequence[str]) -> list[str]:
+    names = {t["name"].strip("`").lower() for t in _TOKEN.finditer(condition) if t["name"] and not t["call"]}
+    return [f for f in allowed if f.lower() in names]
+
+
+def runtime_errors(catalog: DataFrame, conditions: Sequence[str], allowed: Sequence[str]) -> dict[str, str]:
+    """The conditions that fail on some row, with the reason.
+
+    Plain comparisons cannot fail. Others are evaluated leniently in one pass; those that give null
+    where all their fields are known are evaluated again on these rows only, strictly.
+    """
+    kinds = {f.name.lower(): f.dataType for f in catalog.select(*allowed).schema.fields}
+
+    def safe(condition: str) -> bool:
+        found = _SIMPLE.match(condition)
+        kind = kinds.get(found[1].strip("`").lower()) if found else None
+        return isinstance(kind, StringType if found and found[3][0] == "'" else NumericType)
+
+    risky = [c for c in conditions if not safe(c)]
+    if not risky:
+        return {}
+    known = [F.lit(True) for _ in risky]
+    for i, c in enumerate(risky):
+        for name in _referred(c, allowed):
+            known[i] = known[i] & F.col(f"`{name}`").isNotNull()
+    with lenient(catalog.sparkSession):
+        missing = catalog.select(
+            *[F.coalesce(k & F.expr(f"({c})").isNull(), F.lit(False)).alias(f"m{i}") for i, (c, k) in enumerate(zip(risky, known))]
+        )
+    seen = missing.agg(*[F.bool_or(f"m{i}").alias(f"m{i}") for i in range(len(risky))]).first()
+    errors = {}
+    for i, c in enumerate(risky):
+        if not seen[f"m{i}"]:
+            continue
+        with lenient(catalog.sparkSession):
+            rows = catalog.filter(known[i] & F.expr(f"({c})").isNull()).select(*allowed)
+        try:
+            rows.filter(F.expr(f"({c})")).agg(F.count("*")).first()
+        except PySparkException as error:
+            errors[c] = _reason(error)
+    return errors
+
+
+def _reason(error: PySparkException) -> str:
+    found = re.search(r"\[[A-Z_.0-9]+\][^\n]*", str(error))
+    return found[0] if found else str(error).split("\n")[0]
 
 
 def evaluate_conditions(
@@ -313,6 +396,7 @@ def evaluate_conditions(
     queries: DataFrame,
     allowed: Sequence[str],
     max_sets: int = MAX_SETS,
+    no_match: str = NO_MATCH,
 ) -> DataFrame:
     """Outcome of every query's conditions: ``success``, ``error``, ``message``, ``n_survivors``.
 
@@ -322,11 +406,11 @@ def evaluate_conditions(
     outcomes = []
     for part, plan in planned_parts(catalog, cleaned, allowed, max_sets):
         counts = survivor_counts(catalog, plan)
-        outcomes.append(with_outcome(part.join(F.broadcast(counts), "set_id", "left")))
+        outcomes.append(with_outcome(part.join(F.broadcast(counts), "set_id", "left"), no_match))
     return _union(outcomes)
 
 
-def with_outcome(queries: DataFrame) -> DataFrame:
+def with_outcome(queries: DataFrame, no_match: str = NO_MATCH) -> DataFrame:
     """Adds the result state of queries that carry ``condition_error`` and ``n_survivors``."""
     failed = F.col("condition_error").isNotNull()
     n = F.when(~failed, F.coalesce("n_survivors", F.lit(0))).otherwise(F.lit(0)).cast("long")
@@ -334,7 +418,7 @@ def with_outcome(queries: DataFrame) -> DataFrame:
         queries.withColumn("n_survivors", n)
         .withColumn("success", ~failed)
         .withColumn("error", F.col("condition_error"))
-        .withColumn("message", F.when(~failed & (F.col("n_survivors") == 0), F.lit(NO_MATCH)))
+        .withColumn("message", F.when(~failed & (F.col("n_survivors") == 0), F.lit(no_match)))
         .drop("condition_error")
     )
 

@@ -62,21 +62,20 @@ def quality_reasons(df: DataFrame, checks: Sequence[Check], name: str = "reasons
 
 
 class RejectedRows(ValueError):
-    """Raised in raise mode; ``counts`` maps each reason to its number of rows."""
+    """Raised in raise mode: ``counts`` maps each reason to its rows, ``rejects`` is the table of them all."""
 
-    def __init__(self, counts: dict[str, int], examples: list[Any]):
-        self.counts = counts
-        super().__init__(f"rows failed checks: {counts}; for example {examples}")
+    def __init__(self, counts: dict[str, int], rejects: DataFrame):
+        self.counts, self.rejects = counts, rejects
+        super().__init__(f"rows failed checks: {counts}")
 
 
 def validate(
-    df: DataFrame, checks: Sequence[Check], mode: str = "quarantine", key: str | None = None
+    df: DataFrame, checks: Sequence[Check], mode: str = "quarantine"
 ) -> tuple[DataFrame, DataFrame]:
     """Good rows, and bad rows with their reasons.
 
     ``quarantine`` sets bad rows aside. ``raise`` fails the batch on the first sight of a bad
-    row; the error carries counts per reason and a few keys, the rejects of ``quarantine``
-    name them all.
+    row; the error carries counts per reason and the table of rejects, which names them all.
     """
     marked = quality_reasons(df, checks)
     good = marked.filter(F.size("reasons") == 0).drop("reasons")
@@ -84,8 +83,7 @@ def validate(
     if mode == "raise":
         per_reason = reason_counts(df, checks).collect()  # one row per check
         if per_reason:
-            examples = [r[0] for r in bad.select(key).limit(5).collect()] if key else []
-            raise RejectedRows({r["reason"]: r["n_rows"] for r in per_reason}, examples)
+            raise RejectedRows({r["reason"]: r["n_rows"] for r in per_reason}, bad)
     elif mode != "quarantine":
         raise ValueError(f"unknown mode {mode!r}")
     return good, bad

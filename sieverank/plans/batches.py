@@ -17,6 +17,7 @@ from sieverank.plans.groups import (
     vectors_of,
 )
 from sieverank.plans.tables import table
+from sieverank.profiles import alloys
 from sieverank.session import cut
 
 QUERIES = {}
@@ -85,7 +86,7 @@ _PART_KEPT = """
 )
 def conditions_as_data(spark, sf_dir):
     """The survivors of every distinct condition list, which queries with that list share."""
-    part = table(spark, sf_dir, "part", spread=True)
+    part = table(spark, sf_dir, "part")
     asked = cut(part_queries(spark, sf_dir), "part-queries")
     queries = asked.withColumn("conditions", predicates.normalise(F.col("conditions")))
     found = [
@@ -101,7 +102,7 @@ def conditions_as_data(spark, sf_dir):
 @registered(
     f"""WITH {_PART_KEPT}, c AS (SELECT query_id, count(*) AS n FROM kept GROUP BY query_id)
         SELECT query_id, t <> 'PROMO' AS success, t = 'PROMO' AS has_error, coalesce(n, 0) AS n_survivors,
-          CASE WHEN t <> 'PROMO' AND n IS NULL THEN 'No records satisfy all specified constraints.' END AS message
+          CASE WHEN t <> 'PROMO' AND n IS NULL THEN 'No record meets all conditions.' END AS message
         FROM q LEFT JOIN c USING (query_id)"""
 )
 def no_match_and_errors(spark, sf_dir):
@@ -201,18 +202,27 @@ def unembedded(spark, sf_dir):
 
 
 @registered(
-    f"""WITH {GROUPS_SQL} SELECT q.query_id, success, coalesce(n, 0) AS n_survivors,
+    f"""WITH {GROUPS_SQL}, t AS (SELECT q.*, {CONDITION_TEXT_SQL} AS conds FROM q)
+        SELECT t.query_id, success, NOT success AS has_error, {NO_MATCH_SQL} AS message, coalesce(n, 0) AS n_survivors,
+          array_to_string(conds, ' & ') AS sql_conditions, 'near ' || t.query_id AS semantic_query,
+          'SELECT doc_id, lang, source, n_chars FROM documents' ||
+            CASE WHEN len(conds) = 0 THEN '' ELSE ' WHERE ' || array_to_string(conds, ' AND ') END AS sql_query,
           coalesce(string_agg(doc_id || ':' || hits.lang || ':' || n_chars, ' ' ORDER BY rank), '') AS matches
-        FROM q LEFT JOIN counts USING (query_id) LEFT JOIN hits ON hits.query_id = q.query_id GROUP BY ALL"""
+        FROM t LEFT JOIN counts USING (query_id) LEFT JOIN hits ON hits.query_id = t.query_id GROUP BY ALL"""
 )
 def result_struct(spark, sf_dir):
-    """One row per query with its matches and their records."""
+    """One row per query with what was asked, and its matches with their records."""
     full = hybrid.with_payload(group_results(spark, sf_dir), catalog_of(spark, sf_dir), "doc_id", ["lang", "n_chars"])
-    nested = hybrid.result_struct(full, "doc_id", ["record"])
+    asked = group_queries(spark, sf_dir).withColumn("semantic_query", F.concat(F.lit("near "), "query_id"))
+    nested = hybrid.result_struct(full, "doc_id", ["record"], asked, ALLOWED, "documents")
     shown = F.transform(
         "matches", lambda m: F.concat_ws(":", m["name"].cast("string"), m["record"]["lang"], m["record"]["n_chars"].cast("string"))
     )
-    return nested.select("query_id", "success", "n_survivors", F.array_join(shown, " ").alias("matches"))
+    return nested.select(
+        "query_id", "success", F.col("error").isNotNull().alias("has_error"), "message", "n_survivors",
+        F.array_join("sql_conditions", " & ").alias("sql_conditions"), "semantic_query", "sql_query",
+        F.array_join(shown, " ").alias("matches"),
+    )
 
 
 @registered(
@@ -272,25 +282,79 @@ def trimmed_numbers(spark, sf_dir):
 
 
 @registered(
-    f"""WITH {GROUPS_SQL}, t AS (SELECT q.*, coalesce(n, 0) AS n, {CONDITION_TEXT_SQL} AS conds FROM q LEFT JOIN counts USING (query_id)),
-          names AS (SELECT query_id, string_agg(doc_id::VARCHAR, ', ' ORDER BY doc_id) AS names FROM kept GROUP BY query_id)
+    f"""WITH {GROUPS_SQL}, t AS (SELECT q.*, coalesce(n, 0) AS n, {CONDITION_TEXT_SQL} AS conds FROM q LEFT JOIN counts USING (query_id))
         SELECT query_id, CASE WHEN len(conds) = 0 THEN 'SELECT * FROM documents -- no strict numeric bounds extracted'
             ELSE 'SELECT doc_id, lang, source, n_chars' || chr(10) || 'FROM documents' || chr(10) || 'WHERE ' ||
               array_to_string(conds, chr(10) || '  AND ') END
           || chr(10) || chr(10) || '-- Surviving candidate pool: ' || n || ' passed hard bounds'
-          || CASE WHEN n = 0 THEN chr(10) || '-- ZERO candidates matched (constraint violated)'
-                  WHEN n <= 100 THEN chr(10) || '-- ' || names ELSE chr(10) || '-- all names: table of survivors' END AS audit
-        FROM t LEFT JOIN names USING (query_id)"""
+          || CASE WHEN n = 0 THEN chr(10) || '-- ZERO candidates matched (constraint violated)' ELSE '' END AS audit
+        FROM t"""
 )
 def audit_text(spark, sf_dir):
     catalog = catalog_of(spark, sf_dir)
-    asked = group_queries(spark, sf_dir).withColumn("conditions", predicates.normalise(F.col("conditions")))
     texts = []
-    for part, plan in predicates.planned_parts(catalog, asked, ALLOWED):
+    for part, plan in predicates.planned_parts(catalog, _asked_groups(spark, sf_dir), ALLOWED):
         counted = part.join(predicates.survivor_counts(catalog, plan), "set_id", "left").fillna(0, ["n_survivors"])
-        kept = predicates.survivors(catalog, plan, "doc_id")
-        texts.append(report.audit_text(counted, kept, "doc_id", ALLOWED, "documents"))
-    whole = texts[0]
-    for more in texts[1:]:
-        whole = whole.unionByName(more)
+        texts.append(report.audit_text(counted, ALLOWED, "documents", alloys.AUDIT))
+    return _whole(texts)
+
+
+@registered(
+    f"""WITH {GROUPS_SQL} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS position, doc_id FROM kept"""
+)
+def audit_survivors(spark, sf_dir):
+    """The names of every query's survivors, in order."""
+    catalog = catalog_of(spark, sf_dir)
+    parts = predicates.planned_parts(catalog, _asked_groups(spark, sf_dir), ALLOWED)
+    found = [report.audit_survivors(part, predicates.survivors(catalog, plan, "doc_id"), "doc_id") for part, plan in parts]
+    return _whole(found).select("query_id", F.col("position").cast("long").alias("position"), "doc_id")
+
+
+@registered(f"WITH {GROUPS_SQL} SELECT query_id, doc_id FROM kept")
+def query_survivors(spark, sf_dir):
+    """The survivors of every query, in error none."""
+    return hybrid.query_survivors(catalog_of(spark, sf_dir), group_queries(spark, sf_dir), "doc_id", ALLOWED)
+
+
+_RISKY = """CASE source
+    WHEN 'src1' THEN array("lang = 'en'", '1000 / (n_chars - n_chars % 2 - doc_id * 2) > 1')
+    WHEN 'src2' THEN array("cast(substr(lang, 1, 1) as int) > 0")
+    WHEN 'src3' THEN array('(select max(doc_id) from documents) > 1')
+    WHEN 'src4' THEN array('rand() > 0.5')
+    WHEN 'src5' THEN array("java_method('java.lang.System', 'currentTimeMillis') <> ''")
+    WHEN 'src6' THEN array('1000 / (n_chars + 1) > 1')
+    WHEN 'src7' THEN array('nullif(n_chars, 100) > 50')
+    ELSE array("lang = 'en'") END"""
+
+
+@registered(
+    """WITH q AS (SELECT DISTINCT source FROM documents),
+       failing AS (SELECT count(*) AS n FROM documents WHERE n_chars - n_chars % 2 - doc_id * 2 = 0)
+       SELECT source AS query_id, source NOT IN ('src2', 'src3', 'src4', 'src5') AND (source <> 'src1' OR (SELECT n FROM failing) = 0) AS success,
+         CASE WHEN source IN ('src3', 'src4', 'src5') THEN 'refused' WHEN source = 'src2' THEN 'CAST_INVALID_INPUT'
+              WHEN source = 'src1' AND (SELECT n FROM failing) > 0 THEN 'DIVIDE_BY_ZERO' END AS reason,
+         CASE WHEN source IN ('src2', 'src3', 'src4', 'src5') THEN 0
+              WHEN source = 'src1' AND (SELECT n FROM failing) > 0 THEN 0
+              WHEN source = 'src1' THEN (SELECT count(*) FROM documents WHERE lang = 'en' AND 1000.0 / (n_chars - n_chars % 2 - doc_id * 2) > 1)
+              WHEN source = 'src6' THEN (SELECT count(*) FROM documents WHERE 1000.0 / (n_chars + 1) > 1)
+              WHEN source = 'src7' THEN (SELECT count(*) FROM documents WHERE nullif(n_chars, 100) > 50)
+              ELSE (SELECT count(*) FROM documents WHERE lang = 'en') END AS n_survivors FROM q"""
+)
+def condition_runtime_errors(spark, sf_dir):
+    """Conditions that fail on some row, or are refused, beside good ones: each spoils its own query only."""
+    documents = catalog_of(spark, sf_dir)
+    asked = cut(documents.select(F.col("source").alias("query_id"), F.expr(_RISKY).alias("conditions")).distinct(), "risky")
+    outcome = predicates.evaluate_conditions(documents, asked, ALLOWED)
+    reason = F.when(F.col("error").contains("is not allowed"), "refused").otherwise(F.regexp_extract("error", r"\[([A-Z_]+)[.\]]", 1))
+    return outcome.select("query_id", "success", reason.alias("reason"), "n_survivors")
+
+
+def _asked_groups(spark, sf_dir):
+    return group_queries(spark, sf_dir).withColumn("conditions", predicates.normalise(F.col("conditions")))
+
+
+def _whole(parts):
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
     return whole

@@ -9,6 +9,7 @@ from sieverank.operators import evaluate, hybrid, nearest
 from sieverank.plans.batches import group_results
 from sieverank.plans.groups import GROUPS_SQL, catalog_of, mean_vectors, vectors_of
 from sieverank.plans.tables import table
+from sieverank.profiles import alloys
 from sieverank.session import cut
 
 QUERIES = {}
@@ -81,7 +82,7 @@ def evaluated_groups(spark, sf_dir):
         F.create_map(F.lit("n_chars"), F.col("record.n_chars").cast("double")).alias("fields"),
     )
     cases = cut(_cases(spark, sf_dir), "cases")
-    return evaluate.evaluate_cases(cases.select("case_id", "expected", "allow_no_match"), matches, _rules(cases))
+    return evaluate.evaluate_cases(cases.select("case_id", "expected", "allow_no_match"), matches, _rules(cases), wording=alloys.EVALUATION)
 
 
 _EVALUATED = f"""WITH {GROUPS_SQL},

@@ -27,12 +27,11 @@ def catalog_of(spark, sf_dir):
 
 
 def mean_vectors(rows, group):
-    """Mean vector per group; dimensions are averaged on the way into the shuffle."""
-    spread = rows.select(*group, F.posexplode("vector").alias("i", "x"))
-    means = spread.groupBy(*group, "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    entries = F.array_sort(F.collect_list(F.struct("i", "x")))
-    # one entry per dimension
-    return means.groupBy(*group).agg(F.transform(entries, lambda e: e["x"]).alias("vector"))
+    """Mean vector per group: one average per dimension, taken before the shuffle."""
+    width = rows.select(F.size("vector").alias("n")).filter("n > 0").limit(1).collect()
+    means = [F.avg(F.get("vector", F.lit(i)).cast("double")) for i in range(width[0]["n"] if width else 0)]
+    vector = F.array(*means) if means else F.lit(None).cast("array<double>")
+    return rows.groupBy(*group).agg(vector.alias("vector"))
 
 
 _CONDITIONS = """CASE source
@@ -91,7 +90,7 @@ hits AS (SELECT query_id, doc_id, lang, source, n_chars, label, round(dist, 4) A
          WHERE rank <= 3)
 """
 
-NO_MATCH_SQL = "CASE WHEN success AND coalesce(n, 0) = 0 THEN 'No records satisfy all specified constraints.' END"
+NO_MATCH_SQL = "CASE WHEN success AND coalesce(n, 0) = 0 THEN 'No record meets all conditions.' END"
 
 CONDITION_TEXT_SQL = """CASE source
     WHEN 'src19' THEN ['no_such_field = 1', 'n_chars > 10']

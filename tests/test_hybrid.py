@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from sieverank.operators import hybrid, predicates, report
 from sieverank.operators.lexical import build_index
+from sieverank.profiles import alloys
 
 ALLOWED = ["name", "family", "hard", "share"]
 ROWS = [
@@ -136,17 +137,20 @@ def test_audit_text(spark, catalog):
         [("x", ["hard = 60"]), ("y", ["hard > 100"]), ("z", [])], "query_id string, conditions array<string>"
     ).join(plan.table(), "conditions")
     counted = queries.join(predicates.survivor_counts(catalog, plan), "set_id", "left").fillna(0)
-    kept = predicates.survivors(catalog, plan, "name")
-    got = {
-        r["query_id"]: r["audit"]
-        for r in report.audit_text(counted, kept, "name", ["name", "hard"], "catalog", 5).collect()
-    }
+    audits = report.audit_text(counted, ["name", "hard"], "catalog", alloys.AUDIT)
+    got = {r["query_id"]: r["audit"] for r in audits.collect()}
     assert got["x"] == (
         "SELECT name, hard\nFROM catalog\nWHERE hard = 60\n\n"
-        "-- Surviving candidate pool: 3 passed hard bounds\n-- a, f, g"
+        "-- Surviving candidate pool: 3 passed hard bounds"
     )
     assert got["y"].endswith("0 passed hard bounds\n-- ZERO candidates matched (constraint violated)")
-    assert got["z"].endswith("7 passed hard bounds\n-- all names: table of survivors")
+    assert got["z"].endswith("7 passed hard bounds")
+    kept = predicates.survivors(catalog, plan, "name")
+    names = report.audit_survivors(queries, kept, "name").collect()
+    assert sorted((r["query_id"], r["position"], r["name"]) for r in names) == [
+        *(("x", i, n) for i, n in enumerate("afg", 1)),
+        *(("z", i, r["name"]) for i, r in enumerate(catalog.select("name").orderBy("name").collect(), 1)),
+    ]
 
 
 def test_typed_conditions(spark):
@@ -219,3 +223,45 @@ def test_reports(spark):
     ]
     sql = df.orderBy("rank").select(report.sql_query(F.col("c"), ["name"], "t").alias("s")).collect()
     assert [r["s"] for r in sql] == ["SELECT name FROM t WHERE x = 1 AND y > 2", "SELECT name FROM t"]
+
+
+def test_a_condition_that_fails_spoils_its_own_query(spark):
+    rows = spark.createDataFrame([(0, "a"), (1, "b"), (2, None)], "x int, s string")
+    queries = spark.createDataFrame(
+        [(1, ["x > 0"]), (2, ["10 / x > 1"]), (3, ["10 / (x + 1) > 4"]), (4, ["cast(s as int) > 0"]), (5, ["nullif(x, 1) = 0"])],
+        "query_id int, conditions array<string>",
+    )
+    got = {r["query_id"]: r for r in predicates.evaluate_conditions(rows, queries, ["x", "s"]).collect()}
+    assert [got[i]["success"] for i in range(1, 6)] == [True, False, True, False, True]
+    assert "DIVIDE_BY_ZERO" in got[2]["error"] and "CAST_INVALID_INPUT" in got[4]["error"]
+    assert [got[i]["n_survivors"] for i in range(1, 6)] == [2, 0, 2, 0, 1]
+    assert spark.conf.get("spark.sql.ansi.enabled") == "true"
+
+
+@pytest.mark.parametrize(
+    "condition",
+    ["(select max(x) from secret) > 1", "java_method('java.lang.System', 'x') <> ''", "rand() > 0.5", "`rand`() > 0.5", "x > 0 -- y",
+     "current_date > date'2020-01-01'", "x > 0; drop table t", "exists (select 1)", "secret.x > 0", "uuid() = s", "x > /* y */ 0"],
+)
+def test_conditions_stay_within_their_fields(spark, condition):
+    rows = spark.createDataFrame([(1, "a")], "x int, s string")
+    spark.createDataFrame([(5,)], "x int").createOrReplaceTempView("secret")
+    assert condition in predicates.condition_errors(rows, [condition, "x > 0"], ["x", "s"])
+
+
+@pytest.mark.parametrize(
+    "condition",
+    ["x > 0", "x = 1 OR s = 'rand()'", "s LIKE 'it''s%'", "x BETWEEN 0 AND 5", "s IN ('select', 'b')", "NOT x IS NULL", "`x` >= 1.5e0",
+     "10 / (x - 1) > 0", "CASE WHEN x > 0 THEN true ELSE false END", "lower(s) = 'a'", "cast(s as int) > 0", 's = "b"', "x <=> 1"],
+)
+def test_plain_conditions_are_taken(spark, condition):
+    rows = spark.createDataFrame([(1, "a")], "x int, s string")
+    assert predicates.condition_errors(rows, [condition], ["x", "s"]) == {}
+
+
+def test_a_vector_of_other_width_spoils_its_own_query(spark, catalog):
+    vectors = spark.createDataFrame([(r[0], r[5]) for r in ROWS], "name string, vector array<double>")
+    queries = spark.createDataFrame([(1, [], [1.0, 0.0]), (2, [], [1.0])], "query_id int, conditions array<string>, vector array<double>")
+    found = hybrid.hybrid_search_batch(catalog, vectors, queries, key="name", allowed=ALLOWED).collect()
+    assert sorted({(r["query_id"], r["success"]) for r in found}) == [(1, True), (2, False)]
+    assert [r["error"] for r in found if r["query_id"] == 2] == ["The query vector has 1 dimensions, the records have 2."]

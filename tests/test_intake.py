@@ -93,8 +93,9 @@ def test_quality_checks(spark):
     good, bad = quality.validate(df, checks)
     assert good.columns == df.columns and good.count() == 3 and bad.count() == len(CHANGES) - 3
     with pytest.raises(quality.RejectedRows) as error:
-        quality.validate(df, checks, mode="raise", key="name")
+        quality.validate(df, checks, mode="raise")
     assert error.value.counts["negative:c_pct"] == 3
+    assert error.value.rejects.count() == len(CHANGES) - 3
     counts = {r["reason"]: r["n_rows"] for r in quality.reason_counts(df, checks).collect()}
     assert counts == error.value.counts
     held = quality.all_hold(df, checks).first()
