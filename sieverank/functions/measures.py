@@ -71,16 +71,6 @@ def cosine_distance(a: Column, b: Column) -> Column:
 
 
 def cosine_distance_to(vector: str, query: Sequence[float]) -> Column:
-    """Distance of a vector column to one known vector.
-
-    Written out per dimension as one SQL text, so that it is compiled; wide vectors go through
-    ``cosine_distance``.
-    """
-    if len(query) > 256:
-        return cosine_distance(F.col(vector), F.array(*[F.lit(float(x)) for x in query]))
-    items = [f"cast(get({vector}, {i}) as double)" for i in range(len(query))]
-    dot = " + ".join(f"{item} * {float(x)!r}D" for item, x in zip(items, query))
-    squares = " + ".join(f"{item} * {item}" for item in items)
-    own = float(sum(float(x) ** 2 for x in query) ** 0.5)
-    distance = f"1.0D - ({dot}) / greatest(sqrt({squares}) * {own!r}D, {TINY!r}D)"
-    return F.expr(f"CASE WHEN size({vector}) = {len(query)} THEN {distance} END")
+    """Distance of a vector column to one known vector; null for a vector of another width."""
+    known = F.array(*[F.lit(float(x)) for x in query])
+    return F.when(F.size(vector) == len(query), cosine_distance(F.col(vector), known))

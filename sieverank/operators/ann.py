@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sieverank.operators.nearest import MAX_CELLS, grid_topk, rank_within
+from sieverank.operators.nearest import FRAGMENT_BYTES, grid_topk, rank_within
 
 
 def hyperplanes(dim: int, tables: int, bits: int) -> np.ndarray:
@@ -54,9 +54,12 @@ def ann_topk(
     bits: int = 8,
     **sizes: int,
 ) -> DataFrame:
-    """``(query_id, key, distance, rank)`` among the candidates of each query."""
-    if tables << bits > MAX_CELLS:
-        raise ValueError(f"{tables} tables of 2^{bits} buckets are more than {MAX_CELLS} cells")
+    """``(query_id, key, distance, rank)`` among the candidates of each query.
+
+    Vectors that are not ``dim`` wide have no bucket; ``hybrid.wrong_width`` names such queries.
+    """
+    each = max(1, FRAGMENT_BYTES // (8 * dim + 256))
+    sizes = {"fragment_rows": each, "block_queries": each} | sizes
 
     def celled(df: DataFrame, name: str, probes: bool) -> DataFrame:
         usable = df.filter(F.size("vector") == dim)

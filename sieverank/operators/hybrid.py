@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sieverank.functions.measures import cosine_distance_to
 from sieverank.functions.text import is_blank
 from sieverank.operators.joins import join_hot, keep_listed
 from sieverank.operators.lexical import LexicalIndex, query_vectors
@@ -53,20 +52,12 @@ def hybrid_search(
     """
     kept = apply_conditions(catalog, conditions, allowed).select(key)
     if query_vector is None:
-        best = kept.select(key, F.lit(0.0).alias("distance")).orderBy(key).limit(k)
+        first = kept.select(key, F.lit(0.0).alias("distance")).orderBy(key).limit(k).withColumn("query_id", F.lit(0))
+        ranked = rank_within(first, k, "query_id", key)
     else:
-        distance = cosine_distance_to("vector", query_vector)
-        best = (
-            prefilter_in(vectors.select(key, "vector"), kept, key)
-            .select(key, distance.alias("distance"))
-            .filter(F.col("distance").isNotNull() & ~F.isnan("distance"))
-            .orderBy(F.round("distance", 9), key)
-            .limit(k)
-        )
-    one = best.withColumn("query_id", F.lit(0))
-    return rank_within(one, k, "query_id", key).select(
-        "rank", key, round_distance(F.col("distance")).alias("distance")
-    )
+        one = catalog.sparkSession.createDataFrame([(0, [float(x) for x in query_vector])], "query_id int, vector array<double>")
+        ranked = block_topk(prefilter_in(vectors.select(key, "vector"), kept, key), one, k, key)
+    return ranked.select("rank", key, round_distance(F.col("distance")).alias("distance"))
 
 
 def hybrid_search_batch(

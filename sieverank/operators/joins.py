@@ -7,36 +7,34 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HOT_SHARE = 1_000
-SALTS = 1_024
+from sieverank.session import cut
+
 MAX_BROADCAST_BYTES = 64 << 20
+SHARES = 16
 
 
 def join_hot(left: DataFrame, right: DataFrame, on: str, copies: str, spread_by: str) -> DataFrame:
     """``left`` with the columns of ``right`` looked up by ``on``; unmatched rows keep nulls.
 
-    ``right`` is unique on ``on`` and knows in ``copies`` how many left rows each of its rows
-    meets. A key that meets more than a thousandth of all rows is hot; there are fewer than a
-    thousand such keys, so their right rows are broadcast. Hot left rows, and those without a
-    key, then pass the shuffle join under a salt that matches nothing, which spreads them over
-    the tasks by ``spread_by``. Each left row is read once.
+    ``right`` is unique on ``on`` and knows in ``copies`` how many left rows each of its rows meets; it
+    is stored once. A key that meets more rows than a share of a mean shuffle partition is hot: its right
+    row is repeated under as many salts as it fills such shares, all keys together ``SHARES`` for each
+    partition beside one each, and its left rows are spread over them by ``spread_by``. Left rows without a key are
+    spread like that too. Only the hot keys and their salts are broadcast, fewer rows than there are shares.
     """
+    spark = left.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     values = [c for c in right.columns if c != on]
-    total = right.agg(F.sum(copies)).scalar()
-    packed = right.select(on, F.col(copies).alias("_copies"), F.struct(*values).alias("_value"))
-    hot = packed.filter(F.col("_copies") * HOT_SHARE > total).select(
-        on, F.col("_value").alias("_hot")
-    )
-    cold = packed.select(on, F.col("_value").alias("_cold"), F.lit(0).cast("long").alias("_salt"))
-    alone = F.col("_hot").isNotNull() | F.col(on).isNull()  # null keys would gather in one task
-    salt = F.when(alone, F.pmod(F.xxhash64(spread_by), F.lit(SALTS)) + 1)
-    salted = left.join(F.broadcast(hot), on, "left").withColumn(
-        "_salt", F.coalesce(salt.cast("long"), F.lit(0).cast("long"))
-    )
-    joined = salted.join(cold, [on, "_salt"], "left").withColumn(
-        "_found", F.coalesce("_hot", "_cold")
-    )
-    return joined.select(*left.columns, *[F.col(f"_found.{v}").alias(v) for v in values])
+    stored = cut(right.select(on, F.col(copies).alias("_copies"), F.struct(*values).alias("_value")), "lookup")
+    total = stored.agg(F.sum("_copies")).first()[0] or 0
+    salts = F.greatest(F.lit(1), F.ceil(F.col("_copies") * (parts * SHARES) / F.lit(max(total, 1)))).cast("int")
+    sized = stored.withColumn("_salts", salts)
+    hot = sized.filter("_salts > 1").select(on, "_salts")
+    repeated = sized.select(on, "_value", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_salt"))
+    spread = F.when(F.col(on).isNull(), F.lit(parts * SHARES)).otherwise(F.coalesce("_salts", F.lit(1)))
+    salted = left.join(F.broadcast(hot), on, "left").withColumn("_salt", F.pmod(F.xxhash64(spread_by), spread).cast("int"))
+    joined = salted.join(repeated, [on, "_salt"], "left")
+    return joined.select(*left.columns, *[F.col(f"_value.{v}").alias(v) for v in values])
 
 
 def fits(stored: DataFrame, columns: Sequence[str], limit: int = MAX_BROADCAST_BYTES) -> bool:

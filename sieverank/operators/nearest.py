@@ -16,12 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sieverank.operators.blocks import SCORERS, QueryBlock
+from sieverank.session import cut
 
 MAX_BROADCAST_BYTES = 64 << 20
-FRAGMENT_ROWS = 20_000
-BLOCK_QUERIES = 2_000
 FRAGMENT_BYTES = 64 << 20
-MAX_CELLS = 1 << 20
 
 
 def round_distance(distance: Column, decimals: int = 4) -> Column:
@@ -92,8 +90,8 @@ def block_topk(
             k,
             kind,
             schema,
-            fragment_rows or max(500, min(FRAGMENT_ROWS, FRAGMENT_BYTES // each)),
-            block_queries or max(100, min(BLOCK_QUERIES, FRAGMENT_BYTES // each)),
+            fragment_rows or max(1, FRAGMENT_BYTES // each),
+            block_queries or max(1, FRAGMENT_BYTES // each),
         )
     return rank_within(scored, k).withColumnRenamed("key", key)
 
@@ -124,20 +122,19 @@ def grid_topk(
     k: int,
     kind: str,
     schema: str,
-    fragment_rows: int = FRAGMENT_ROWS,
-    block_queries: int = BLOCK_QUERIES,
+    fragment_rows: int,
+    block_queries: int,
 ) -> DataFrame:
     """Top-k candidates of queries and records that share a ``cell``.
 
     A cell with many records or queries is divided: records into fragments, queries into
     blocks, each record meeting each block and the other way round. So no task holds more
-    than one fragment and one block, however full a cell is. The number of distinct cells is
-    bounded by the caller (``MAX_CELLS``), so what is known per cell is broadcast.
+    than one fragment and one block, however full a cell is. Both sides are stored once; what is
+    known per cell is joined, not broadcast, so there may be any number of cells.
     """
-    pieces = F.broadcast(
-        _divisions(left, "fragments", fragment_rows).join(
-            _divisions(right, "blocks", block_queries), "cell", "full"
-        )
+    left, right = cut(left, "records"), cut(right, "queries")
+    pieces = cut(
+        _divisions(left, "fragments", fragment_rows).join(_divisions(right, "blocks", block_queries), "cell", "full"), "pieces"
     )
     one = F.lit(1).cast("long")
     n_fragments, n_blocks = F.coalesce("fragments", one), F.coalesce("blocks", one)
@@ -150,7 +147,7 @@ def grid_topk(
     record_place = F.pmod(F.xxhash64("key"), n_fragments)
     query_place = F.pmod(F.xxhash64("query_id"), n_blocks)
     cells = ["cell", "fragment", "block"]
-    wanted = F.broadcast(right.select("cell").distinct())
+    wanted = right.select("cell").distinct()
     records = divided(left.join(wanted, "cell", "left_semi"), "fragment", record_place, "block", n_blocks)
     queries = divided(right, "block", query_place, "fragment", n_fragments)
 

@@ -7,10 +7,13 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from sieverank.functions.text import absent_to_zero, parse_hardness, parse_rating, range_midpoint
 from sieverank.operators import quality, records
+from sieverank.operators.lexical import embed
 from sieverank.operators.nearest import collection_count
 from sieverank.plans.tables import table
 from sieverank.sources.cases import rules_from_json
 from sieverank.sources.cases import rules_long as to_rules_long
+from sieverank.session import shared_folder
+from sieverank.sources import catalog as files
 from sieverank.sources.catalog import catalog_health as to_health
 from sieverank.sources.catalog import catalog_listing as to_listing
 
@@ -291,3 +294,120 @@ def narrative(spark, sf_dir):
     return records.collection(part, "p_partkey", "family", PART_NARRATIVE).select(
         "id", "document", F.col("metadata.key").alias("grade_key"), F.col("metadata.family").alias("grade_family")
     )
+
+
+PART_SCHEMA = StructType([
+    StructField("p_partkey", StringType()), StructField("p_name", StringType()), StructField("p_type", StringType()),
+    StructField("p_retailprice", DoubleType()), StructField("p_note", StringType()),
+])
+_NOTED = "concat('é ', p_brand, ' \"', p_type, '\"')"
+_PARTS_BACK = """SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_name, p_type, p_retailprice,
+    'é ' || p_brand || ' "' || p_type || '"' AS p_note FROM part"""
+
+
+def _noted_parts(spark, sf_dir):
+    return table(spark, sf_dir, "part").select(
+        F.col("p_partkey").cast("string").alias("p_partkey"), "p_name", "p_type", "p_retailprice", F.expr(_NOTED).alias("p_note")
+    )
+
+
+@registered(_PARTS_BACK)
+def records_json_roundtrip(spark, sf_dir):
+    """Records written as JSON lines and read with the fixed schema."""
+    path = shared_folder(spark, "records")
+    files.write_records_json(_noted_parts(spark, sf_dir), path)
+    return files.read_catalog(spark, path, PART_SCHEMA, "jsonl")
+
+
+@registered(_PARTS_BACK)
+def catalog_roundtrip(spark, sf_dir):
+    """The table rebuilt twice by type, and read with the fixed schema."""
+    path = shared_folder(spark, "catalog")
+    for _ in range(2):
+        files.write_catalog(_noted_parts(spark, sf_dir), path, "p_type")
+    return files.read_catalog(spark, path, PART_SCHEMA, "parquet")
+
+
+@registered("SELECT doc_id AS id, text AS document, source || '/' || lang AS metadata FROM documents")
+def collection_roundtrip(spark, sf_dir):
+    path = shared_folder(spark, "collection")
+    metadata = F.struct("source", "lang").alias("metadata")
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("document"), metadata)
+    files.write_collection(rows, path)
+    return spark.read.parquet(path).withColumn("metadata", F.concat_ws("/", "metadata.source", "metadata.lang"))
+
+
+@registered(
+    """SELECT 'lang=' || lang AS folder, count(*) AS n_files, max(rank) AS last_rank, CAST(sum(chars) AS BIGINT) AS n_chars FROM (
+         SELECT lang, length(text) AS chars, 1 AS rank FROM (SELECT lang, string_agg(doc_id::VARCHAR, ' ' ORDER BY doc_id) AS text
+           FROM documents GROUP BY lang)) GROUP BY lang"""
+)
+def datasheet_scan(spark, sf_dir):
+    """A text file per language, scanned whole and listed in order."""
+    path = shared_folder(spark, "sheets")
+    ids = F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), " ")
+    sheets = table(spark, sf_dir, "documents").groupBy("lang").agg(ids.alias("text"))
+    sheets.repartition("lang").write.partitionBy("lang").option("lineSep", "\n").text(path)
+    found = files.scan_datasheets(spark, path, "*.txt")
+    folder = F.element_at(F.split("path", "/"), -2)
+    listed = files.sorted_listing(found).withColumn("folder", folder).groupBy("folder").agg(F.count("*").alias("listed"))
+    return found.withColumn("folder", folder).join(listed, "folder").groupBy("folder").agg(
+        F.count("*").alias("n_files"), F.max("listed").cast("int").alias("last_rank"),
+        F.sum(F.length(F.rtrim(F.regexp_replace("text", "\n$", "")))).alias("n_chars"),
+    )
+
+
+@registered("SELECT least(20, count(*)) AS n_rows, 3 AS n_columns FROM part")
+def preview_size(spark, sf_dir):
+    """A preview is any 20 rows, so its size is what can be compared."""
+    shown = files.preview(table(spark, sf_dir, "part"), ["p_partkey", "p_name", "p_size"])
+    return shown.agg(F.count("*").alias("n_rows")).withColumn("n_columns", F.lit(len(shown.columns)))
+
+
+@registered(
+    """SELECT reason, n_rows FROM (
+         SELECT 'negative:l_discount' AS reason, count(*) FILTER (NOT coalesce(l_discount - 0.02 >= 0, false)) AS n_rows FROM lineitem
+         UNION ALL SELECT 'negative:l_tax', count(*) FILTER (NOT coalesce(l_tax - 0.01 >= 0, false)) FROM lineitem) WHERE n_rows > 0"""
+)
+def rejected_counts(spark, sf_dir):
+    """What raise mode says of a batch with bad rows, as rows."""
+    lines = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", (F.col("l_discount") - 0.02).alias("l_discount"), (F.col("l_tax") - 0.01).alias("l_tax")
+    )
+    try:
+        quality.validate(lines, quality.check_nonneg(["l_discount", "l_tax"]), mode="raise")
+        counts = {}
+    except quality.RejectedRows as error:
+        counts = error.counts
+    return spark.createDataFrame(list(counts.items()), "reason string, n_rows long")
+
+
+_HASH_DIM = 8
+
+
+def _hash_model():
+    """Counts a text's words by the length of the word: a model that needs no training."""
+
+    def run(texts):
+        found = []
+        for text in texts:
+            vector = [0.0] * _HASH_DIM
+            for word in text.split(" "):
+                if word:
+                    vector[len(word) % _HASH_DIM] += 1.0
+            found.append(vector)
+        return found
+
+    return run
+
+
+@registered(
+    """SELECT doc_id, i, CAST(len(list_filter(string_split(coalesce(text, ''), ' '), lambda w: w <> '' AND length(w) % 8 = i)) AS DOUBLE) AS x
+       FROM documents, range(8) r(i)"""
+)
+def embedded_texts(spark, sf_dir):
+    """Vectors of a model that is loaded in the tasks."""
+    vectors = embed(table(spark, sf_dir, "documents"), "text", _hash_model)
+    return vectors.select("doc_id", F.posexplode("vector").alias("i", "x")).select(
+        "doc_id", F.col("i").cast("long").alias("i"), F.col("x").cast("double").alias("x")
+    )

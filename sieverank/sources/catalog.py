@@ -52,16 +52,18 @@ def write_catalog(catalog: DataFrame, path: str, partition_by: str | None = None
 
 
 def write_collection(
-    collection: DataFrame, path: str, key: str = "id", buckets: int | None = None
+    collection: DataFrame, path: str, key: str = "id", buckets: int | None = None, table: str | None = None
 ) -> None:
     """Replace the text and vector collection.
 
-    With ``buckets`` the files are clustered by key, so a later join on the key reads
-    narrow key ranges per task.
+    With ``buckets`` it becomes the table ``table``, bucketed and sorted by key, with its files at
+    ``path``: a join on the key with a table of as many buckets then needs no shuffle.
     """
+    writer = collection.write.mode("overwrite")
     if buckets:
-        collection = collection.repartitionByRange(buckets, key).sortWithinPartitions(key)
-    collection.write.mode("overwrite").parquet(path)
+        writer.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table)
+    else:
+        writer.parquet(path)
 
 
 def write_records_json(records: DataFrame, path: str) -> None:

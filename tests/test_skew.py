@@ -69,9 +69,11 @@ def test_approximate_neighbours(spark, clustered):
     assert pairs.first()[0] < 1e-12
 
 
-def test_too_many_cells_are_refused(clustered):
-    with pytest.raises(ValueError):
-        ann.ann_topk(clustered, clustered.withColumnRenamed("key", "query_id"), 3, "key", dim=16, bits=24)
+def test_any_number_of_cells(clustered):
+    queries = clustered.filter("key = 10").withColumnRenamed("key", "query_id")
+    found = ann.ann_topk(clustered, queries, 1, "key", 16, tables=8, bits=20).collect()
+    assert [(r["key"], round(r["distance"], 9)) for r in found] == [(10, 0.0)]
+
 
 
 def test_embedding_with_a_model(spark):
