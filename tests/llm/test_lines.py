@@ -19,13 +19,13 @@ def distance(a, b):
     return row[-1]
 
 
-def brute(docs, least=5):
+def brute(docs, least=5, close=lambda a, b: distance(a, b) <= 1):
     found = []
     every = sorted((d, i, tuple(line.lower().split())) for d, t in docs if t and d is not None for i, line in enumerate(t.split("\n")))
     every = [x for x in every if len(x[2]) >= least]
     for n, (doc, line, words) in enumerate(every):
         equal = [x for x in every[:n] if x[2] == words]
-        near = [x for x in every[:n] if distance(x[2], words) <= 1]
+        near = [x for x in every[:n] if abs(len(x[2]) - len(words)) <= 1 and close(x[2], words)]
         if equal:
             found.append((doc, line, "equal", *equal[0][:2]))
         elif near:
