@@ -16,22 +16,11 @@ from sieverank.plans.groups import (
     mean_vectors,
     vectors_of,
 )
-from sieverank.plans.tables import table
+from sieverank.plans.tables import registry, table
 from sieverank.profiles import alloys
 from sieverank.session import cut
 
-QUERIES = {}
-ORACLES = {}
-
-
-def registered(sql=None):
-    def add(run):
-        QUERIES[run.__name__] = run
-        if sql:
-            ORACLES[run.__name__] = sql
-        return run
-
-    return add
+QUERIES, ORACLES, registered = registry()
 
 
 @registered(

@@ -9,7 +9,7 @@ from sieverank.functions.text import absent_to_zero, parse_hardness, parse_ratin
 from sieverank.operators import quality, records
 from sieverank.operators.lexical import embed
 from sieverank.operators.nearest import collection_count
-from sieverank.plans.tables import table
+from sieverank.plans.tables import registry, table
 from sieverank.sources.cases import rules_from_json
 from sieverank.sources.cases import rules_long as to_rules_long
 from sieverank.session import shared_folder
@@ -17,18 +17,7 @@ from sieverank.sources import catalog as files
 from sieverank.sources.catalog import catalog_health as to_health
 from sieverank.sources.catalog import catalog_listing as to_listing
 
-QUERIES = {}
-ORACLES = {}
-
-
-def registered(sql=None):
-    def add(run):
-        QUERIES[run.__name__] = run
-        if sql:
-            ORACLES[run.__name__] = sql
-        return run
-
-    return add
+QUERIES, ORACLES, registered = registry()
 
 
 PART_NAMES = {"p_partkey": "Part", "p_name": "Name", "p_type": "Family", "p_size": "Size", "p_retailprice": "Price"}

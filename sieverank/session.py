@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,6 +21,9 @@ SESSION_DEFAULTS = {
 }
 
 
+_scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
 def get_session(app_name: str = "sieverank", **overrides: str) -> SparkSession:
     """The running session, or a new one with this package's defaults.
 
@@ -44,7 +50,23 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
         base = tempfile.gettempdir()
     application = f"sieverank-{spark.sparkContext.applicationId}"
-    return os.path.join(base, application, f"{purpose}-{uuid.uuid4().hex}")
+    path = os.path.join(base, application, f"{purpose}-{uuid.uuid4().hex}")
+    if (folders := _scratch.get()) is not None:
+        folders.append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes, at the end, the shared folders that were named inside: for steps that repeat, as in streams."""
+    token = _scratch.set(folders := [])
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        for folder in folders:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame, purpose: str) -> DataFrame:
