@@ -27,6 +27,7 @@ from sieverank.operators.predicates import (
     set_counts,
     survivor_counts,
     survivors,
+    typed_survivors,
     with_outcome,
 )
 from sieverank.operators.records import payload_or_empty
@@ -218,12 +219,15 @@ def result_struct(
 
 
 def query_survivors(catalog: DataFrame, queries: DataFrame, key: str, allowed: Sequence[str], max_sets: int = MAX_SETS) -> DataFrame:
-    """``(query_id, key)``: every record that meets a query's conditions; none for a query in error."""
+    """``(query_id, key)``: every record that meets a query's conditions; none for a query in error.
+
+    Lists of plain comparisons are joined as data, however many there are; the rest is planned.
+    """
     cleaned = queries.select("query_id", normalise(F.col("conditions")).alias("conditions"))
-    found = None
-    for part, plan in planned_parts(catalog, cleaned, allowed, max_sets):
+    found, left = typed_survivors(catalog, cleaned, key, allowed)
+    for part, plan in planned_parts(catalog, left, allowed, max_sets):
         one = survivors(catalog, plan, key).join(part.select("query_id", "set_id"), "set_id").select("query_id", key)
-        found = one if found is None else found.unionByName(one)
+        found = found.unionByName(one)
     return found
 
 

@@ -458,3 +458,70 @@ def refused_fields(typed: Column, allowed: Sequence[str]) -> Column:
     """Fields outside the list, and one null per entry that could not be read."""
     outside = F.filter(typed, lambda c: ~F.coalesce(c["field"].isin(list(allowed)), F.lit(False)))
     return F.transform(outside, lambda c: c["field"])
+
+
+# --- many lists of typed conditions -----------------------------------------------------
+
+
+def _compared(value: Column, op: Column, other: Column) -> Column:
+    return (
+        F.when(op == "=", value == other).when(op == ">", value > other).when(op == ">=", value >= other)
+        .when(op == "<", value < other).when(op == "<=", value <= other)
+    )
+
+
+def typed_survivors(catalog: DataFrame, queries: DataFrame, key: str, allowed: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """``(query_id, key)`` for queries whose conditions are plain comparisons, and the queries left over.
+
+    ``queries`` has ``query_id`` and normalised ``conditions``, any number of different lists. The
+    equalities of a list become one join key, so the catalog is read once and repeated only for each set of
+    fields that some list compares for equality; the other comparisons are checked on the joined rows.
+    Lists with no equality, or with anything but comparisons of allowed fields with literals of their
+    kind, are left over for ``planned_parts``.
+    """
+    kinds = {f.name: f.dataType for f in catalog.select(*allowed).schema.fields}
+    texts = [f for f, kind in kinds.items() if isinstance(kind, StringType)]
+    numbers = [f for f, kind in kinds.items() if isinstance(kind, NumericType)]
+
+    def plain(c: Column) -> Column:
+        text = c["field"].isin(texts) & c["text"].isNotNull()
+        number = c["field"].isin(numbers) & c["number"].isNotNull() & (F.abs(c["number"]) < 2**53)
+        return F.coalesce(text | number, F.lit(False))
+
+    marked = queries.withColumn("typed", parse_conditions(F.col("conditions")))
+    equal = F.array_distinct(F.transform(F.filter("typed", lambda c: c["op"] == "="), lambda c: c["field"]))
+    marked = marked.withColumn("fields", F.array_sort(equal))
+    usable = (F.size("fields") > 0) & F.forall("typed", plain)
+    left = marked.filter(~usable).drop("typed", "fields")
+
+    def of(fields: Column, value) -> Column:
+        return F.xxhash64(fields, F.transform(fields, value))
+
+    def asked(field: Column) -> Column:
+        found = F.get(F.filter("typed", lambda c: (c["field"] == field) & (c["op"] == "=")), F.lit(0))
+        return F.coalesce(found["text"], found["number"].cast("string"))
+
+    lists = marked.filter(usable).groupBy("conditions").agg(
+        F.first("typed").alias("typed"), F.first("fields").alias("fields")
+    ).withColumn("hash", of(F.col("fields"), asked))
+    sets = [r["fields"] for r in lists.select("fields").distinct().collect()]  # sets of allowed fields
+    named = F.create_map(*[x for f in texts + numbers for x in (F.lit(f), _as_text(f, kinds[f]))])
+    keys = [of(F.array(*[F.lit(f) for f in fields]), lambda f: F.element_at(named, f)) for fields in sets]
+    rows = catalog.select(key, *[f for f in allowed if f != key], F.explode(F.array(*keys) if keys else F.array().cast("array<bigint>")).alias("hash"))
+
+    def holds(c: Column) -> Column:
+        found = F.lit(None).cast("boolean")
+        for f in texts + numbers:
+            other = c["text"] if f in texts else c["number"]
+            value = F.col(f) if f in texts else F.col(f).cast("double")
+            found = F.when(c["field"] == f, _compared(value, c["op"], other)).otherwise(found)
+        return F.coalesce(found, F.lit(False))
+
+    met = rows.join(lists, "hash").filter(F.forall("typed", holds)).select("conditions", key)
+    found = marked.filter(usable).select("query_id", "conditions").join(met, "conditions").select("query_id", key)
+    return found, left
+
+
+def _as_text(field: str, kind) -> Column:
+    """A field's value as equalities spell it: numbers as doubles."""
+    return F.col(field) if isinstance(kind, StringType) else F.col(field).cast("double").cast("string")

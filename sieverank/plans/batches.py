@@ -305,6 +305,22 @@ def query_survivors(spark, sf_dir):
     return hybrid.query_survivors(catalog_of(spark, sf_dir), group_queries(spark, sf_dir), "doc_id", ALLOWED)
 
 
+@registered(
+    """SELECT o_orderkey AS query_id, c.c_custkey FROM orders JOIN customer o ON o.c_custkey = o_custkey
+       JOIN customer c ON c.c_mktsegment = o.c_mktsegment AND c.c_nationkey = o.c_nationkey AND c.c_acctbal >= floor(o_totalprice / 50)"""
+)
+def many_condition_lists(spark, sf_dir):
+    """A condition list per order: customers of its customer's segment and nation with enough money."""
+    customers, orders = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    conditions = F.expr(
+        """array("c_mktsegment = '" || c_mktsegment || "'",
+                 'c_nationkey = ' || c_nationkey || ' AND c_acctbal >= ' || cast(floor(o_totalprice / 50) as bigint))"""
+    )
+    asked = orders.join(customers, orders.o_custkey == customers.c_custkey)
+    queries = cut(asked.select(F.col("o_orderkey").alias("query_id"), conditions.alias("conditions")), "order-queries")
+    return hybrid.query_survivors(customers, queries, "c_custkey", ["c_mktsegment", "c_nationkey", "c_acctbal"])
+
+
 _RISKY = """CASE source
     WHEN 'src1' THEN array("lang = 'en'", '1000 / (n_chars - n_chars % 2 - doc_id * 2) > 1')
     WHEN 'src2' THEN array("cast(substr(lang, 1, 1) as int) > 0")
