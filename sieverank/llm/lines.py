@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieverank.llm import texts
@@ -99,20 +99,29 @@ def line_keys(documents: DataFrame, min_words: int) -> DataFrame:
     return bare.mapInArrow(run, "doc_id long, line int, h long, g long, anchors array<long>")
 
 
-def _variants(chosen: DataFrame) -> DataFrame:
-    """(key, place, at) of the lines in (doc_id, line, text): place -1 for the line itself."""
+def _variants(numbered: DataFrame) -> DataFrame:
+    """(key, place, at) of the lines in (at, text): place -1 for the line itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in texts.blocks(batches, "text", 1 << 18):
             hashes = Hashes(*texts.split_words(block.column("text")))
-            doc, line = (block.column(c).to_numpy() for c in ("doc_id", "line"))
+            at = block.column("at").to_numpy()
             keys = np.concatenate([hashes.whole(1), hashes.variants()]).view(np.int64)
-            place = np.concatenate([np.full(len(doc), -1), hashes.place]).astype(np.int32)
-            docs, numbers = (np.concatenate([c, c[hashes.line]]) for c in (doc, line))
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (keys, place, docs, numbers)], ["key", "place", "doc_id", "line"])
+            place = np.concatenate([np.full(len(at), -1), hashes.place]).astype(np.int32)
+            owner = np.concatenate([at, at[hashes.line]])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (keys, place, owner)], ["key", "place", "at"])
 
-    rows = chosen.mapInArrow(run, "key long, place int, doc_id long, line int")
-    return rows.select("key", "place", F.struct("doc_id", "line").alias("at"))
+    return numbered.select("at", "text").mapInArrow(run, "key long, place int, at long")
+
+
+def _in_order(lines: DataFrame) -> DataFrame:
+    """Adds ``at``: one number per (doc_id, line), in their order, counted part by part."""
+    dealt = cut(lines.repartitionByRange("doc_id", "line").withColumn("part", F.spark_partition_id()), "dealt")
+    ranked = dealt.withColumn("own", F.dense_rank().over(Window.partitionBy("part").orderBy("doc_id", "line")))
+    sizes = ranked.groupBy("part").agg(F.max("own").alias("n"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per part
+    before = sizes.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    return ranked.join(F.broadcast(before), "part").select((F.col("own") + F.col("before")).alias("at"), "doc_id", "line", "text")
 
 
 def within_one(a: list[str], b: list[str]) -> bool:
@@ -141,8 +150,7 @@ def _verified(links: DataFrame) -> DataFrame:
             good = [within_one(a, b) for a, b in zip(*words, strict=True)]
             yield block.select(["at", "near"]).filter(pa.array(good, pa.bool_()))
 
-    kind = "struct<doc_id:bigint,line:int>"
-    return links.mapInArrow(run, f"at {kind}, near {kind}")
+    return links.mapInArrow(run, "at long, near long")
 
 
 def _texts_of(documents: DataFrame, lines: DataFrame) -> DataFrame:
@@ -177,18 +185,22 @@ def repeats(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     shared = anchors.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
     chosen = anchors.join(shared, "anchor").select("at.doc_id", "at.line").distinct()
     # Line texts travel once; rows that repeat an id give a place several texts, each with its variants.
-    lines = cut(_texts_of(documents, chosen).distinct(), "chosen")
+    lines = cut(_in_order(_texts_of(documents, chosen).distinct()), "chosen")
     variants = cut(_variants(lines), "variants")
-    mins = cut(variants.groupBy("key", "place").agg(F.min("at").alias("least"), F.count("*").alias("n")), "keys")
-    replaced = variants.join(mins.filter("n > 1 and place >= 0"), ["key", "place"]).select("at", F.col("least").alias("near"))
-    full, less = mins.filter("place < 0"), mins.filter("place >= 0").groupBy("key").agg(F.min("least").alias("least"))
-    both = full.select("key").join(less.select("key"), "key").distinct()
-    shorter = variants.filter("place >= 0").join(full.select("key", F.col("least").alias("near")).join(both, "key"), "key").select("at", "near")
-    longer = variants.filter("place < 0").join(less.select("key", F.col("least").alias("near")).join(both, "key"), "key").select("at", "near")
-    links = replaced.union(shorter).union(longer).filter("near < at").distinct()
-    named = lines.select(at.alias("at"), "text")
+    mins = cut(variants.groupBy("key", "place").agg(F.min("at").alias("least"), F.max("at").alias("most")), "keys")
+    replaced = variants.join(mins.filter("least < most and place >= 0"), ["key", "place"]).select("at", F.col("least").alias("near"))
+    full = mins.filter("place < 0").select("key", F.col("least").alias("whole"), F.col("most").alias("last_whole"))
+    less = mins.filter("place >= 0").groupBy("key").agg(F.min("least").alias("least"), F.max("most").alias("most"))
+    both = cut(full.join(less, "key").filter("whole < most or least < last_whole"), "both")
+    met = variants.join(both, "key")
+    crossed = met.select("at", F.when(F.col("place") < 0, F.col("least")).otherwise(F.col("whole")).alias("near"))
+    links = replaced.union(crossed).filter("near < at").distinct()
+    named = lines.select("at", "text")
     texted = links.join(named, "at").join(named.select(F.col("at").alias("near"), F.col("text").alias("other")), "near")
-    near = _verified(texted).groupBy("at").agg(F.min("near").alias("of"))
+    near = _verified(texted).groupBy("at").agg(F.min("near").alias("near"))
+    places = lines.select("at", F.struct("doc_id", "line").alias("spot")).distinct()
+    near = near.join(places, "at").select(F.col("spot").alias("at"), "near")
+    near = near.join(places.select(F.col("at").alias("near"), F.col("spot").alias("of")), "near").select("at", "of")
     found = equal.withColumn("kind", F.lit("equal")).unionByName(near.withColumn("kind", F.lit("near")))
     return found.select("at.doc_id", "at.line", "kind", F.col("of.doc_id").alias("of_doc_id"), F.col("of.line").alias("of_line"))
 
