@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from sieverank.llm import texts
 from sieverank.session import cut, shared_folder
 
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 12 << 20
 END = "\n"
 #: Table sizes as powers of two, for the contexts of 0 to 4 bytes before.
 BITS = (8, 16, 18, 20, 20)
@@ -47,6 +47,7 @@ BLOCK_SLOTS = 1 << 14
 LEVELS, COLUMNS = 8, 33
 GATES = LEVELS * 4
 BATCH_WORDS = 4_096
+STEP_BITS = 16_384
 RATE = 0.3
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -102,54 +103,89 @@ class Spelled:
         mixed = (mixed ^ (mixed >> np.uint64(31))) * _A
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed, dtype=np.uint64)])[:-1]
         whole = (sums - sums[self.heads][self.owner] + place.astype(np.uint64)) * _B
-        self.whole = whole ^ (whole >> np.uint64(32))
+        whole ^= whole >> np.uint64(32)
+        # Where a whole beginning is counted exactly: its number, or -1 where no other token shares it.
         self.deep = place > HEAD_BYTES
+        self.beginning = np.full(len(data), -1, np.int64)
+        far = np.flatnonzero(self.deep)
+        _, same, shared = np.unique(whole[far], return_inverse=True, return_counts=True)
+        self.beginning[far] = np.where(shared[same] > 1, same, -1)
 
-    def bits(self) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]]:
-        """Per place in the code: which bytes have it, their bits, their slots per order, and a key of all before."""
+    def bits(self, weight: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Per place in the code and up to ``STEP_BITS`` bits: bytes, nodes, bits, and exact counts.
+
+        ``weight`` is how often each byte occurs in training. The counts (zeros and ones seen after the
+        same beginning) are -1 where the hashed contexts know the beginning.
+        """
         for nth in range(int(self.code.length[self.bytes].max(initial=0))):
             at = np.flatnonzero(self.code.length[self.bytes] > nth)
             byte = self.bytes[at]
-            node = self.code.node[nth][byte]
-            salt = (node.astype(np.uint64) + np.uint64(1)) * _B
-            slots = [node]
-            for order in range(1, len(BITS)):
-                mixed = (self.contexts[order][at] ^ salt) * _A
-                slots.append((mixed >> np.uint64(64 - BITS[order])).astype(np.int64) + SLOTS[order])
-            yield at, self.code.bit[nth][byte], slots, (self.whole[at] ^ salt) * _A
-
+            node, bit = self.code.node[nth][byte], self.code.bit[nth][byte]
+            exact = np.full((len(at), 2), -1, np.float32)
+            deep = self.deep[at]
+            exact[deep] = 0
+            exact[deep, bit[deep]] = weight[at[deep]]
+            far = np.flatnonzero(self.beginning[at] >= 0)
+            if len(far):
+                _, same = np.unique(self.beginning[at[far]] << 8 | node[far], return_inverse=True)
+                total = np.bincount(same, weight[at[far]])
+                ones = np.bincount(same, weight[at[far]] * bit[far])
+                exact[far] = np.stack([total - ones, ones], axis=1)[same]
+            for start in range(0, len(at), STEP_BITS):
+                part = slice(start, start + STEP_BITS)
+                yield at[part], node[part], bit[part], exact[part]
+
+    def slots(self, at: np.ndarray, node: np.ndarray) -> Iterator[np.ndarray]:
+        """The slots of bits in the joint table, order by order."""
+        salt = (node.astype(np.uint64) + np.uint64(1)) * _B
+        yield node
+        for order in range(1, len(BITS)):
+            mixed = (self.contexts[order][at] ^ salt) * _A
+            yield (mixed >> np.uint64(64 - BITS[order])).astype(np.int64) + SLOTS[order]
+
+
+def stretched(pair: np.ndarray) -> np.ndarray:
+    """The logarithm of ones to zeros, each with a little added."""
+    return np.log((pair[:, 1] + np.float32(0.4)) / (pair[:, 0] + np.float32(0.4)))
+
+
+def _gate(longest: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """The weight set: by what the whole beginning and the last four bytes have seen, and if one side only."""
+    most, some = np.log2(1 + longest.sum(axis=1)), np.log2(1 + seen)
+    sure = (longest.min(axis=1) == 0).astype(np.int64)
+    return np.minimum(most, LEVELS - 1).astype(np.int64) * 4 + np.minimum(some / 4, 1).astype(np.int64) * 2 + sure
 
-def _stretches(
-    table: np.ndarray, slots: list[np.ndarray], key: np.ndarray, deep: np.ndarray, weight: np.ndarray, bit: np.ndarray, left_out: bool
-) -> tuple[np.ndarray, np.ndarray]:
-    """(orders, bits) stretched predictions, and the weight set of each bit.
 
-    ``weight`` is how often each bit occurs in training; one occurrence is left out if asked.
-    """
+def inputs_without(table: np.ndarray, spelled: Spelled, at: np.ndarray, node: np.ndarray, bit: np.ndarray, exact: np.ndarray):
+    """(orders, bits) predictions from counts less the occurrence they predict, and the gates."""
     inputs = np.empty((ORDERS, len(bit)), np.float32)
-    own = np.stack([1 - bit, bit], axis=1).astype(np.float32) if left_out else None
-    pair = None
-    for order, slot in enumerate(slots):
-        pair = table[slot]
-        if left_out:
-            pair = np.maximum(pair - own, 0)
-        inputs[order] = np.log((pair[:, 1] + np.float32(0.4)) / (pair[:, 0] + np.float32(0.4)))
-    longest = pair.copy()
-    far = np.flatnonzero(deep)
-    if len(far):
-        _, same = np.unique(key[far], return_inverse=True)
-        total = np.bincount(same, weight[far])
-        ones = np.bincount(same, weight[far] * bit[far])
-        exact = np.stack([total - ones, ones], axis=1)[same]
-        if left_out:
-            exact = np.maximum(exact - own[far], 0)
-        longest[far] = exact
-    inputs[-1] = np.log((longest[:, 1] + np.float32(0.4)) / (longest[:, 0] + np.float32(0.4)))
-    most, some = np.log2(1 + longest.sum(axis=1)), np.log2(1 + pair.sum(axis=1))
-    # One side only seen so far is another matter than both.
-    sure = (longest.min(axis=1) == 0).astype(np.int64)
-    gate = np.minimum(most, LEVELS - 1).astype(np.int64) * 4 + np.minimum(some / 4, 1).astype(np.int64) * 2 + sure
-    return inputs, gate
+    own = np.stack([1 - bit, bit], axis=1).astype(np.float32)
+    pair = own
+    for order, slot in enumerate(spelled.slots(at, node)):
+        pair = np.maximum(table[slot] - own, 0)
+        inputs[order] = stretched(pair)
+    longest = np.where(exact < 0, pair, np.maximum(exact - own, 0))
+    inputs[-1] = stretched(longest)
+    return inputs, _gate(longest, pair.sum(axis=1))
+
+
+def inputs_of(ready: tuple[np.ndarray, np.ndarray], spelled: Spelled, at: np.ndarray, node: np.ndarray, exact: np.ndarray):
+    """The same from all counts, with the hashed contexts' predictions and their last counts ready."""
+    lines, last = ready
+    inputs = np.empty((ORDERS, len(at)), np.float32)
+    for order, slot in enumerate(spelled.slots(at, node)):
+        inputs[order] = lines[slot]
+    pair = last[slot - SLOTS[ORDERS - 2]]
+    longest = np.where(exact < 0, pair, exact)
+    inputs[-1] = stretched(longest)
+    return inputs, _gate(longest, pair.sum(axis=1))
+
+
+def _mixed(inputs: np.ndarray, weights: np.ndarray, gate: np.ndarray) -> np.ndarray:
+    line = inputs[0] * weights[gate, 0]
+    for order in range(1, ORDERS):
+        line += inputs[order] * weights[gate, order]
+    return line
 
 
 def _squash(values: np.ndarray) -> np.ndarray:
@@ -165,8 +201,8 @@ def counted(words: list[bytes], counts: np.ndarray, table: np.ndarray, code: Cod
     """Adds each token's bits, as often as it occurs, to the joint table (slots, 2)."""
     spelled = Spelled(words, code)
     weight = counts[spelled.owner].astype(np.float64)
-    for at, bit, slots, _ in spelled.bits():
-        for slot in slots:
+    for at, node, bit, _ in spelled.bits(weight):
+        for slot in spelled.slots(at, node):
             np.add.at(table.reshape(-1), slot * 2 + bit, weight[at])
 
 
@@ -184,10 +220,10 @@ class Mixer:
     def learn(self, words: list[bytes], counts: np.ndarray, table: np.ndarray, code: Code) -> None:
         spelled = Spelled(words, code)
         weights = counts[spelled.owner].astype(np.float64)
-        for at, bit, slots, key in spelled.bits():
+        for at, node, bit, exact in spelled.bits(weights):
             weight = weights[at]
-            inputs, gate = _stretches(table, slots, key, spelled.deep[at], weight, bit, True)
-            line = np.einsum("kn,nk->n", inputs, self.weights[gate])
+            inputs, gate = inputs_without(table, spelled, at, node, bit, exact)
+            line = _mixed(inputs, self.weights, gate)
             error = weight * (bit - _squash(line))
             total = np.bincount(gate, weight, GATES)
             for order in range(ORDERS):
@@ -198,14 +234,18 @@ class Mixer:
             cell = (gate * COLUMNS + _column(line)) * 2 + bit
             self.map += np.bincount(cell, weight, GATES * COLUMNS * 2).reshape(self.map.shape)
 
-    def cost(self, words: list[bytes], counts: np.ndarray, table: np.ndarray, refine: np.ndarray, code: Code) -> np.ndarray:
-        """log10 of each token's probability; ``refine`` is the map's share of ones, (gates, columns)."""
+    def cost(self, words: list[bytes], counts: np.ndarray, ready: tuple, refine: np.ndarray, code: Code) -> np.ndarray:
+        """log10 of each token's probability.
+
+        ``ready`` is the joint table's predictions and the counts of its last order, ``refine`` the
+        map's share of ones, (gates, columns).
+        """
         spelled = Spelled(words, code)
         weights = counts[spelled.owner].astype(np.float64)
         total = np.zeros(len(spelled.bytes))
-        for at, bit, slots, key in spelled.bits():
-            inputs, gate = _stretches(table, slots, key, spelled.deep[at], weights[at], bit, False)
-            line = np.einsum("kn,nk->n", inputs, self.weights[gate])
+        for at, node, bit, exact in spelled.bits(weights):
+            inputs, gate = inputs_of(ready, spelled, at, node, exact)
+            line = _mixed(inputs, self.weights, gate)
             one = (_squash(line) + refine[gate, _column(line)]) / 2
             total[at] += np.log10(np.where(bit == 1, one, 1 - one))
         return np.add.reduceat(total, spelled.heads) if len(words) else np.zeros(0)
@@ -437,10 +477,10 @@ def score(documents: DataFrame, modulus: int = 7, held: int = 2, group: str | No
     weights, refine = learned(ordered, table, code)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer = Mixer(weights)
+        mixer, ready = Mixer(weights), (stretched(table.value), table.value[SLOTS[-2] :])
         for part, spelled, c in _batches(batches):
             size = np.fromiter((len(w) + (w != b"\n") for w in spelled), np.int64, len(spelled))
-            cost = mixer.cost(spelled, c, table.value, refine, code)
+            cost = mixer.cost(spelled, c, ready, refine, code)
             found = pa.table([part.column("word"), part.column("c"), pa.array(size), pa.array(cost), part.column("groups")],
                              names=["word", "c", "bytes", "cost", "groups"])
             yield from found.combine_chunks().to_batches(65_536)
