@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from sieverank.llm import texts
 from sieverank.session import cut, shared_folder
 
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 64 << 20
 END = "\n"
 #: Table sizes as powers of two, for the contexts of 0 to 4 bytes before.
 BITS = (8, 16, 18, 20, 20)
@@ -254,48 +254,65 @@ class Mixer:
 _GROUPED = ", ".join(f"n{g} long" for g in range(GROUPS))
 
 
+def packed_numbers(numbers: np.ndarray, size: int) -> np.ndarray:
+    """Numbers below ``size`` as rows of bytes, three of them if that is enough."""
+    width = 3 if size <= 1 << 24 else 4
+    return np.ascontiguousarray(numbers.astype("<u4")).view(np.uint8).reshape(-1, 4)[:, :width]
+
+
+def unpacked_numbers(data: bytes, size: int) -> np.ndarray:
+    width = 3 if size <= 1 << 24 else 4
+    out = np.zeros((len(data) // width, 4), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
+    return out.view("<u4")[:, 0]
+
+
 def encoded(bare: DataFrame) -> str:
     """Writes texts as numbers of their chunk's tokens, and the tokens of each chunk; gives the folder.
 
-    kind=0: chunk, doc_id, held_out, tokens (32-bit numbers). kind=1: chunk, number, word, and how often the
-    word occurs in training texts of each group.
+    kind=0: chunk, doc_id, held_out, tokens (packed numbers). kind=1: chunk, number, word, and how often the
+    word occurs in training texts of each group. Texts are dropped block by block; a chunk holds numbers
+    and its words only.
     """
     schema = "kind int, chunk long, doc_id long, held_out boolean, tokens binary, number int, word string, " + _GROUPED
     names = [part.split()[0] for part in schema.split(", ")]
 
-    def whole(chunk: int, batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(batches).combine_chunks()
-        column = table.column("text").combine_chunks() if table.column("text").num_chunks != 1 else table.column("text").chunk(0)
-        words, starts = texts.split_words(column)
-        coded = words.dictionary_encode()
-        numbers = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32)
-        end = np.int32(len(coded.dictionary))
-        rows, size = table.num_rows, int(end) + 1
-        trained = ~table.column("held_out").to_numpy().astype(bool)
-        group = table.column("group").to_numpy()
-        cell = (np.repeat(group, np.diff(starts)) * size + numbers)[np.repeat(trained, np.diff(starts))]
-        counts = np.bincount(cell, minlength=size * GROUPS).reshape(GROUPS, size)
-        counts[:, end] = np.bincount(group[trained], minlength=GROUPS)
-        tokens = pa.array([np.append(numbers[a:b], end).tobytes() for a, b in zip(starts[:-1], starts[1:], strict=True)], pa.binary())
+    def whole(chunk: int, parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+        coded = pa.chunked_array([words for words, *_ in parts]).unify_dictionaries()
+        dictionary = coded.chunk(0).dictionary
+        end, size = len(dictionary), len(dictionary) + 1
+        counts = np.zeros(size * GROUPS)
         no = lambda n, kind: pa.nulls(n, kind)
-        columns = [pa.array(np.zeros(rows, np.int32)), pa.array(np.full(rows, chunk)), table.column("doc_id").combine_chunks(),
-                   table.column("held_out").combine_chunks(), tokens, no(rows, pa.int32()), no(rows, pa.string()), *[no(rows, pa.int64())] * GROUPS]
-        yield from pa.Table.from_arrays(columns, names).to_batches(4_096)
-        word = pa.concat_arrays([coded.dictionary, pa.array([END])])
+        for words, (_, starts, ids, held_out, group) in zip(coded.chunks, parts, strict=True):
+            numbers = words.indices.to_numpy(zero_copy_only=False)
+            trained = ~held_out.to_numpy(zero_copy_only=False)
+            cell = (np.repeat(group, np.diff(starts)) * size + numbers)[np.repeat(trained, np.diff(starts))]
+            counts += np.bincount(cell, minlength=len(counts))
+            counts[np.arange(GROUPS) * size + end] += np.bincount(group[trained], minlength=GROUPS)
+            rows, packed = len(ids), packed_numbers(np.append(numbers, end), size)
+            tail = packed[-1].tobytes()
+            tokens = pa.array([packed[a:b].tobytes() + tail for a, b in zip(starts[:-1], starts[1:], strict=True)], pa.binary())
+            columns = [pa.array(np.zeros(rows, np.int32)), pa.array(np.full(rows, chunk)), ids, held_out, tokens,
+                       no(rows, pa.int32()), no(rows, pa.string()), *[no(rows, pa.int64())] * GROUPS]
+            yield pa.RecordBatch.from_arrays(columns, names)
+        word = pa.concat_arrays([dictionary, pa.array([END])])
         columns = [pa.array(np.ones(size, np.int32)), pa.array(np.full(size, chunk)), no(size, pa.int64()), no(size, pa.bool_()),
-                   no(size, pa.binary()), pa.array(np.arange(size, dtype=np.int32)), word, *(pa.array(c.astype(np.int64)) for c in counts)]
+                   no(size, pa.binary()), pa.array(np.arange(size, dtype=np.int32)), word,
+                   *(pa.array(c.astype(np.int64)) for c in counts.reshape(GROUPS, size))]
         yield from pa.Table.from_arrays(columns, names).to_batches(65_536)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, held_back, size = TaskContext.get().partitionId() << 32, [], 0
+        chunk, parts, size = TaskContext.get().partitionId() << 32, [], 0
         for block in texts.blocks(batches, "text"):
-            held_back.append(block)
-            size += block.nbytes
+            words, starts = texts.split_words(block.column("text"))
+            held_out, group = pa.concat_arrays([block.column("held_out")]), block.column("group").to_numpy()
+            parts.append((words.dictionary_encode(), starts, pa.concat_arrays([block.column("doc_id")]), held_out, group))
+            size += block.column("text").nbytes
             if size >= CHUNK_BYTES:
-                yield from whole(chunk, held_back)
-                chunk, held_back, size = chunk + 1, [], 0
-        if held_back:
-            yield from whole(chunk, held_back)
+                yield from whole(chunk, parts)
+                chunk, parts, size = chunk + 1, [], 0
+        if parts:
+            yield from whole(chunk, parts)
 
     path = shared_folder(bare.sparkSession, "encoded")
     bare.mapInArrow(run, schema).write.partitionBy("kind").parquet(path)
@@ -309,14 +326,14 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list
         rows = pa.concat_tables(parts).combine_chunks()
         return rows, [w.encode() for w in rows.column("word").to_pylist()], rows.column("c").to_numpy()
 
-    waiting, size = [], 0
+    waiting, size, last = [], 0, None
     for batch in batches:
         rows = pa.Table.from_batches([batch])
-        heads = batch.column("head").to_pylist()
+        heads = [w.encode()[: HEAD_BYTES + 1] for w in batch.column("word").to_pylist()]
         cuts = [i for i in range(1, len(heads)) if heads[i] != heads[i - 1]]
-        if waiting and heads and waiting[-1].column("head")[-1].as_py() != heads[0]:
+        if waiting and heads and last != heads[0]:
             cuts.insert(0, 0)
-        start = 0
+        start, last = 0, heads[-1] if heads else last
         for at in cuts:
             if size + at - start >= BATCH_WORDS:
                 waiting.append(rows.slice(start, at - start))
@@ -376,7 +393,7 @@ def hashed_counts(vocabulary: DataFrame, code: Code) -> np.ndarray:
         return pa.table([*cells, pa.array([_packed(total)], pa.binary())], names=["block", "part", "counts"])
 
     schema = "block long, part long, counts binary"
-    blocks = vocabulary.filter("c > 0").mapInArrow(run, schema)
+    blocks = vocabulary.mapInArrow(run, schema)
     summed = blocks.groupBy("block", "part").applyInArrow(add, schema).groupBy("block").applyInArrow(add, schema)
     table = np.zeros((SLOTS[-1], 2), np.float32)
     for row in cut(summed, "counts").toLocalIterator():
@@ -406,7 +423,7 @@ def learned(vocabulary: DataFrame, table, code: Code) -> tuple[np.ndarray, np.nd
         values = np.concatenate([mixer.weights.astype(np.float64).ravel() * mass, mass, (mixer.map - before).ravel()])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values))), pa.array(values)], ["at", "value"])
 
-    rows = vocabulary.filter("c > 0").mapInArrow(run, "at long, value double").groupBy("at").agg(F.sum("value").alias("value"))
+    rows = vocabulary.mapInArrow(run, "at long, value double").groupBy("at").agg(F.sum("value").alias("value"))
     size = GATES * ORDERS
     values = np.zeros(2 * size + GATES * COLUMNS * 2)
     found = rows.toArrow()  # as many rows as there are weights and cells
@@ -418,19 +435,19 @@ def learned(vocabulary: DataFrame, table, code: Code) -> tuple[np.ndarray, np.nd
 
 
 def counted_words(words: DataFrame) -> DataFrame:
-    """The vocabulary: word, its counts per group and in all, and its first bytes."""
+    """The vocabulary: word, its counts per group and in all."""
     sums = words.groupBy("word").agg(*(F.sum(f"n{g}").alias(f"n{g}") for g in range(GROUPS)))
     total = sum((F.col(f"n{g}") for g in range(1, GROUPS)), F.col("n0"))
-    return sums.withColumn("c", total).withColumn("head", F.expr(f"substring(cast(word as binary), 1, {HEAD_BYTES + 1})"))
+    return sums.withColumn("c", total)
 
 
 def with_groups(vocabulary: DataFrame, shares: np.ndarray) -> DataFrame:
-    """(word, c, head, groups): the groups' shares of a word as eight numbers of 1 to 255 in 64 bits."""
+    """(word, c, groups): the groups' shares of a word as eight numbers of 1 to 255 in 64 bits."""
     packed = F.lit(0).cast("long")
     for g in range(GROUPS):
         share = (F.col(f"n{g}") + float(shares[g])) / (F.col("c") + 1)
         packed = packed.bitwiseOR(F.shiftleft(F.greatest(F.lit(1), F.round(share * 255)).cast("long"), 8 * g))
-    return vocabulary.select("word", "c", "head", packed.alias("groups"))
+    return vocabulary.select("word", "c", packed.alias("groups"))
 
 
 def unpacked(groups: np.ndarray) -> np.ndarray:
@@ -471,28 +488,29 @@ def score(documents: DataFrame, modulus: int = 7, held: int = 2, group: str | No
     shares = np.array([(sums[2 + g] or 0) + 1.0 for g in range(GROUPS)])
     shares /= shares.sum()
     vocabulary = cut(with_groups(counts, shares), "vocabulary")
-    ordered = vocabulary.repartition("head").sortWithinPartitions("head", "word")
+    head = F.expr(f"substring(cast(word as binary), 1, {HEAD_BYTES + 1})")
+    ordered = vocabulary.repartition(head).sortWithinPartitions("word")
+    seen = vocabulary.filter("c > 0").select("word", "c").repartition(head).sortWithinPartitions("word")
     code = Code(byte_counts(vocabulary.filter("c > 0")))
-    table = spark.sparkContext.broadcast(hashed_counts(ordered, code))
-    weights, refine = learned(ordered, table, code)
+    table = spark.sparkContext.broadcast(hashed_counts(seen, code))
+    weights, refine = learned(seen, table, code)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mixer, ready = Mixer(weights), (stretched(table.value), table.value[SLOTS[-2] :])
         for part, spelled, c in _batches(batches):
-            size = np.fromiter((len(w) + (w != b"\n") for w in spelled), np.int64, len(spelled))
-            cost = mixer.cost(spelled, c, ready, refine, code)
-            found = pa.table([part.column("word"), part.column("c"), pa.array(size), pa.array(cost), part.column("groups")],
-                             names=["word", "c", "bytes", "cost", "groups"])
+            cost = mixer.cost(spelled, c, ready, refine, code).astype(np.float32)
+            found = pa.table([part.column("word"), part.column("c"), pa.array(cost), part.column("groups")], names=["word", "c", "cost", "groups"])
             yield from found.combine_chunks().to_batches(65_536)
 
-    costs = cut(ordered.mapInArrow(run, "word string, c long, bytes long, cost double, groups long"), "costs")
+    costs = cut(ordered.mapInArrow(run, "word string, c long, cost float, groups long"), "costs")
     # What a group's shares add up to, weighted by probability; tokens never seen have the shares of all.
     part = [F.shiftrightunsigned("groups", 8 * g).bitwiseAND(255) for g in range(GROUPS)]
     whole = sum(part[1:], part[0])
-    mass = costs.filter("c > 0").agg(*(F.sum(F.pow(F.lit(10.0), "cost") * (p / whole - float(shares[g]))) for g, p in enumerate(part))).first()
+    mass = costs.filter("c > 0").agg(*(F.sum(F.pow(F.lit(10.0), F.col("cost").cast("double")) * (p / whole - float(shares[g]))) for g, p in enumerate(part))).first()
     scale = np.log10(np.maximum(shares + np.array([m or 0.0 for m in mass]), 1e-9))
-    pulled = words.select("chunk", "number", "word").join(costs, "word").select(
-        F.col("chunk").alias("of_chunk"), "number", "c", "bytes", "cost", "groups"
+    spelled = F.when(F.col("word") == END, 1).otherwise(F.octet_length("word") + 1).cast("int")
+    pulled = words.select("chunk", "number", "word", spelled.alias("bytes")).join(costs, "word").select(
+        F.col("chunk").alias("of_chunk"), "number", "bytes", "c", "cost", "groups"
     )
 
     def summed(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -502,8 +520,9 @@ def score(documents: DataFrame, modulus: int = 7, held: int = 2, group: str | No
         known = np.where((c > 0)[:, None], unpacked(np.ascontiguousarray(groups)), shares)
         apart = np.log10(known) - scale
         found = []
+        cost = cost.astype(np.float64)
         for row in left.column("tokens"):
-            at = np.frombuffer(row.as_py(), np.int32)
+            at = unpacked_numbers(row.as_py(), len(c))
             each = np.log10(shares) + apart[at].sum(axis=0)
             most = each.max()
             mixed = float(cost[at].sum() + most + np.log10((10.0 ** (each - most)).sum()))
