@@ -22,6 +22,7 @@ share longer beginnings meet in one task, where those are counted exactly.
 from __future__ import annotations
 
 import heapq
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -281,24 +282,25 @@ def encoded(bare: DataFrame) -> str:
         coded = pa.chunked_array([words for words, *_ in parts]).unify_dictionaries()
         dictionary = coded.chunk(0).dictionary
         end, size = len(dictionary), len(dictionary) + 1
-        counts = np.zeros(size * GROUPS)
+        cells, ends = [], np.zeros(GROUPS, np.int64)
         no = lambda n, kind: pa.nulls(n, kind)
         for words, (_, starts, ids, held_out, group) in zip(coded.chunks, parts, strict=True):
             numbers = words.indices.to_numpy(zero_copy_only=False)
             trained = ~held_out.to_numpy(zero_copy_only=False)
-            cell = (np.repeat(group, np.diff(starts)) * size + numbers)[np.repeat(trained, np.diff(starts))]
-            counts += np.bincount(cell, minlength=len(counts))
-            counts[np.arange(GROUPS) * size + end] += np.bincount(group[trained], minlength=GROUPS)
+            cells.append((np.repeat(group, np.diff(starts)) * size + numbers)[np.repeat(trained, np.diff(starts))].astype(np.int32 if size < 1 << 27 else np.int64))
+            ends += np.bincount(group[trained], minlength=GROUPS)
             rows, packed = len(ids), packed_numbers(np.append(numbers, end), size)
             tail = packed[-1].tobytes()
             tokens = pa.array([packed[a:b].tobytes() + tail for a, b in zip(starts[:-1], starts[1:], strict=True)], pa.binary())
             columns = [pa.array(np.zeros(rows, np.int32)), pa.array(np.full(rows, chunk)), ids, held_out, tokens,
                        no(rows, pa.int32()), no(rows, pa.string()), *[no(rows, pa.int64())] * GROUPS]
             yield pa.RecordBatch.from_arrays(columns, names)
+        counts = np.bincount(np.concatenate(cells), minlength=size * GROUPS).reshape(GROUPS, size)
+        counts[:, end] = ends
         word = pa.concat_arrays([dictionary, pa.array([END])])
         columns = [pa.array(np.ones(size, np.int32)), pa.array(np.full(size, chunk)), no(size, pa.int64()), no(size, pa.bool_()),
                    no(size, pa.binary()), pa.array(np.arange(size, dtype=np.int32)), word,
-                   *(pa.array(c.astype(np.int64)) for c in counts.reshape(GROUPS, size))]
+                   *(pa.array(c) for c in counts)]
         yield from pa.Table.from_arrays(columns, names).to_batches(65_536)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -388,7 +390,9 @@ def hashed_counts(vocabulary: DataFrame, code: Code) -> np.ndarray:
                     )
 
     def add(rows: pa.Table) -> pa.Table:
-        total = sum(_unpacked(b.as_py()) for b in rows.column("counts"))
+        total = np.zeros((1, 2))
+        for counts in rows.column("counts"):
+            total = total + _unpacked(counts.as_py())
         cells = [pa.array([rows.column(c)[0].as_py()], pa.int64()) for c in ("block", "part")]
         return pa.table([*cells, pa.array([_packed(total)], pa.binary())], names=["block", "part", "counts"])
 
@@ -404,11 +408,11 @@ def hashed_counts(vocabulary: DataFrame, code: Code) -> np.ndarray:
 
 
 def _packed(block: np.ndarray) -> bytes:
-    return block.astype(np.float64).tobytes()
+    return zlib.compress(block.astype(np.float64).tobytes(), 1)  # a task's blocks are mostly zero
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, np.float64).reshape(-1, 2)
+    return np.frombuffer(zlib.decompress(data), np.float64).reshape(-1, 2)
 
 
 def learned(vocabulary: DataFrame, table, code: Code) -> tuple[np.ndarray, np.ndarray]:
