@@ -59,6 +59,8 @@ def write_collection(
     With ``buckets`` it becomes the table ``table``, bucketed and sorted by key, with its files at
     ``path``: a join on the key with a table of as many buckets then needs no shuffle.
     """
+    if buckets and not table:
+        raise ValueError("a bucketed collection needs a table name: files alone do not tell their buckets")
     writer = collection.write.mode("overwrite")
     if buckets:
         writer.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table)

@@ -180,7 +180,7 @@ def test_sources(spark, tmp_path):
 
     docs = records.collection(df, "name", "family", alloys.NARRATIVE)
     for buckets in (None, 3):
-        catalog.write_collection(docs, str(tmp_path / "collection"), buckets=buckets)
+        catalog.write_collection(docs, str(tmp_path / "collection"), buckets=buckets, table=buckets and "collection_test")
     assert spark.read.parquet(str(tmp_path / "collection")).count() == 2
 
     folder = tmp_path / "sheets"
