@@ -7,6 +7,11 @@ Items are embedded from every second word on, and every word of every document s
 item-sized window is compared part by part and edits in one part do not hide the others. Windows that
 share the samples of some table are verified: first by the word pairs that so few edits must leave,
 then by the exact edit distance in words.
+
+Walks are too short to sample in items of few words. Items of up to ``WHOLE`` words, and all that are in no
+table of walks, are found by their words instead, without loss: by parts, one more than edits, of
+which one must be left. With one edit and few words these would be everyday words, so there two of
+three parts have to be left, next to each other or with the gap that the edit may have made.
 """
 
 from __future__ import annotations
@@ -24,6 +29,7 @@ from sieverank.llm import texts
 
 SIMILARITY = 0.8
 TABLES, SAMPLES, SPAN, STRIDE = 8, 6, 8, 2
+WHOLE, RUN = 25, 9
 MAX_ITEMS_BYTES = 32 << 20
 _PLAIN = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -87,11 +93,44 @@ def _mixed(samples: np.ndarray) -> np.ndarray:
     return key
 
 
+def _runs(words: np.ndarray, most: int) -> list[np.ndarray]:
+    """Per length up to ``most`` a key of the words from each place on; 0 stands for words beyond the end."""
+    padded = np.append(words, np.zeros(most, np.int32)).astype(np.uint64)
+    base = (padded + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    base ^= base >> np.uint64(31)
+    keys = [np.zeros(len(words), np.uint64)]
+    for length in range(1, most + 1):
+        key = (keys[-1] + base[length - 1 : length - 1 + len(words)]) * np.uint64(0x9E3779B97F4A7C15)
+        keys.append(key ^ key >> np.uint64(29))
+    return keys
+
+
+def _shaped(runs: list[np.ndarray], shape: tuple[int, int, int]) -> np.ndarray:
+    """A key per place: of so many words, and after so many others, of so many more."""
+    first, gap, second = shape
+    key = runs[first]
+    if second:
+        later = np.zeros(len(key), np.uint64)
+        later[: max(0, len(key) - first - gap)] = runs[second][first + gap :]
+        key = (key ^ later * np.uint64(0xD6E8FEB86659FD93)) * np.uint64(0x9E3779B97F4A7C15)
+        key = key ^ key >> np.uint64(32)
+    return key
+
+
+def _one_edit_shapes(size: int) -> list[tuple[tuple[int, int, int], tuple[int, int, int], int]]:
+    """(shape in the text, shape in the item, place in the item): one edit leaves one of them at least."""
+    a = (size + 1) // 3
+    b = size - a
+    shapes = [((b, 0, 0), (b, 0, 0), 0), ((size - a, 0, 0), (size - a, 0, 0), a)]
+    return shapes + [((a, b - a + s, size - b), (a, b - a, size - b), 0) for s in (-1, 0, 1) if a and b - a + s >= 0]
+
+
 class Items:
     """Benchmark items as word ids, with the sampled walks of their parts in every table.
 
     Tables are of two kinds: for items of ``SPAN`` words and more, sampled from the walk over a part,
-    and for each shorter length, from the walk over the whole item.
+    and for each shorter length, from the walk over the whole item. ``shapes`` are the tables of words:
+    per shape the keys, which leading bits of keys there are, and the items and places of the keys.
     """
 
     def __init__(self, rows: list[tuple[int, str]], similarity: float, tables: int, samples: int, seed: int = 7):
@@ -107,8 +146,10 @@ class Items:
         rng = np.random.default_rng(seed)
         self.moves = rng.integers(0, 2, (2 * SPAN, self.top), dtype=np.int8)
         self.tables = []
-        for span in sorted({min(len(w), SPAN) for w in self.words}):
-            members = [i for i, w in enumerate(self.words) if min(len(w), SPAN) == span]
+        short = np.array([len(w) <= WHOLE for w in self.words], bool)
+        walked = np.zeros(len(self.words), bool)
+        for span in sorted({min(len(w), SPAN) for w, s in zip(self.words, short, strict=True) if not s}):
+            members = [i for i, w in enumerate(self.words) if min(len(w), SPAN) == span and not short[i]]
             parts = [(i, at) for i in members for at in range(0, len(self.words[i]) - span + 1, STRIDE)]
             walks = {i: walk(self.words[i], self.moves) for i in members}
             written = np.stack([walks[i][:, at] for i, at in parts], axis=1)
@@ -124,7 +165,33 @@ class Items:
                     mask = np.zeros(self.top, bool)
                     mask[written[step][kept]] = True
                     masks.append(mask)
-                self.tables.append((steps, masks, keys[kept], np.array(parts, np.int64).reshape(-1, 2)[kept]))
+                placed = np.array(parts, np.int64).reshape(-1, 2)[kept]
+                walked[placed[:, 0]] = True
+                self.tables.append((steps, masks, keys[kept], placed))
+        self.shapes = self._shapes(short, walked)
+
+    def _shapes(self, short: np.ndarray, walked: np.ndarray) -> list[tuple]:
+        members: dict[tuple[int, int, int], list[tuple[int, int, int]]] = {}
+        for i in np.flatnonzero(short | ~walked):
+            words, edits = self.words[i], self.edits[i]
+            if edits == 1 and len(words) <= RUN:
+                shapes = _one_edit_shapes(len(words))
+            else:
+                cuts = np.linspace(0, len(words), min(edits + 1, len(words)) + 1).astype(int)
+                sizes = np.minimum(np.diff(cuts), RUN).tolist()
+                shapes = [((n, 0, 0), (n, 0, 0), int(at)) for n, at in zip(sizes, cuts[:-1], strict=True)]
+            runs = _runs(words, RUN)
+            for shown, own, at in shapes:
+                members.setdefault(shown, []).append((int(_shaped(runs, own)[at]), int(i), at))
+        found = []
+        for shape, rows in sorted(members.items()):
+            keys = np.array([key for key, *_ in rows], np.uint64)
+            order = np.argsort(keys, kind="stable")
+            bits = min(24, max(16, len(keys).bit_length() + 4))
+            there = np.zeros(1 << bits, bool)
+            there[keys >> np.uint64(64 - bits)] = True
+            found.append((shape, there, np.uint64(64 - bits), keys[order], np.array([row[1:] for row in rows], np.int64)[order]))
+        return found
 
 
 def _pairs(words: np.ndarray, top: int) -> np.ndarray:
@@ -133,10 +200,20 @@ def _pairs(words: np.ndarray, top: int) -> np.ndarray:
     return np.where((left > 0) & (right > 0), left * top + right, -1)
 
 
+def _matches(keys: np.ndarray, mine: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in ``keys``, place in the text) of every key at the places ``live`` that is in the sorted ``keys``."""
+    first = np.searchsorted(keys, mine, side="left")
+    hit = keys[np.minimum(first, len(keys) - 1)] == mine
+    live, first = live[hit], first[hit]
+    count = np.searchsorted(keys, mine[hit], side="right") - first
+    rows = np.repeat(first - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum()) if len(count) else first
+    return rows, np.repeat(live, count)
+
+
 def candidates(words: np.ndarray, items: Items) -> np.ndarray:
     """(n, 2): item, and where its first word would stand, for windows that share the samples of a table."""
     found = []
-    written = walk(words, items.moves)
+    written = walk(words, items.moves) if items.tables else None
     for steps, masks, keys, parts in items.tables:
         if not len(keys):
             continue
@@ -144,13 +221,16 @@ def candidates(words: np.ndarray, items: Items) -> np.ndarray:
         if len(steps) > 1:
             live = live[masks[1][written[steps[1]][live]]]
         mine = _mixed(np.stack([written[step][live] for step in steps]))
-        first = np.searchsorted(keys, mine, side="left")
-        hit = keys[np.minimum(first, len(keys) - 1)] == mine
-        live, first = live[hit], first[hit]
-        count = np.searchsorted(keys, mine[hit], side="right") - first
-        rows = np.repeat(first - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum()) if len(count) else first
+        rows, live = _matches(keys, mine, live)
+        chosen = parts[rows]
+        found.append(chosen[:, 0] << 40 | live - chosen[:, 1] + (1 << 39))
+    runs = _runs(words, max((max(shape[0], shape[2]) for shape, *_ in items.shapes), default=0))
+    for shape, there, shift, keys, parts in items.shapes:
+        mine = _shaped(runs, shape)
+        live = np.flatnonzero(there[mine >> shift])
+        rows, live = _matches(keys, mine[live], live)
         chosen = parts[rows]
-        found.append(chosen[:, 0] << 40 | np.repeat(live, count) - chosen[:, 1] + (1 << 39))
+        found.append(chosen[:, 0] << 40 | live - chosen[:, 1] + (1 << 39))
     rows = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
     return np.stack([rows >> 40, (rows & ((1 << 40) - 1)) - (1 << 39)], axis=1)
 

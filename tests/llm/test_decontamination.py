@@ -53,6 +53,29 @@ def test_recall_against_brute_force(share):
     assert found >= 0.9 * len(rows)
 
 
+@pytest.mark.parametrize("size", [1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 15, 20, 25, 26, 40])
+def test_recall_by_length_of_the_item(size):
+    rng = np.random.default_rng(size)
+    vocabulary = [f"w{i}" for i in range(2000)]
+    rows = [(n, " ".join(rng.choice(vocabulary, size))) for n in range(150)]
+    items = dc.Items(rows, dc.SIMILARITY, dc.TABLES, dc.SAMPLES)
+    for share in (0.0, 1.0):
+        found = 0
+        for n in range(len(rows)):
+            part = changed(rng, items.words[n], int(items.edits[n] * share), items.top)
+            text = np.concatenate([rng.integers(0, items.top, 30), part, rng.integers(0, items.top, 30)]).astype(np.int32)
+            found += n in {item for _, item, *_ in dc.leaks(text, np.array([0, len(text)]), items)}
+        assert found >= (1.0 if size <= dc.WHOLE else 0.95) * len(rows)
+
+
+def test_items_in_no_table_of_walks_are_found():
+    words = [f"w{i}" for i in range(40)]
+    items = dc.Items([(1, " ".join(words))], dc.SIMILARITY, 0, dc.SAMPLES)
+    for gone in ([], [0], [5, 6], [0, 11], [4, 8], [2, 7, 12, 17, 22, 27, 32, 37]):
+        text = np.append(np.delete(items.words[0], gone), 0).astype(np.int32)
+        assert [item for _, item, *_ in dc.leaks(text, np.array([0, len(text)]), items)] == [0]
+
+
 def test_finds_equal_and_near_passages_and_keeps_clean(spark, documents_of):
     item = "the quick brown fox jumps over the lazy dog while seven wizards watch it from above"
     near = item.replace("lazy", "very lazy").replace("seven", "eight").upper()
