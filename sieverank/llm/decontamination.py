@@ -210,8 +210,12 @@ def _matches(keys: np.ndarray, mine: np.ndarray, live: np.ndarray) -> tuple[np.n
     return rows, np.repeat(live, count)
 
 
-def candidates(words: np.ndarray, items: Items) -> np.ndarray:
-    """(n, 2): item, and where its first word would stand, for windows that share the samples of a table."""
+def candidates(words: np.ndarray, starts: np.ndarray, items: Items) -> np.ndarray:
+    """(n, 3): item, where its first word would stand, and the text of the match, for windows that share a key of a table."""
+    def distinct(chosen: np.ndarray, live: np.ndarray) -> np.ndarray:
+        owner = np.searchsorted(starts, live, side="right") - 1
+        return np.stack([chosen[:, 0], live - chosen[:, 1], owner], axis=1)
+
     found = []
     written = walk(words, items.moves) if items.tables else None
     for steps, masks, keys, parts in items.tables:
@@ -223,27 +227,30 @@ def candidates(words: np.ndarray, items: Items) -> np.ndarray:
         mine = _mixed(np.stack([written[step][live] for step in steps]))
         rows, live = _matches(keys, mine, live)
         chosen = parts[rows]
-        found.append(chosen[:, 0] << 40 | live - chosen[:, 1] + (1 << 39))
+        found.append(distinct(chosen, live))
     runs = _runs(words, max((max(shape[0], shape[2]) for shape, *_ in items.shapes), default=0))
     for shape, there, shift, keys, parts in items.shapes:
         mine = _shaped(runs, shape)
         live = np.flatnonzero(there[mine >> shift])
         rows, live = _matches(keys, mine[live], live)
         chosen = parts[rows]
-        found.append(chosen[:, 0] << 40 | live - chosen[:, 1] + (1 << 39))
-    rows = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-    return np.stack([rows >> 40, (rows & ((1 << 40) - 1)) - (1 << 39)], axis=1)
+        found.append(distinct(chosen, live))
+    rows = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
+    rows = rows[np.lexsort(rows.T[::-1])]
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows[1:] != rows[:-1]).any(axis=1)
+    return rows[new]
 
 
 def leaks(words: np.ndarray, starts: np.ndarray, items: Items) -> Iterator[tuple[int, int, int, int, int]]:
     """(text, item, edits, first word, end) of every text and item that a candidate window verifies."""
-    rows = candidates(words, items)
+    rows = candidates(words, starts, items)
     if not len(rows):
         return
     pairs = np.append(_pairs(words, items.top), -1)
     before = np.concatenate([[0], np.flatnonzero(np.diff(rows[:, 0])) + 1, [len(rows)]])
     for a, b in zip(before[:-1], before[1:], strict=True):
-        item, places = int(rows[a, 0]), rows[a:b, 1]
+        item, places, matched = int(rows[a, 0]), rows[a:b, 1], rows[a:b, 2]
         size, edits = len(items.words[item]), items.edits[item]
         # Each edit spoils two pairs at most; the others stand within the window.
         need = size - 1 - 2 * edits
@@ -251,12 +258,14 @@ def leaks(words: np.ndarray, starts: np.ndarray, items: Items) -> Iterator[tuple
             window = places[:, None] - edits + np.arange(size + 2 * edits - 1)
             shown = pairs[np.clip(window, 0, len(pairs) - 1)]
             place = np.minimum(np.searchsorted(items.pairs[item], shown), len(items.pairs[item]) - 1)
-            places = places[(items.pairs[item][place] == shown).sum(axis=1) >= need]
+            enough = (items.pairs[item][place] == shown).sum(axis=1) >= need
+            places, matched = places[enough], matched[enough]
         best: dict[int, tuple[int, int, int]] = {}
         owner = np.searchsorted(starts, np.clip(places, 0, len(words) - 1), side="right") - 1
         # A place before the text's first word belongs to the text of the window's later words too.
         late = np.searchsorted(starts, np.clip(places + size - 1, 0, len(words) - 1), side="right") - 1
-        both = {(int(o), int(p)) for o, p in zip(owner, places, strict=True)} | {(int(o), int(p)) for o, p in zip(late, places, strict=True)}
+        # Of a text that lacks the item's ends the first and the last word lie in its neighbours.
+        both = {(int(o), int(p)) for owners in (owner, late, matched) for o, p in zip(owners, places, strict=True)}
         done: dict[int, int] = {}
         for text, place in sorted(both):
             low, high = max(int(starts[text]), place - edits), min(int(starts[text + 1]), place + size + edits)

@@ -76,6 +76,16 @@ def test_items_in_no_table_of_walks_are_found():
         assert [item for _, item, *_ in dc.leaks(text, np.array([0, len(text)]), items)] == [0]
 
 
+@pytest.mark.parametrize("size", [10, 20, 30, 60])
+def test_a_text_that_lacks_the_items_ends_is_found_between_others(size):
+    words = [f"w{i}" for i in range(size)]
+    items = dc.Items([(1, " ".join(words))], dc.SIMILARITY, dc.TABLES, dc.SAMPLES)
+    other = np.zeros(30, np.int32)
+    text = np.concatenate([other, items.words[0][1:-1], other])
+    found = list(dc.leaks(text, np.array([0, 30, 30 + size - 2, len(text)]), items))
+    assert found == [(1, 0, 2, 0, size - 2)]
+
+
 def test_finds_equal_and_near_passages_and_keeps_clean(spark, documents_of):
     item = "the quick brown fox jumps over the lazy dog while seven wizards watch it from above"
     near = item.replace("lazy", "very lazy").replace("seven", "eight").upper()
