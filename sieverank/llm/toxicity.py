@@ -220,8 +220,8 @@ class Models:
         step = np.log(weight[:, 1] / weight[:, 0])[before]
         step[first] = np.log(at_start[1] / at_start[0])
         total = ratio + step
-        may = known[at] & (has_context[before] | first)
-        spots = np.flatnonzero(may)
+        # A pair's second word need not be known: one that follows the same word always has no mass of its own.
+        spots = np.flatnonzero(has_context[before] | first)
         prev_ids = np.where(first[spots], 0, ids[before[spots]])
         pair, hit = self.pairs.find(pair_key(prev_ids, ids[at[spots]]))
         spots, pair, start_here = spots[hit], pair[hit], first[spots[hit]]

@@ -1,9 +1,10 @@
 import random
 
+import pyarrow as pa
 from conftest import EDGES
 from pyspark.sql import functions as F
 
-from sieverank.llm import toxicity
+from sieverank.llm import texts, toxicity
 
 SYLLABLES = "an be co da el fi go hu in ja".split()
 
@@ -35,6 +36,23 @@ def test_held_out_accuracy(spark, documents_of):
     assert len(found) == len(rows) + len(EDGES)
 
 
+def test_a_fixed_expression_tells_by_its_pair(spark):
+    """The second word follows one word only, so it has no continuation mass; its letters are everyday ones."""
+    rng = random.Random(4)
+    made = ["".join(rng.choice(SYLLABLES) for _ in range(rng.randint(1, 3))) for _ in range(60)]
+    rows = []
+    for i in range(200):
+        words = [rng.choice(made) for _ in range(20)]
+        words[10:11] = ["becoda", "gohujaan"] if i % 2 else ["becoda"]
+        rows.append((i % 2, 0, " ".join(words)))
+    texts.prepare(spark)
+    sample = spark.createDataFrame(rows, "label long, fold long, text string")
+    models = toxicity.build(toxicity.pair_counts(sample), toxicity.word_types(sample))
+    words, starts = texts.split_words(pa.array(["becoda gohujaan", "becoda", "gohujaan"]))
+    both, first, second = models.differences(words, starts)[0]
+    assert both > max(first, first + second) + 1
+
+
 def test_one_class_no_label_and_empty(spark, documents_of):
     frame = documents_of(EDGES)
     clean = spark.createDataFrame([(3, 0), (4, 0), (5, None), (None, 1)], "doc_id long, toxic int")
