@@ -326,23 +326,35 @@ def collection_roundtrip(spark, sf_dir):
     return spark.read.parquet(path).withColumn("metadata", F.concat_ws("/", "metadata.source", "metadata.lang"))
 
 
+SHEET_ROWS = 100_000
+
+
 @registered(
     """SELECT 'lang=' || lang AS folder, count(*) AS n_files, max(rank) AS last_rank, CAST(sum(chars) AS BIGINT) AS n_chars FROM (
          SELECT lang, length(text) AS chars, 1 AS rank FROM (SELECT lang, string_agg(doc_id::VARCHAR, ' ' ORDER BY doc_id) AS text
            FROM documents GROUP BY lang)) GROUP BY lang"""
 )
 def datasheet_scan(spark, sf_dir):
-    """A text file per language, scanned whole and listed in order."""
+    """A sheet per language, in pages of bounded size that are scanned whole, and listed in order."""
+    return _sheets_scanned(spark, table(spark, sf_dir, "documents"), SHEET_ROWS)
+
+
+def _sheets_scanned(spark, documents, page_rows):
+    """A sheet is a folder: ids in order, in files of up to ``page_rows`` ids. Counts are of whole sheets."""
     path = shared_folder(spark, "sheets")
-    ids = F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), " ")
-    sheets = table(spark, sf_dir, "documents").groupBy("lang").agg(ids.alias("text"))
-    sheets.repartition("lang").write.partitionBy("lang").option("lineSep", "\n").text(path)
-    found = files.scan_datasheets(spark, path, "*.txt")
+    # Ranges of (lang, doc_id) spread a frequent language over tasks; a page is one file of one range.
+    ids = documents.select("lang", "doc_id").filter("doc_id is not null")
+    dealt = ids.repartitionByRange("lang", "doc_id").sortWithinPartitions("lang", "doc_id")
+    pages = dealt.select(F.col("doc_id").cast("string").alias("text"), "lang")
+    pages.write.partitionBy("lang").option("lineSep", " ").option("maxRecordsPerFile", page_rows).text(path)
     folder = F.element_at(F.split("path", "/"), -2)
-    listed = files.sorted_listing(found).withColumn("folder", folder).groupBy("folder").agg(F.count("*").alias("listed"))
-    return found.withColumn("folder", folder).join(listed, "folder").groupBy("folder").agg(
-        F.count("*").alias("n_files"), F.max("listed").cast("int").alias("last_rank"),
-        F.sum(F.length(F.rtrim(F.regexp_replace("text", "\n$", "")))).alias("n_chars"),
+    found = files.scan_datasheets(spark, path, "*.txt").withColumn("folder", folder)
+    # Pages are joined by a space each.
+    sheets = found.groupBy("folder").agg((F.sum(F.length(F.rtrim("text"))) + F.count("*") - 1).alias("n_chars"))
+    named = sheets.select(F.col("folder").alias("path"), F.col("folder").alias("name"))
+    listed = files.sorted_listing(named).groupBy(F.col("path").alias("folder")).agg(F.count("*").alias("listed"))
+    return sheets.join(listed, "folder").groupBy("folder").agg(
+        F.count("*").alias("n_files"), F.max("listed").cast("int").alias("last_rank"), F.sum("n_chars").alias("n_chars"),
     )
 
 

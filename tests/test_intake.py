@@ -4,6 +4,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from sieverank.functions import measures, text
 from sieverank.operators import quality, records
+from sieverank.plans import intake
 from sieverank.profiles import alloys
 from sieverank.sources import cases, catalog
 
@@ -196,6 +197,15 @@ def test_sources(spark, tmp_path):
     assert len(shown.columns) == 9 and shown.count() == 1
 
 
+def test_sheets_are_scanned_in_pages_of_bounded_size(spark, tmp_path, monkeypatch):
+    rows = [(i, "en") for i in range(100)] + [(5, "de"), (70, "de")]
+    monkeypatch.setattr(intake, "shared_folder", lambda *_: str(tmp_path / "pages"))
+    found = intake._sheets_scanned(spark, spark.createDataFrame(rows, "doc_id long, lang string"), 3)
+    assert {tuple(r) for r in found.collect()} == {("lang=en", 1, 1, 10 + 2 * 90 + 99), ("lang=de", 1, 1, 4)}
+    pages = [page.read_text().split() for page in (tmp_path / "pages").glob("lang=en/*.txt")]
+    assert max(map(len, pages)) <= 3 and sorted(int(i) for page in pages for i in page) == list(range(100))
+
+
 def test_cases(spark, tmp_path):
     path = tmp_path / "cases.json"
     path.write_text('[{"id": "a", "query": "q", "numeric_rules": {"z": [">", 8], "b": ["==", 0.0], "c": ["<"]}}, {"id": "b", "query": "p"}]')
