@@ -81,18 +81,20 @@ def _lines(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return lists.flatten(), owner, np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
-def line_keys(documents: DataFrame, min_words: int) -> DataFrame:
-    """(doc_id, line, h, g, anchors) of every line of at least ``min_words`` words."""
+def line_keys(documents: DataFrame, min_words: int, equal_words: int) -> DataFrame:
+    """(doc_id, line, h, g, anchors) of every line of ``equal_words`` words; no anchors under ``min_words``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in texts.blocks(batches, "text", 1 << 20):
             lines, owner, number = _lines(block.column("text"))
             hashes = Hashes(*texts.split_words(lines))
-            long = np.flatnonzero(hashes.sizes >= min_words)
-            anchors = hashes.anchors()[long].astype(np.uint64).view(np.int64)
+            long = np.flatnonzero(hashes.sizes >= min(min_words, equal_words))
+            near = hashes.sizes[long] >= min_words
+            anchors = hashes.anchors()[long[near]].astype(np.uint64).view(np.int64)
+            ends = np.concatenate([[0], np.cumsum(near * 4)]).astype(np.int32)
             columns = [block.column("doc_id").take(pa.array(owner[long])), pa.array(number[long].astype(np.int32))]
             columns += [pa.array(hashes.whole(salt)[long].view(np.int64)) for salt in (1, 1 << 40)]
-            columns.append(pa.ListArray.from_arrays(pa.array(np.arange(len(long) + 1, dtype=np.int32) * 4), pa.array(anchors.ravel())))
+            columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(anchors.ravel())))
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "line", "h", "g", "anchors"])
 
     bare = texts.with_text(documents).filter("doc_id is not null")
@@ -163,19 +165,19 @@ def _texts_of(documents: DataFrame, lines: DataFrame) -> DataFrame:
     return found
 
 
-def repeats(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def repeats(documents: DataFrame, min_words: int = MIN_WORDS, equal_words: int | None = None) -> DataFrame:
     """(doc_id, line, kind, of_doc_id, of_line): every line that an earlier line makes superfluous.
 
     Lines are parts of the text between line feeds, numbered from 0, and compared as sequences of
-    words (A-Z made small); those of fewer than ``min_words`` words take no part. Earlier means a smaller
-    (doc_id, line). ``kind`` is equal, for all but the earliest of equal lines, which they name, or near, for the
+    words (A-Z made small); those of fewer than ``min_words`` words have no near lines, and those of fewer
+    than ``equal_words`` (``min_words`` if not given) take no part. Earlier means a smaller (doc_id, line). ``kind`` is equal, for all but the earliest of equal lines, which they name, or near, for the
     earliest of equal lines if an earlier line is within one inserted, deleted or replaced word; the
     earliest such line is named, kept or not. Null and empty texts have no lines here; rows without
     doc_id take no part; rows that repeat an id count as one text, at whose line numbers all their
     lines stand. An empty table gives no rows; other columns take no part.
     """
     texts.prepare(documents.sparkSession)
-    marked = cut(line_keys(documents, min_words), "lines")
+    marked = cut(line_keys(documents, min_words, min_words if equal_words is None else equal_words), "lines")
     at = F.struct("doc_id", "line")
     distinct = cut(marked.groupBy("h", "g").agg(F.min(F.struct("doc_id", "line", "anchors")).alias("first"), F.count("*").alias("n")), "distinct")
     first = F.struct(F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line"))

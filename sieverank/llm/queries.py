@@ -40,7 +40,7 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.repeats(table(spark, sf_dir, "documents"))
+    return lines.repeats(table(spark, sf_dir, "documents"), equal_words=1)
 
 
 @query

@@ -62,6 +62,12 @@ def test_equals_comparing_all_pairs(documents_of, seed):
     assert sorted(tuple(r) for r in found.collect()) == brute(docs)
 
 
+def test_short_lines_are_compared_for_equality(documents_of):
+    docs = [(1, "Home\n\nall rights reserved here\none two three four five"), (2, "home\n \nall rights reserved there\none two three four"), (3, "all rights reserved here\none two three four six")]
+    found = lines.repeats(documents_of(docs), equal_words=1)
+    assert sorted(tuple(r) for r in found.collect()) == [(2, 0, "equal", 1, 0), (3, 0, "equal", 1, 2), (3, 1, "near", 1, 3)]
+
+
 def test_within_one_is_an_edit_distance():
     rng = random.Random(5)
     for _ in range(3_000):
