@@ -4,9 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sieverank.llm import decontamination, lines, mixing, nearest_exact, packing, quality, secrets, simhash, toxicity, warc
+from sieverank.llm import (
+    alignment,
+    best_fit,
+    decontamination,
+    lines,
+    mixing,
+    nearest_exact,
+    orchard,
+    packing,
+    quality,
+    secrets,
+    simhash,
+    toxicity,
+    warc,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -107,3 +122,59 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orchard.compress(table(spark, sf_dir, "embeddings"))
+
+
+def _rounds_sql(rounds: int) -> str:
+    """Rounds of assigning parts to the nearest entry (a) and averaging (b), from the first entries (b0)."""
+    steps = []
+    for i in range(1, rounds + 2):
+        steps.append(f"""a{i} AS MATERIALIZED (
+    SELECT p.part, p.rid, min((xx - 2 * list_inner_product(x, c) + list_inner_product(c, c))::BIGINT * 16 + entry) AS best
+    FROM p JOIN b{i - 1} AS b ON b.part = p.part GROUP BY ALL
+)""")
+        if i <= rounds:
+            steps.append(f"""s{i} AS (
+    SELECT part, best % 16 AS entry, spot, sum(x[spot])::BIGINT AS total, count(*) AS n
+    FROM a{i} JOIN p USING (part, rid), range(1, 9) AS r(spot) GROUP BY ALL
+), m{i} AS (
+    SELECT part, entry, list(((total - ((total % n) + n) % n) // n)::DOUBLE ORDER BY spot) AS c FROM s{i} GROUP BY ALL
+), b{i} AS MATERIALIZED (
+    SELECT part, entry, coalesce(m{i}.c, b{i - 1}.c) AS c FROM b{i - 1} LEFT JOIN m{i} USING (part, entry)
+)""")
+    return ", ".join(steps)
+
+
+ORACLES["op12_vector_codes"] = f"""
+WITH v AS (
+    SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)) AS e FROM embeddings
+    WHERE len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
+), k AS MATERIALIZED (
+    SELECT *, row_number() OVER (ORDER BY vec_id NULLS LAST, e) AS rid FROM v
+), p AS MATERIALIZED (
+    SELECT rid, part, e[8 * part + 1 : 8 * part + 8] AS x, list_inner_product(x, x) AS xx FROM k, range(8) AS r(part)
+), b0 AS MATERIALIZED (
+    SELECT part, rid - 1 AS entry, x AS c FROM p WHERE rid <= 16
+), {_rounds_sql(6)}, codes AS (
+    SELECT rid, string_agg(printf('%02x', best % 16), '' ORDER BY part) AS code, sum(best // 16)::BIGINT AS error FROM a7 GROUP BY rid
+), books AS (
+    SELECT sha256(string_agg(c[spot]::BIGINT::VARCHAR, ',' ORDER BY part, entry, spot)) AS codebooks_sha256 FROM b6, range(1, 9) AS r(spot)
+)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256
+FROM k JOIN codes USING (rid), books
+"""
+
+
+@query
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.align(table(spark, sf_dir, "documents"), a, b)
