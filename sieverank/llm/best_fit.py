@@ -17,6 +17,7 @@ import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sieverank.llm import texts
-from sieverank.llm.units import coded, gathered, spread
+from sieverank.llm.units import coded, gathered, raw, spread
 from sieverank.session import cut
 
 MAX_TOKENS = 2048
@@ -33,6 +34,7 @@ END_ID = 0
 SLICE_PIECES = 16_384
 BLOCK_BYTES = 16 << 20
 ENCODED_AT_ONCE = 10_000
+MAX_KNOWN = 300_000
 
 PIECE = "row long, doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -45,23 +47,62 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-def _ids_of(words: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of all words end to end, and how many each has."""
-    tokenizer, ids, sizes = _tokenizer(path), [], []
-    for start in range(0, len(words), ENCODED_AT_ONCE):
-        for found in tokenizer.encode_batch_fast(words[start : start + ENCODED_AT_ONCE].to_pylist(), add_special_tokens=False):
-            ids.extend(found.ids)
-            sizes.append(len(found.ids))
-    return np.array(ids, np.uint32), np.array(sizes, np.int64)
+#: Kinds of bytes: letters, digits, other signs, and what is no clear case: an apostrophe, which may join letters
+#: to itself, the sign that special tokens start with, controls, and parts of other characters.
+_KIND = np.full(256, 4, np.uint8)
+_KIND[0x21:0x7F] = 3
+_KIND[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"]] = 1
+_KIND[[*b"0123456789"]] = 2
+_KIND[[*b"'<"]] = 4
+
+
+def _taken_apart(words: pa.Array, places: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """Words as runs of letters, single digits and runs of signs, in lower case, and the places of texts in these.
+
+    The tokenizer does the same to them. Words that hold no clear case stay whole, as they are.
+    """
+    data, starts = raw(words)
+    data = data.copy()
+    kind = _KIND[data]
+    unclear = np.concatenate([[0], np.cumsum(kind == 4)])[starts]
+    clear = np.repeat(np.diff(unclear) == 0, np.diff(starts))
+    data[(data >= ord("A")) & (data <= ord("Z")) & clear] += 32
+    cut_at = np.zeros(len(data) + 1, bool)
+    cut_at[1:-1] = ((kind[1:] != kind[:-1]) | (kind[1:] == 2)) & clear[1:]
+    cut_at[starts] = True
+    offsets = np.flatnonzero(cut_at)
+    units = pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data))
+    return units, np.searchsorted(offsets, starts)[places]
+
+
+@lru_cache(maxsize=2)
+def _known(path: str) -> dict[str, list[int]]:
+    """The ids of units a worker has met, until they are ``MAX_KNOWN``."""
+    return {}
+
+
+def _ids_of(units: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all units end to end, and how many each has."""
+    tokenizer, known, names = _tokenizer(path), _known(path), units.to_pylist()
+    if len(known) > MAX_KNOWN:
+        known.clear()
+    new = [u for u in names if u not in known]
+    for start in range(0, len(new), ENCODED_AT_ONCE):
+        some = new[start : start + ENCODED_AT_ONCE]
+        known.update(zip(some, (found.ids for found in tokenizer.encode_batch_fast(some, add_special_tokens=False)), strict=True))
+    lists = [known[u] for u in names]
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum())), sizes
 
 
 def encoded(found: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all texts end to end, each with its end, and where each starts (one more entry than texts).
 
-    Words between white space are encoded once each: the tokenizer drops white space and never looks across it.
+    Words between white space, and the parts of clear ones, are encoded once each: the tokenizer drops white
+    space and never looks across it.
     """
-    words, places = texts.split_words(found, lower=False)
-    distinct, codes = coded(words)
+    units, places = _taken_apart(*texts.split_words(found, lower=False))
+    distinct, codes = coded(units)
     ids, sizes = _ids_of(distinct, path)
     # one more word, the end, behind the words of every text
     codes = np.insert(codes.astype(np.int64), places[1:], len(sizes))
