@@ -7,15 +7,16 @@ one character share its span. Between two coarse cuts the lengths of the tokens'
 ends. Byte offsets where tokens of both end cut a text into groups.
 
 Both tokenizers always cut before a single space that follows something other than a space and precedes
-no white space: the first one's pattern starts a match there, and no piece of the second holds a space behind
-anything but spaces (``Tokenizers`` refuses a vocabulary with such a piece). So texts are taken apart there and
-each distinct unit of a block is encoded once.
+no white space, and between ASCII letters and other ASCII signs: the first one's pattern ends a match there, and
+no piece of the second goes across (``Tokenizers`` refuses a vocabulary with such a piece). So texts are taken
+apart there, and a worker encodes a unit once as long as it remembers it.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -33,7 +34,8 @@ from sieverank.llm.units import coded, gathered, raw, split_units, spread
 from sieverank.operators.joins import join_hot
 from sieverank.session import cut
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
+MAX_KNOWN = 300_000
 ENCODED_AT_ONCE = 5_000
 DIGESTED_AT_ONCE = 200_000
 SPACE = "▁"
@@ -41,6 +43,10 @@ SPACE = "▁"
 PAIR = 1 << 32
 
 
+#: What no piece of the second tokenizer may hold: a line end, a space behind other characters, a letter beside a sign.
+_ACROSS = re.compile(rf"\n|[^{SPACE}]{SPACE}|[A-Za-z][!-@\[-`{{-~]|[!-@\[-`{{-~][A-Za-z]")
+
+
 def _byte_of_character() -> dict[str, int]:
     """The byte that each character of a byte-level vocabulary stands for.
 
@@ -75,17 +81,18 @@ class Tokenizers:
         self.a_bytes = _table(entries)
         self.b = SentencePieceProcessor(model_file=second)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        if any(SPACE in p.lstrip(SPACE) for p in pieces):
-            raise ValueError("a piece holds a space behind other characters, so texts cannot be taken apart at spaces")
         self.b_is_byte = np.array([self.b.is_byte(i) for i in range(len(pieces))])
+        usual = [p for i, p in enumerate(pieces) if not (self.b_is_byte[i] or self.b.is_control(i) or self.b.is_unknown(i))]
+        if any(_ACROSS.search(p) for p in usual) or len(self.b.encode("\n")) != 2:
+            raise ValueError("a piece goes across a cut, so texts cannot be taken apart")
         self.b_bytes = _table(
             [bytes([int(p[3:5], 16)]) if is_byte else p.replace(SPACE, " ").encode() for p, is_byte in zip(pieces, self.b_is_byte, strict=True)]
         )
 
     def first(self, units: list[str]) -> tuple[np.ndarray, ...]:
-        """Ids, begins and ends (in characters of a space and the unit), and how many tokens each unit has."""
+        """Ids, begins and ends (in characters of the unit), and how many tokens each unit has."""
         ids, spans, sizes = [], [], []
-        for found in self.a.encode_batch([" " + u for u in units], add_special_tokens=False):
+        for found in self.a.encode_batch(units, add_special_tokens=False):
             ids.extend(found.ids)
             spans.extend(found.offsets)
             sizes.append(len(found.ids))
@@ -93,15 +100,23 @@ class Tokenizers:
         return np.array(ids, np.int64), both[:, 0], both[:, 1], np.array(sizes, np.int64)
 
     def second(self, units: list[str]) -> tuple[np.ndarray, ...]:
-        """The same of the second, in bytes of the unit without its space."""
+        """The same of the second, in bytes of the unit.
+
+        It puts a space before what it reads. A unit that does not start with one is read behind a line end, and
+        the tokens of that space and line end are left out.
+        """
         ids, begins, ends, sizes = [], [], [], []
-        for found in self.b.encode(units, return_type="proto", num_threads=1):
-            parts = found.pieces
+        own = [u[0] == " " for u in units]
+        found = self.b.encode([u[1:] if s else "\n" + u for u, s in zip(units, own, strict=True)], return_type="proto", num_threads=1)
+        for one, starts_own in zip(found, own, strict=True):
+            parts, shift = one.pieces, 1 if starts_own else -1
+            if not starts_own:
+                parts = parts[2:]
             sizes.append(len(parts))
             for part in parts:
                 ids.append(part.id)
-                begins.append(part.begin)
-                ends.append(part.end)
+                begins.append(part.begin + shift)
+                ends.append(part.end + shift)
         return tuple(np.array(x, np.int64) for x in (ids, begins, ends, sizes))
 
 
@@ -137,8 +152,8 @@ class Aligned:
     n_a: np.ndarray
     n_b: np.ndarray
     n_groups: np.ndarray
-    ends: np.ndarray  # of all groups, unit by unit, in bytes of a space and the unit
-    sizes: np.ndarray  # bytes of a space and the unit
+    ends: np.ndarray  # of all groups, unit by unit, in bytes of the unit
+    sizes: np.ndarray  # bytes of the unit
     pairs: np.ndarray  # of all groups: the ids that end it
     a_lists: pa.ListArray  # of all groups
     b_lists: pa.ListArray
@@ -158,7 +173,7 @@ def align_units(units: pa.Array, tools: Tokenizers) -> Aligned:
         some = units[start : start + ENCODED_AT_ONCE].to_pylist()
         found.append((*tools.first(some), *tools.second(some)))
     a, a_begin, a_end, a_size, b, b_begin, b_end, b_size = (np.concatenate(x) if len(x) else np.zeros(0, np.int64) for x in (zip(*found, strict=True) if found else [[]] * 8))
-    data, places = raw(pc.binary_join_element_wise("", units, " ").cast(pa.string()))
+    data, places = raw(units)
     ok = _same_bytes(tools.a_bytes, a, a_size, data, places) & _same_bytes(tools.b_bytes, b, b_size, data, places)
     a_unit, b_unit = np.repeat(np.arange(len(units)), a_size), np.repeat(np.arange(len(units)), b_size)
     a_kept, b_kept = ok[a_unit], ok[b_unit]
@@ -173,7 +188,7 @@ def align_units(units: pa.Array, tools: Tokenizers) -> Aligned:
     a_cut = a_last | (np.append(a_begin[1:], 0) >= a_end)
     a_ends = _ends(tools.a_bytes, a, a_unit, a_coarse, a_cut, places, ok)
     # The second: byte tokens but the last of a character have an empty span.
-    b_coarse = places[:-1][b_unit] + 1 + b_end
+    b_coarse = places[:-1][b_unit] + b_end
     b_cut = ~(tools.b_is_byte[b] & (b_begin == b_end))
     b_ends = _ends(tools.b_bytes, b, b_unit, b_coarse, b_cut, places, ok)
 
@@ -219,13 +234,58 @@ def _digests(words: pa.Array, codes: np.ndarray, starts: np.ndarray, good: np.nd
     return found
 
 
-def _texts(block: pa.Table, tools: Tokenizers) -> tuple[Aligned, np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct units of a block, aligned; every unit's code, where texts start in these, and whether a text has tokens."""
-    units, starts = split_units(block.column("text").combine_chunks())
-    distinct, codes = coded(units)
-    aligned = align_units(distinct, tools)
-    wrong = np.concatenate([[0], np.cumsum(~aligned.ok[codes])])[starts]
-    return aligned, codes, starts, (np.diff(wrong) == 0) & (np.diff(starts) > 0)
+@dataclass
+class Known:
+    """What a worker keeps of units: whether they are ok, their counts, the pairs that end their groups, and these as text."""
+
+    ok: np.ndarray
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_groups: np.ndarray
+    pairs: np.ndarray
+    words: pa.Array
+
+    @classmethod
+    def of(cls, aligned: Aligned) -> Known:
+        return cls(aligned.ok, aligned.n_a, aligned.n_b, aligned.n_groups, aligned.pairs, aligned.words())
+
+    def __add__(self, other: Known) -> Known:
+        arrays = [np.concatenate([getattr(x, name) for x in (self, other)]) for name in ("ok", "n_a", "n_b", "n_groups", "pairs")]
+        return Known(*arrays, pa.concat_arrays([self.words, other.words]))
+
+    def take(self, at: np.ndarray) -> Known:
+        entries, _ = spread(self.n_groups, at)
+        return Known(self.ok[at], self.n_a[at], self.n_b[at], self.n_groups[at], self.pairs[entries], self.words.take(pa.array(at)))
+
+
+class Memory:
+    """The units a worker has met, until they are ``MAX_KNOWN``."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.known: Known | None = None
+
+    def look_up(self, units: pa.Array, tools: Tokenizers) -> Known:
+        names = units.to_pylist()
+        if len(self.number) > MAX_KNOWN:
+            self.number, self.known = {}, None
+        new = [u for u in names if u not in self.number]
+        if new or self.known is None:
+            found = Known.of(align_units(pa.array(new, pa.string()), tools))
+            self.known = found if self.known is None else self.known + found
+            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
+        return self.known.take(np.fromiter(map(self.number.__getitem__, names), np.int64, len(names)))
+
+
+@lru_cache(maxsize=2)
+def _memory(first: str, second: str) -> Memory:
+    return Memory()
+
+
+def _good(ok: np.ndarray, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Whether a text has tokens: all of its units are ok, and it has units."""
+    wrong = np.concatenate([[0], np.cumsum(~ok[codes])])[starts]
+    return (np.diff(wrong) == 0) & (np.diff(starts) > 0)
 
 
 _BLOCK = "block long, doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, places array<int>, pairs array<long>, times array<long>"
@@ -241,7 +301,11 @@ def _blocks(documents: DataFrame, first: str, second: str) -> DataFrame:
         tools = _tokenizers(first, second)
         number = TaskContext.get().partitionId() << 32
         for block in gathered(batches, "text", BLOCK_BYTES):
-            aligned, codes, starts, good = _texts(block, tools)
+            units, starts = split_units(block.column("text").combine_chunks())
+            distinct, codes = coded(units)
+            del units
+            aligned = _memory(first, second).look_up(distinct, tools)
+            good = _good(aligned.ok, codes, starts)
             codes, sizes = codes[np.repeat(good, np.diff(starts))], np.where(good, np.diff(starts), 0)
             starts = np.concatenate([[0], np.cumsum(sizes)])
 
@@ -257,7 +321,7 @@ def _blocks(documents: DataFrame, first: str, second: str) -> DataFrame:
             links, n = renumbered[links], len(good)
             yield _rows(
                 block=np.full(n, number), doc_id=block.column("doc_id").combine_chunks(), n_a=total(aligned.n_a), n_b=total(aligned.n_b),
-                n_groups=total(aligned.n_groups), groups_sha256=_digests(aligned.words(), codes, starts, good),
+                n_groups=total(aligned.n_groups), groups_sha256=_digests(aligned.words, codes, starts, good),
                 places=pa.ListArray.from_arrays(pa.array(at[starts], pa.int32()), pa.array(links, pa.int32())),
             )
             if len(kept):
@@ -311,7 +375,10 @@ def groups(documents: DataFrame, first: str, second: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tools = _tokenizers(first, second)
         for block in gathered(batches, "text", BLOCK_BYTES):
-            aligned, codes, starts, good = _texts(block, tools)
+            units, starts = split_units(block.column("text").combine_chunks())
+            distinct, codes = coded(units)
+            aligned = align_units(distinct, tools)
+            good = _good(aligned.ok, codes, starts)
             base = np.cumsum(aligned.sizes[codes]) - aligned.sizes[codes]
             base = base - np.repeat(base[starts[:-1][np.diff(starts) > 0]], np.diff(starts)[np.diff(starts) > 0])
             document = np.repeat(np.arange(len(good)), np.diff(starts))

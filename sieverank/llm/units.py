@@ -8,11 +8,16 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes a unit may start with: no white space, alone or as the first byte of a character that may be one.
+#: Bytes that may follow the space a unit starts with: no white space, alone or as the first byte of a character
+#: that may be one.
 _PLAIN_START = np.zeros(256, bool)
 _PLAIN_START[0x21:0x7F] = True
 _PLAIN_START[0xC3:0xE1] = True
 _PLAIN_START[0xE4:0xF5] = True
+#: ASCII letters are 1, other signs 2, and what no cut goes by 0.
+_SIDE = np.zeros(256, np.uint8)
+_SIDE[0x21:0x7F] = 2
+_SIDE[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"]] = 1
 
 
 def gathered(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.Table]:
@@ -43,26 +48,27 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def split_units(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """All units in one array, and where each text's units start in it (one more entry than texts).
 
-    A text is its units joined by single spaces. It is cut at a space that follows something other than a
-    space and precedes something that is no white space; a null or empty text has no unit.
+    The units of a text, end to end, are a space and the text; a null or empty text has none. It is cut before a space
+    that follows something other than a space and precedes something that is no white space, and
+    between an ASCII letter and another ASCII sign, but not behind an apostrophe.
     """
-    data, places = raw(texts)
+    texts = pc.fill_null(texts, "")
+    full = pc.greater(pc.binary_length(texts), 0)
+    data, places = raw(pc.binary_join_element_wise("", texts.filter(full), " "))
     if not len(data):
         return pa.array([], pa.string()), np.zeros(len(texts) + 1, np.int64)
-    cut = data == 0x20
-    cut[0] = cut[-1] = False
-    cut[1:] &= data[:-1] != 0x20
-    cut[:-1] &= _PLAIN_START[data[1:]]
-    full = places[1:] > places[:-1]
-    cut[places[:-1][full]] = False
-    cut[places[1:][full] - 1] = False
-    at = np.flatnonzero(cut)
-    before = np.concatenate([[0], np.cumsum(cut)])
-    # bytes without the spaces at the cuts; units start at texts and behind cuts
-    starts = np.sort(np.concatenate([places[:-1][full] - before[places[:-1][full]], at - np.arange(len(at))]))
-    offsets = np.append(starts, len(data) - len(at)).astype(np.int32)
-    units = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data[~cut]))
-    number = np.where(full, before[places[1:]] - before[places[:-1]] + 1, 0)
+    cut = np.zeros(len(data) + 1, bool)
+    space = data == 0x20
+    cut[1:-2] = space[1:-1] & ~space[:-2] & _PLAIN_START[data[2:]]
+    side = _SIDE[data]
+    cut[1:-1] |= (side[1:] != side[:-1]) & (side[1:] > 0) & (side[:-1] > 0) & (data[:-1] != ord("'"))
+    cut[places[1:] - 1] &= ~space[places[1:] - 1]  # a last space follows no text
+    cut[places] = True
+    starts = np.flatnonzero(cut)
+    units = pa.StringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts.astype(np.int32)), pa.py_buffer(data))
+    at = np.searchsorted(starts, places)
+    number = np.zeros(len(texts), np.int64)
+    number[full.to_numpy(zero_copy_only=False)] = np.diff(at)
     return units, np.concatenate([[0], np.cumsum(number)])
 
 

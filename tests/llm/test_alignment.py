@@ -13,7 +13,7 @@ from sieverank.llm import alignment, units
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 TOOLS = alignment.Tokenizers(A, B)
-SIGNS = list("aé日🎉ａﬁ▁'́ 　 \t\n\x00\x7f  ") + ["  ", "the ", " <0x41>", "<|endoftext|>", "<s>", "한국", " don't", "123"]
+SIGNS = list("aZb9(.,<é日🎉ａﬁ▁'́ 　 \t\n\x00\x7f  ") + ["  ", "the ", " <0x41>", "<|endoftext|>", "<s>", "한국", " don't", "123"]
 
 
 def whole(text):
@@ -39,28 +39,42 @@ def digest(found):
     return hashlib.sha256(said.encode()).hexdigest() if found else ""
 
 
-@settings(max_examples=400, deadline=None)
+@settings(max_examples=600, deadline=None)
 @given(st.lists(st.lists(st.sampled_from(SIGNS) | st.characters(exclude_categories=["Cs"]), max_size=10).map("".join), min_size=1, max_size=5))
 def test_units_give_the_groups_of_whole_texts(some):
-    block = pa.table({"text": pa.array([*some, None], pa.string())})
-    aligned, codes, starts, good = alignment._texts(block, TOOLS)
-    words = aligned.words()
-    got = alignment._digests(words, codes, starts, good)
-    assert got == [digest(whole(t)[0]) for t in [*some, None]]
+    assert digests([*some, None], MEMORY) == [digest(whole(t)[0]) for t in [*some, None]]
+
+
+MEMORY = alignment.Memory()
+
+
+def digests(some, memory):
+    found, starts = units.split_units(pa.array(some, pa.string()))
+    distinct, codes = units.coded(found)
+    known = memory.look_up(distinct, TOOLS)
+    return alignment._digests(known.words, codes, starts, alignment._good(known.ok, codes, starts))
+
+
+def test_memory_is_bounded(monkeypatch):
+    monkeypatch.setattr(alignment, "MAX_KNOWN", 3)
+    memory = alignment.Memory()
+    for some in (["a b c d"], ["a x▁y"], ["a b", "e f g h"], ["a, b"]):
+        assert digests(some, memory) == [digest(whole(t)[0]) for t in some]
+    assert len(memory.number) < 8
 
 
 def test_units_are_the_text():
     some = ["", "a b", " a  b ", "a\n b", "x 　y z", "é a", None, "a"]
     found, starts = units.split_units(pa.array(some))
-    joined = [" ".join(found[starts[i] : starts[i + 1]].to_pylist()) for i in range(len(some))]
-    assert joined == [t or "" for t in some] and starts[-1] == len(found)
+    joined = ["".join(found[starts[i] : starts[i + 1]].to_pylist()) for i in range(len(some))]
+    assert joined == [" " + t if t else "" for t in some] and starts[-1] == len(found)
+    assert units.split_units(pa.array(["don't (a,b) 12ab x's'y"]))[0].to_pylist() == [" don", "'t", " (", "a", ",", "b", ")", " 12", "ab", " x", "'s", "'y"]
 
 
 def test_very_long_texts_are_digested_in_parts(monkeypatch):
     monkeypatch.setattr(alignment, "DIGESTED_AT_ONCE", 7)
     some = ["a b c d e f g h i j k l m n o p q r s t u v", "x y", None, "z " * 40, "one two"]
-    aligned, codes, starts, good = alignment._texts(pa.table({"text": some}), TOOLS)
-    assert alignment._digests(aligned.words(), codes, starts, good) == [digest(whole(t)[0]) for t in some]
+    assert digests(some, MEMORY) == [digest(whole(t)[0]) for t in some]
 
 
 def brute(rows):
