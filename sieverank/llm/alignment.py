@@ -35,7 +35,7 @@ from sieverank.operators.joins import join_hot
 from sieverank.session import cut
 
 BLOCK_BYTES = 4 << 20
-MAX_KNOWN = 300_000
+MAX_KNOWN = 200_000
 ENCODED_AT_ONCE = 5_000
 DIGESTED_AT_ONCE = 200_000
 SPACE = "▁"
