@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sieverank.functions.measures import cosine_distance_to
 from sieverank.functions.text import is_blank
 from sieverank.operators.joins import join_hot, keep_listed
 from sieverank.operators.lexical import LexicalIndex, query_vectors
@@ -53,11 +54,13 @@ def hybrid_search(
     """
     kept = apply_conditions(catalog, conditions, allowed).select(key)
     if query_vector is None:
-        first = kept.select(key, F.lit(0.0).alias("distance")).orderBy(key).limit(k).withColumn("query_id", F.lit(0))
-        ranked = rank_within(first, k, "query_id", key)
+        scored = kept.select(key, F.lit(0.0).alias("distance"))
+        first = scored.orderBy(key).limit(k)
     else:
-        one = catalog.sparkSession.createDataFrame([(0, [float(x) for x in query_vector])], "query_id int, vector array<double>")
-        ranked = block_topk(prefilter_in(vectors.select(key, "vector"), kept, key), one, k, key)
+        near = prefilter_in(vectors.filter(F.size("vector") == len(query_vector)).select(key, "vector"), kept, key)
+        scored = near.select(key, cosine_distance_to("vector", query_vector).alias("distance"))
+        first = scored.orderBy(F.round("distance", 9), key).limit(k)
+    ranked = rank_within(first.withColumn("query_id", F.lit(0)), k, "query_id", key)
     return ranked.select("rank", key, round_distance(F.col("distance")).alias("distance"))
 
 

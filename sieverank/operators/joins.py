@@ -37,6 +37,24 @@ def join_hot(left: DataFrame, right: DataFrame, on: str, copies: str, spread_by:
     return joined.select(*left.columns, *[F.col(f"_value.{v}").alias(v) for v in values])
 
 
+def join_spread(left: DataFrame, right: DataFrame, on: Sequence[str], spread_by: str) -> DataFrame:
+    """Inner join on columns that neither side is unique on, with the left rows of hot keys spread.
+
+    The left rows of each key are counted first, which reads that side once more. A key with more rows than a
+    share of a mean shuffle partition is hot: its right rows are repeated under as many salts as it fills
+    such shares. Only hot keys and their salts are broadcast, fewer rows than there are shares.
+    """
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = cut(left.groupBy(*on).agg(F.count("*").alias("_n")), "key-counts")
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    salts = F.ceil(F.col("_n") * (parts * SHARES) / F.lit(max(total, 1))).cast("int")
+    hot = counts.select(*on, salts.alias("_salts")).filter("_salts > 1")
+    number = F.coalesce("_salts", F.lit(1))
+    salted = left.join(F.broadcast(hot), [*on], "left").withColumn("_salt", F.pmod(F.xxhash64(spread_by), number).cast("int")).drop("_salts")
+    repeated = right.join(F.broadcast(hot), [*on], "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), number - 1))).drop("_salts")
+    return salted.join(repeated, [*on, "_salt"]).drop("_salt")
+
+
 def fits(stored: DataFrame, columns: Sequence[str], limit: int = MAX_BROADCAST_BYTES) -> bool:
     """Whether some columns of a stored table are small enough to be broadcast; reads it once."""
     size = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in columns), F.lit(64))

@@ -12,16 +12,17 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator, Sequence
-from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, NumericType, StringType, StructType
+from pyspark.sql.types import DataType, NumericType, StringType, StructType
 
 from sieverank.functions.text import WHITESPACE, strip
+from sieverank.operators.joins import fits, join_spread
+from sieverank.session import cut
 
 MAX_SETS = 1_000
 WORD_BITS = 62
@@ -71,7 +72,15 @@ _TOKEN = re.compile(
     | \d+(?:\.\d*)?(?:[eE][+-]?\d+)?[A-Za-z]{0,2} | (?P<other>--|/\*|;|.)""",
     re.VERBOSE | re.DOTALL,
 )
-_SIMPLE = re.compile(r"^\s*(`[^`]+`|\w+)\s*(=|<>|!=|>=|<=|>|<)\s*('[^']*'|-?\d+(?:\.\d+)?)\s*$")
+# Comparisons of one field with literals, joined by AND and OR: nothing in them can fail on a row.
+_VALUE = r"(?:'[^'\\]*'|-?\d{1,15}(?:\.\d{1,15})?)"
+_PLAIN = re.compile(
+    rf"""\s*(?:NOT\s+)?(?P<field>`[^`]+`|[A-Za-z_]\w*)\s*
+    (?:(?:<=>|<>|!=|>=|<=|==|=|>|<)\s*{_VALUE} | \b(?:NOT\s+)?IN\s*\(\s*{_VALUE}(?:\s*,\s*{_VALUE})*\s*\)
+     | \b(?:NOT\s+)?BETWEEN\s+{_VALUE}\s+AND\s+{_VALUE} | \b(?:NOT\s+)?LIKE\s+'[^'\\]*' | \bIS\s+(?:NOT\s+)?NULL\b)
+    \s*(?P<more>\b(?:AND|OR)\b|$)""",
+    re.VERBOSE | re.IGNORECASE,
+)
 
 
 def refused_word(condition: str, allowed: Sequence[str]) -> str | None:
@@ -112,15 +121,26 @@ def _problem(probe: DataFrame, conditions: Sequence[str]) -> str | None:
     return None
 
 
-@contextmanager
-def lenient(spark: SparkSession) -> Iterator[None]:
-    """Expressions made inside give null where they would end the job, a division by zero say."""
-    before = spark.conf.get("spark.sql.ansi.enabled")
-    spark.conf.set("spark.sql.ansi.enabled", "false")
-    try:
-        yield
-    finally:
-        spark.conf.set("spark.sql.ansi.enabled", before)
+def is_plain(condition: str, kinds: dict[str, DataType]) -> bool:
+    """Whether it only compares fields with literals of their own kind, texts or numbers.
+
+    ``kinds`` has the types of the allowed fields by lower-cased name. Such a condition is valid and cannot
+    fail on any row, so neither the analyzer nor the rows have to be asked.
+    """
+    place = 0
+    while found := _PLAIN.match(condition, place):
+        kind = kinds.get(found["field"].strip("`").lower())
+        literals = re.findall(_VALUE, condition[found.end("field") : found.end()])
+        if not isinstance(kind, StringType | NumericType) or any((x[0] == "'") != isinstance(kind, StringType) for x in literals):
+            return False
+        if not found["more"]:
+            return True
+        place = found.end()
+    return False
+
+
+def _kinds(catalog: DataFrame, allowed: Sequence[str]) -> dict[str, DataType]:
+    return {f.name.lower(): f.dataType for f in catalog.select(*allowed).schema.fields}
 
 
 def condition_errors(
@@ -131,10 +151,12 @@ def condition_errors(
     A condition may use the allowed fields, literals and functions that depend on their arguments
     only; what is left is resolved by Spark's analyzer against the allowed fields alone.
     """
-    refused = {c: refused_word(c, allowed) for c in conditions}
+    kinds = _kinds(catalog, allowed)
+    doubtful = [c for c in conditions if not is_plain(c, kinds)]
+    refused = {c: refused_word(c, allowed) for c in doubtful}
     errors = {c: f"{word} is not allowed" for c, word in refused.items() if word}
-    probe = _probe(catalog.sparkSession, catalog.select(*allowed).schema)
-    return errors | _bad_ones(probe, [c for c in conditions if c not in errors])
+    left = [c for c in doubtful if c not in errors]
+    return errors | _bad_ones(_probe(catalog.sparkSession, catalog.select(*allowed).schema), left) if left else errors
 
 
 def _bad_ones(probe: DataFrame, conditions: list[str]) -> dict[str, str]:
@@ -153,10 +175,11 @@ def apply_conditions(
 ) -> DataFrame:
     """Rows for which all conditions hold; no condition keeps all rows.
 
-    Raises ``InvalidCondition`` for one that is refused or fails on some row.
+    Raises ``InvalidCondition`` for one that is refused or fails on some row. To know the latter the
+    catalog is read once, at the call, if some condition is more than plain comparisons.
     """
     cleaned = normalise_list(conditions)
-    errors = condition_errors(catalog, cleaned, allowed) or runtime_errors(catalog, cleaned, allowed)
+    errors = condition_errors(catalog, cleaned, allowed) or failing_conditions(catalog, cleaned, allowed)
     if errors:
         raise InvalidCondition(INVALID + "; ".join(f"{c}: {e}" for c, e in errors.items()))
     if not cleaned:
@@ -211,12 +234,8 @@ class ConditionPlan:
         return F.expr(f"array({', '.join(words)})")
 
     def signed(self, catalog: DataFrame, *columns: str) -> DataFrame:
-        """The columns with ``sig``, the signature, for rows that some list lets through.
-
-        A condition that fails on a row does not hold there, and does not end the job.
-        """
-        with lenient(self.spark):
-            rows = catalog.select(*columns, self.signature().alias("sig"))
+        """The columns with ``sig``, the signature, for rows that some list lets through."""
+        rows = catalog.select(*columns, self.signature().alias("sig"))
         return rows.filter(F.size(self.members(F.col("sig"))) > 0)
 
     def members(self, signature: Column, ids: Sequence[int] | None = None) -> Column:
@@ -278,7 +297,7 @@ def plan_conditions(
     lists = sorted({tuple(c) for c in condition_lists})
     distinct = sorted({c for conditions in lists for c in conditions})
     errors = condition_errors(catalog, distinct, allowed)
-    errors |= runtime_errors(catalog, [c for c in distinct if c not in errors], allowed)
+    errors |= failing_conditions(catalog, [c for c in distinct if c not in errors], allowed)
     atoms = tuple(c for c in distinct if c not in errors)
     place = {a: i for i, a in enumerate(atoms)}
     n_words = max(1, -(-len(atoms) // WORD_BITS))
@@ -343,47 +362,40 @@ def set_counts(signed: DataFrame, plan: ConditionPlan) -> DataFrame:
     return members.groupBy("set_id").agg(F.count("*").alias("n_survivors"))
 
 
-def _referred(condition: str, allowed: Sequence[str]) -> list[str]:
-    names = {t["name"].strip("`").lower() for t in _TOKEN.finditer(condition) if t["name"] and not t["call"]}
-    return [f for f in allowed if f.lower() in names]
+def judged(condition: str, guard: str) -> str:
+    """A condition as SQL that cannot end the job: a date, the later one where it holds, and null where it fails.
 
+    ``try_add`` gives null for whatever fails while the days to add are computed: an overflow, a bad cast, a
+    division by zero. The ``if`` around it is always true, which the optimizer cannot know; without it,
+    parts that several conditions share would be computed ahead, outside of the try.
+    """
+    days = f"cast(coalesce(({condition}), false) as int)"
+    return f"if(hash(`{guard}`) >= -2147483648, try_add(date'2000-01-01', {days}), date'2000-01-01')"
 
-def runtime_errors(catalog: DataFrame, conditions: Sequence[str], allowed: Sequence[str]) -> dict[str, str]:
+
+def failing_conditions(catalog: DataFrame, conditions: Sequence[str], allowed: Sequence[str]) -> dict[str, str]:
     """The conditions that fail on some row, with the reason.
 
-    Plain comparisons cannot fail. Others are evaluated leniently in one pass; those that give null
-    where all their fields are known are evaluated again on these rows only, strictly.
+    Plain conditions cannot fail. All others are judged in one pass, which hands on one row for each
+    that fails; that row alone tells Spark's reason.
     """
-    kinds = {f.name.lower(): f.dataType for f in catalog.select(*allowed).schema.fields}
-
-    def safe(condition: str) -> bool:
-        found = _SIMPLE.match(condition)
-        kind = kinds.get(found[1].strip("`").lower()) if found else None
-        return isinstance(kind, StringType if found and found[3][0] == "'" else NumericType)
-
-    risky = [c for c in conditions if not safe(c)]
+    kinds = _kinds(catalog, allowed)
+    risky = [c for c in conditions if not is_plain(c, kinds)]
     if not risky:
         return {}
-    known = [F.lit(True) for _ in risky]
-    for i, c in enumerate(risky):
-        for name in _referred(c, allowed):
-            known[i] = known[i] & F.col(f"`{name}`").isNotNull()
-    with lenient(catalog.sparkSession):
-        missing = catalog.select(
-            *[F.coalesce(k & F.expr(f"({c})").isNull(), F.lit(False)).alias(f"m{i}") for i, (c, k) in enumerate(zip(risky, known))]
-        )
-    seen = missing.agg(*[F.bool_or(f"m{i}").alias(f"m{i}") for i in range(len(risky))]).first()
-    errors = {}
-    for i, c in enumerate(risky):
-        if not seen[f"m{i}"]:
-            continue
-        with lenient(catalog.sparkSession):
-            rows = catalog.filter(known[i] & F.expr(f"({c})").isNull()).select(*allowed)
-        try:
-            rows.filter(F.expr(f"({c})")).agg(F.count("*")).first()
-        except PySparkException as error:
-            errors[c] = _reason(error)
-    return errors
+    failed = [f"if({judged(c, allowed[0])} is null, {i}, null)" for i, c in enumerate(risky)]
+    rows = catalog.select(*allowed, F.expr(f"array_compact(array({', '.join(failed)}))").alias("_failed"))
+    found = rows.select(F.struct(*allowed).alias("row"), F.explode("_failed").alias("i")).groupBy("i").agg(F.min("row").alias("row"))
+    schema = catalog.select(*allowed).schema
+    return {risky[r["i"]]: _reason_on(catalog.sparkSession.createDataFrame([r["row"]], schema), risky[r["i"]]) for r in found.collect()}
+
+
+def _reason_on(row: DataFrame, condition: str) -> str:
+    try:
+        row.filter(F.expr(f"({condition})")).collect()
+    except PySparkException as error:
+        return _reason(error)
+    return "it fails on some record"
 
 
 def _reason(error: PySparkException) -> str:
@@ -462,6 +474,9 @@ def refused_fields(typed: Column, allowed: Sequence[str]) -> Column:
 
 # --- many lists of typed conditions -----------------------------------------------------
 
+BINS = 64
+MAX_LIST_BYTES = 64 << 20
+
 
 def _compared(value: Column, op: Column, other: Column) -> Column:
     return (
@@ -470,58 +485,166 @@ def _compared(value: Column, op: Column, other: Column) -> Column:
     )
 
 
-def typed_survivors(catalog: DataFrame, queries: DataFrame, key: str, allowed: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+def typed_survivors(
+    catalog: DataFrame, queries: DataFrame, key: str, allowed: Sequence[str], bins: int = BINS, max_bytes: int = MAX_LIST_BYTES,
+) -> tuple[DataFrame, DataFrame]:
     """``(query_id, key)`` for queries whose conditions are plain comparisons, and the queries left over.
 
-    ``queries`` has ``query_id`` and normalised ``conditions``, any number of different lists. The
-    equalities of a list become one join key, so the catalog is read once and repeated only for each set of
-    fields that some list compares for equality; the other comparisons are checked on the joined rows.
-    Lists with no equality, or with anything but comparisons of allowed fields with literals of their
-    kind, are left over for ``planned_parts``.
+    ``queries`` has ``query_id`` and normalised ``conditions``, any number of different lists. Lists and
+    records are joined by two things: the values of the fields that a list compares for equality, and a range
+    of one number field. The bounds that lists name cut the field's numbers into ``bins``; these are the
+    leaves of a binary tree. A list's range is a few nodes of that tree, at most two a level; a record lies in one
+    node of every level, so it meets each list of its range once. All comparisons are checked on the joined
+    rows. So a frequent value meets only lists with the right range, and lists without any equality need no
+    pairing with all records.
+
+    Lists of up to ``max_bytes``, measured, are broadcast: then the catalog is read once and not shuffled. More go
+    through a shuffle, and the records of a frequent value or node are spread (``join_spread``). Lists with
+    neither an equality nor a bound on a number, or with anything but comparisons of allowed fields with
+    literals of their kind, are left over for ``planned_parts``.
     """
     kinds = {f.name: f.dataType for f in catalog.select(*allowed).schema.fields}
     texts = [f for f, kind in kinds.items() if isinstance(kind, StringType)]
     numbers = [f for f, kind in kinds.items() if isinstance(kind, NumericType)]
 
     def plain(c: Column) -> Column:
-        text = c["field"].isin(texts) & c["text"].isNotNull()
+        # a backslash may stand for another sign: the planner reads such texts
+        text = c["field"].isin(texts) & c["text"].isNotNull() & ~c["text"].contains("\\")
         number = c["field"].isin(numbers) & c["number"].isNotNull() & (F.abs(c["number"]) < 2**53)
         return F.coalesce(text | number, F.lit(False))
 
-    marked = queries.withColumn("typed", parse_conditions(F.col("conditions")))
-    equal = F.array_distinct(F.transform(F.filter("typed", lambda c: c["op"] == "="), lambda c: c["field"]))
-    marked = marked.withColumn("fields", F.array_sort(equal))
-    usable = (F.size("fields") > 0) & F.forall("typed", plain)
-    left = marked.filter(~usable).drop("typed", "fields")
+    def bounds(c: Column) -> Column:
+        return c["field"].isin(numbers) & (c["op"] != "=")
 
-    def of(fields: Column, value) -> Column:
-        return F.xxhash64(fields, F.transform(fields, value))
-
-    def asked(field: Column) -> Column:
+    # Each step is stored or named, so that no expression of a step before is computed again.
+    distinct = queries.select("conditions").distinct().withColumn("typed", parse_conditions(F.col("conditions")))
+    lists = cut(distinct.withColumn("list_id", F.monotonically_increasing_id()), "lists")
+    equal = F.array_distinct(F.transform(F.filter("typed", lambda c: c["op"] == "="), lambda c: c["field"]))
+    indexed = (F.size(equal) > 0) | F.exists("typed", bounds)
+    usable = F.coalesce(indexed & F.forall("typed", plain), F.lit(False))
+    of_queries = queries.join(lists.select("conditions", "list_id", usable.alias("_usable")), "conditions")
+    left = of_queries.filter(~F.col("_usable")).select(queries.columns)
+    lists = lists.filter(usable).select("list_id", "typed", F.array_sort(equal).alias("fields"))
+    edges = _edges(lists.select(F.explode(F.filter("typed", bounds)).alias("c")).select("c.field", "c.number"), bins)
+    lists = cut(_with_nodes(lists, edges), "list-nodes")
+    kinds_of = lists.select("fields", "range_field").distinct().collect()  # sets of allowed fields, with one of them
+    combos = {(tuple(r["fields"]), r["range_field"]): i for i, r in enumerate(kinds_of)}
+    named = {f: F.col(f"_{i}") if f in texts else F.col(f"_{i}").cast("double") + 0.0 for i, f in enumerate(kinds)}  # -0.0 equals 0.0
+
+    def asked(field: str) -> Column:
         found = F.get(F.filter("typed", lambda c: (c["field"] == field) & (c["op"] == "=")), F.lit(0))
-        return F.coalesce(found["text"], found["number"].cast("string"))
-
-    lists = marked.filter(usable).groupBy("conditions").agg(
-        F.first("typed").alias("typed"), F.first("fields").alias("fields")
-    ).withColumn("hash", of(F.col("fields"), asked))
-    sets = [r["fields"] for r in lists.select("fields").distinct().collect()]  # sets of allowed fields
-    named = F.create_map(*[x for f in texts + numbers for x in (F.lit(f), _as_text(f, kinds[f]))])
-    keys = [of(F.array(*[F.lit(f) for f in fields]), lambda f: F.element_at(named, f)) for fields in sets]
-    rows = catalog.select(key, *[f for f in allowed if f != key], F.explode(F.array(*keys) if keys else F.array().cast("array<bigint>")).alias("hash"))
+        return found["text"] if field in texts else found["number"] + 0.0
+
+    def part(value_of) -> list[tuple[Column, Column, str | None]]:
+        """Per kind of list: its number, the hash of its equal values, and the field of its range."""
+        return [(F.lit(i), F.xxhash64(F.lit(i), *[value_of(f) for f in fields]), ranged) for (fields, ranged), i in combos.items()]
+
+    def is_kind(fields: Sequence[str], ranged: str | None) -> Column:
+        return (F.col("fields") == F.array(*map(F.lit, fields)).cast("array<string>")) & F.col("range_field").eqNullSafe(F.lit(ranged))
+
+    kind, values = F.lit(None).cast("int"), F.lit(None).cast("long")
+    for (fields, ranged), (i, hashed, _) in zip(combos, part(asked)):
+        kind, values = F.when(is_kind(fields, ranged), i).otherwise(kind), F.when(is_kind(fields, ranged), hashed).otherwise(values)
+    places = lists.withColumns({"kind": kind, "hash": values}).select("list_id", "typed", "kind", "hash", F.explode("nodes").alias("node"))
+    places = cut(places, "list-places")
+
+    def place(i: Column, h: Column, node: Column) -> Column:
+        return F.struct(i.alias("kind"), h.alias("hash"), node.alias("node"))
+
+    ranged_by = sorted({ranged for _, ranged in combos if ranged})
+    numbered = catalog.select(F.col(key).alias("_key"), *[F.col(f).alias(f"_{i}") for i, f in enumerate(kinds)])
+    numbered = numbered.withColumns({f"_leaf_{f}": _leaf_of(F.col(f"_{list(kinds).index(f)}").cast("double"), edges[f]) for f in ranged_by})
+    met_at = [
+        place(i, h, node)
+        for i, h, ranged in part(named.__getitem__)
+        for node in (_upwards(F.col(f"_leaf_{ranged}"), edges[ranged]) if ranged else [F.lit(1)])
+    ]
+    nowhere = F.array().cast("array<struct<kind:int,hash:bigint,node:int>>")
+    rows = numbered.select("_key", *[f"_{i}" for i in range(len(kinds))], F.explode(F.array(*met_at) if met_at else nowhere).alias("at"))
+    rows = rows.select("_key", *[f"_{i}" for i in range(len(kinds))], "at.*")
 
     def holds(c: Column) -> Column:
         found = F.lit(None).cast("boolean")
-        for f in texts + numbers:
-            other = c["text"] if f in texts else c["number"]
-            value = F.col(f) if f in texts else F.col(f).cast("double")
-            found = F.when(c["field"] == f, _compared(value, c["op"], other)).otherwise(found)
+        for i, f in enumerate(kinds):
+            if f in texts:
+                found = F.when(c["field"] == f, _compared(F.col(f"_{i}"), c["op"], c["text"])).otherwise(found)
+            elif f in numbers:
+                found = F.when(c["field"] == f, _compared(F.col(f"_{i}").cast("double"), c["op"], c["number"])).otherwise(found)
         return F.coalesce(found, F.lit(False))
 
-    met = rows.join(lists, "hash").filter(F.forall("typed", holds)).select("conditions", key)
-    found = marked.filter(usable).select("query_id", "conditions").join(met, "conditions").select("query_id", key)
-    return found, left
+    on = ["kind", "hash", "node"]
+    if fits(places.withColumn("said", F.to_json("typed")), ["said"], max_bytes):
+        pairs = rows.join(F.broadcast(places), on)
+    else:
+        pairs = join_spread(rows, places, on, "_key")
+    met = pairs.filter(F.forall("typed", holds)).select("list_id", F.col("_key").alias(key))
+    return of_queries.filter("_usable").select("query_id", "list_id").join(met, "list_id").select("query_id", key), left
+
+
+def _edges(numbers: DataFrame, bins: int) -> dict[str, list[float]]:
+    """Per field up to ``bins`` - 1 of its numbers, ascending, with about as many numbers between any two."""
+    shares = [(i + 1) / bins for i in range(bins - 1)]
+    found = numbers.groupBy("field").agg(F.percentile_approx("number", shares, 10_000).alias("edges")).collect()  # one row per field
+    return {r["field"]: sorted({x + 0.0 for x in r["edges"]}) for r in found}
+
+
+def _leaves(edges: Sequence[float]) -> int:
+    """A power of two that is above the number of edges."""
+    return 1 << len(edges).bit_length()
+
+
+def _bin_of(value: Column, edges: Sequence[float]) -> Column:
+    """How many edges a number reaches, by halving; NaN is above all."""
 
+    def halved(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(value >= edges[middle], halved(middle + 1, high)).otherwise(halved(low, middle))
 
-def _as_text(field: str, kind) -> Column:
-    """A field's value as equalities spell it: numbers as doubles."""
-    return F.col(field) if isinstance(kind, StringType) else F.col(field).cast("double").cast("string")
+    return halved(0, len(edges))
+
+
+def _leaf_of(value: Column, edges: Sequence[float]) -> Column:
+    """The leaf a number lies in; none for a null."""
+    return F.when(value.isNotNull(), _leaves(edges) + _bin_of(value, edges))
+
+
+def _upwards(leaf: Column, edges: Sequence[float]) -> list[Column]:
+    """The leaf and all nodes above it, up to the root, which is 1."""
+    return [F.shiftright(leaf, level).cast("int") for level in range(_leaves(edges).bit_length())]
+
+
+def _with_nodes(lists: DataFrame, edges: dict[str, list[float]]) -> DataFrame:
+    """Adds ``range_field``, the field with the narrowest range of a list, and ``nodes``, the nodes that cover it.
+
+    Lists without a range have a null field and the root alone.
+    """
+    ranges = [F.lit(None).cast("struct<share:double,field:string,nodes:array<int>>")]
+    for i, (field, cuts) in enumerate(sorted(edges.items())):
+        leaves, reached = _leaves(cuts), F.array(*map(F.lit, cuts))
+
+        def bound(ops: Sequence[str], pick, field=field) -> Column:
+            chosen = F.filter("typed", lambda c: (c["field"] == field) & c["op"].isin(*ops))
+            return pick(F.transform(chosen, lambda c: c["number"]))
+
+        def bin_of(value: Column, reached=reached) -> Column:
+            return F.size(F.filter(reached, lambda x: x <= value))
+
+        lists = lists.withColumns({f"_low{i}": bound((">", ">="), F.array_max), f"_high{i}": bound(("<", "<="), F.array_min)})
+        low, high = F.col(f"_low{i}"), F.col(f"_high{i}")
+        lists = lists.withColumns({
+            f"_first{i}": F.when(low.isNotNull(), bin_of(low)).otherwise(0) + leaves,
+            f"_behind{i}": F.when(high.isNotNull(), bin_of(high)).otherwise(len(cuts)) + leaves + 1,
+        })
+        first, behind, nodes = F.col(f"_first{i}"), F.col(f"_behind{i}"), []
+        for level in range(leaves.bit_length()):
+            a, b = F.shiftright(first + ((1 << level) - 1), level), F.shiftright(behind, level)
+            nodes += [F.when((a < b) & (a % 2 == 1), a.cast("int")), F.when((a < b) & (b % 2 == 1), (b - 1).cast("int"))]
+        found = F.struct(((behind - first) / leaves).alias("share"), F.lit(field).alias("field"), F.array_compact(F.array(*nodes)).alias("nodes"))
+        lists = lists.withColumn(f"_range{i}", F.when(low.isNotNull() | high.isNotNull(), found))
+        ranges.append(F.col(f"_range{i}"))
+    best = F.array_min(F.array(*ranges))
+    return lists.select("list_id", "typed", "fields", best.alias("_best")).select(
+        "list_id", "typed", "fields", F.col("_best.field").alias("range_field"), F.coalesce("_best.nodes", F.array(F.lit(1))).alias("nodes")
+    )

@@ -321,6 +321,22 @@ def many_condition_lists(spark, sf_dir):
     return hybrid.query_survivors(customers, queries, "c_custkey", ["c_mktsegment", "c_nationkey", "c_acctbal"])
 
 
+@registered(
+    """SELECT o_orderkey AS query_id, p_partkey FROM orders JOIN part
+         ON p_retailprice >= (900000 + floor(o_totalprice)::BIGINT % 100000) / 1000.0
+        AND p_retailprice < (900250 + floor(o_totalprice)::BIGINT % 100000) / 1000.0 AND p_size >= o_custkey % 50"""
+)
+def range_condition_lists(spark, sf_dir):
+    """A condition list per order, ranges only and nearly all different: parts of a narrow range of prices and some size."""
+    said = """(900 + {0} div 1000) || '.' || lpad({0} % 1000, 3, '0')"""
+    conditions = F.expr(
+        f"""array('p_retailprice >= ' || {said.format('cents')}, 'p_retailprice < ' || {said.format('(cents + 250)')} || ' AND p_size >= ' || (o_custkey % 50))"""
+    )
+    orders = table(spark, sf_dir, "orders").withColumn("cents", F.floor("o_totalprice") % 100_000)
+    queries = cut(orders.select(F.col("o_orderkey").alias("query_id"), conditions.alias("conditions")), "order-ranges")
+    return hybrid.query_survivors(table(spark, sf_dir, "part"), queries, "p_partkey", ["p_size", "p_retailprice"])
+
+
 _RISKY = """CASE source
     WHEN 'src1' THEN array("lang = 'en'", '1000 / (n_chars - n_chars % 2 - doc_id * 2) > 1')
     WHEN 'src2' THEN array("cast(substr(lang, 1, 1) as int) > 0")
@@ -329,28 +345,38 @@ _RISKY = """CASE source
     WHEN 'src5' THEN array("java_method('java.lang.System', 'currentTimeMillis') <> ''")
     WHEN 'src6' THEN array('1000 / (n_chars + 1) > 1')
     WHEN 'src7' THEN array('nullif(n_chars, 100) > 50')
+    WHEN 'src8' THEN array('n_chars * 9223372036854775807 < 0')
+    WHEN 'src9' THEN array("n_chars > 5", 'n_chars * 9223372036854775807 > 7')
+    WHEN 'src10' THEN array("lang > 0")
+    WHEN 'src11' THEN array("lang > 0 OR lang = 'en'", 'n_chars % (doc_id - doc_id) = 0')
+    WHEN 'src12' THEN array('n_chars * 2147483647 > 0', 'try_divide(n_chars, n_chars - n_chars) is null')
     ELSE array("lang = 'en'") END"""
 
 
 @registered(
     """WITH q AS (SELECT DISTINCT source FROM documents),
-       failing AS (SELECT count(*) AS n FROM documents WHERE n_chars - n_chars % 2 - doc_id * 2 = 0)
-       SELECT source AS query_id, source NOT IN ('src2', 'src3', 'src4', 'src5') AND (source <> 'src1' OR (SELECT n FROM failing) = 0) AS success,
-         CASE WHEN source IN ('src3', 'src4', 'src5') THEN 'refused' WHEN source = 'src2' THEN 'CAST_INVALID_INPUT'
-              WHEN source = 'src1' AND (SELECT n FROM failing) > 0 THEN 'DIVIDE_BY_ZERO' END AS reason,
-         CASE WHEN source IN ('src2', 'src3', 'src4', 'src5') THEN 0
-              WHEN source = 'src1' AND (SELECT n FROM failing) > 0 THEN 0
+       r AS (SELECT source, CASE
+           WHEN source IN ('src3', 'src4', 'src5') THEN 'refused'
+           WHEN source IN ('src2', 'src10') THEN 'CAST_INVALID_INPUT'
+           WHEN source = 'src1' AND EXISTS (FROM documents WHERE n_chars - n_chars % 2 - doc_id * 2 = 0) THEN 'DIVIDE_BY_ZERO'
+           WHEN source IN ('src8', 'src9') AND EXISTS (FROM documents WHERE n_chars > 1) THEN 'ARITHMETIC_OVERFLOW'
+           WHEN source = 'src11' THEN 'CAST_INVALID_INPUT, REMAINDER_BY_ZERO' END AS reason FROM q)
+       SELECT source AS query_id, reason IS NULL AS success, reason,
+         CASE WHEN reason IS NOT NULL THEN 0
               WHEN source = 'src1' THEN (SELECT count(*) FROM documents WHERE lang = 'en' AND 1000.0 / (n_chars - n_chars % 2 - doc_id * 2) > 1)
               WHEN source = 'src6' THEN (SELECT count(*) FROM documents WHERE 1000.0 / (n_chars + 1) > 1)
               WHEN source = 'src7' THEN (SELECT count(*) FROM documents WHERE nullif(n_chars, 100) > 50)
-              ELSE (SELECT count(*) FROM documents WHERE lang = 'en') END AS n_survivors FROM q"""
+              WHEN source IN ('src8', 'src9') THEN 0
+              WHEN source = 'src12' THEN (SELECT count(*) FROM documents WHERE n_chars > 0)
+              ELSE (SELECT count(*) FROM documents WHERE lang = 'en') END AS n_survivors FROM r"""
 )
 def condition_runtime_errors(spark, sf_dir):
     """Conditions that fail on some row, or are refused, beside good ones: each spoils its own query only."""
     documents = catalog_of(spark, sf_dir)
     asked = cut(documents.select(F.col("source").alias("query_id"), F.expr(_RISKY).alias("conditions")).distinct(), "risky")
     outcome = predicates.evaluate_conditions(documents, asked, ALLOWED)
-    reason = F.when(F.col("error").contains("is not allowed"), "refused").otherwise(F.regexp_extract("error", r"\[([A-Z_]+)[.\]]", 1))
+    named = F.array_join(F.regexp_extract_all("error", F.lit(r"\[([A-Z_]+)[.\]]"), F.lit(1)), ", ")
+    reason = F.when(F.col("error").contains("is not allowed"), "refused").otherwise(named)
     return outcome.select("query_id", "success", reason.alias("reason"), "n_survivors")
 
 
