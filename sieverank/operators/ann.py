@@ -75,7 +75,7 @@ def ann_topk(
     id_type = right.schema["query_id"].dataType.simpleString()
     key_type = left.schema["key"].dataType.simpleString()
     schema = f"query_id {id_type}, key {key_type}, distance double"
-    found = grid_topk(left, right, k, "dense", schema, **sizes)
+    found = grid_topk(left, right, k, schema, **sizes)
     once = found.groupBy("query_id", "key").agg(F.min("distance").alias("distance"))
     return rank_within(once, k).withColumnRenamed("key", key)
 

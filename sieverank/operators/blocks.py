@@ -17,7 +17,6 @@ import pyarrow.compute as pc
 
 TILE_QUERIES = 256
 TILE_ROWS = 4_096
-TILE_POSTINGS = 16_384
 
 
 def _unit(matrix: np.ndarray) -> np.ndarray:
@@ -38,8 +37,6 @@ def _matrix(column: pa.Array, width: int | None = None) -> tuple[np.ndarray, np.
 class DenseQueries:
     """Queries given as vectors of equal width."""
 
-    columns = ("vector",)
-
     def __init__(self, table: pa.Table, order: np.ndarray):
         matrix, kept = _matrix(_one(table, "vector"))
         if len(kept) != table.num_rows:
@@ -59,67 +56,6 @@ class DenseQueries:
         return 1.0 - self.unit[low:high] @ prepared[rows].T
 
 
-class SparseQueries:
-    """Queries given as terms with weights; vectors have length 1 already."""
-
-    columns = ("terms", "weights")
-
-    def __init__(self, table: pa.Table, order: np.ndarray):
-        terms, weights = _one(table, "terms"), _one(table, "weights")
-        sizes = pc.fill_null(pc.list_value_length(terms), 0).to_numpy(zero_copy_only=False)
-        owner = np.repeat(np.arange(len(sizes)), sizes)
-        position = np.empty(len(sizes), dtype=np.int64)
-        position[order] = np.arange(len(sizes))
-        codes, vocabulary = pd.factorize(terms.flatten().to_pandas())
-        self.vocabulary = pd.Index(vocabulary)
-        by_query = np.argsort(position[owner], kind="stable")
-        self.owner = position[owner][by_query]
-        self.codes = codes[by_query]
-        self.weights = weights.flatten().to_numpy(zero_copy_only=False)[by_query]
-
-    def batch(self, batch: pa.RecordBatch) -> tuple[Any, np.ndarray]:
-        terms = batch.column("terms")
-        sizes = pc.fill_null(pc.list_value_length(terms), 0).to_numpy(zero_copy_only=False)
-        codes = self.vocabulary.get_indexer(terms.flatten().to_pandas())
-        weights = batch.column("weights").flatten().to_numpy(zero_copy_only=False)
-        owner = np.repeat(np.arange(len(sizes)), sizes)
-        known = codes >= 0
-        return (owner[known], codes[known], weights[known], len(sizes)), np.flatnonzero(
-            terms.is_valid().to_numpy(zero_copy_only=False)
-        )
-
-    def row_blocks(self, prepared: Any, rows: np.ndarray) -> Iterator[np.ndarray]:
-        owner, _, _, n = prepared
-        per_row = np.bincount(owner, minlength=n)[rows]
-        group = np.cumsum(per_row + 1) // TILE_POSTINGS
-        for part in np.split(rows, np.flatnonzero(np.diff(group)) + 1):
-            if len(part):
-                yield part
-
-    def distances(self, prepared: Any, rows: np.ndarray, low: int, high: int) -> np.ndarray:
-        owner, codes, weights, n = prepared
-        first, last = np.searchsorted(self.owner, [low, high])
-        used, local = np.unique(self.codes[first:last], return_inverse=True)
-        grid = np.zeros((len(used) + 1, high - low))
-        grid[local, self.owner[first:last] - low] = self.weights[first:last]
-        place = np.full(n, -1)
-        place[rows] = np.arange(len(rows))
-        start, stop = np.searchsorted(owner, [rows[0], rows[-1] + 1]) if len(rows) else (0, 0)
-        at = place[owner[start:stop]]
-        spot = np.searchsorted(used, codes[start:stop])
-        spot[spot == len(used)] = 0
-        hit = (at >= 0) & (used[spot] == codes[start:stop]) if len(used) else np.zeros(len(at), bool)
-        dots = np.zeros((len(rows), high - low))
-        at, spot, w = at[hit], spot[hit], weights[start:stop][hit]
-        if len(at):
-            starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-            dots[at[starts]] = np.add.reduceat(w[:, None] * grid[spot], starts, axis=0)
-        return 1.0 - dots.T
-
-
-SCORERS = {"dense": DenseQueries, "sparse": SparseQueries}
-
-
 def _one(table: pa.Table, name: str) -> pa.Array:
     return table.column(name).combine_chunks()
 
@@ -132,7 +68,7 @@ def _words(column: pa.Array) -> np.ndarray:
 class QueryBlock:
     """The query side of a block: identifiers, features and, if given, condition masks."""
 
-    def __init__(self, table: pa.Table, kind: str, k: int):
+    def __init__(self, table: pa.Table, k: int):
         self.k = k
         masks = _words(_one(table, "mask")) if "mask" in table.column_names else None
         n = table.num_rows
@@ -144,7 +80,7 @@ class QueryBlock:
             change = np.flatnonzero((masks[1:] != masks[:-1]).any(axis=1)) + 1
             bounds = [0, *change.tolist(), n]
         self.ids = _one(table, "query_id").take(pa.array(order))
-        self.scorer = SCORERS[kind](table, order)
+        self.scorer = DenseQueries(table, order)
         self.tiles = [
             (low, min(low + TILE_QUERIES, end), None if masks is None else masks[low])
             for begin, end in zip(bounds, bounds[1:])
@@ -163,7 +99,7 @@ class QueryBlock:
             keys = batch.column("key").to_numpy(zero_copy_only=False)
             prepared, kept = self.scorer.batch(batch)
             words = _words(batch.column("sig")) if "sig" in batch.schema.names else None
-            slot = np.arange(len(kept)) if isinstance(self.scorer, DenseQueries) else kept
+            slot = np.arange(len(kept))
             for i, (low, high, mask) in enumerate(self.tiles):
                 rows, row_keys = slot, keys[kept]
                 if mask is not None:

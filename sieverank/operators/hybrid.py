@@ -118,7 +118,13 @@ def _search_part(
         spoken = queries.filter(~F.col("blank") & wide.isNull()).join(F.broadcast(masks), "set_id")
         wanted = signed.filter(F.size(plan.members(F.col("sig"), plan.spoken_ids)) > 0)
         records = wanted.join(vectors.select(key, *features), key)
-        found = block_topk(records, spoken.select("query_id", "mask", *features), k, key).select(
+        zeros = None
+        if "terms" in features:  # records that share no term rank by key
+            usable = records.filter(F.col("terms").isNotNull())
+            kept = usable.select(F.explode(plan.members(F.col("sig"), plan.spoken_ids)).alias("set_id"), key)
+            first = first_by_key(kept, k, "set_id", key)
+            zeros = spoken.select("query_id", "set_id").join(F.broadcast(first), "set_id").select("query_id", key)
+        found = block_topk(records, spoken.select("query_id", "mask", *features), k, key, zeros=zeros).select(
             "query_id", "rank", key, round_distance(F.col("distance")).alias("distance")
         )
     if plan.blank_ids:

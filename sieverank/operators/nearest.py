@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sieverank.operators.blocks import SCORERS, QueryBlock
+from sieverank.operators.blocks import QueryBlock
+from sieverank.operators.postings import sparse_topk
 from sieverank.session import cut
 
 MAX_BROADCAST_BYTES = 64 << 20
@@ -43,17 +44,9 @@ def prefilter_in(vectors: DataFrame, survivors: DataFrame, key: str) -> DataFram
     return vectors.join(survivors.select(key), key, "left_semi")
 
 
-def _features(df: DataFrame) -> tuple[str, tuple[str, ...]]:
-    for kind, scorer in SCORERS.items():
-        if all(c in df.columns for c in scorer.columns):
-            return kind, scorer.columns
-    raise ValueError("need a 'vector' column, or 'terms' and 'weights'")
-
-
-def _size(queries: DataFrame, columns: tuple[str, ...]) -> tuple[int, int]:
+def _size(queries: DataFrame) -> tuple[int, int]:
     """Bytes of the query table, and bytes per query; one aggregate row comes back."""
-    entry = 64 if "terms" in columns else 8
-    size = F.sum(F.coalesce(F.size(columns[0]), F.lit(0)) * entry + 256)
+    size = F.sum(F.coalesce(F.size("vector"), F.lit(0)) * 8 + 256)
     row = queries.agg(size.alias("bytes"), F.count("*").alias("n")).first()
     total = row["bytes"] or 0
     return total, max(1, total // max(1, row["n"]))
@@ -67,28 +60,30 @@ def block_topk(
     max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
     fragment_rows: int | None = None,
     block_queries: int | None = None,
+    zeros: DataFrame | None = None,
 ) -> DataFrame:
     """``(query_id, key, distance, rank)``: the k nearest records of every query.
 
-    Features are ``vector``, or ``terms`` and ``weights``, on both sides. With ``sig`` on the
+    Features are ``vector``, or ``terms`` and ``weights``, on both sides; the latter are ranked by
+    ``sparse_topk``, which tells what ``zeros`` are. With ``sig`` on the
     records and ``mask`` on the queries only records that hold all bits of a query's mask are
     ranked for it. Records without usable features are left out. Fragments and blocks follow
     the width of the features unless they are given.
     """
-    kind, columns = _features(queries)
+    if "vector" not in queries.columns:
+        return rank_within(sparse_topk(records, queries, k, key, zeros), k).withColumnRenamed("key", key)
     masked = "mask" in queries.columns and "sig" in records.columns
-    right = queries.select("query_id", *columns, *(["mask"] if masked else []))
-    left = records.select(F.col(key).alias("key"), *columns, *(["sig"] if masked else []))
+    right = queries.select("query_id", "vector", *(["mask"] if masked else []))
+    left = records.select(F.col(key).alias("key"), "vector", *(["sig"] if masked else []))
     schema = _schema(left, right)
-    total, each = _size(right, columns)
+    total, each = _size(right)
     if total <= max_broadcast_bytes:
-        scored = _near_the_records(left, right, k, kind, schema)
+        scored = _near_the_records(left, right, k, schema)
     else:
         scored = grid_topk(
             left.withColumn("cell", F.lit(0)),
             right.withColumn("cell", F.lit(0)),
             k,
-            kind,
             schema,
             fragment_rows or max(1, FRAGMENT_BYTES // each),
             block_queries or max(1, FRAGMENT_BYTES // each),
@@ -102,16 +97,14 @@ def _schema(left: DataFrame, right: DataFrame) -> str:
     return f"query_id {id_type}, key {key_type}, distance double"
 
 
-def _near_the_records(
-    left: DataFrame, right: DataFrame, k: int, kind: str, schema: str
-) -> DataFrame:
+def _near_the_records(left: DataFrame, right: DataFrame, k: int, schema: str) -> DataFrame:
     table = right.toArrow().combine_chunks()
     if table.num_rows == 0:
         return left.sparkSession.createDataFrame([], schema)
     shared = left.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from QueryBlock(shared.value, kind, k).best(batches)
+        yield from QueryBlock(shared.value, k).best(batches)
 
     return left.mapInArrow(run, schema)
 
@@ -120,7 +113,6 @@ def grid_topk(
     left: DataFrame,
     right: DataFrame,
     k: int,
-    kind: str,
     schema: str,
     fragment_rows: int,
     block_queries: int,
@@ -156,7 +148,7 @@ def grid_topk(
     def run(records: pa.Table, queries: pa.Table) -> pa.Table:
         if records.num_rows == 0 or queries.num_rows == 0:
             return nothing
-        found = list(QueryBlock(queries, kind, k).best(records.combine_chunks().to_batches()))
+        found = list(QueryBlock(queries, k).best(records.combine_chunks().to_batches()))
         return pa.Table.from_batches(found) if found else nothing
 
     return records.groupBy(*cells).cogroup(queries.groupBy(*cells)).applyInArrow(run, schema)
