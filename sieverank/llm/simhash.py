@@ -15,11 +15,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieverank.llm import texts
 from sieverank.llm.components import smallest_reachable
+from sieverank.operators.joins import join_hot
 from sieverank.session import cut
 
 _STEP = 100_000
@@ -62,9 +63,9 @@ def fingerprints(documents: DataFrame, words_per_shingle: int = 3) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in texts.blocks(batches, "text", 1 << 19):
             prints = fingerprints_of(block.column("text"), words_per_shingle).view(np.int64)
-            yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(prints)], ["doc_id", "print"])
+            yield pa.RecordBatch.from_arrays([block.column("doc_id"), block.column("text_hash"), pa.array(prints)], ["doc_id", "text_hash", "print"])
 
-    return texts.with_text(documents).mapInArrow(run, "doc_id long, print long")
+    return texts.with_text(documents).withColumn("text_hash", text_hash()).mapInArrow(run, "doc_id long, text_hash long, print long")
 
 
 def masks(radius: int) -> list[int]:
@@ -94,37 +95,54 @@ def links(prints: DataFrame, max_distance: int = 2) -> DataFrame:
     )
 
 
+def text_hash(text: str = "text") -> Column:
+    """What tells apart texts that share an id."""
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+
+
+def _components(documents: DataFrame, words_per_shingle: int, max_distance: int) -> DataFrame:
+    """(doc_id, text_hash, print, first) per row; ``first`` has the smallest doc_id of the component, with its text_hash."""
+    marked = cut(fingerprints(documents, words_per_shingle), "fingerprints")
+    named = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash"))
+    found = cut(marked.groupBy("print").agg(F.min(named).alias("own")), "distinct")
+    joined = cut(links(found.select("print"), max_distance), "near")
+    # Fingerprints that have a link are labelled by fingerprints, which are unique; ids need not be.
+    linked = joined.select(F.col("a").alias("node")).union(joined.select(F.col("b").alias("node"))).distinct()
+    roots = smallest_reachable(linked.withColumn("label", F.col("node")), joined)
+    roots = cut(roots.select(F.col("node").alias("print"), F.col("label").alias("root")), "roots")
+    firsts = found.join(roots, "print").groupBy("root").agg(F.min("own").alias("first"), F.count("*").alias("prints"))
+    shared = join_hot(roots, firsts, on="root", copies="prints", spread_by="print").select("print", "first", F.lit(True).alias("is_linked"))
+    labels = found.join(shared, "print", "left").select("print", F.when(F.col("is_linked"), F.col("first")).otherwise(F.col("own")).alias("first"))
+    return marked.join(labels, "print").select("doc_id", "text_hash", "print", "first")
+
+
 def near_duplicates(documents: DataFrame, words_per_shingle: int = 3, max_distance: int = 2) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row.
 
     ``fingerprint``: 16 hex digits; ``component_id``: the smallest doc_id reachable over fingerprints
     that differ in up to ``max_distance`` bits. Null and blank texts share fingerprint zero and are
-    linked like others; repeated rows are returned repeatedly; a null doc_id counts for no
-    component, and is null for a component without any id. An empty table gives no rows. Other
-    columns take no part.
+    linked like others; repeated rows are returned repeatedly; rows that share an id but no fingerprint are
+    not linked by the id; a null doc_id counts for no component, and is null for a component without any
+    id. An empty table gives no rows. Other columns take no part.
     """
-    marked = cut(fingerprints(documents, words_per_shingle), "fingerprints")
-    found = cut(marked.groupBy("print").agg(F.min("doc_id").alias("label")), "distinct")
-    known = found.filter("label is not null")
-    joined = cut(links(found.select("print"), max_distance), "near")
-    # A fingerprint of rows without ids only still carries links: it gets a label above all ids.
-    rest = found.filter("label is null").select("print", F.lit(2**63 - 1).alias("label"))
-    nodes = known.union(rest).select(F.col("print").alias("node"), "label")
-    labels = smallest_reachable(nodes, joined).select(F.col("node").alias("print"), F.col("label").alias("component_id"))
-    return marked.join(labels, "print").select(
-        "doc_id",
-        F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"),
-        F.when(F.col("component_id") != 2**63 - 1, F.col("component_id")).alias("component_id"),
+    found = _components(documents, words_per_shingle, max_distance)
+    return found.select(
+        "doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), F.col("first.doc_id").alias("component_id")
     )
 
 
 def keep_one(documents: DataFrame, words_per_shingle: int = 3, max_distance: int = 2) -> DataFrame:
     """The documents that are first of their component, with all their columns.
 
-    Of rows that repeat an id, one stays. Rows without id cannot be named and stay.
+    First is the smallest id, and of texts that share it the one with the smallest hash; of rows with equal id and
+    text one stays. Rows are told apart by id and text, so a text goes only if one of its own component
+    stays. Rows without id cannot be named and stay.
     """
-    found = near_duplicates(documents, words_per_shingle, max_distance)
-    gone = found.filter("doc_id != component_id").select(F.col("doc_id").alias("__sieverank_gone")).distinct()
-    named = documents.filter("doc_id is not null")
-    kept = named.join(gone, named["doc_id"] == gone["__sieverank_gone"], "left_anti").dropDuplicates(["doc_id"])
+    found = _components(documents, words_per_shingle, max_distance).filter("doc_id is not null")
+    gone = found.filter(F.struct("doc_id", "text_hash") != F.col("first")).select(
+        F.col("doc_id").alias("__sieverank_gone"), F.col("text_hash").alias("__sieverank_gone_hash")
+    ).distinct()
+    named = documents.filter("doc_id is not null").withColumn("__sieverank_hash", text_hash())
+    same = (named["doc_id"] == gone["__sieverank_gone"]) & (named["__sieverank_hash"] == gone["__sieverank_gone_hash"])
+    kept = named.join(gone, same, "left_anti").dropDuplicates(["doc_id", "__sieverank_hash"]).drop("__sieverank_hash")
     return kept.unionByName(documents.filter("doc_id is null"))

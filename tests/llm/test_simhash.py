@@ -71,3 +71,20 @@ def test_edges_and_one_per_group(documents_of):
     assert kept.columns == frame.columns
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, 1), (False, 4), (False, 5), (False, 6), (True, 0)]
     assert simhash.near_duplicates(frame.filter(F.lit(False))).count() == 0
+
+
+def test_texts_that_share_an_id(documents_of):
+    x, near, y, z = "one two three four five six", "one two three four five six", "other words that nobody else has", "a third text of its own here"
+    rows = [(3, x), (5, near), (5, y), (9, z), (9, z), (9, "and yet another text"), (None, x), (None, y), (7, y)]
+    found = sorted(((r.doc_id, r.component_id) for r in simhash.near_duplicates(documents_of(rows)).collect()), key=str)
+    want = [(3, 3), (5, 3), (5, 5), (9, 9), (9, 9), (9, 9), (None, 3), (None, 5), (7, 5)]
+    assert found == sorted(want, key=str)
+    kept = sorted(((r.doc_id, r.text) for r in simhash.keep_one(documents_of(rows)).collect()), key=str)
+    assert kept == sorted([(3, x), (5, y), (9, z), (9, "and yet another text"), (None, x), (None, y)], key=str)
+
+
+def test_an_id_does_not_link_its_texts(documents_of):
+    # 8 is linked to 2 by one of its texts only
+    rows = [(2, "alpha beta gamma delta"), (8, "alpha beta gamma delta"), (8, "entirely different content of words"), (20, "entirely different content of words")]
+    found = sorted((r.doc_id, r.component_id) for r in simhash.near_duplicates(documents_of(rows)).collect())
+    assert found == [(2, 2), (8, 2), (8, 8), (20, 8)]
