@@ -210,9 +210,13 @@ def repeats(documents: DataFrame, min_words: int = MIN_WORDS, equal_words: int |
 def drop_repeats(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The documents without those lines, all columns kept; ``n_chars``, if there is one, counts anew.
 
-    A text that loses lines and has no word left goes; all others stay, rows without doc_id as they are.
+    A text that loses lines and has no word left goes; all others stay, rows without doc_id as they are. Lines
+    are named by ids, so where different texts share an id none of these loses a line.
     """
-    gone = repeats(documents, min_words).groupBy(F.col("doc_id").alias("__sieverank_of")).agg(F.collect_set("line").alias("__sieverank_gone"))
+    found = repeats(documents, min_words)
+    hashed = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("h"))
+    shared = hashed.groupBy("doc_id").agg(F.min("h").alias("least"), F.max("h").alias("most")).filter("least != most").select("doc_id")
+    gone = found.join(shared, "doc_id", "left_anti").groupBy(F.col("doc_id").alias("__sieverank_of")).agg(F.collect_set("line").alias("__sieverank_gone"))
     joined = documents.join(gone, documents["doc_id"] == gone["__sieverank_of"], "left")
     rest = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__sieverank_gone", i)), "\n")
     touched = F.col("__sieverank_gone").isNotNull()

@@ -98,3 +98,10 @@ def test_dropping_lines(documents_of):
 def test_text_helpers_split_like_the_contract():
     words, starts = texts.split_words(pa.array(["A\x0bb\t c d", None, "", "É x"]))
     assert words.to_pylist() == ["a", "b", "c d", "É", "x"] and starts.tolist() == [0, 3, 3, 3, 5]
+
+
+def test_texts_that_share_an_id_lose_no_line(documents_of):
+    line = "one two three four five six"
+    rows = [(1, line), (5, f"{line}\nrest of it"), (5, "a unique line of other words\nmore"), (6, f"{line}\nthe last words"), (6, f"{line}\nthe last words"), (8, line)]
+    kept = sorted((r.doc_id, r.text) for r in lines.drop_repeats(documents_of(rows)).collect())
+    assert kept == [(1, line), (5, "a unique line of other words\nmore"), (5, f"{line}\nrest of it"), (6, "the last words"), (6, "the last words")]

@@ -7,6 +7,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pytest
+from conftest import EDGES
 from test_lines import brute
 from test_simhash import fingerprint
 
@@ -91,3 +92,30 @@ def test_all_tokens_are_packed(spark, stages):
         packed[r.doc_id] = packed.get(r.doc_id, 0) + r.n_tokens
     assert packed == {d: len(t.split()) for d, t in texts(stages[4]).items() if t and t.split()}
     assert corpus_pipeline.run(spark, SF_DIR).count() == stages[5].count()
+
+
+def run_on(spark, docs):
+    found = [docs]
+    for name, stage in corpus_pipeline.STAGES:
+        found.append(cut(stage(spark, found[-1], SF_DIR), "edge-stage"))
+    return found
+
+
+def test_edge_rows_pass_all_stages(spark, documents_of):
+    prose = "The old bridge was built by the town in the spring of that year, and the people came to see it. "
+    rows = [*EDGES, *[(100 + i, prose * (1 + i % 3) + f"Number {i} was the last of them to leave the house.") for i in range(30)]]
+    rows += [(100, rows[-1][1]), (200, "a text of its own that has the id of another text"), (200, prose + "It stands to this day.")]
+    docs = documents_of(rows)
+    found = run_on(spark, docs)
+    assert all(f.columns == docs.columns for f in found[:5])
+    first, last = found[1], found[4]
+    assert {r.doc_id for r in last.collect()} <= {r.doc_id for r in first.collect()}
+    by_id = {}
+    for r in found[2].collect():
+        by_id.setdefault(r.doc_id, set()).add(r.text)
+    assert by_id.get(200, set()) == {r.text for r in first.collect() if r.doc_id == 200}
+    assert {r.doc_id for r in found[5].collect()} == {r.doc_id for r in last.collect() if r.text and r.text.split()}
+
+
+def test_an_empty_table_passes_all_stages(spark, documents_of):
+    assert [f.count() for f in run_on(spark, documents_of(EDGES).filter("false"))] == [0] * 6
