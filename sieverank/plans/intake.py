@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
@@ -14,6 +15,7 @@ from sieverank.sources.cases import rules_from_json
 from sieverank.sources.cases import rules_long as to_rules_long
 from sieverank.session import shared_folder
 from sieverank.sources import catalog as files
+from sieverank.sources import versions
 from sieverank.sources.catalog import catalog_health as to_health
 from sieverank.sources.catalog import catalog_listing as to_listing
 
@@ -326,6 +328,26 @@ def collection_roundtrip(spark, sf_dir):
     return spark.read.parquet(path).withColumn("metadata", F.concat_ws("/", "metadata.source", "metadata.lang"))
 
 
+@registered(
+    """SELECT 'kept' AS state, p_partkey, p_name, (SELECT count(*) FROM part WHERE p_size = 1) AS n_refused FROM part
+       UNION ALL SELECT 'replaced', p_partkey, upper(p_name), 0 FROM part WHERE p_size > 10"""
+)
+def versioned_rebuild(spark, sf_dir):
+    """A rebuild with repeated keys, which leaves the rows of the one before, and a good one, which replaces them."""
+    root, part = shared_folder(spark, "versions"), table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
+    versions.rebuild({"part": part}, root, {"part": "p_partkey"})
+    refused = 0
+    try:
+        versions.rebuild({"part": part.withColumn("p_name", F.upper("p_name")).unionByName(part.filter("p_size = 1"))}, root, {"part": "p_partkey"})
+    except versions.KeyViolation as error:
+        refused = error.rows["part"]
+    kept = versions.read_current(spark, root, "part").withColumns({"state": F.lit("kept"), "n_refused": F.lit(refused).cast("long")})
+    changed = part.withColumn("p_name", F.upper("p_name")).filter("p_size > 10")
+    versions.rebuild({"part": changed}, root, {"part": "p_partkey"})
+    replaced = versions.read_current(spark, root, "part").withColumns({"state": F.lit("replaced"), "n_refused": F.lit(0).cast("long")})
+    return kept.unionByName(replaced).select("state", "p_partkey", "p_name", "n_refused")
+
+
 SHEET_ROWS = 100_000
 
 
@@ -358,6 +380,33 @@ def _sheets_scanned(spark, documents, page_rows):
     )
 
 
+PAGE_IDS = 100
+
+
+@registered(
+    """SELECT row_number() OVER (ORDER BY name) AS position, name, n_chars FROM (
+         SELECT 'lang=' || lang || '/page=' || printf('%09d', doc_id // 100) AS name, CAST(length(string_agg(doc_id::VARCHAR, ' ')) AS BIGINT) AS n_chars
+         FROM documents WHERE doc_id IS NOT NULL GROUP BY ALL)"""
+)
+def datasheet_pages(spark, sf_dir):
+    """Pages of ids, scanned whole and listed in the order of their names, each with its place in that list."""
+    return _pages_listed(spark, table(spark, sf_dir, "documents"), PAGE_IDS)
+
+
+def _pages_listed(spark, documents, page_ids):
+    """A page is a file in a folder of its own, with the ids of one language and one range."""
+    path = shared_folder(spark, "sheets")
+    ids = documents.select("lang", "doc_id").filter("doc_id is not null")
+    paged = ids.withColumn("page", F.format_string("%09d", F.expr(f"doc_id div {page_ids}"))).repartition("lang", "page")
+    paged.select(F.col("doc_id").cast("string").alias("text"), "lang", "page").write.partitionBy("lang", "page").option("lineSep", " ").text(path)
+    name = F.array_join(F.slice(F.split("path", "/"), -3, 2), "/")
+    found = files.scan_datasheets(spark, path, "*.txt").withColumn("name", name)
+    n_chars = F.length(F.rtrim("text")).cast("long").alias("n_chars")
+    listed = files.sorted_listing(found).select("name", F.monotonically_increasing_id().alias("place"))
+    numbered = listed.select("name", F.row_number().over(Window.orderBy("place")).cast("long").alias("position"))
+    return found.select("name", n_chars).join(numbered, "name").select("position", "name", "n_chars")
+
+
 @registered("SELECT least(20, count(*)) AS n_rows, 3 AS n_columns FROM part")
 def preview_size(spark, sf_dir):
     """A preview is any 20 rows, so its size is what can be compared."""
