@@ -282,7 +282,7 @@ def ask(
     allowed: Sequence[str],
     text: str = "text",
     k: int = 3,
-    wording: tuple[str, str] = REJECTION,
+    wording: tuple[str, str, str, str] = REJECTION,
 ) -> DataFrame:
     """Request texts to answers: routed, searched and written up.
 

@@ -81,7 +81,7 @@ _EVALUATED = f"""WITH {GROUPS_SQL},
                WHERE NOT n_chars >= bound - 1e-4
                UNION ALL SELECT query_id, rank, 2, doc_id, n_chars, bound, '<', 10000.0 FROM hits JOIN cases ON case_id = query_id
                WHERE NOT n_chars < 10000 + 1e-4),
-    firsts AS (SELECT query_id, arg_min('Record ' || doc_id || ' violated rule n_chars ' || op || ' ' || threshold::BIGINT || '.0 (actual=' || n_chars || '.0)',
+    firsts AS (SELECT query_id, arg_min('Grade ' || doc_id || ' violated rule n_chars ' || op || ' ' || threshold::BIGINT || '.0 (actual=' || n_chars || '.0)',
                  struct_pack(a := rank, b := pos)) AS text FROM broken GROUP BY query_id),
     returned AS (SELECT query_id, string_agg(doc_id::VARCHAR, ', ' ORDER BY rank) AS names, count(*) AS n FROM hits GROUP BY query_id),
     evaluated AS (SELECT case_id, coalesce(names, '') AS returned_names,
@@ -111,7 +111,7 @@ def constraint_check(spark, sf_dir):
           CASE score WHEN 1 THEN 'SUCCESS' ELSE 'FAILED' END AS status FROM rated"""
 )
 def scorecard(spark, sf_dir):
-    return evaluate.scorecard(evaluated_groups(spark, sf_dir))
+    return evaluate.scorecard(evaluated_groups(spark, sf_dir), alloys.SCORECARD)
 
 
 @registered(

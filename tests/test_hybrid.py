@@ -191,7 +191,7 @@ def test_ask_searches_equal_requests_once(spark, catalog):
     assert len(got) == 44
     for i in range(40):
         assert [m["name"] for m in got[i]["matches"]] == ["a", "f", "b"]
-    assert got[0]["final_answer"] == "Best: a\nHardness 60.0\n\n**Secondary Candidates:** f, b"
+    assert got[0]["final_answer"] == "Best: a\nHardness 60.0\n\nNext best: f, b"
     assert "`hard >= 60 AND hard > 100`" in got[90]["final_answer"]
     assert got[92]["conditions"] == [] and [m["distance"] for m in got[92]["matches"]] == [0.0] * 3
     assert [m["name"] for m in got[93]["matches"]][:2] == ["c", "d"]
