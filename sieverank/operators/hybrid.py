@@ -148,10 +148,11 @@ def _search_part(
 
 
 def wrong_width(queries: DataFrame, vectors: DataFrame, features: list[str]) -> Column:
-    """The error of a query whose vector is not as wide as the records' are, else null."""
+    """The error of a query whose vector is not as wide as most records' are, else null; records of another width are not ranked for any."""
     if features != ["vector"]:
         return F.lit(None).cast("string")
-    width = vectors.filter("size(vector) > 0").select(F.size("vector").alias("n")).limit(1).collect()
+    widths = vectors.filter("size(vector) > 0").groupBy(F.size("vector").alias("n")).count()
+    width = widths.orderBy(F.desc("count"), "n").limit(1).collect()  # the usual one, the smaller of two
     if not width:
         return F.lit(None).cast("string")
     wrong = ~F.col("blank") & (F.size("vector") != width[0]["n"])

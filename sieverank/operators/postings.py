@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType
 
 from sieverank.operators.joins import keep_listed
 from sieverank.session import cut
@@ -67,8 +68,9 @@ def sparse_topk(
     if zeros is None:
         if masked:
             raise ValueError("with conditions the first records of each query have to be given")
-        first = records.filter(F.col("terms").isNotNull()).select(F.col(key).alias("key"), F.lit(0).alias("_all")).orderBy("key").limit(k)
-        zeros = asking.select("query_id", F.lit(0).alias("_all")).join(F.broadcast(first), "_all").select("query_id", "key")
+        first = records.filter(F.col("terms").isNotNull()).select(F.col(key).alias("key")).orderBy("key").limit(k).collect()  # k rows
+        listed = F.array(*[F.lit(r["key"]) for r in first]).cast(ArrayType(records.schema[key].dataType))
+        zeros = asking.select("query_id", F.explode(listed).alias("key"))
     pairs = asking.select("query_id", F.explode(F.arrays_zip("terms", "weights")).alias("e"))
     asked = cut(pairs.select("query_id", F.col("e.terms").alias("term"), F.col("e.weights").alias("asked")), "asked-terms")
     carried = records.select(key, "terms", "weights", *(["sig"] if masked else []))
