@@ -104,7 +104,7 @@ def _components(documents: DataFrame, words_per_shingle: int, max_distance: int)
     """(doc_id, text_hash, print, first) per row; ``first`` has the smallest doc_id of the component, with its text_hash."""
     marked = cut(fingerprints(documents, words_per_shingle), "fingerprints")
     named = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash"))
-    found = cut(marked.groupBy("print").agg(F.min(named).alias("own")), "distinct")
+    found = cut(marked.groupBy("print").agg(F.min(named).alias("own"), F.count("*").alias("copies")), "distinct")
     joined = cut(links(found.select("print"), max_distance), "near")
     # Fingerprints that have a link are labelled by fingerprints, which are unique; ids need not be.
     linked = joined.select(F.col("a").alias("node")).union(joined.select(F.col("b").alias("node"))).distinct()
@@ -112,8 +112,9 @@ def _components(documents: DataFrame, words_per_shingle: int, max_distance: int)
     roots = cut(roots.select(F.col("node").alias("print"), F.col("label").alias("root")), "roots")
     firsts = found.join(roots, "print").groupBy("root").agg(F.min("own").alias("first"), F.count("*").alias("prints"))
     shared = join_hot(roots, firsts, on="root", copies="prints", spread_by="print").select("print", "first", F.lit(True).alias("is_linked"))
-    labels = found.join(shared, "print", "left").select("print", F.when(F.col("is_linked"), F.col("first")).otherwise(F.col("own")).alias("first"))
-    return marked.join(labels, "print").select("doc_id", "text_hash", "print", "first")
+    first = F.when(F.col("is_linked"), F.col("first")).otherwise(F.col("own")).alias("first")
+    labels = found.join(shared, "print", "left").select("print", "copies", first)
+    return join_hot(marked, labels, on="print", copies="copies", spread_by="doc_id").select("doc_id", "text_hash", "print", "first")
 
 
 def near_duplicates(documents: DataFrame, words_per_shingle: int = 3, max_distance: int = 2) -> DataFrame:
