@@ -1,38 +1,38 @@
-"""Language-model scores by logistic context mixing over the bits of spelled tokens.
+"""Language-model scores by logistic context mixing, over the bits of texts.
 
-A text is its words, A-Z made small, each spelled in bytes with a closing space, and one end mark. A
-byte is written in the bits of a Huffman code over the bytes of the training texts. Every bit is
-predicted by several contexts: the last bytes of the token, none to four, hashed, and all its bytes so
-far, each from counts of the training texts. A set of weights, chosen by how much the longest contexts
-have seen, combines the predictions in the logistic domain, and an adaptive map refines the result.
-Weights and map are learned online in small batches, from predictions that leave out the occurrence
-they predict. The same bits in the same contexts cost the same wherever they stand, so each distinct
-token is spelled once and texts sum what their tokens cost.
+A text is its words, A-Z made small, and one end mark. A token is written in two steps. First, which of the most
+frequent training tokens it is, or none of them: bits predicted from the words before (``following``). Then, if
+it is none of them, its spelling in bytes with a closing space, in the bits of a Huffman code over bytes: each
+predicted by the last bytes of the token, none to four, hashed, and all its bytes so far, each from counts of
+the training texts. In both steps a set of weights, chosen by how much the longest contexts have seen, combines
+the predictions in the logistic domain, and an adaptive map refines the result. Weights and map are learned
+online, from predictions that leave out the occurrence they predict. A spelling costs the same wherever it
+stands, so each distinct token is spelled once; what the words before tell is predicted for every occurrence.
 
-Texts of a group (a language, say) share words. Which group a text is of is not told to the model: its
-probability is the mixture over groups, where a group gives a token its probability times the share of
-the group among the token's occurrences, normalised.
+Spelled words of a group (a language, say) go together. Which group a text is of is not told to the model: the
+probability of its spelled tokens is the mixture over groups, where a group gives a token its probability times
+the share of the group among the token's occurrences, normalised.
 
 Texts are encoded in chunks of bounded size; a chunk later gets the counts and costs of exactly the
-tokens it holds. No vocabulary is broadcast: what goes to every task is the hashed tables, whose size
-is set by ``BITS``. The vocabulary is dealt by the first bytes of its tokens, so that all tokens that
-share longer beginnings meet in one task, where those are counted exactly.
+tokens it holds. No vocabulary is broadcast: what goes to every task is the frequent tokens and the hashed tables,
+whose sizes are set by ``following.FREQUENT`` and ``BITS``. The vocabulary is dealt by the first bytes of its tokens, as
+many as make the groups small, so that all tokens that share longer beginnings meet in one task, where those are
+counted exactly.
 """
 
 from __future__ import annotations
 
-import heapq
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sieverank.llm import texts
+from sieverank.llm import bits, following, texts
+from sieverank.llm.bits import GATES, LEVELS, Code, Model, Sums, stretched, summed_tables, table_rows
 from sieverank.session import cut, shared_folder
 
 CHUNK_BYTES = 64 << 20
@@ -40,48 +40,25 @@ END = "\n"
 #: Table sizes as powers of two, for the contexts of 0 to 4 bytes before.
 BITS = (8, 16, 18, 20, 20)
 ORDERS = len(BITS) + 1
-#: Beginnings longer than this are counted where the vocabulary lies; the last hashed context knows shorter ones.
-HEAD_BYTES = len(BITS) - 1
+#: Beginnings of so many bytes or more are counted where the vocabulary lies, as far as their groups are small enough;
+#: the last hashed context knows shorter ones.
+HEAD_BYTES = len(BITS)
+#: Tokens that share a beginning are a group of up to so many bytes.
+GROUP_BYTES = 1 << 20
 GROUPS = 8
 SLOTS = np.concatenate([[0], np.cumsum([1 << b for b in BITS])])
-BLOCK_SLOTS = 1 << 14
-LEVELS, COLUMNS = 8, 33
-GATES = LEVELS * 4
 BATCH_WORDS = 4_096
 STEP_BITS = 16_384
-RATE = 0.3
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-class Code:
-    """A Huffman code over bytes: per byte its bits and the tree's nodes on the way to it."""
-
-    def __init__(self, counts: np.ndarray):
-        heap = [(int(c) + 1, b, b) for b, c in enumerate(counts)]
-        heapq.heapify(heap)
-        parent: dict[int, tuple[int, int]] = {}
-        for node in range(256, 511):
-            low, high = heapq.heappop(heap), heapq.heappop(heap)
-            parent[low[2]], parent[high[2]] = (node, 0), (node, 1)
-            heapq.heappush(heap, (low[0] + high[0], node, node))
-        paths = []
-        for byte in range(256):
-            path, at = [], byte
-            while at != 510:
-                at, bit = parent[at]
-                path.append((at - 256, bit))
-            paths.append(path[::-1])
-        self.length = np.array([len(path) for path in paths])
-        self.node, self.bit = np.zeros((2, self.length.max(), 256), np.int64)
-        for byte, path in enumerate(paths):
-            for nth, (node, bit) in enumerate(path):
-                self.node[nth, byte], self.bit[nth, byte] = node, bit
-
-
 class Spelled:
-    """The bytes of a batch of tokens and the contexts before each."""
+    """The bytes of a batch of tokens and the contexts before each.
 
-    def __init__(self, words: list[bytes], code: Code):
+    ``spans`` tells from which length on a token's beginnings are counted exactly.
+    """
+
+    def __init__(self, words: list[bytes], spans: np.ndarray, code: Code):
         self.code = code
         data = b"".join(w if w == b"\n" else w + b" " for w in words)
         sizes = np.fromiter((len(w) + (w != b"\n") for w in words), np.int64, len(words))
@@ -106,7 +83,7 @@ class Spelled:
         whole = (sums - sums[self.heads][self.owner] + place.astype(np.uint64)) * _B
         whole ^= whole >> np.uint64(32)
         # Where a whole beginning is counted exactly: its number, or -1 where no other token shares it.
-        self.deep = place > HEAD_BYTES
+        self.deep = place >= spans[self.owner]
         self.beginning = np.full(len(data), -1, np.int64)
         far = np.flatnonzero(self.deep)
         _, same, shared = np.unique(whole[far], return_inverse=True, return_counts=True)
@@ -145,11 +122,6 @@ class Spelled:
             yield (mixed >> np.uint64(64 - BITS[order])).astype(np.int64) + SLOTS[order]
 
 
-def stretched(pair: np.ndarray) -> np.ndarray:
-    """The logarithm of ones to zeros, each with a little added."""
-    return np.log((pair[:, 1] + np.float32(0.4)) / (pair[:, 0] + np.float32(0.4)))
-
-
 def _gate(longest: np.ndarray, seen: np.ndarray) -> np.ndarray:
     """The weight set: by what the whole beginning and the last four bytes have seen, and if one side only."""
     most, some = np.log2(1 + longest.sum(axis=1)), np.log2(1 + seen)
@@ -182,74 +154,32 @@ def inputs_of(ready: tuple[np.ndarray, np.ndarray], spelled: Spelled, at: np.nda
     return inputs, _gate(longest, pair.sum(axis=1))
 
 
-def _mixed(inputs: np.ndarray, weights: np.ndarray, gate: np.ndarray) -> np.ndarray:
-    line = inputs[0] * weights[gate, 0]
-    for order in range(1, ORDERS):
-        line += inputs[order] * weights[gate, order]
-    return line
-
-
-def _squash(values: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(values, -16, 16)))
-
-
-def _column(line: np.ndarray) -> np.ndarray:
-    """The map's column of a stretched prediction: steps of half from -8 to 8."""
-    return np.clip(np.rint(line * 2), -16, 16).astype(np.int64) + 16
-
-
-def counted(words: list[bytes], counts: np.ndarray, table: np.ndarray, code: Code) -> None:
+def counted(words: list[bytes], counts: np.ndarray, spans: np.ndarray, table: np.ndarray, code: Code) -> None:
     """Adds each token's bits, as often as it occurs, to the joint table (slots, 2)."""
-    spelled = Spelled(words, code)
+    spelled = Spelled(words, spans, code)
     weight = counts[spelled.owner].astype(np.float64)
     for at, node, bit, _ in spelled.bits(weight):
         for slot in spelled.slots(at, node):
             np.add.at(table.reshape(-1), slot * 2 + bit, weight[at])
 
 
-class Mixer:
-    """Weights per gate and the refining map, both learned online."""
-
-    def __init__(self, weights: np.ndarray | None = None, refined: np.ndarray | None = None):
-        self.weights = np.full((GATES, ORDERS), 0.3, np.float32) if weights is None else weights
-        self.mass = np.zeros(GATES)
-        centres = _squash((np.arange(COLUMNS) - 16) / 2.0)
-        self.map = np.stack([np.broadcast_to(1 - centres, (GATES, COLUMNS)), np.broadcast_to(centres, (GATES, COLUMNS))], axis=2) * 4.0
-        if refined is not None:
-            self.map = self.map + refined
-
-    def learn(self, words: list[bytes], counts: np.ndarray, table: np.ndarray, code: Code) -> None:
-        spelled = Spelled(words, code)
-        weights = counts[spelled.owner].astype(np.float64)
-        for at, node, bit, exact in spelled.bits(weights):
-            weight = weights[at]
-            inputs, gate = inputs_without(table, spelled, at, node, bit, exact)
-            line = _mixed(inputs, self.weights, gate)
-            error = weight * (bit - _squash(line))
-            total = np.bincount(gate, weight, GATES)
-            for order in range(ORDERS):
-                slope = np.bincount(gate, error * inputs[order], GATES) / np.maximum(total, 1)
-                power = np.bincount(gate, weight * inputs[order].astype(np.float64) ** 2, GATES) / np.maximum(total, 1)
-                self.weights[:, order] += (RATE * slope / (0.25 * power + 0.05) / ORDERS * (total > 0)).astype(np.float32)
-            self.mass += total
-            cell = (gate * COLUMNS + _column(line)) * 2 + bit
-            self.map += np.bincount(cell, weight, GATES * COLUMNS * 2).reshape(self.map.shape)
-
-    def cost(self, words: list[bytes], counts: np.ndarray, ready: tuple, refine: np.ndarray, code: Code) -> np.ndarray:
-        """log10 of each token's probability.
-
-        ``ready`` is the joint table's predictions and the counts of its last order, ``refine`` the
-        map's share of ones, (gates, columns).
-        """
-        spelled = Spelled(words, code)
-        weights = counts[spelled.owner].astype(np.float64)
-        total = np.zeros(len(spelled.bytes))
-        for at, node, bit, exact in spelled.bits(weights):
-            inputs, gate = inputs_of(ready, spelled, at, node, exact)
-            line = _mixed(inputs, self.weights, gate)
-            one = (_squash(line) + refine[gate, _column(line)]) / 2
-            total[at] += np.log10(np.where(bit == 1, one, 1 - one))
-        return np.add.reduceat(total, spelled.heads) if len(words) else np.zeros(0)
+def gathered(words: list[bytes], counts: np.ndarray, spans: np.ndarray, table: np.ndarray, code: Code, sums: Sums) -> None:
+    """Adds each token's bits, as often as it occurs, to what weights and map are made of."""
+    spelled = Spelled(words, spans, code)
+    weight = counts[spelled.owner].astype(np.float64)
+    for at, node, bit, exact in spelled.bits(weight):
+        inputs, gate = inputs_without(table, spelled, at, node, bit, exact)
+        sums.add(inputs, gate, bit, weight[at])
+
+
+def costs_of(words: list[bytes], counts: np.ndarray, spans: np.ndarray, ready: tuple, model: Model, code: Code) -> np.ndarray:
+    """log10 of each token's probability; ``ready`` is the joint table's predictions and the counts of its last order."""
+    spelled = Spelled(words, spans, code)
+    total = np.zeros(len(spelled.bytes))
+    for at, node, bit, exact in spelled.bits(counts[spelled.owner].astype(np.float64)):
+        inputs, gate = inputs_of(ready, spelled, at, node, exact)
+        total[at] += model.cost(inputs, gate, bit)
+    return np.add.reduceat(total, spelled.heads) if len(words) else np.zeros(0)
 
 
 _GROUPED = ", ".join(f"n{g} long" for g in range(GROUPS))
@@ -321,17 +251,18 @@ def encoded(bare: DataFrame) -> str:
     return path
 
 
-def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[bytes], np.ndarray]]:
-    """Runs of whole beginnings, of ``BATCH_WORDS`` tokens or more, from a partition sorted by beginning."""
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[bytes], np.ndarray, np.ndarray]]:
+    """Runs of whole groups, of ``BATCH_WORDS`` tokens or more, from a partition sorted by token: rows, tokens, counts, spans."""
 
-    def ready(parts: list[pa.Table]) -> tuple[pa.Table, list[bytes], np.ndarray]:
+    def ready(parts: list[pa.Table]) -> tuple[pa.Table, list[bytes], np.ndarray, np.ndarray]:
         rows = pa.concat_tables(parts).combine_chunks()
-        return rows, [w.encode() for w in rows.column("word").to_pylist()], rows.column("c").to_numpy()
+        words = [w.encode() for w in rows.column("word").to_pylist()]
+        return rows, words, rows.column("c").to_numpy(), rows.column("span").to_numpy()
 
     waiting, size, last = [], 0, None
     for batch in batches:
         rows = pa.Table.from_batches([batch])
-        heads = [w.encode()[: HEAD_BYTES + 1] for w in batch.column("word").to_pylist()]
+        heads = [w.encode()[:span] for w, span in zip(batch.column("word").to_pylist(), batch.column("span").to_pylist(), strict=True)]
         cuts = [i for i in range(1, len(heads)) if heads[i] != heads[i - 1]]
         if waiting and heads and last != heads[0]:
             cuts.insert(0, 0)
@@ -348,6 +279,26 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list
         yield ready(waiting)
 
 
+def head(length: int | str) -> Column:
+    return F.expr(f"substring(cast(word as binary), 1, {length})")
+
+
+def with_spans(vocabulary: DataFrame) -> DataFrame:
+    """Adds ``span``: the length of the beginning that a token's group shares.
+
+    Groups of more than ``GROUP_BYTES`` are parted by beginnings twice as long, until none is left. Only the beginnings of
+    groups that are too large are broadcast, less than one for every ``GROUP_BYTES`` of the vocabulary.
+    """
+    vocabulary, length = vocabulary.withColumn("span", F.lit(HEAD_BYTES)), HEAD_BYTES
+    while True:
+        sizes = vocabulary.filter(F.col("span") == length).groupBy(head(length).alias("_head")).agg(F.sum(F.octet_length("word") + 1).alias("_size"), F.count("*").alias("_n"))
+        large = cut(sizes.filter((F.col("_size") > GROUP_BYTES) & (F.col("_n") > 1)).select("_head", F.lit(2 * length).alias("_span")), "heads")
+        if large.isEmpty():
+            return vocabulary
+        found = vocabulary.withColumn("_head", head(length)).join(F.broadcast(large), "_head", "left")
+        vocabulary, length = found.withColumn("span", F.coalesce(F.col("_span"), F.col("span"))).drop("_head", "_span"), 2 * length
+
+
 def byte_counts(vocabulary: DataFrame) -> np.ndarray:
     """How often each byte occurs in the spelled training tokens."""
 
@@ -370,72 +321,30 @@ def byte_counts(vocabulary: DataFrame) -> np.ndarray:
 
 
 def hashed_counts(vocabulary: DataFrame, code: Code) -> np.ndarray:
-    """The joint table (slots, 2), summed over all training tokens; its size is fixed by ``BITS``.
-
-    Tasks hand on their tables in blocks, which are summed in two steps, so that a sum never meets
-    more than a bounded number of blocks at once.
-    """
+    """The joint table (slots, 2), summed over all training tokens; its size is fixed by ``BITS``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros((SLOTS[-1], 2))
-        for _, words, counts in _batches(batches):
-            counted(words, counts, table, code)
-        if table.any():
-            group = TaskContext.get().partitionId() // 64
-            for at in range(0, len(table), BLOCK_SLOTS):
-                block = table[at : at + BLOCK_SLOTS]
-                if block.any():
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([at // BLOCK_SLOTS]), pa.array([group]), pa.array([_packed(block)], pa.binary())], ["block", "part", "counts"]
-                    )
-
-    def add(rows: pa.Table) -> pa.Table:
-        total = np.zeros((1, 2))
-        for counts in rows.column("counts"):
-            total = total + _unpacked(counts.as_py())
-        cells = [pa.array([rows.column(c)[0].as_py()], pa.int64()) for c in ("block", "part")]
-        return pa.table([*cells, pa.array([_packed(total)], pa.binary())], names=["block", "part", "counts"])
-
-    schema = "block long, part long, counts binary"
-    blocks = vocabulary.mapInArrow(run, schema)
-    summed = blocks.groupBy("block", "part").applyInArrow(add, schema).groupBy("block").applyInArrow(add, schema)
-    table = np.zeros((SLOTS[-1], 2), np.float32)
-    for row in cut(summed, "counts").toLocalIterator():
-        at = row["block"] * BLOCK_SLOTS
-        part = _unpacked(row["counts"])
-        table[at : at + len(part)] = part
-    return table
-
-
-def _packed(block: np.ndarray) -> bytes:
-    return zlib.compress(block.astype(np.float64).tobytes(), 1)  # a task's blocks are mostly zero
-
-
-def _unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(data), np.float64).reshape(-1, 2)
-
-
-def learned(vocabulary: DataFrame, table, code: Code) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and map: learned online in each task, weights averaged by what they saw, maps summed."""
+        for _, words, counts, spans in _batches(batches):
+            counted(words, counts, spans, table, code)
+        yield from table_rows(table)
+
+    return summed_tables(vocabulary, run, SLOTS[-1])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer = Mixer()
-        before = mixer.map.copy()
-        for _, words, counts in _batches(batches):
-            mixer.learn(words, counts, table.value, code)
-        mass = np.repeat(mixer.mass, ORDERS)
-        values = np.concatenate([mixer.weights.astype(np.float64).ravel() * mass, mass, (mixer.map - before).ravel()])
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values))), pa.array(values)], ["at", "value"])
-
-    rows = vocabulary.mapInArrow(run, "at long, value double").groupBy("at").agg(F.sum("value").alias("value"))
-    size = GATES * ORDERS
-    values = np.zeros(2 * size + GATES * COLUMNS * 2)
-    found = rows.toArrow()  # as many rows as there are weights and cells
-    values[found.column("at").to_numpy()] = found.column("value").to_numpy()
-    sums, mass, cells = values[:size], values[size : 2 * size], values[2 * size :]
-    weights = np.where(mass > 0, sums / np.maximum(mass, 1e-9), 0.3).reshape(GATES, ORDERS).astype(np.float32)
-    mapped = Mixer(refined=cells.reshape(GATES, COLUMNS, 2)).map
-    return weights, (mapped[:, :, 1] / mapped.sum(axis=2)).clip(1e-6, 1 - 1e-6)
+
+def grouped(vocabulary: DataFrame) -> DataFrame:
+    """The vocabulary with all tokens of a group in one task, in order."""
+    return vocabulary.repartition(head("span")).sortWithinPartitions("word")
+
+
+def learned(vocabulary: DataFrame, table, code: Code) -> Model:
+    """Weights and map, from all training tokens; a group of tokens is in one round."""
+
+    def gather(batches: Iterator[pa.RecordBatch], sums: Sums) -> None:
+        for _, words, counts, spans in _batches(batches):
+            gathered(words, counts, spans, table.value, code, sums)
+
+    return bits.learned(vocabulary, F.pmod(F.xxhash64(head("span")), F.lit(bits.SHARES)), gather, GATES, ORDERS, grouped)
 
 
 def counted_words(words: DataFrame) -> DataFrame:
@@ -451,7 +360,7 @@ def with_groups(vocabulary: DataFrame, shares: np.ndarray) -> DataFrame:
     for g in range(GROUPS):
         share = (F.col(f"n{g}") + float(shares[g])) / (F.col("c") + 1)
         packed = packed.bitwiseOR(F.shiftleft(F.greatest(F.lit(1), F.round(share * 255)).cast("long"), 8 * g))
-    return vocabulary.select("word", "c", packed.alias("groups"))
+    return vocabulary.select("word", "c", "often", packed.alias("groups"))
 
 
 def unpacked(groups: np.ndarray) -> np.ndarray:
@@ -487,59 +396,85 @@ def score(documents: DataFrame, modulus: int = 7, held: int = 2, group: str | No
     rows = spark.read.schema(schema + ", kind int").parquet(path)
     words = rows.filter("kind = 1")
     counts = cut(counted_words(words), "counts")
-    sums = counts.agg(F.sum("c"), F.count_if(F.col("c") > 0), *(F.sum(f"n{g}") for g in range(GROUPS))).first()
+    sums = counts.agg(F.sum("c"), F.count_if(F.col("c") > 0)).first()
     total, distinct = int(sums[0] or 0), int(sums[1] or 0)
-    shares = np.array([(sums[2 + g] or 0) + 1.0 for g in range(GROUPS)])
+    # The tokens with a number, and what is needed to tell the others' groups apart.
+    short = counts.filter((F.col("c") > 1) & (F.octet_length("word") <= following.FREQUENT_BYTES))
+    top = short.orderBy(F.desc("c"), "word").limit(following.FREQUENT).select("word", "c").collect()
+    frequent = pa.array([row["word"] for row in top], pa.string())
+    often = F.broadcast(spark.createDataFrame([(row["word"], True) for row in top], "word string, often boolean"))
+    marked = counts.join(often, "word", "left").withColumn("often", F.col("often").isNotNull())
+    sums = marked.filter("not often").agg(*(F.sum(f"n{g}") for g in range(GROUPS))).first()
+    shares = np.array([(sums[g] or 0) + 1.0 for g in range(GROUPS)])
     shares /= shares.sum()
-    vocabulary = cut(with_groups(counts, shares), "vocabulary")
-    head = F.expr(f"substring(cast(word as binary), 1, {HEAD_BYTES + 1})")
-    ordered = vocabulary.repartition(head).sortWithinPartitions("word")
-    seen = vocabulary.filter("c > 0").select("word", "c").repartition(head).sortWithinPartitions("word")
-    code = Code(byte_counts(vocabulary.filter("c > 0")))
-    table = spark.sparkContext.broadcast(hashed_counts(seen, code))
-    weights, refine = learned(seen, table, code)
+    # Which frequent token follows, from the words before.
+    number = Code(np.array([row["c"] for row in top] + [total - sum(row["c"] for row in top)]))
+    training = bare.filter("not held_out").select("doc_id", "text")
+    context = spark.sparkContext.broadcast(following.counts_of(training, frequent, number))
+    share = F.pmod(F.xxhash64("doc_id", "text"), F.lit(bits.SHARES))
+    follows = following.learned(training, share, context, frequent, number)
+    # How the others are spelled.
+    vocabulary = cut(with_spans(with_groups(marked, shares)), "vocabulary")
+    learnt = vocabulary.filter("c > 0 and not often").select("word", "c", "span")
+    code = Code(byte_counts(learnt))
+    table = spark.sparkContext.broadcast(hashed_counts(grouped(learnt), code))
+    model = learned(learnt, table, code)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer, ready = Mixer(weights), (stretched(table.value), table.value[SLOTS[-2] :])
-        for part, spelled, c in _batches(batches):
-            cost = mixer.cost(spelled, c, ready, refine, code).astype(np.float32)
-            found = pa.table([part.column("word"), part.column("c"), pa.array(cost), part.column("groups")], names=["word", "c", "cost", "groups"])
+        ready = stretched(table.value), table.value[SLOTS[-2] :]
+        for part, spelled, c, spans in _batches(batches):
+            symbol = following.symbols(pa.concat_arrays(part.column("word").chunks), frequent)
+            rare = symbol >= len(frequent)
+            cost = np.zeros(len(spelled), np.float32)
+            cost[rare] = costs_of([w for w, r in zip(spelled, rare, strict=True) if r], c[rare], spans[rare], ready, model, code)
+            names = ["word", "c", "cost", "groups", "symbol"]
+            found = pa.table([part.column("word"), part.column("c"), pa.array(cost), part.column("groups"), pa.array(symbol.astype(np.int32))], names=names)
             yield from found.combine_chunks().to_batches(65_536)
 
-    costs = cut(ordered.mapInArrow(run, "word string, c long, cost float, groups long"), "costs")
+    costs = cut(grouped(vocabulary).mapInArrow(run, "word string, c long, cost float, groups long, symbol int"), "costs")
     # What a group's shares add up to, weighted by probability; tokens never seen have the shares of all.
     part = [F.shiftrightunsigned("groups", 8 * g).bitwiseAND(255) for g in range(GROUPS)]
     whole = sum(part[1:], part[0])
-    mass = costs.filter("c > 0").agg(*(F.sum(F.pow(F.lit(10.0), F.col("cost").cast("double")) * (p / whole - float(shares[g]))) for g, p in enumerate(part))).first()
+    known = costs.filter((F.col("c") > 0) & (F.col("symbol") >= len(frequent)))
+    mass = known.agg(*(F.sum(F.pow(F.lit(10.0), F.col("cost").cast("double")) * (p / whole - float(shares[g]))) for g, p in enumerate(part))).first()
     scale = np.log10(np.maximum(shares + np.array([m or 0.0 for m in mass]), 1e-9))
-    spelled = F.when(F.col("word") == END, 1).otherwise(F.octet_length("word") + 1).cast("int")
-    pulled = words.select("chunk", "number", "word", spelled.alias("bytes")).join(costs, "word").select(
-        F.col("chunk").alias("of_chunk"), "number", "bytes", "c", "cost", "groups"
+    size = F.when(F.col("word") == END, 1).otherwise(F.octet_length("word") + 1).cast("int")
+    pulled = words.select("chunk", "number", "word", size.alias("bytes")).join(costs, "word").select(
+        F.col("chunk").alias("of_chunk"), "number", "bytes", "c", "cost", "groups", "symbol"
     )
-
-    def summed(left: pa.Table, right: pa.Table) -> pa.Table:
-        order = np.argsort(right.column("number").to_numpy())
-        c, size, cost, groups = (right.column(name).to_numpy()[order] for name in ("c", "bytes", "cost", "groups"))
-        base = np.log10((c + 1.0) / (total + distinct + 1.0))
-        known = np.where((c > 0)[:, None], unpacked(np.ascontiguousarray(groups)), shares)
-        apart = np.log10(known) - scale
-        found = []
-        cost = cost.astype(np.float64)
-        for row in left.column("tokens"):
-            at = unpacked_numbers(row.as_py(), len(c))
-            each = np.log10(shares) + apart[at].sum(axis=0)
-            most = each.max()
-            mixed = float(cost[at].sum() + most + np.log10((10.0 ** (each - most)).sum()))
-            found.append((len(at), int((c[at] > 0).sum()), float(base[at].sum()), mixed, int(size[at].sum())))
-        counts = list(zip(*found, strict=True)) or [()] * 5
-        bits = np.array(counts[3]) / -np.log10(2.0) / np.maximum(np.array(counts[4]), 1)
-        columns = [left.column("doc_id"), left.column("held_out"), pa.array(counts[0], pa.int64()), pa.array(counts[1], pa.int64()),
-                   pa.array([total] * left.num_rows, pa.int64()), pa.array(counts[2], pa.float64()), pa.array(counts[3], pa.float64()),
-                   pa.array(bits)]
-        return pa.table(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"])
-
-    texts_of = rows.filter("kind = 0").select("chunk", "doc_id", "held_out", "tokens")
-    return texts_of.groupBy("chunk").cogroup(pulled.groupBy("of_chunk")).applyInArrow(
-        summed,
+    return rows.filter("kind = 0").select("chunk", "doc_id", "held_out", "tokens").groupBy("chunk").cogroup(pulled.groupBy("of_chunk")).applyInArrow(
+        lambda left, right: _summed(left, right, total, distinct, shares, scale, following.Ready(context.value, follows), len(frequent), number),
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double",
     )
+
+
+def _summed(left: pa.Table, right: pa.Table, total: int, distinct: int, shares: np.ndarray, scale: np.ndarray, ready: Ready, often: int, number: Code) -> pa.Table:
+    """The scores of a chunk's texts, from what is known of its tokens."""
+    order = np.argsort(right.column("number").to_numpy())
+    c, size, cost, groups, symbol = (right.column(name).to_numpy()[order] for name in ("c", "bytes", "cost", "groups", "symbol"))
+    base = np.log10((c + 1.0) / (total + distinct + 1.0))
+    known = np.where((c > 0)[:, None], unpacked(np.ascontiguousarray(groups)), shares)
+    apart = np.log10(known) - scale
+    apart[symbol < often] = 0
+    symbol = symbol.astype(np.int64)
+    lists = [unpacked_numbers(row.as_py(), len(c)) for row in left.column("tokens")]
+    n_tokens = np.array([len(numbers) for numbers in lists], np.int64)
+    ends = np.cumsum(n_tokens)
+    columns = [np.zeros(len(lists)) for _ in range(4)]
+    start = 0
+    while start < len(lists):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + following.STEP_TOKENS, side="right")))
+        at, starts = np.concatenate(lists[start:stop]), ends[start:stop] - n_tokens[start:stop] - before
+        each = np.log10(shares) + np.stack([np.add.reduceat(apart[at, g], starts) for g in range(GROUPS)], axis=1)
+        most = each.max(axis=1)
+        mixed = most + np.log10((10.0 ** (each - most[:, None])).sum(axis=1))
+        token = cost[at] + ready.cost(following.Sequences(symbol[at], starts, number))
+        found = np.add.reduceat(c[at] > 0, starts, dtype=np.int64), np.add.reduceat(base[at], starts), mixed + np.add.reduceat(token, starts), np.add.reduceat(size[at], starts, dtype=np.int64)
+        for column, values in zip(columns, found, strict=True):
+            column[start:stop] = values
+        start = stop
+    n_known, base_score, score, spelled = columns
+    values = [left.column("doc_id"), left.column("held_out"), pa.array(n_tokens), pa.array(n_known.astype(np.int64)),
+              pa.array(np.full(len(lists), total)), pa.array(base_score), pa.array(score), pa.array(score / -np.log10(2.0) / np.maximum(spelled, 1))]
+    return pa.table(values, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"])

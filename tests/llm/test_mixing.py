@@ -3,10 +3,12 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from conftest import EDGES
 from pyspark.sql import functions as F
 
-from sieverank.llm import mixing
+from sieverank.llm import bits, following, mixing
 
 
 def corpus(seed=9, count=300):
@@ -49,23 +51,147 @@ def test_base_scores_equal_counting(documents_of):
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
-def test_costs_are_probabilities(spark, documents_of):
+def fitted(table, add, gates, orders, rounds=6):
+    model = bits.Model.equal(gates, orders)
+    for _ in range(rounds):
+        sums = bits.Sums(model)
+        add(table, sums)
+        model = model.after(sums)
+    return model
+
+
+def test_spellings_are_probabilities():
     """No set of distinct tokens has more probability than there is."""
     words = sorted({w for _, t in corpus() for w in tokens(t) if w})
     spelled = [w.encode() for w in words] + [b"\n"]
-    counts = np.arange(1, len(spelled) + 1)
+    counts, spans = np.arange(1, len(spelled) + 1), np.full(len(spelled), mixing.HEAD_BYTES)
     code = mixing.Code(np.bincount(np.frombuffer(b" ".join(spelled), np.uint8), minlength=256))
     table = np.zeros((mixing.SLOTS[-1], 2))
-    mixing.counted(spelled, counts, table, code)
-    mixer = mixing.Mixer()
-    for _ in range(20):
-        mixer.learn(spelled, counts, table.astype(np.float32), code)
-    refine = mixer.map[:, :, 1] / mixer.map.sum(axis=2)
+    mixing.counted(spelled, counts, spans, table, code)
     table = table.astype(np.float32)
-    cost = mixer.cost(spelled, counts, (mixing.stretched(table), table[mixing.SLOTS[-2] :]), refine, code)
+    model = fitted(table, lambda t, sums: mixing.gathered(spelled, counts, spans, t, code, sums), bits.GATES, mixing.ORDERS)
+    cost = mixing.costs_of(spelled, counts, spans, (bits.stretched(table), table[mixing.SLOTS[-2] :]), model, code)
     assert 0.5 < (10**cost).sum() <= 1 + 1e-9
 
 
+def sequences(rows, frequent, code):
+    words = [w or "\n" for _, t in rows for w in tokens(t)]
+    sizes = [len(tokens(t)) for _, t in rows]
+    symbol = following.symbols(pa.array(words), frequent)
+    return following.Sequences(symbol, np.cumsum(sizes) - sizes, code)
+
+
+def followers():
+    """Texts where "a" is followed by "b" or "c" and those tell what comes next; rare words lie between."""
+    rng, rows = random.Random(4), []
+    after = {"a": "bc", "b": "d", "c": "ef", "d": "a", "e": "a", "f": "ab"}
+    for i in range(400):
+        at, made = "a", []
+        for n in range(rng.randint(1, 60)):
+            made.append(at)
+            at = rng.choice(after[at])
+            if rng.random() < 0.1:
+                made.append(f"rare{n}in{i % 10}x{n % 3}")
+        rows.append((i, " ".join(made)))
+    return rows
+
+
+def test_following_equals_a_loop_over_bits():
+    rows, frequent = followers()[:60], pa.array([*"abcdef", "\n"])
+    code = mixing.Code(np.array([9, 7, 5, 5, 4, 3, 2, 6]))
+    found = sequences(rows, frequent, code)
+    table = np.zeros((following.SLOTS[-1], 2))
+    following.counted(found, table)
+    table = table.astype(np.float32)
+    model = fitted(table, lambda t, sums: following.gathered(found, t, sums), bits.GATES, following.ORDERS)
+    cost = following.Ready(table, model).cost(found)
+    # The same from dictionaries keyed by the contexts themselves, word by word.
+    names, often = [], set(frequent.to_pylist())
+    for _, text in rows:
+        words = [w or "\n" for w in tokens(text)]
+        for i, word in enumerate(words):
+            ending = lambda w: w if w in often else ("rare", w[-3:])
+            before = [ending(w) for w in words[:i]]
+            known = [w for w in words[:i] if w in often]
+            names.append((word, [(), (before[-1:],), (before[-2:], len(before[-2:])), (known[-2:], 0)]))
+    counts = {}
+    number = {w: i for i, w in enumerate(frequent.to_pylist())}
+    steps = lambda word: [(code.node[n, s], code.bit[n, s]) for s in [number.get(word, len(number))] for n in range(code.length[s])]
+    for word, contexts in names:
+        for node, bit in steps(word):
+            for order, context in enumerate(contexts):
+                counts.setdefault((order, str(context), node), [0, 0])[bit] += 1
+    for (word, contexts), total in zip(names, cost, strict=True):
+        want = 0.0
+        for node, bit in steps(word):
+            seen = [counts[order, str(context), node] for order, context in enumerate(contexts)]
+            inputs = [math.log((one + 0.4) / (zero + 0.4)) for zero, one in seen]
+            near, far = (math.log2(1 + sum(seen[order])) for order in (1, 2))
+            gate = int(min(far, 7)) * 4 + int(min(near / 4, 3))
+            line = sum(float(w) * x for w, x in zip(model.weights[gate], inputs, strict=True))
+            mixed = 1 / (1 + math.exp(-max(-16, min(16, line))))
+            cell = model.cells[gate, max(-16, min(16, round(line * 2))) + 16]
+            one = (mixed + min(max(cell[1] / cell.sum(), 1e-6), 1 - 1e-6)) / 2
+            want += math.log10(one if bit else 1 - one)
+        assert total == pytest.approx(want, abs=2e-3)
+
+
+def test_next_numbers_are_a_distribution():
+    """After the same words, the probabilities of all numbers add up to 1."""
+    frequent, code = pa.array([*"abcdef"]), mixing.Code(np.array([9, 7, 5, 5, 4, 3, 2]))
+    found = sequences(followers(), frequent, code)
+    table = np.zeros((following.SLOTS[-1], 2))
+    following.counted(found, table)
+    table = table.astype(np.float32)
+    ready = following.Ready(table, fitted(table, lambda t, sums: following.gathered(found, t, sums), bits.GATES, following.ORDERS))
+    start = [0, 3, 8, 1]
+    every = np.array([[*start, last] for last in range(7)])
+    cost = ready.cost(following.Sequences(every.ravel(), np.arange(7) * 5, code)).reshape(7, 5)
+    assert (10 ** cost[:, -1]).sum() == pytest.approx(1)
+
+
+def test_order_of_words_counts(documents_of):
+    rows, rng = followers(), random.Random(5)
+    held = [(i, t) for i, t in rows if zlib.crc32(str(i).encode()) % 7 == 2]
+    mixed = []
+    for n in range(10_000, 30_000):
+        if zlib.crc32(str(n).encode()) % 7 == 2 and len(mixed) < len(held):
+            words = held[len(mixed)][1].split(" ")
+            rng.shuffle(words)
+            mixed.append((n, " ".join(words)))
+    found = {r.doc_id: r for r in mixing.score(documents_of([*rows, *mixed])).collect()}
+    true, shuffled = (sum(found[i].score for i, _ in part) for part in (held, mixed))
+    assert sum(found[i].base_score for i, _ in held) == pytest.approx(sum(found[i].base_score for i, _ in mixed))
+    assert true > 0.8 * shuffled
+    assert true > sum(found[i].base_score for i, _ in held)
+
+
+def test_partitioning_changes_nothing(spark, documents_of):
+    rows, before = corpus(count=120), spark.conf.get("spark.sql.shuffle.partitions")
+    scores = []
+    for parts in (2, 16):
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        found = mixing.score(documents_of(rows).repartition(parts, "doc_id")).collect()
+        scores.append([r.score for r in sorted(found, key=lambda r: r.doc_id)])
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert scores[0] == pytest.approx(scores[1], rel=1e-5)
+
+
+def test_a_beginning_of_many_words_is_parted(spark, monkeypatch):
+    """Groups stay small, whatever the words begin with, and a token's beginnings are exact from its span on."""
+    monkeypatch.setattr(mixing, "GROUP_BYTES", 400)
+    words = [f"https://{i % 5}.example/{i}" for i in range(300)] + [f"w{i}" for i in range(20)] + ["https", "https://"]
+    found = mixing.with_spans(spark.createDataFrame([(w, 1) for w in words], "word string, c long")).collect()
+    groups = {}
+    for row in found:
+        groups.setdefault(row.word.encode()[: row.span], []).append(row)
+    assert sorted(r.word for r in found) == sorted(words)
+    assert all(sum(len(r.word) + 1 for r in rows) <= 400 or len(rows) == 1 for rows in groups.values())
+    for head, rows in groups.items():
+        assert len({r.span for r in rows if len(r.word) >= len(head)}) == 1
+        assert len(head) < rows[0].span or all(r in rows for r in found if r.word.encode().startswith(head))
+
+
 def test_code_is_prefix_free_and_short_for_frequent_bytes():
     counts = np.zeros(256)
     counts[101], counts[32] = 1_000, 500
