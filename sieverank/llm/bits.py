@@ -120,15 +120,18 @@ class Sums:
         self.slope, self.curve, self.cells = (part.reshape(shape) for part, shape in zip(np.split(self.values, ends[:-1]), shapes, strict=True))
 
     def add(self, inputs: np.ndarray, gate: np.ndarray, bit: np.ndarray, weight: np.ndarray) -> None:
-        gates, orders = self.slope.shape
+        gates = len(self.slope)
         line = self.model.line(inputs, gate)
         chance = squash(line)
         error, steep = weight * (bit - chance), weight * chance * (1 - chance)
-        for order in range(orders):
-            self.slope[:, order] += np.bincount(gate, error * inputs[order], gates)
-            pulled = steep * inputs[order]
-            for other in range(order + 1):
-                self.curve[:, order, other] += np.bincount(gate, pulled * inputs[other], gates)
+        # Bits in the order of their gates, so that a gate's sums are products of slices.
+        ranked = np.argsort(gate.astype(np.uint8), kind="stable")
+        ends = np.cumsum(np.bincount(gate, minlength=gates))
+        lines, error, steep = inputs.take(ranked, axis=1).astype(np.float64), error[ranked], steep[ranked]
+        for at in np.flatnonzero(np.diff(ends, prepend=0)):
+            part = slice(ends[at - 1] if at else 0, ends[at])
+            self.slope[at] += lines[:, part] @ error[part]
+            self.curve[at] += (lines[:, part] * steep[part]) @ lines[:, part].T
         cell = (gate * COLUMNS + columns_of(line)) * 2 + bit
         self.cells += np.bincount(cell, weight, gates * COLUMNS * 2).reshape(self.cells.shape)
 

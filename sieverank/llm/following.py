@@ -94,9 +94,8 @@ class Sequences:
 
 
 def _levels(near: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """How much the word before (in four steps) and the two words before (in eight) have seen, from their counts."""
-    near, far = (np.log2(1 + pair.sum(axis=1)) for pair in (near, far))
-    return np.minimum(near / 4, 3).astype(np.uint8), np.minimum(far, 7).astype(np.uint8)
+    """How much the word before (in four steps) and the two words before (in eight) have seen, from what they counted."""
+    return np.minimum(np.log2(1 + near) / 4, 3).astype(np.uint8), np.minimum(np.log2(1 + far), 7).astype(np.uint8)
 
 
 def counted(sequences: Sequences, table: np.ndarray) -> None:
@@ -110,11 +109,15 @@ def counted(sequences: Sequences, table: np.ndarray) -> None:
 def gathered(sequences: Sequences, table: np.ndarray, sums: Sums) -> None:
     """Adds every bit to what weights and map are made of, predicted from counts less its own occurrence."""
     for at, node, bit in sequences.bits():
-        own = np.stack([1 - bit, bit], axis=1).astype(np.float32)
-        pairs = [np.maximum(table[slot] - own, 0) for slot in sequences.slots(at, node)]
-        near, far = _levels(pairs[1], pairs[2])
-        gate = far.astype(np.int64) * 4 + near
-        sums.add(np.stack([stretched(pair) for pair in pairs]), gate, bit, np.ones(len(bit)))
+        one = bit.astype(np.float32)
+        inputs, seen = np.empty((ORDERS, len(bit)), np.float32), []
+        for order, slot in enumerate(sequences.slots(at, node)):
+            pair = table.take(slot, axis=0)
+            zeros, ones = np.maximum(pair[:, 0] - (1 - one), 0), np.maximum(pair[:, 1] - one, 0)
+            inputs[order] = np.log((ones + np.float32(0.4)) / (zeros + np.float32(0.4)))
+            seen.append(zeros + ones)
+        near, far = _levels(seen[1], seen[2])
+        sums.add(inputs, far.astype(np.int64) * 4 + near, bit, np.ones(len(bit)))
 
 
 class Ready:
@@ -122,7 +125,8 @@ class Ready:
 
     def __init__(self, table: np.ndarray, model: Model):
         self.lines, self.model = stretched(table), model
-        self.near, self.far = _levels(table[SLOTS[1] : SLOTS[2]], table[SLOTS[2] : SLOTS[3]])
+        seen = table[:, 0] + table[:, 1]
+        self.near, self.far = _levels(seen[SLOTS[1] : SLOTS[2]], seen[SLOTS[2] : SLOTS[3]])
 
     def cost(self, sequences: Sequences) -> np.ndarray:
         """log10 of the probability of each place's number."""

@@ -135,7 +135,7 @@ def inputs_without(table: np.ndarray, spelled: Spelled, at: np.ndarray, node: np
     own = np.stack([1 - bit, bit], axis=1).astype(np.float32)
     pair = own
     for order, slot in enumerate(spelled.slots(at, node)):
-        pair = np.maximum(table[slot] - own, 0)
+        pair = np.maximum(table.take(slot, axis=0) - own, 0)
         inputs[order] = stretched(pair)
     longest = np.where(exact < 0, pair, np.maximum(exact - own, 0))
     inputs[-1] = stretched(longest)
@@ -148,7 +148,7 @@ def inputs_of(ready: tuple[np.ndarray, np.ndarray], spelled: Spelled, at: np.nda
     inputs = np.empty((ORDERS, len(at)), np.float32)
     for order, slot in enumerate(spelled.slots(at, node)):
         inputs[order] = lines[slot]
-    pair = last[slot - SLOTS[ORDERS - 2]]
+    pair = last.take(slot - SLOTS[ORDERS - 2], axis=0)
     longest = np.where(exact < 0, pair, exact)
     inputs[-1] = stretched(longest)
     return inputs, _gate(longest, pair.sum(axis=1))
