@@ -197,8 +197,10 @@ def summed_tables(source: DataFrame, run: Callable, size: int) -> np.ndarray:
 
 
 def _packed(block: np.ndarray) -> bytes:
-    return zlib.compress(block.astype(np.float64).tobytes(), 1)  # a task's blocks are mostly zero
+    """Counts are whole and most are small or zero: their bytes go place by place."""
+    return zlib.compress(np.ascontiguousarray(block.astype("<u8").view(np.uint8).reshape(-1, 8).T), 1)
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(data), np.float64).reshape(-1, 2)
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<u8").reshape(-1, 2).astype(np.float64)

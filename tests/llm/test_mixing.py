@@ -203,3 +203,9 @@ def test_code_is_prefix_free_and_short_for_frequent_bytes():
 
 def test_empty_table(documents_of):
     assert mixing.score(documents_of(EDGES).filter(F.lit(False))).count() == 0
+
+
+def test_packed_counts_come_back():
+    block = np.random.default_rng(3).integers(0, 2**53, (64, 2)).astype(np.float64)
+    block[:50] = 0
+    assert (bits._unpacked(bits._packed(block)) == block).all()
