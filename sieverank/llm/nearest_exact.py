@@ -149,6 +149,11 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = SCALE) -
     shards = max(1, points.count() // SHARD_ROWS)
     blocks = max(1, asking.count() // BLOCK_QUERIES)
     across, down = -(-shards // SHARDS_PER_CELL), -(-blocks // BLOCKS_PER_CELL)
+
+    def each(number: int) -> Column:
+        # A long, like the numbers that come of hashes: an equal int hashes elsewhere, so cells would miss each other.
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(number - 1).cast("long")))
+
     # Repeats of an id would all hash alike: the vector's hash goes along.
     shard = F.pmod(F.xxhash64("vec_id", "vector"), F.lit(shards)).cast("long")
     trees = points.withColumn("shard", shard).groupBy("width", "shard").applyInArrow(
@@ -163,12 +168,12 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = SCALE) -
 
     # First cell: each group of blocks meets one group of shards, which gives it k-th scores.
     first = packed(asking.withColumn("least", F.lit(LEAST))).withColumn("across", F.col("down") % across)
-    near = cut(_cells(trees.withColumn("down", F.explode(F.sequence(F.lit(0), F.lit(down - 1)))).filter(F.col("across") == F.col("down") % across), first, k), "first")
+    near = cut(_cells(trees.withColumn("down", each(down)).filter(F.col("across") == F.col("down") % across), first, k), "first")
     kth = near.groupBy(F.col("query_id").alias("vec_id")).agg(F.count("*").alias("n"), F.min("score").alias("kth"))
     least = F.when(F.col("n") >= k, F.col("kth")).otherwise(F.lit(LEAST))
     known = asking.join(kth, "vec_id", "left").withColumn("least", F.coalesce(least, F.lit(LEAST))).drop("n", "kth")
-    rest = packed(known).withColumn("across", F.explode(F.sequence(F.lit(0), F.lit(across - 1)))).filter(F.col("across") != F.col("down") % across)
-    others = trees.withColumn("down", F.explode(F.sequence(F.lit(0), F.lit(down - 1)))).filter(F.col("across") != F.col("down") % across)
+    rest = packed(known).withColumn("across", each(across)).filter(F.col("across") != F.col("down") % across)
+    others = trees.withColumn("down", each(down)).filter(F.col("across") != F.col("down") % across)
     found = near.union(_cells(others, rest, k))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -44,6 +44,23 @@ def test_equals_brute_force(spark, monkeypatch, small):
     assert ne.top_k(frame.filter(F.lit(False))).count() == 0
 
 
+def test_cells_meet_across_many_partitions(spark, monkeypatch):
+    for name, value in (("SHARD_ROWS", 40), ("SHARDS_PER_CELL", 2), ("BLOCK_QUERIES", 3), ("BLOCKS_PER_CELL", 2), ("LEAF_ROWS", 4)):
+        monkeypatch.setattr(ne, name, value)
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "5"}
+    before = {name: spark.conf.get(name) for name in settings}
+    rows = some_vectors(2)
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        found = ne.top_k(frame).collect()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in found) == brute(rows)
+
+
 def test_leaves_hold_all_rows_and_pruning_is_exact():
     rng = np.random.default_rng(4)
     points = rng.integers(-9, 9, (300, 3))
