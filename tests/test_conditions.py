@@ -73,6 +73,21 @@ def test_many_ranges_read_the_catalog_once(spark, catalog):
     assert {tuple(r) for r in found.collect()} == want
 
 
+def test_pairs_are_not_shuffled(spark, catalog, monkeypatch):
+    monkeypatch.setattr(predicates, "LIST_QUERIES", 3)
+    asked = [(i % 40, [f"x > {i % 4}"]) for i in range(50)] + [(None, ["x > 1"])]
+    queries = spark.createDataFrame(asked, "query_id long, conditions array<string>")
+    want = sorted((str(i), r["key"]) for i, c in asked for r in predicates.apply_conditions(catalog, c, ALLOWED).select("key").collect())
+    for max_bytes in (64 << 20, 0):
+        found, left = predicates.typed_survivors(catalog, queries, "key", ALLOWED, 8, max_bytes)
+        text = io.StringIO()
+        with contextlib.redirect_stdout(text):
+            found.explain()
+        above = text.getvalue().split("SortMergeJoin" if max_bytes == 0 else "BroadcastHashJoin")[0]
+        assert "Generate explode" in above and "Exchange" not in above and text.getvalue().count("Join") <= 3
+        assert left.count() == 0 and sorted((str(r["query_id"]), r["key"]) for r in found.collect()) == want
+
+
 def test_no_lists_and_no_records(spark, catalog):
     none = spark.createDataFrame([], "query_id long, conditions array<string>")
     assert hybrid.query_survivors(catalog, none, "key", ALLOWED).count() == 0
