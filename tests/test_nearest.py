@@ -156,3 +156,19 @@ def test_lexical_ranking(spark, monkeypatch, limit, stored, small):
     assert got == {(k, t, round(w, 9)) for k, v in vectors.items() for t, w in v.items()}
     vecs = query_vectors(asked, index, "query_id", "text")
     assert rows(nearest.block_topk(index.vectors, vecs, 3, "key", max_broadcast_bytes=limit)) == expected
+
+
+def test_only_rare_terms_are_looked_up(spark, monkeypatch):
+    texts = {i: " ".join(["all", *(["half"] if i % 2 else []), *(["some"] * 2 if i % 4 == 0 else []), f"own{i}"]) for i in range(16)} | {16: "", 17: None}
+    docs = spark.createDataFrame(list(texts.items()), "key long, text string")
+    vectors, _ = lexical_brute({k: t or "" for k, t in texts.items()}, {"q": "all"})
+    want = {(k, t, round(w, 9)) for k, v in vectors.items() for t, w in v.items()}
+    looked_up = {}
+    join = lexical.join_hot
+    for limit in (0, 140, 10_000):
+        monkeypatch.setattr(lexical, "SMALL_VOCABULARY", limit)
+        monkeypatch.setattr(lexical, "join_hot", lambda left, *a, limit=limit, **b: looked_up.update({limit: {r["term"] for r in left.collect()}}) or join(left, *a, **b))
+        index = build_index(docs, "key", "text")
+        assert {(r["key"], r["term"], round(r["weight"], 9)) for r in term_weights(index).collect()} == want
+        assert index.vectors.count() == 18
+    assert looked_up[140] == {"some", *(f"own{i}" for i in range(16))} and "all" in looked_up[0] and 10_000 not in looked_up
