@@ -27,7 +27,7 @@ BITS = (13, 20, 20, 20)
 ORDERS = len(BITS)
 SLOTS = np.concatenate([[0], np.cumsum([1 << b for b in BITS])])
 STEP_BITS = 1 << 16
-STEP_TOKENS = 1 << 18
+STEP_TOKENS = 1 << 16
 END = "\n"
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _START = np.uint64(1 << 20)

@@ -49,6 +49,7 @@ GROUPS = 8
 SLOTS = np.concatenate([[0], np.cumsum([1 << b for b in BITS])])
 BATCH_WORDS = 4_096
 STEP_BITS = 16_384
+STEP_WORDS = 1 << 14
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -185,14 +186,19 @@ def costs_of(words: list[bytes], counts: np.ndarray, spans: np.ndarray, ready: t
 _GROUPED = ", ".join(f"n{g} long" for g in range(GROUPS))
 
 
+def number_bytes(size: int) -> int:
+    """How many bytes a number below ``size`` takes: three if that is enough."""
+    return 3 if size <= 1 << 24 else 4
+
+
 def packed_numbers(numbers: np.ndarray, size: int) -> np.ndarray:
-    """Numbers below ``size`` as rows of bytes, three of them if that is enough."""
-    width = 3 if size <= 1 << 24 else 4
+    """Numbers below ``size`` as rows of bytes."""
+    width = number_bytes(size)
     return np.ascontiguousarray(numbers.astype("<u4")).view(np.uint8).reshape(-1, 4)[:, :width]
 
 
 def unpacked_numbers(data: bytes, size: int) -> np.ndarray:
-    width = 3 if size <= 1 << 24 else 4
+    width = number_bytes(size)
     out = np.zeros((len(data) // width, 4), np.uint8)
     out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
     return out.view("<u4")[:, 0]
@@ -247,7 +253,7 @@ def encoded(bare: DataFrame) -> str:
             yield from whole(chunk, parts)
 
     path = shared_folder(bare.sparkSession, "encoded")
-    bare.mapInArrow(run, schema).write.partitionBy("kind").parquet(path)
+    bare.mapInArrow(run, schema).write.partitionBy("kind").option("compression", "zstd").parquet(path)
     return path
 
 
@@ -412,21 +418,22 @@ def score(documents: DataFrame, modulus: int = 7, held: int = 2, group: str | No
     training = bare.filter("not held_out").select("doc_id", "text")
     context = spark.sparkContext.broadcast(following.counts_of(training, frequent, number))
     share = F.pmod(F.xxhash64("doc_id", "text"), F.lit(bits.SHARES))
-    follows = following.learned(training, share, context, frequent, number)
+    # What scoring needs of the tables is worked out once, not by every task.
+    follows = spark.sparkContext.broadcast(following.Ready(context.value, following.learned(training, share, context, frequent, number)))
     # How the others are spelled.
     vocabulary = cut(with_spans(with_groups(marked, shares)), "vocabulary")
     learnt = vocabulary.filter("c > 0 and not often").select("word", "c", "span")
     code = Code(byte_counts(learnt))
     table = spark.sparkContext.broadcast(hashed_counts(grouped(learnt), code))
     model = learned(learnt, table, code)
+    ready = spark.sparkContext.broadcast((stretched(table.value), table.value[SLOTS[-2] :]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready = stretched(table.value), table.value[SLOTS[-2] :]
         for part, spelled, c, spans in _batches(batches):
             symbol = following.symbols(pa.concat_arrays(part.column("word").chunks), frequent)
             rare = symbol >= len(frequent)
             cost = np.zeros(len(spelled), np.float32)
-            cost[rare] = costs_of([w for w, r in zip(spelled, rare, strict=True) if r], c[rare], spans[rare], ready, model, code)
+            cost[rare] = costs_of([w for w, r in zip(spelled, rare, strict=True) if r], c[rare], spans[rare], ready.value, model, code)
             names = ["word", "c", "cost", "groups", "symbol"]
             found = pa.table([part.column("word"), part.column("c"), pa.array(cost), part.column("groups"), pa.array(symbol.astype(np.int32))], names=names)
             yield from found.combine_chunks().to_batches(65_536)
@@ -443,29 +450,33 @@ def score(documents: DataFrame, modulus: int = 7, held: int = 2, group: str | No
         F.col("chunk").alias("of_chunk"), "number", "bytes", "c", "cost", "groups", "symbol"
     )
     return rows.filter("kind = 0").select("chunk", "doc_id", "held_out", "tokens").groupBy("chunk").cogroup(pulled.groupBy("of_chunk")).applyInArrow(
-        lambda left, right: _summed(left, right, total, distinct, shares, scale, following.Ready(context.value, follows), len(frequent), number),
+        lambda left, right: _summed(left, right, total, distinct, shares, scale, follows.value, len(frequent), number),
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double",
     )
 
 
-def _summed(left: pa.Table, right: pa.Table, total: int, distinct: int, shares: np.ndarray, scale: np.ndarray, ready: Ready, often: int, number: Code) -> pa.Table:
+def _summed(left: pa.Table, right: pa.Table, total: int, distinct: int, shares: np.ndarray, scale: np.ndarray, ready: following.Ready, often: int, number: Code) -> pa.Table:
     """The scores of a chunk's texts, from what is known of its tokens."""
     order = np.argsort(right.column("number").to_numpy())
     c, size, cost, groups, symbol = (right.column(name).to_numpy()[order] for name in ("c", "bytes", "cost", "groups", "symbol"))
     base = np.log10((c + 1.0) / (total + distinct + 1.0))
-    known = np.where((c > 0)[:, None], unpacked(np.ascontiguousarray(groups)), shares)
-    apart = np.log10(known) - scale
+    apart = np.empty((len(c), GROUPS))
+    for at in range(0, len(c), STEP_WORDS):
+        part = slice(at, at + STEP_WORDS)
+        known = np.where((c[part] > 0)[:, None], unpacked(np.ascontiguousarray(groups[part])), shares)
+        apart[part] = np.log10(known) - scale
     apart[symbol < often] = 0
     symbol = symbol.astype(np.int64)
-    lists = [unpacked_numbers(row.as_py(), len(c)) for row in left.column("tokens")]
-    n_tokens = np.array([len(numbers) for numbers in lists], np.int64)
+    packed = left.column("tokens")
+    n_tokens = pc.binary_length(packed).to_numpy().astype(np.int64) // number_bytes(len(c))
     ends = np.cumsum(n_tokens)
-    columns = [np.zeros(len(lists)) for _ in range(4)]
+    columns = [np.zeros(len(packed)) for _ in range(4)]
     start = 0
-    while start < len(lists):
+    while start < len(packed):
         before = ends[start - 1] if start else 0
         stop = max(start + 1, int(np.searchsorted(ends, before + following.STEP_TOKENS, side="right")))
-        at, starts = np.concatenate(lists[start:stop]), ends[start:stop] - n_tokens[start:stop] - before
+        # Only the texts of a step are unpacked.
+        at, starts = unpacked_numbers(b"".join(packed[start:stop].to_pylist()), len(c)), ends[start:stop] - n_tokens[start:stop] - before
         each = np.log10(shares) + np.stack([np.add.reduceat(apart[at, g], starts) for g in range(GROUPS)], axis=1)
         most = each.max(axis=1)
         mixed = most + np.log10((10.0 ** (each - most[:, None])).sum(axis=1))
@@ -476,5 +487,5 @@ def _summed(left: pa.Table, right: pa.Table, total: int, distinct: int, shares:
         start = stop
     n_known, base_score, score, spelled = columns
     values = [left.column("doc_id"), left.column("held_out"), pa.array(n_tokens), pa.array(n_known.astype(np.int64)),
-              pa.array(np.full(len(lists), total)), pa.array(base_score), pa.array(score), pa.array(score / -np.log10(2.0) / np.maximum(spelled, 1))]
+              pa.array(np.full(len(packed), total)), pa.array(base_score), pa.array(score), pa.array(score / -np.log10(2.0) / np.maximum(spelled, 1))]
     return pa.table(values, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"])

@@ -1,5 +1,6 @@
 import math
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -209,3 +210,28 @@ def test_packed_counts_come_back():
     block = np.random.default_rng(3).integers(0, 2**53, (64, 2)).astype(np.float64)
     block[:50] = 0
     assert (bits._unpacked(bits._packed(block)) == block).all()
+
+
+def test_a_chunk_is_scored_in_steps():
+    """What a chunk takes beside its rows and eight numbers a word does not grow with its texts."""
+    rng, words, rows = np.random.default_rng(6), 150_000, 400
+    numbers = rng.integers(0, words, 4_000_000)
+    packed = [mixing.packed_numbers(part, words).tobytes() for part in np.split(numbers, rows)]
+    left = pa.table({"chunk": np.zeros(rows, np.int64), "doc_id": np.arange(rows), "held_out": pa.array([False] * rows), "tokens": pa.array(packed, pa.binary())})
+    size = rng.integers(2, 9, words).astype(np.int32)
+    right = pa.table({"of_chunk": np.zeros(words, np.int64), "number": np.arange(words, dtype=np.int32), "bytes": size, "c": rng.integers(0, 5, words),
+                      "cost": -rng.random(words, dtype=np.float32), "groups": np.full(words, 0x0101010101010101), "symbol": np.full(words, 9, np.int32)})
+    code = mixing.Code(np.array([5, 3, 2]))
+    model = bits.Model.equal(bits.GATES, following.ORDERS)
+    ready = following.Ready(np.zeros((following.SLOTS[-1], 2), np.float32), model)
+    shares = np.full(mixing.GROUPS, 1 / mixing.GROUPS)
+    tracemalloc.start()
+    found = mixing._summed(left, right, 100, 10, shares, np.log10(shares), ready, 2, code)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.column("n_tokens").to_pylist() == [10_000] * rows
+    text = numbers.reshape(rows, -1)
+    assert found.column("n_known").to_numpy() == pytest.approx((right.column("c").to_numpy()[text] > 0).sum(axis=1))
+    spelled = size[text].sum(axis=1)
+    assert found.column("bits_per_byte").to_numpy() == pytest.approx(found.column("score").to_numpy() / -math.log10(2) / spelled)
+    assert peak < 48 << 20
