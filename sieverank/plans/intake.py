@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
@@ -13,7 +15,7 @@ from sieverank.operators.nearest import collection_count
 from sieverank.plans.tables import registry, table
 from sieverank.sources.cases import rules_from_json
 from sieverank.sources.cases import rules_long as to_rules_long
-from sieverank.session import shared_folder
+from sieverank.session import cut, shared_folder
 from sieverank.sources import catalog as files
 from sieverank.sources import versions
 from sieverank.sources.catalog import catalog_health as to_health
@@ -397,14 +399,37 @@ def _pages_listed(spark, documents, page_ids):
     """A page is a file in a folder of its own, with the ids of one language and one range."""
     path = shared_folder(spark, "sheets")
     ids = documents.select("lang", "doc_id").filter("doc_id is not null")
-    paged = ids.withColumn("page", F.format_string("%09d", F.expr(f"doc_id div {page_ids}"))).repartition("lang", "page")
+    # Pages are few bytes and many files: the number of tasks is given, so that it is not made smaller.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    paged = ids.withColumn("page", F.format_string("%09d", F.expr(f"doc_id div {page_ids}"))).repartition(parts, "lang", "page")
     paged.select(F.col("doc_id").cast("string").alias("text"), "lang", "page").write.partitionBy("lang", "page").option("lineSep", " ").text(path)
     name = F.array_join(F.slice(F.split("path", "/"), -3, 2), "/")
-    found = files.scan_datasheets(spark, path, "*.txt").withColumn("name", name)
     n_chars = F.length(F.rtrim("text")).cast("long").alias("n_chars")
-    listed = files.sorted_listing(found).select("name", F.monotonically_increasing_id().alias("place"))
-    numbered = listed.select("name", F.row_number().over(Window.orderBy("place")).cast("long").alias("position"))
-    return found.select("name", n_chars).join(numbered, "name").select("position", "name", "n_chars")
+    with _folders_per_task(spark, parts):
+        scanned = files.scan_datasheets(spark, path, "*.txt")
+    # Files are opened once; sorting reads what is stored.
+    found = cut(scanned.withColumn("name", name).select("path", "name", n_chars), "pages")
+    listed = cut(files.sorted_listing(found).select("name", F.monotonically_increasing_id().alias("place")), "listing")
+    # A place is the task's number and the place within the task, whose rows follow those of all tasks before.
+    task, within = F.shiftright("place", 33), F.col("place").bitwiseAND((1 << 33) - 1)
+    sizes = listed.groupBy(task.alias("task")).agg(F.count("*").alias("n"))
+    before = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    placed = listed.withColumn("task", task).join(F.broadcast(starts), "task")
+    numbered = placed.select("name", (F.col("start") + within + 1).alias("position"))
+    return found.select("name", "n_chars").join(numbered, "name").select("position", "name", "n_chars")
+
+
+@contextmanager
+def _folders_per_task(spark, parts):
+    """While a path is loaded, folders are listed by up to ``parts`` tasks, not by one task for each."""
+    setting = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(setting, None)
+    spark.conf.set(setting, str(parts))
+    try:
+        yield
+    finally:
+        spark.conf.unset(setting) if before is None else spark.conf.set(setting, before)
 
 
 @registered("SELECT least(20, count(*)) AS n_rows, 3 AS n_columns FROM part")

@@ -213,3 +213,23 @@ def test_cases(spark, tmp_path):
     assert {r["case_id"]: (r["expected"], r["allow_no_match"]) for r in read.collect()} == {"a": ([], False), "b": ([], False)}
     got = [tuple(r) for r in cases.rules_long(read).orderBy("rule_pos").collect()]
     assert got == [("a", 0, "z", ">", 8.0), ("a", 1, "b", "==", 0.0), ("a", 2, "c", "<", None)]
+
+
+def test_pages_are_written_by_all_tasks(spark, tmp_path, monkeypatch):
+    """Pages are many files of few bytes, so they are dealt over tasks whatever their bytes; places are in name order."""
+    from sieverank.plans import intake
+
+    monkeypatch.setattr(intake, "shared_folder", lambda spark, purpose: str(tmp_path / purpose))
+    setting = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    listing = spark.conf.get(setting, None)
+    rows = [(i, "de" if i % 3 else "en") for i in range(400)] + [(None, "en"), (7, "de"), (8, None)]
+    got = intake._pages_listed(spark, spark.createDataFrame(rows, "doc_id long, lang string"), 10).collect()
+    pages = {}
+    for i, lang in rows:
+        if i is not None:
+            pages.setdefault(f"lang={lang or '__HIVE_DEFAULT_PARTITION__'}/page={i // 10:09d}", []).append(str(i))
+    want = [(at, name, len(" ".join(pages[name]))) for at, name in enumerate(sorted(pages), 1)]
+    assert sorted((r.position, r.name, r.n_chars) for r in got) == want
+    files = list((tmp_path / "sheets").rglob("*.txt"))
+    assert len(files) == len(pages) and len({f.name.split("-")[1] for f in files}) == 4
+    assert spark.conf.get(setting, None) == listing
