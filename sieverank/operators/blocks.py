@@ -20,8 +20,13 @@ TILE_ROWS = 4_096
 
 
 def _unit(matrix: np.ndarray) -> np.ndarray:
-    length = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
-    return np.divide(matrix, length, out=np.zeros_like(matrix), where=length != 0)
+    """The rows at length 1, in place and a tile at a time; rows without length become zeros."""
+    for start in range(0, len(matrix), TILE_ROWS):
+        part = matrix[start : start + TILE_ROWS]
+        length = np.sqrt((part * part).sum(axis=1, keepdims=True))
+        np.divide(part, length, out=part, where=length != 0)
+        part[length[:, 0] == 0] = 0
+    return matrix
 
 
 def _matrix(column: pa.Array, width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -42,7 +47,8 @@ class DenseQueries:
         if len(kept) != table.num_rows:
             raise ValueError("query vectors are missing or differ in width")
         self.width = matrix.shape[1]
-        self.unit = _unit(matrix)[order]
+        # Only masks change the order.
+        self.unit = _unit(matrix if (order[1:] > order[:-1]).all() else matrix[order])
 
     def batch(self, batch: pa.RecordBatch) -> tuple[Any, np.ndarray]:
         matrix, kept = _matrix(batch.column("vector"), self.width)

@@ -21,6 +21,7 @@ from sieverank.session import cut
 
 MAX_BROADCAST_BYTES = 64 << 20
 FRAGMENT_BYTES = 64 << 20
+BATCH_ROWS = 8_192
 
 
 def round_distance(distance: Column, decimals: int = 4) -> Column:
@@ -148,7 +149,8 @@ def grid_topk(
     def run(records: pa.Table, queries: pa.Table) -> pa.Table:
         if records.num_rows == 0 or queries.num_rows == 0:
             return nothing
-        found = list(QueryBlock(queries, k).best(records.combine_chunks().to_batches()))
+        # Records are ranked batch by batch, so a fragment is never unpacked whole.
+        found = list(QueryBlock(queries, k).best(records.combine_chunks().to_batches(BATCH_ROWS)))
         return pa.Table.from_batches(found) if found else nothing
 
     return records.groupBy(*cells).cogroup(queries.groupBy(*cells)).applyInArrow(run, schema)

@@ -1,9 +1,13 @@
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from sieverank.functions.measures import cosine_distance, cosine_distance_to
 from sieverank.operators import lexical, nearest
+from sieverank.operators.blocks import QueryBlock
 from sieverank.operators.lexical import build_index, query_vectors, term_weights
 
 
@@ -172,3 +176,26 @@ def test_only_rare_terms_are_looked_up(spark, monkeypatch):
         assert {(r["key"], r["term"], round(r["weight"], 9)) for r in term_weights(index).collect()} == want
         assert index.vectors.count() == 18
     assert looked_up[140] == {"some", *(f"own{i}" for i in range(16))} and "all" in looked_up[0] and 10_000 not in looked_up
+
+def test_a_fragment_is_never_unpacked_whole():
+    """Beside the Arrow rows a cell takes its queries once in DOUBLE, and of the records a batch at a time."""
+    rng, n, width = np.random.default_rng(7), 40_000, 64
+    data = rng.standard_normal((n, width)).astype(np.float32)
+    data[3] = 0
+    vectors = pa.ListArray.from_arrays(np.arange(0, n * width + 1, width, dtype=np.int32), pa.array(data.ravel()))
+    keys = rng.permutation(n)
+    records = pa.table({"key": keys, "vector": vectors})
+    queries = pa.table({"query_id": keys, "vector": vectors})
+    tracemalloc.start()
+    prepared = QueryBlock(queries, 3)
+    unpacked = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    found = pa.Table.from_batches(QueryBlock(queries.slice(0, 8), 3).best(records.to_batches(nearest.BATCH_ROWS)))
+    ranked = tracemalloc.get_traced_memory()[1] - tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert unpacked < 1.5 * n * width * 8 and ranked < n * width * 8
+    assert (prepared.scorer.unit[3] == 0).all()
+    unit = data.astype(float) / np.maximum(np.sqrt((data.astype(float) ** 2).sum(axis=1, keepdims=True)), 1e-300)
+    distance = np.round(1 - unit[:8] @ unit.T, 9)
+    want = sorted((int(keys[q]), int(keys[r])) for q in range(8) for r in np.lexsort((keys, distance[q]))[:3])
+    assert sorted(zip(found.column("query_id").to_pylist(), found.column("key").to_pylist())) == want
