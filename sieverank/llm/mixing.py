@@ -420,6 +420,7 @@ def score(documents: DataFrame, modulus: int = 7, held: int = 2, group: str | No
     share = F.pmod(F.xxhash64("doc_id", "text"), F.lit(bits.SHARES))
     # What scoring needs of the tables is worked out once, not by every task.
     follows = spark.sparkContext.broadcast(following.Ready(context.value, following.learned(training, share, context, frequent, number)))
+    context.unpersist()  # every executor keeps a copy on its disk
     # How the others are spelled.
     vocabulary = cut(with_spans(with_groups(marked, shares)), "vocabulary")
     learnt = vocabulary.filter("c > 0 and not often").select("word", "c", "span")
@@ -427,6 +428,7 @@ def score(documents: DataFrame, modulus: int = 7, held: int = 2, group: str | No
     table = spark.sparkContext.broadcast(hashed_counts(grouped(learnt), code))
     model = learned(learnt, table, code)
     ready = spark.sparkContext.broadcast((stretched(table.value), table.value[SLOTS[-2] :]))
+    table.unpersist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, spelled, c, spans in _batches(batches):
@@ -439,6 +441,7 @@ def score(documents: DataFrame, modulus: int = 7, held: int = 2, group: str | No
             yield from found.combine_chunks().to_batches(65_536)
 
     costs = cut(grouped(vocabulary).mapInArrow(run, "word string, c long, cost float, groups long, symbol int"), "costs")
+    ready.unpersist()
     # What a group's shares add up to, weighted by probability; tokens never seen have the shares of all.
     part = [F.shiftrightunsigned("groups", 8 * g).bitwiseAND(255) for g in range(GROUPS)]
     whole = sum(part[1:], part[0])
