@@ -14,6 +14,7 @@ wastes less than one sequence, one in some 6,000 on the given documents.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -34,6 +35,7 @@ END_ID = 0
 SLICE_PIECES = 16_384
 BLOCK_BYTES = 16 << 20
 ENCODED_AT_ONCE = 10_000
+JOINED = 100
 MAX_KNOWN = 300_000
 
 PIECE = "row long, doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -54,6 +56,7 @@ _KIND[0x21:0x7F] = 3
 _KIND[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"]] = 1
 _KIND[[*b"0123456789"]] = 2
 _KIND[[*b"'<"]] = 4
+_CLEAR = re.compile(r"[a-z]+|[0-9]|[!-&(-/:;=-@\[-`{-~]+")
 
 
 def _taken_apart(words: pa.Array, places: np.ndarray) -> tuple[pa.Array, np.ndarray]:
@@ -81,15 +84,46 @@ def _known(path: str) -> dict[str, list[int]]:
     return {}
 
 
+@lru_cache(maxsize=2)
+def _last(path: str) -> np.ndarray | None:
+    """Which ids end a unit, if the tokenizer tells."""
+    tokenizer = _tokenizer(path)
+    mark, vocabulary = getattr(tokenizer.model, "end_of_word_suffix", None), tokenizer.get_vocab()
+    if not mark:
+        return None
+    last = np.zeros(max(vocabulary.values()) + 1, bool)
+    last[[number for unit, number in vocabulary.items() if unit.endswith(mark)]] = True
+    return last
+
+
+def _lists(names: list[str], path: str) -> Iterator[tuple[str, list[int]]]:
+    """Units and their ids. Runs of letters or signs, and digits, go many to a text: a text costs as much again as such a unit.
+
+    Each of these is one word to the tokenizer, and its last id ends a word; where numbers of both differ, all go one by one.
+    """
+    tokenizer, last = _tokenizer(path), _last(path)
+    alone, clear = [], []
+    for unit in names:
+        (clear if last is not None and _CLEAR.fullmatch(unit) else alone).append(unit)
+    lines = [" ".join(clear[i : i + JOINED]) for i in range(0, len(clear), JOINED)]
+    ids = list(chain.from_iterable(found.ids for found in tokenizer.encode_batch_fast(lines, add_special_tokens=False)))
+    ends = (np.flatnonzero(last[np.array(ids)]) + 1).tolist() if ids else []
+    if len(ends) == len(clear):
+        yield from zip(clear, (ids[start:end] for start, end in zip([0, *ends], ends, strict=False)), strict=True)
+    else:
+        alone = names
+    yield from zip(alone, (found.ids for found in tokenizer.encode_batch_fast(alone, add_special_tokens=False)), strict=True)
+
+
 def _ids_of(units: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all units end to end, and how many each has."""
-    tokenizer, known, names = _tokenizer(path), _known(path), units.to_pylist()
+    known, names = _known(path), units.to_pylist()
     if len(known) > MAX_KNOWN:
         known.clear()
     new = [u for u in names if u not in known]
     for start in range(0, len(new), ENCODED_AT_ONCE):
         some = new[start : start + ENCODED_AT_ONCE]
-        known.update(zip(some, (found.ids for found in tokenizer.encode_batch_fast(some, add_special_tokens=False)), strict=True))
+        known.update(_lists(some, path))
     lists = [known[u] for u in names]
     sizes = np.fromiter(map(len, lists), np.int64, len(lists))
     return np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum())), sizes

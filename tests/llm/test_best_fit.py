@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -103,3 +104,29 @@ def test_sequences_hold_their_ids(documents_of):
 
 def test_empty_table(documents_of):
     assert best_fit.pack(documents_of(EDGES).filter(F.lit(False)), PATH).count() == 0
+
+
+def test_units_go_many_to_a_text(monkeypatch):
+    """A text costs the tokenizer as much again as a unit; what is unclear goes alone, and other tokenizers' units do."""
+    rng = random.Random(8)
+    units = list(dict.fromkeys("".join(rng.choices("etaoinshrdlu", k=rng.randint(1, 12))) for _ in range(3_000)))
+    units += ["7", "0", "...", "!?", "it's", "'s", "<|endoftext|>", "größe", "日本", "\x01", "é", "　", "</w>", "w>"]
+    whole, sent = best_fit._tokenizer(PATH), []
+
+    class Counting:
+        model, get_vocab = whole.model, whole.get_vocab
+
+        def encode_batch_fast(self, found, **kind):
+            sent.extend(found)
+            return whole.encode_batch_fast(found, **kind)
+
+    want = {unit: whole.encode(unit, add_special_tokens=False).ids for unit in units}
+    monkeypatch.setattr(best_fit, "_tokenizer", lambda path: Counting())
+    best_fit._known(PATH).clear()
+    ids, sizes = best_fit._ids_of(pa.array(units), PATH)
+    assert [part.tolist() for part in np.split(ids, np.cumsum(sizes)[:-1])] == list(want.values())
+    assert len(sent) < len(units) / 10
+    monkeypatch.setattr(best_fit, "_last", lambda path: None)
+    assert dict(best_fit._lists(units, PATH)) == want
+    monkeypatch.setattr(best_fit, "_last", lambda path: np.ones(60_000, bool))  # no such ends
+    assert dict(best_fit._lists(units, PATH)) == want
