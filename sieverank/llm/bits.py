@@ -10,7 +10,7 @@ mean of the mixed and the mapped one.
 from __future__ import annotations
 
 import heapq
-import zlib
+import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,7 +22,10 @@ from pyspark.sql import functions as F
 from sieverank.session import cut
 
 BLOCK_SLOTS = 1 << 14
+_HEAD = struct.Struct("<BI")
 LEVELS, COLUMNS = 8, 33
+STEP, LANES = 1 << 14, 4
+LOG10_E = float(np.log10(np.e))
 GATES = LEVELS * 4
 #: The sum of the equal weights that learning starts at, and how much a step is held back.
 START, RIDGE = 1.2, 4.0
@@ -62,6 +65,19 @@ def stretched(pair: np.ndarray) -> np.ndarray:
     return np.log((pair[:, 1] + np.float32(0.4)) / (pair[:, 0] + np.float32(0.4)))
 
 
+def stretched_without(pair: np.ndarray) -> np.ndarray:
+    """(slots, 2): the same for a bit's own prediction, that is with one zero less for a zero and one one less for a one."""
+    found = np.empty((len(pair), 2), np.float32)
+    for bit in range(2):
+        found[:, bit] = stretched(without(pair, bit))
+    return found
+
+
+def without(pair: np.ndarray, bit: int) -> np.ndarray:
+    """The counts less one occurrence of the bit."""
+    return np.maximum(pair - np.array([1 - bit, bit], np.float32), 0)
+
+
 def squash(values: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(values, -16, 16)))
 
@@ -76,6 +92,7 @@ class Model:
 
     def __init__(self, weights: np.ndarray, cells: np.ndarray):
         self.weights, self.cells = weights, cells
+        self.columns = np.ascontiguousarray(weights.T)
         self.refine = (cells[:, :, 1] / cells.sum(axis=2)).clip(1e-6, 1 - 1e-6)
 
     @classmethod
@@ -86,19 +103,19 @@ class Model:
         return cls(np.full((gates, orders), START / orders, np.float32), cells)
 
     def line(self, inputs: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        line = inputs[0] * self.weights[gate, 0]
+        line = inputs[0] * self.columns[0].take(gate)
         for order in range(1, len(inputs)):
-            line += inputs[order] * self.weights[gate, order]
+            line += inputs[order] * self.columns[order].take(gate)
         return line
 
     def chance(self, inputs: np.ndarray, gate: np.ndarray) -> np.ndarray:
         """The probability of a one, from (orders, bits) stretched predictions."""
         line = self.line(inputs, gate)
-        return (squash(line) + self.refine[gate, columns_of(line)]) / 2
+        return (squash(line) + self.refine.take(gate * COLUMNS + columns_of(line))) / 2
 
     def cost(self, inputs: np.ndarray, gate: np.ndarray, bit: np.ndarray) -> np.ndarray:
         one = self.chance(inputs, gate)
-        return np.log10(np.where(bit == 1, one, 1 - one))
+        return np.log(np.where(bit == 1, one, 1 - one)) * LOG10_E
 
     def after(self, sums: Sums) -> Model:
         """The model one round later."""
@@ -120,18 +137,23 @@ class Sums:
         self.slope, self.curve, self.cells = (part.reshape(shape) for part, shape in zip(np.split(self.values, ends[:-1]), shapes, strict=True))
 
     def add(self, inputs: np.ndarray, gate: np.ndarray, bit: np.ndarray, weight: np.ndarray) -> None:
+        for at in range(0, len(bit), STEP):
+            part = slice(at, at + STEP)
+            self._add(inputs[:, part], gate[part], bit[part], weight[part])
+
+    def _add(self, inputs: np.ndarray, gate: np.ndarray, bit: np.ndarray, weight: np.ndarray) -> None:
         gates = len(self.slope)
         line = self.model.line(inputs, gate)
         chance = squash(line)
         error, steep = weight * (bit - chance), weight * chance * (1 - chance)
-        # Bits in the order of their gates, so that a gate's sums are products of slices.
-        ranked = np.argsort(gate.astype(np.uint8), kind="stable")
-        ends = np.cumsum(np.bincount(gate, minlength=gates))
-        lines, error, steep = inputs.take(ranked, axis=1).astype(np.float64), error[ranked], steep[ranked]
-        for at in np.flatnonzero(np.diff(ends, prepend=0)):
-            part = slice(ends[at - 1] if at else 0, ends[at])
-            self.slope[at] += lines[:, part] @ error[part]
-            self.curve[at] += (lines[:, part] * steep[part]) @ lines[:, part].T
+        # Neighbours add to different cells, so that no sum waits for the one before.
+        lane = gate + np.arange(len(gate)) % LANES * gates
+        lines = inputs.astype(np.float64)
+        for order, one in enumerate(lines):
+            self.slope[:, order] += np.bincount(lane, one * error, LANES * gates).reshape(LANES, gates).sum(axis=0)
+            held = one * steep
+            for other in range(order + 1):  # the rest is the same
+                self.curve[:, order, other] += np.bincount(lane, held * lines[other], LANES * gates).reshape(LANES, gates).sum(axis=0)
         cell = (gate * COLUMNS + columns_of(line)) * 2 + bit
         self.cells += np.bincount(cell, weight, gates * COLUMNS * 2).reshape(self.cells.shape)
 
@@ -197,10 +219,16 @@ def summed_tables(source: DataFrame, run: Callable, size: int) -> np.ndarray:
 
 
 def _packed(block: np.ndarray) -> bytes:
-    """Counts are whole and most are small or zero: their bytes go place by place."""
-    return zlib.compress(np.ascontiguousarray(block.astype("<u8").view(np.uint8).reshape(-1, 8).T), 1)
+    """Counts are whole and most are small or zero: their bytes go place by place, as many places as the largest has."""
+    counts = block.astype("<u8")
+    places = max(1, -(-int(counts.max()).bit_length() // 8))
+    data = np.ascontiguousarray(counts.view(np.uint8).reshape(-1, 8)[:, :places].T)
+    return _HEAD.pack(places, data.nbytes) + pa.compress(data, "zstd", asbytes=True)
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(planes.T).view("<u8").reshape(-1, 2).astype(np.float64)
+    places, size = _HEAD.unpack_from(data)
+    planes = np.frombuffer(pa.decompress(memoryview(data)[_HEAD.size :], size, "zstd"), np.uint8).reshape(places, -1)
+    counts = np.zeros((planes.shape[1], 8), np.uint8)
+    counts[:, :places] = planes.T
+    return counts.view("<u8").reshape(-1, 2).astype(np.float64)

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 
 from sieverank.llm import bits, texts, units
-from sieverank.llm.bits import GATES, Code, Model, Sums, stretched, summed_tables, table_rows
+from sieverank.llm.bits import GATES, Code, Model, Sums, stretched, stretched_without, summed_tables, table_rows, without
 
 #: How many tokens have a number, and how long such a token may be; both bound what is broadcast.
 FREQUENT, FREQUENT_BYTES = 4_096, 64
@@ -72,24 +72,32 @@ class Sequences:
         # The last frequent word before a place, and the one before that.
         near = np.append([-1], last[:-1])[:size]
         far = np.where(near > 0, last[np.maximum(near - 1, 0)], -1)
-        self.contexts = [_hashed(at(here - 1), np.zeros(size, np.uint64), 1), _hashed(at(here - 1), at(here - 2), 2), _hashed(at(near), at(far), 3)]
+        one, two = at(here - 1), at(here - 2)
+        self.contexts = [_hashed(one, np.zeros(size, np.uint64), 1), _hashed(one, two, 2), _hashed(at(near), at(far), 3)]
 
     def bits(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Per place in the code and up to ``STEP_BITS`` bits: tokens, nodes, bits."""
         length = self.code.length[self.coded]
+        every = np.flatnonzero(length)
         for nth in range(int(length.max(initial=0))):
-            every = np.flatnonzero(length > nth)
+            every = every[length.take(every) > nth]
             for start in range(0, len(every), STEP_BITS):
                 at = every[start : start + STEP_BITS]
-                yield at, self.code.node[nth][self.coded[at]], self.code.bit[nth][self.coded[at]]
+                coded = self.coded.take(at)
+                yield at, self.code.node[nth].take(coded), self.code.bit[nth].take(coded)
 
     def slots(self, at: np.ndarray, node: np.ndarray) -> list[np.ndarray]:
         """The slots of bits in the joint table, order by order."""
         salt = (node.astype(np.uint64) + np.uint64(1)) * _B
         found = [node]
         for order, context in enumerate(self.contexts, 1):
-            mixed = (context[at] ^ salt) * _A
-            found.append((mixed >> np.uint64(64 - BITS[order])).astype(np.int64) + SLOTS[order])
+            mixed = context.take(at)
+            mixed ^= salt
+            mixed *= _A
+            mixed >>= np.uint64(64 - BITS[order])
+            slot = mixed.view(np.int64)
+            slot += SLOTS[order]
+            found.append(slot)
         return found
 
 
@@ -106,18 +114,27 @@ def counted(sequences: Sequences, table: np.ndarray) -> None:
             np.add.at(flat, slot * 2 + bit, 1.0)
 
 
+class Own:
+    """The tables as predictions of a bit that is counted in them, and levels of what else was seen: (slots, 2), by the bit."""
+
+    def __init__(self, table: np.ndarray):
+        self.lines = stretched_without(table)
+        self.near, self.far = np.empty((2, SLOTS[2] - SLOTS[1], 2), np.uint8)
+        for bit in range(2):
+            near, far = (without(table[SLOTS[order] : SLOTS[order + 1]], bit).sum(axis=1) for order in (1, 2))
+            self.near[:, bit], self.far[:, bit] = _levels(near, far)
+
+    def gather(self, sequences: Sequences, sums: Sums) -> None:
+        """Adds every bit to what weights and map are made of, predicted from counts less its own occurrence."""
+        for at, node, bit in sequences.bits():
+            own = [slot * 2 + bit for slot in sequences.slots(at, node)]
+            gate = self.far.take(own[2] - 2 * SLOTS[2]).astype(np.int64) * 4 + self.near.take(own[1] - 2 * SLOTS[1])
+            sums.add(np.stack([self.lines.take(slot) for slot in own]), gate, bit, np.ones(len(bit)))
+
+
 def gathered(sequences: Sequences, table: np.ndarray, sums: Sums) -> None:
-    """Adds every bit to what weights and map are made of, predicted from counts less its own occurrence."""
-    for at, node, bit in sequences.bits():
-        one = bit.astype(np.float32)
-        inputs, seen = np.empty((ORDERS, len(bit)), np.float32), []
-        for order, slot in enumerate(sequences.slots(at, node)):
-            pair = table.take(slot, axis=0)
-            zeros, ones = np.maximum(pair[:, 0] - (1 - one), 0), np.maximum(pair[:, 1] - one, 0)
-            inputs[order] = np.log((ones + np.float32(0.4)) / (zeros + np.float32(0.4)))
-            seen.append(zeros + ones)
-        near, far = _levels(seen[1], seen[2])
-        sums.add(inputs, far.astype(np.int64) * 4 + near, bit, np.ones(len(bit)))
+    """``Own.gather`` from a table of counts."""
+    Own(table).gather(sequences, sums)
 
 
 class Ready:
@@ -133,8 +150,8 @@ class Ready:
         total = np.zeros(len(sequences.coded))
         for at, node, bit in sequences.bits():
             slots = sequences.slots(at, node)
-            gate = self.far[slots[2] - SLOTS[2]].astype(np.int64) * 4 + self.near[slots[1] - SLOTS[1]]
-            total[at] += self.model.cost(np.stack([self.lines[slot] for slot in slots]), gate, bit)
+            gate = self.far.take(slots[2] - SLOTS[2]).astype(np.int64) * 4 + self.near.take(slots[1] - SLOTS[1])
+            total[at] += self.model.cost(np.stack([self.lines.take(slot) for slot in slots]), gate, bit)
         return total
 
 
@@ -160,11 +177,11 @@ def counts_of(training: DataFrame, frequent: pa.Array, code: Code) -> np.ndarray
     return summed_tables(training, run, SLOTS[-1])
 
 
-def learned(training: DataFrame, share: Column, table, frequent: pa.Array, code: Code) -> Model:
-    """Weights and map, from all training texts."""
+def learned(training: DataFrame, share: Column, own, frequent: pa.Array, code: Code) -> Model:
+    """Weights and map, from all training texts and the broadcast ``Own`` of their table."""
 
     def gather(batches: Iterator[pa.RecordBatch], sums: Sums) -> None:
         for sequences in _read(batches, frequent, code):
-            gathered(sequences, table.value, sums)
+            own.value.gather(sequences, sums)
 
     return bits.learned(training, share, gather, GATES, ORDERS)

@@ -31,8 +31,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sieverank.llm import bits, following, texts
-from sieverank.llm.bits import GATES, LEVELS, Code, Model, Sums, stretched, summed_tables, table_rows
+from sieverank.llm import bits, following, texts, units
+from sieverank.llm.bits import GATES, LEVELS, Code, Model, Sums, stretched, stretched_without, summed_tables, table_rows
 from sieverank.session import cut, shared_folder
 
 CHUNK_BYTES = 64 << 20
@@ -56,48 +56,61 @@ _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 class Spelled:
     """The bytes of a batch of tokens and the contexts before each.
 
-    ``spans`` tells from which length on a token's beginnings are counted exactly.
+    Tokens are distinct, come in order and begin alike: a byte behind the same beginning in a run of tokens is the same
+    byte in the same contexts, and is held once (a place). ``spans`` tells from which length on a token's beginnings are
+    counted exactly; it is the same for tokens that share a beginning of that length.
     """
 
     def __init__(self, words: list[bytes], spans: np.ndarray, code: Code):
         self.code = code
         data = b"".join(w if w == b"\n" else w + b" " for w in words)
         sizes = np.fromiter((len(w) + (w != b"\n") for w in words), np.int64, len(words))
-        self.bytes = np.frombuffer(data, np.uint8).astype(np.int64)
+        every = np.frombuffer(data, np.uint8)
         self.heads = np.cumsum(sizes) - sizes
-        self.owner = np.repeat(np.arange(len(words)), sizes)
-        place = np.arange(len(data)) - self.heads[self.owner]
-        symbols = self.bytes.astype(np.uint64) + np.uint64(1)
-        self.contexts = [np.zeros(len(data), np.uint64)]
-        hashed = np.zeros(len(data), np.uint64)
+        self.sizes = sizes
+        far = np.arange(len(data)) - np.repeat(self.heads, sizes)
+        # Where a token first differs from the one before, and all behind that, is a place of its own.
+        back = np.repeat(np.append([0], sizes[:-1])[: len(sizes)], sizes)
+        apart = far >= back
+        shared = np.flatnonzero(~apart)
+        apart[shared] = every[shared] != every[shared - back[shared]]
+        runs = np.cumsum(apart)
+        own = runs > np.repeat((runs - apart)[self.heads], sizes)
+        # Tokens that go on alike follow each other among those that are as long.
+        ranked = np.argsort(far.astype(np.uint16) if len(far) and far.max() < 1 << 16 else far, kind="stable")
+        mine = own[ranked]
+        self.place = np.empty(len(data), np.int64)
+        self.place[ranked] = np.cumsum(mine) - 1
+        first = ranked[mine]
+        far = far[first]
+        self.bytes = every[first].astype(np.int64)
+        symbols = every.astype(np.uint64) + np.uint64(1)
+        self.contexts = [np.zeros(len(first), np.uint64)]
+        hashed = np.zeros(len(first), np.uint64)
         for back in range(1, len(BITS)):
-            before = np.zeros(len(data), np.uint64)
-            before[back:] = symbols[:-back]
-            before[place < back] = 0
+            before = np.where(far >= back, symbols.take(np.maximum(first - back, 0)), np.uint64(0))
             hashed = (hashed + before + np.uint64(back << 16)) * _A
             hashed ^= hashed >> np.uint64(29)
             self.contexts.append(hashed)
-        # All bytes so far: sums of values mixed with their place, so that one running sum serves all.
-        mixed = (symbols + place.astype(np.uint64) * _A) * _B
-        mixed = (mixed ^ (mixed >> np.uint64(31))) * _A
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed, dtype=np.uint64)])[:-1]
-        whole = (sums - sums[self.heads][self.owner] + place.astype(np.uint64)) * _B
-        whole ^= whole >> np.uint64(32)
-        # Where a whole beginning is counted exactly: its number, or -1 where no other token shares it.
-        self.deep = place >= spans[self.owner]
-        self.beginning = np.full(len(data), -1, np.int64)
-        far = np.flatnonzero(self.deep)
-        _, same, shared = np.unique(whole[far], return_inverse=True, return_counts=True)
-        self.beginning[far] = np.where(shared[same] > 1, same, -1)
+        # Where a whole beginning is counted exactly: the place it ends at, or -1 where no other place follows it.
+        self.deep = far >= np.repeat(spans, sizes)[first]
+        parent = np.where(far > 0, self.place.take(np.maximum(first - 1, 0)) + 1, 0)
+        self.beginning = np.where(self.deep & (np.bincount(parent, minlength=1)[parent] > 1), parent, -1)
+
+    def weights(self, counts: np.ndarray) -> np.ndarray:
+        """How often each place occurs, if tokens occur so often."""
+        return np.bincount(self.place, np.repeat(counts, self.sizes).astype(np.float64), len(self.bytes))
 
     def bits(self, weight: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """Per place in the code and up to ``STEP_BITS`` bits: bytes, nodes, bits, and exact counts.
+        """Per place in the code and up to ``STEP_BITS`` bits: places, nodes, bits, and exact counts.
 
-        ``weight`` is how often each byte occurs in training. The counts (zeros and ones seen after the
+        ``weight`` is how often each place occurs in training. The counts (zeros and ones seen after the
         same beginning) are -1 where the hashed contexts know the beginning.
         """
-        for nth in range(int(self.code.length[self.bytes].max(initial=0))):
-            at = np.flatnonzero(self.code.length[self.bytes] > nth)
+        length = self.code.length[self.bytes]
+        at = np.flatnonzero(length)
+        for nth in range(int(length.max(initial=0))):
+            at = at[length[at] > nth]
             byte = self.bytes[at]
             node, bit = self.code.node[nth][byte], self.code.bit[nth][byte]
             exact = np.full((len(at), 2), -1, np.float32)
@@ -119,8 +132,13 @@ class Spelled:
         salt = (node.astype(np.uint64) + np.uint64(1)) * _B
         yield node
         for order in range(1, len(BITS)):
-            mixed = (self.contexts[order][at] ^ salt) * _A
-            yield (mixed >> np.uint64(64 - BITS[order])).astype(np.int64) + SLOTS[order]
+            mixed = self.contexts[order].take(at)
+            mixed ^= salt
+            mixed *= _A
+            mixed >>= np.uint64(64 - BITS[order])
+            slot = mixed.view(np.int64)
+            slot += SLOTS[order]
+            yield slot
 
 
 def _gate(longest: np.ndarray, seen: np.ndarray) -> np.ndarray:
@@ -130,15 +148,20 @@ def _gate(longest: np.ndarray, seen: np.ndarray) -> np.ndarray:
     return np.minimum(most, LEVELS - 1).astype(np.int64) * 4 + np.minimum(some / 4, 1).astype(np.int64) * 2 + sure
 
 
-def inputs_without(table: np.ndarray, spelled: Spelled, at: np.ndarray, node: np.ndarray, bit: np.ndarray, exact: np.ndarray):
+def own_of(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What ``inputs_without`` needs of the joint table: predictions (slots, 2), by the bit, and the counts of the last order."""
+    return stretched_without(table), table[SLOTS[-2] :]
+
+
+def inputs_without(own: tuple[np.ndarray, np.ndarray], spelled: Spelled, at: np.ndarray, node: np.ndarray, bit: np.ndarray, exact: np.ndarray):
     """(orders, bits) predictions from counts less the occurrence they predict, and the gates."""
+    lines, last = own
     inputs = np.empty((ORDERS, len(bit)), np.float32)
-    own = np.stack([1 - bit, bit], axis=1).astype(np.float32)
-    pair = own
+    one = np.stack([1 - bit, bit], axis=1).astype(np.float32)
     for order, slot in enumerate(spelled.slots(at, node)):
-        pair = np.maximum(table.take(slot, axis=0) - own, 0)
-        inputs[order] = stretched(pair)
-    longest = np.where(exact < 0, pair, np.maximum(exact - own, 0))
+        inputs[order] = lines.take(slot * 2 + bit)
+    pair = np.maximum(last.take(slot - SLOTS[ORDERS - 2], axis=0) - one, 0)
+    longest = np.where(exact < 0, pair, np.maximum(exact - one, 0))
     inputs[-1] = stretched(longest)
     return inputs, _gate(longest, pair.sum(axis=1))
 
@@ -148,7 +171,7 @@ def inputs_of(ready: tuple[np.ndarray, np.ndarray], spelled: Spelled, at: np.nda
     lines, last = ready
     inputs = np.empty((ORDERS, len(at)), np.float32)
     for order, slot in enumerate(spelled.slots(at, node)):
-        inputs[order] = lines[slot]
+        inputs[order] = lines.take(slot)
     pair = last.take(slot - SLOTS[ORDERS - 2], axis=0)
     longest = np.where(exact < 0, pair, exact)
     inputs[-1] = stretched(longest)
@@ -158,18 +181,23 @@ def inputs_of(ready: tuple[np.ndarray, np.ndarray], spelled: Spelled, at: np.nda
 def counted(words: list[bytes], counts: np.ndarray, spans: np.ndarray, table: np.ndarray, code: Code) -> None:
     """Adds each token's bits, as often as it occurs, to the joint table (slots, 2)."""
     spelled = Spelled(words, spans, code)
-    weight = counts[spelled.owner].astype(np.float64)
+    weight = spelled.weights(counts)
     for at, node, bit, _ in spelled.bits(weight):
         for slot in spelled.slots(at, node):
             np.add.at(table.reshape(-1), slot * 2 + bit, weight[at])
 
 
 def gathered(words: list[bytes], counts: np.ndarray, spans: np.ndarray, table: np.ndarray, code: Code, sums: Sums) -> None:
+    """``gathered_from`` a table of counts."""
+    gathered_from(own_of(table), words, counts, spans, code, sums)
+
+
+def gathered_from(own: tuple, words: list[bytes], counts: np.ndarray, spans: np.ndarray, code: Code, sums: Sums) -> None:
     """Adds each token's bits, as often as it occurs, to what weights and map are made of."""
     spelled = Spelled(words, spans, code)
-    weight = counts[spelled.owner].astype(np.float64)
+    weight = spelled.weights(counts)
     for at, node, bit, exact in spelled.bits(weight):
-        inputs, gate = inputs_without(table, spelled, at, node, bit, exact)
+        inputs, gate = inputs_without(own, spelled, at, node, bit, exact)
         sums.add(inputs, gate, bit, weight[at])
 
 
@@ -177,10 +205,10 @@ def costs_of(words: list[bytes], counts: np.ndarray, spans: np.ndarray, ready: t
     """log10 of each token's probability; ``ready`` is the joint table's predictions and the counts of its last order."""
     spelled = Spelled(words, spans, code)
     total = np.zeros(len(spelled.bytes))
-    for at, node, bit, exact in spelled.bits(counts[spelled.owner].astype(np.float64)):
+    for at, node, bit, exact in spelled.bits(spelled.weights(counts)):
         inputs, gate = inputs_of(ready, spelled, at, node, exact)
         total[at] += model.cost(inputs, gate, bit)
-    return np.add.reduceat(total, spelled.heads) if len(words) else np.zeros(0)
+    return np.add.reduceat(total[spelled.place], spelled.heads) if len(words) else np.zeros(0)
 
 
 _GROUPED = ", ".join(f"n{g} long" for g in range(GROUPS))
@@ -257,22 +285,37 @@ def encoded(bare: DataFrame) -> str:
     return path
 
 
+def _changes(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The rows, without the first, whose bytes (``size`` of the data from ``at``) are not those of the row before."""
+    differs = size[1:] != size[:-1]
+    for nth in range(int(size.max(initial=0))):
+        open_ = np.flatnonzero(~differs & (size[1:] > nth))
+        if not len(open_):
+            break
+        differs[open_] = data[at[open_ + 1] + nth] != data[at[open_] + nth]
+    return np.flatnonzero(differs) + 1
+
+
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[bytes], np.ndarray, np.ndarray]]:
     """Runs of whole groups, of ``BATCH_WORDS`` tokens or more, from a partition sorted by token: rows, tokens, counts, spans."""
 
     def ready(parts: list[pa.Table]) -> tuple[pa.Table, list[bytes], np.ndarray, np.ndarray]:
         rows = pa.concat_tables(parts).combine_chunks()
-        words = [w.encode() for w in rows.column("word").to_pylist()]
+        words = rows.column("word").cast(pa.binary()).to_pylist()
         return rows, words, rows.column("c").to_numpy(), rows.column("span").to_numpy()
 
     waiting, size, last = [], 0, None
     for batch in batches:
         rows = pa.Table.from_batches([batch])
-        heads = [w.encode()[:span] for w, span in zip(batch.column("word").to_pylist(), batch.column("span").to_pylist(), strict=True)]
-        cuts = [i for i in range(1, len(heads)) if heads[i] != heads[i - 1]]
-        if waiting and heads and last != heads[0]:
+        if not batch.num_rows:
+            continue
+        data, places = units.raw(batch.column("word"))
+        size_of = np.minimum(np.diff(places), batch.column("span").to_numpy())
+        first, end = (data[places[i] : places[i] + size_of[i]].tobytes() for i in (0, -2 + len(places)))
+        cuts = _changes(data, places[:-1], size_of).tolist()
+        if waiting and last != first:
             cuts.insert(0, 0)
-        start, last = 0, heads[-1] if heads else last
+        start, last = 0, end
         for at in cuts:
             if size + at - start >= BATCH_WORDS:
                 waiting.append(rows.slice(start, at - start))
@@ -343,12 +386,12 @@ def grouped(vocabulary: DataFrame) -> DataFrame:
     return vocabulary.repartition(head("span")).sortWithinPartitions("word")
 
 
-def learned(vocabulary: DataFrame, table, code: Code) -> Model:
-    """Weights and map, from all training tokens; a group of tokens is in one round."""
+def learned(vocabulary: DataFrame, own, code: Code) -> Model:
+    """Weights and map, from all training tokens and the broadcast ``own_of`` their table; a group of tokens is in one round."""
 
     def gather(batches: Iterator[pa.RecordBatch], sums: Sums) -> None:
         for _, words, counts, spans in _batches(batches):
-            gathered(words, counts, spans, table.value, code, sums)
+            gathered_from(own.value, words, counts, spans, code, sums)
 
     return bits.learned(vocabulary, F.pmod(F.xxhash64(head("span")), F.lit(bits.SHARES)), gather, GATES, ORDERS, grouped)
 
@@ -416,19 +459,23 @@ def score(documents: DataFrame, modulus: int = 7, held: int = 2, group: str | No
     # Which frequent token follows, from the words before.
     number = Code(np.array([row["c"] for row in top] + [total - sum(row["c"] for row in top)]))
     training = bare.filter("not held_out").select("doc_id", "text")
-    context = spark.sparkContext.broadcast(following.counts_of(training, frequent, number))
+    context = following.counts_of(training, frequent, number)
     share = F.pmod(F.xxhash64("doc_id", "text"), F.lit(bits.SHARES))
-    # What scoring needs of the tables is worked out once, not by every task.
-    follows = spark.sparkContext.broadcast(following.Ready(context.value, following.learned(training, share, context, frequent, number)))
-    context.unpersist()  # every executor keeps a copy on its disk
+    # What learning and scoring need of the tables is worked out once, not by every task.
+    own = spark.sparkContext.broadcast(following.Own(context))
+    follows = spark.sparkContext.broadcast(following.Ready(context, following.learned(training, share, own, frequent, number)))
+    own.unpersist()  # every executor keeps a copy on its disk
+    del context
     # How the others are spelled.
     vocabulary = cut(with_spans(with_groups(marked, shares)), "vocabulary")
     learnt = vocabulary.filter("c > 0 and not often").select("word", "c", "span")
     code = Code(byte_counts(learnt))
-    table = spark.sparkContext.broadcast(hashed_counts(grouped(learnt), code))
-    model = learned(learnt, table, code)
-    ready = spark.sparkContext.broadcast((stretched(table.value), table.value[SLOTS[-2] :]))
-    table.unpersist()
+    table = hashed_counts(grouped(learnt), code)
+    own = spark.sparkContext.broadcast(own_of(table))
+    model = learned(learnt, own, code)
+    ready = spark.sparkContext.broadcast((stretched(table), table[SLOTS[-2] :]))
+    own.unpersist()
+    del table
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, spelled, c, spans in _batches(batches):

@@ -75,6 +75,51 @@ def test_spellings_are_probabilities():
     assert 0.5 < (10**cost).sum() <= 1 + 1e-9
 
 
+def test_a_shared_beginning_is_worked_on_once():
+    words = sorted({w for _, t in corpus() for w in tokens(t) if w} | {"über", "übe", "a", "thingthing"}, key=str.encode)
+    spelled, counts = [*(w.encode() for w in words), b"\n"], np.arange(3, len(words) + 4)
+    code = mixing.Code(np.bincount(np.frombuffer(b" ".join(spelled), np.uint8), minlength=256))
+    found = mixing.Spelled(spelled, np.full(len(spelled), mixing.HEAD_BYTES), code)
+    often = {}
+    for word, count in zip(spelled, counts.tolist(), strict=True):
+        word = word if word == b"\n" else word + b" "
+        for n in range(1, len(word) + 1):
+            often[word[:n]] = often.get(word[:n], 0) + count
+    assert sum(len(w) for w in spelled) > len(found.bytes) == len(often)
+    weight = found.weights(counts)
+    for word, head, size in zip(spelled, found.heads, found.sizes, strict=True):
+        word = word if word == b"\n" else word + b" "
+        assert weight[found.place[head : head + size]].tolist() == [often[word[:n]] for n in range(1, size + 1)]
+    for at, node, bit, exact in found.bits(weight):
+        for place, n, b, pair in zip(at.tolist(), node, bit, exact, strict=True):
+            token = int(np.searchsorted(np.append(found.heads, len(found.place)), np.flatnonzero(found.place == place)[0], side="right")) - 1
+            head = (spelled[token] + b" ")[: np.flatnonzero(found.place == place)[0] - found.heads[token]]
+            if len(head) < mixing.HEAD_BYTES:
+                assert (pair == -1).all()
+                continue
+            nth = next(i for i in range(code.length[found.bytes[place]]) if code.node[i, found.bytes[place]] == n)
+            same = {k[-1]: v for k, v in often.items() if k[:-1] == head and code.length[k[-1]] > nth and code.node[nth, k[-1]] == n}
+            want = [sum(v for k, v in same.items() if code.bit[nth, k] == x) for x in (0, 1)]
+            assert pair.tolist() == want and want[b] > 0
+
+
+def test_small_counts_are_packed_without_empty_places():
+    block = np.random.default_rng(3).integers(0, 256, (1 << 14, 2)).astype(np.float64)
+    assert bits._packed(block)[0] == 1 and (bits._unpacked(bits._packed(block)) == block).all()
+
+
+def test_groups_stay_whole_in_batches():
+    words = sorted(f"{head}{n}" for head in ("abcde", "abcdf", "b", "überall", "zzzzzzz") for n in range(2_000))
+    spans = [10 if w.startswith("zz") else 5 for w in words]
+    table = pa.table({"word": words, "c": np.arange(len(words)), "span": pa.array(spans, pa.int32())})
+    for size in (700, 3_000, 20_000):
+        found = [part for _, part, *_ in mixing._batches(iter(table.to_batches(size)))]
+        assert [w for part in found for w in part] == [w.encode() for w in words] and len(found) > 1
+        span = dict(zip(map(str.encode, words), spans, strict=True))
+        heads = [{w[: span[w]] for w in part} for part in found]
+        assert sum(map(len, heads)) == len(set().union(*heads))
+
+
 def sequences(rows, frequent, code):
     words = [w or "\n" for _, t in rows for w in tokens(t)]
     sizes = [len(tokens(t)) for _, t in rows]
