@@ -24,7 +24,7 @@ from sieverank.session import cut
 BLOCK_SLOTS = 1 << 14
 _HEAD = struct.Struct("<BI")
 LEVELS, COLUMNS = 8, 33
-STEP, LANES = 1 << 14, 4
+STEP = 1 << 14
 LOG10_E = float(np.log10(np.e))
 GATES = LEVELS * 4
 #: The sum of the equal weights that learning starts at, and how much a step is held back.
@@ -136,25 +136,35 @@ class Sums:
         self.values = np.zeros(ends[-1])
         self.slope, self.curve, self.cells = (part.reshape(shape) for part, shape in zip(np.split(self.values, ends[:-1]), shapes, strict=True))
 
-    def add(self, inputs: np.ndarray, gate: np.ndarray, bit: np.ndarray, weight: np.ndarray) -> None:
+    def add(self, inputs: np.ndarray, gate: np.ndarray, bit: np.ndarray, weight: np.ndarray | None) -> None:
+        """Adds bits, each as often as ``weight`` tells, or once."""
         for at in range(0, len(bit), STEP):
             part = slice(at, at + STEP)
-            self._add(inputs[:, part], gate[part], bit[part], weight[part])
-
-    def _add(self, inputs: np.ndarray, gate: np.ndarray, bit: np.ndarray, weight: np.ndarray) -> None:
-        gates = len(self.slope)
-        line = self.model.line(inputs, gate)
+            self._add(inputs[:, part], gate[part], bit[part], None if weight is None else weight[part])
+
+    def _add(self, inputs: np.ndarray, gate: np.ndarray, bit: np.ndarray, weight: np.ndarray | None) -> None:
+        gates, orders = self.slope.shape
+        # The bits of a gate go together, so that its sums are a product of matrices.
+        place, sizes = np.argsort(gate.astype(np.uint8), kind="stable"), np.bincount(gate, minlength=gates)
+        inputs, bit = inputs.take(place, axis=1), bit.take(place)
+        line = inputs[0] * np.repeat(self.model.columns[0], sizes)
+        for order in range(1, orders):
+            line += inputs[order] * np.repeat(self.model.columns[order], sizes)
         chance = squash(line)
-        error, steep = weight * (bit - chance), weight * chance * (1 - chance)
-        # Neighbours add to different cells, so that no sum waits for the one before.
-        lane = gate + np.arange(len(gate)) % LANES * gates
-        lines = inputs.astype(np.float64)
-        for order, one in enumerate(lines):
-            self.slope[:, order] += np.bincount(lane, one * error, LANES * gates).reshape(LANES, gates).sum(axis=0)
-            held = one * steep
-            for other in range(order + 1):  # the rest is the same
-                self.curve[:, order, other] += np.bincount(lane, held * lines[other], LANES * gates).reshape(LANES, gates).sum(axis=0)
-        cell = (gate * COLUMNS + columns_of(line)) * 2 + bit
+        lines, held = inputs.astype(np.float64), np.empty((orders + 1, len(bit)))
+        steep = chance * (1 - chance)
+        np.subtract(bit, chance, out=held[orders])
+        if weight is not None:
+            weight = weight.take(place)
+            steep, held[orders] = weight * steep, weight * held[orders]
+        np.multiply(lines, steep, out=held[:orders])
+        ends = np.cumsum(sizes)
+        for one in np.flatnonzero(sizes):
+            part = slice(ends[one] - sizes[one], ends[one])
+            found = held[:, part] @ lines[:, part].T
+            self.curve[one] += found[:orders]
+            self.slope[one] += found[orders]
+        cell = (np.repeat(np.arange(gates) * COLUMNS, sizes) + columns_of(line)) * 2 + bit
         self.cells += np.bincount(cell, weight, gates * COLUMNS * 2).reshape(self.cells.shape)
 
     def row(self) -> pa.RecordBatch:

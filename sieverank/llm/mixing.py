@@ -63,8 +63,12 @@ class Spelled:
 
     def __init__(self, words: list[bytes], spans: np.ndarray, code: Code):
         self.code = code
-        data = b"".join(w if w == b"\n" else w + b" " for w in words)
-        sizes = np.fromiter((len(w) + (w != b"\n") for w in words), np.int64, len(words))
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        data = b" ".join([*words, b""])
+        if b"\n" in words:  # the end alone has no space behind it
+            sizes[nth := words.index(b"\n")] = 1
+            behind = int(sizes[:nth].sum()) + 1
+            data = data[:behind] + data[behind + 1 :]
         every = np.frombuffer(data, np.uint8)
         self.heads = np.cumsum(sizes) - sizes
         self.sizes = sizes
@@ -101,11 +105,11 @@ class Spelled:
         """How often each place occurs, if tokens occur so often."""
         return np.bincount(self.place, np.repeat(counts, self.sizes).astype(np.float64), len(self.bytes))
 
-    def bits(self, weight: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    def bits(self, weight: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]]:
         """Per place in the code and up to ``STEP_BITS`` bits: places, nodes, bits, and exact counts.
 
-        ``weight`` is how often each place occurs in training. The counts (zeros and ones seen after the
-        same beginning) are -1 where the hashed contexts know the beginning.
+        ``weight`` is how often each place occurs in training; without it there are no counts. These (zeros and ones
+        seen after the same beginning) are -1 where the hashed contexts know the beginning.
         """
         length = self.code.length[self.bytes]
         at = np.flatnonzero(length)
@@ -113,19 +117,25 @@ class Spelled:
             at = at[length[at] > nth]
             byte = self.bytes[at]
             node, bit = self.code.node[nth][byte], self.code.bit[nth][byte]
-            exact = np.full((len(at), 2), -1, np.float32)
-            deep = self.deep[at]
-            exact[deep] = 0
-            exact[deep, bit[deep]] = weight[at[deep]]
-            far = np.flatnonzero(self.beginning[at] >= 0)
-            if len(far):
-                _, same = np.unique(self.beginning[at[far]] << 8 | node[far], return_inverse=True)
-                total = np.bincount(same, weight[at[far]])
-                ones = np.bincount(same, weight[at[far]] * bit[far])
-                exact[far] = np.stack([total - ones, ones], axis=1)[same]
+            exact = None if weight is None else self.exact(at, node, bit, weight[at])
             for start in range(0, len(at), STEP_BITS):
                 part = slice(start, start + STEP_BITS)
-                yield at[part], node[part], bit[part], exact[part]
+                yield at[part], node[part], bit[part], None if exact is None else exact[part]
+
+    def exact(self, at: np.ndarray, node: np.ndarray, bit: np.ndarray, often: np.ndarray) -> np.ndarray:
+        deep = self.deep[at]
+        # A column for each side, so that each lies together.
+        exact = np.empty((2, len(at)), np.float32).T
+        for side in range(2):
+            exact[:, side] = np.where(deep, often * (bit == side), -1)
+        beginning = self.beginning[at]
+        far = np.flatnonzero(beginning >= 0)
+        if len(far):
+            _, same = np.unique(beginning[far] << 8 | node[far], return_inverse=True)
+            total = np.bincount(same, often[far])
+            ones = np.bincount(same, often[far] * bit[far])
+            exact[far, 0], exact[far, 1] = (total - ones)[same], ones[same]
+        return exact
 
     def slots(self, at: np.ndarray, node: np.ndarray) -> Iterator[np.ndarray]:
         """The slots of bits in the joint table, order by order."""
@@ -143,8 +153,9 @@ class Spelled:
 
 def _gate(longest: np.ndarray, seen: np.ndarray) -> np.ndarray:
     """The weight set: by what the whole beginning and the last four bytes have seen, and if one side only."""
-    most, some = np.log2(1 + longest.sum(axis=1)), np.log2(1 + seen)
-    sure = (longest.min(axis=1) == 0).astype(np.int64)
+    zeros, ones = longest[:, 0], longest[:, 1]
+    most, some = np.log2(1 + (zeros + ones)), np.log2(1 + seen)
+    sure = (np.minimum(zeros, ones) == 0).astype(np.int64)
     return np.minimum(most, LEVELS - 1).astype(np.int64) * 4 + np.minimum(some / 4, 1).astype(np.int64) * 2 + sure
 
 
@@ -155,36 +166,41 @@ def own_of(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def inputs_without(own: tuple[np.ndarray, np.ndarray], spelled: Spelled, at: np.ndarray, node: np.ndarray, bit: np.ndarray, exact: np.ndarray):
     """(orders, bits) predictions from counts less the occurrence they predict, and the gates."""
-    lines, last = own
-    inputs = np.empty((ORDERS, len(bit)), np.float32)
-    one = np.stack([1 - bit, bit], axis=1).astype(np.float32)
-    for order, slot in enumerate(spelled.slots(at, node)):
-        inputs[order] = lines.take(slot * 2 + bit)
-    pair = np.maximum(last.take(slot - SLOTS[ORDERS - 2], axis=0) - one, 0)
-    longest = np.where(exact < 0, pair, np.maximum(exact - one, 0))
-    inputs[-1] = stretched(longest)
-    return inputs, _gate(longest, pair.sum(axis=1))
+    return _inputs(own, spelled, at, node, exact, bit)
 
 
 def inputs_of(ready: tuple[np.ndarray, np.ndarray], spelled: Spelled, at: np.ndarray, node: np.ndarray, exact: np.ndarray):
     """The same from all counts, with the hashed contexts' predictions and their last counts ready."""
-    lines, last = ready
+    return _inputs(ready, spelled, at, node, exact, None)
+
+
+def _inputs(tables: tuple[np.ndarray, np.ndarray], spelled: Spelled, at: np.ndarray, node: np.ndarray, exact: np.ndarray, without: np.ndarray | None):
+    lines, last = tables
     inputs = np.empty((ORDERS, len(at)), np.float32)
     for order, slot in enumerate(spelled.slots(at, node)):
-        inputs[order] = lines.take(slot)
-    pair = last.take(slot - SLOTS[ORDERS - 2], axis=0)
-    longest = np.where(exact < 0, pair, exact)
-    inputs[-1] = stretched(longest)
-    return inputs, _gate(longest, pair.sum(axis=1))
+        inputs[order] = lines.take(slot if without is None else slot * 2 + without)
+    known = exact[:, 0] < 0
+    pair, longest = last.take(slot - SLOTS[ORDERS - 2], axis=0).T, np.empty((2, len(at)), np.float32)
+    seen = np.zeros(len(at), np.float32)
+    for side in range(2):
+        count, whole = pair[side], exact[:, side]
+        if without is not None:
+            one = (without == side).astype(np.float32)
+            count, whole = np.maximum(count - one, 0), np.maximum(whole - one, 0)
+        seen += count
+        longest[side] = np.where(known, count, whole)
+    inputs[-1] = stretched(longest.T)
+    return inputs, _gate(longest.T, seen)
 
 
 def counted(words: list[bytes], counts: np.ndarray, spans: np.ndarray, table: np.ndarray, code: Code) -> None:
     """Adds each token's bits, as often as it occurs, to the joint table (slots, 2)."""
     spelled = Spelled(words, spans, code)
-    weight = spelled.weights(counts)
-    for at, node, bit, _ in spelled.bits(weight):
+    weight, flat = spelled.weights(counts), table.reshape(-1)
+    for at, node, bit, _ in spelled.bits(None):
+        often = weight[at]
         for slot in spelled.slots(at, node):
-            np.add.at(table.reshape(-1), slot * 2 + bit, weight[at])
+            np.add.at(flat, slot * 2 + bit, often)
 
 
 def gathered(words: list[bytes], counts: np.ndarray, spans: np.ndarray, table: np.ndarray, code: Code, sums: Sums) -> None:
@@ -527,7 +543,7 @@ def _summed(left: pa.Table, right: pa.Table, total: int, distinct: int, shares:
         stop = max(start + 1, int(np.searchsorted(ends, before + following.STEP_TOKENS, side="right")))
         # Only the texts of a step are unpacked.
         at, starts = unpacked_numbers(b"".join(packed[start:stop].to_pylist()), len(c)), ends[start:stop] - n_tokens[start:stop] - before
-        each = np.log10(shares) + np.stack([np.add.reduceat(apart[at, g], starts) for g in range(GROUPS)], axis=1)
+        each = np.log10(shares) + np.add.reduceat(apart.take(at, axis=0), starts, axis=0)
         most = each.max(axis=1)
         mixed = most + np.log10((10.0 ** (each - most[:, None])).sum(axis=1))
         token = cost[at] + ready.cost(following.Sequences(symbol[at], starts, number))

@@ -182,6 +182,45 @@ def test_following_equals_a_loop_over_bits():
         assert total == pytest.approx(want, abs=2e-3)
 
 
+def test_what_follows_the_same_words_is_looked_up_once():
+    """The time of following words grows with what is told apart, not with how often it occurs."""
+    rows, frequent, code = followers()[:40], pa.array([*"abcdef", "\n"]), mixing.Code(np.array([9, 7, 5, 5, 4, 3, 2, 6]))
+    once, often = sequences(rows, frequent, code), sequences(rows * 50, frequent, code)
+    tables, costs, bits_of = [], [], []
+    for found in (once, often):
+        tables.append(np.zeros((following.SLOTS[-1], 2)))
+        following.counted(found, tables[-1])
+    assert (tables[1] == 50 * tables[0]).all() and tables[0][:7].sum() == code.length[once.coded].sum()
+    model = bits.Model.equal(bits.GATES, following.ORDERS)
+    for found in (once, often):
+        ready, seen = following.Ready(tables[0].astype(np.float32), model), []
+        ready.model.cost = lambda inputs, gate, bit, seen=seen: seen.append(len(bit)) or bits.Model.cost(model, inputs, gate, bit)
+        costs.append(ready.cost(found))
+        bits_of.append(sum(seen))
+    assert costs[1] == pytest.approx(np.tile(costs[0], 50), abs=1e-12)
+    assert bits_of[1] == bits_of[0] < code.length[once.coded].sum()
+
+
+def test_sums_of_gates_equal_a_loop():
+    rng, size = np.random.default_rng(7), 300
+    inputs, gate, bit = rng.normal(size=(3, size)).astype(np.float32), rng.integers(0, 5, size) * 2, rng.integers(0, 2, size)
+    model = bits.Model.equal(12, 3)
+    model = bits.Model((model.weights + rng.normal(size=(12, 3)) / 9).astype(np.float32), model.cells)
+    for weight in (np.ones(size), rng.integers(1, 9, size).astype(np.float64)):
+        sums = bits.Sums(model)
+        sums.add(inputs, gate, bit, weight)
+        slope, curve, cells = np.zeros((12, 3)), np.zeros((12, 3, 3)), np.zeros((12, bits.COLUMNS, 2))
+        for n in range(size):
+            x = inputs[:, n].astype(np.float64)
+            line = float(x @ model.weights[gate[n]])
+            chance = 1 / (1 + math.exp(-line))
+            slope[gate[n]] += weight[n] * (bit[n] - chance) * x
+            curve[gate[n]] += weight[n] * chance * (1 - chance) * np.outer(x, x)
+            cells[gate[n], round(line * 2) + 16, bit[n]] += weight[n]
+        assert sums.slope == pytest.approx(slope, abs=1e-4) and np.tril(sums.curve) == pytest.approx(np.tril(curve), abs=1e-4)
+        assert (sums.cells == cells).all()
+
+
 def test_next_numbers_are_a_distribution():
     """After the same words, the probabilities of all numbers add up to 1."""
     frequent, code = pa.array([*"abcdef"]), mixing.Code(np.array([9, 7, 5, 5, 4, 3, 2]))
