@@ -88,6 +88,25 @@ def test_pairs_are_not_shuffled(spark, catalog, monkeypatch):
         assert left.count() == 0 and sorted((str(r["query_id"]), r["key"]) for r in found.collect()) == want
 
 
+def plan_of(found):
+    text = io.StringIO()
+    with contextlib.redirect_stdout(text):
+        found.explain()
+    return text.getvalue()
+
+
+def test_lists_are_checked_by_plain_columns(spark, catalog):
+    lists = [["x >= 1", "x > 1.5", "x <= 7.25", "t = 'hot'"], ["t = 'hot'", "t = 'cold'"], ["x < 3", "x < 2", "s >= ''", "s <= 'b'"], ["n = 0", "n = 1"], ["n = -0.0", "n = 0"], ["x >= 2", "x < 1"]]
+    queries = spark.createDataFrame(list(enumerate(lists)), "query_id long, conditions array<string>")
+    want = {(i, r["key"]) for i, c in enumerate(lists) for r in predicates.apply_conditions(catalog, c, ALLOWED).select("key").collect()}
+    for max_bytes in (64 << 20, 0):
+        found, left = predicates.typed_survivors(catalog, queries, "key", ALLOWED, 8, max_bytes)
+        # a lambda in a join's condition keeps the join and what follows out of generated code
+        assert "lambda" not in plan_of(found).split("Exchange")[0] and "forall" not in plan_of(found)
+        pairs = [tuple(r) for r in found.collect()]
+        assert left.count() == 0 and len(pairs) == len(set(pairs)) and set(pairs) == want
+
+
 def test_no_lists_and_no_records(spark, catalog):
     none = spark.createDataFrame([], "query_id long, conditions array<string>")
     assert hybrid.query_survivors(catalog, none, "key", ALLOWED).count() == 0
