@@ -107,6 +107,16 @@ def test_lists_are_checked_by_plain_columns(spark, catalog):
         assert left.count() == 0 and len(pairs) == len(set(pairs)) and set(pairs) == want
 
 
+def test_many_lists_are_not_broadcast_for_their_small_files(spark, catalog):
+    queries = spark.range(3_000).select(F.col("id").alias("query_id"), F.expr("array('x >= ' || id / 1000, 't = \"hot\"')").alias("conditions"))
+    queries = queries.withColumn("conditions", F.transform("conditions", lambda c: F.replace(c, F.lit('"'), F.lit("'"))))
+    found, left = predicates.typed_survivors(catalog, queries, "key", ALLOWED, 16, 0)
+    plan = plan_of(found)
+    assert plan[: plan.index("Join")].rstrip().split()[-1].endswith("SortMerge") and left.count() == 0
+    rows = [(r["key"], r["x"]) for r in catalog.collect() if r["x"] is not None and r["t"] == "hot"]
+    assert {tuple(r) for r in found.collect()} == {(i, key) for key, x in rows for i in range(3_000) if x != x or x >= i / 1000}
+
+
 def test_no_lists_and_no_records(spark, catalog):
     none = spark.createDataFrame([], "query_id long, conditions array<string>")
     assert hybrid.query_survivors(catalog, none, "key", ALLOWED).count() == 0
